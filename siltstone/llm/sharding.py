@@ -72,13 +72,13 @@ num(i, off, skip) AS (
          ('0x' || substr(md5('shard-' || i || '/skip'), 1, 8))::BIGINT % {SLOTS - 1} + 1 FROM range({SHARDS}) t(i)),
 offs AS (SELECT list(off ORDER BY i) AS o, list(skip ORDER BY i) AS s FROM num),
 fill(turn, owner) AS (
-  SELECT 0::BIGINT, list_transform(range({SLOTS}), x -> -1::BIGINT)
+  SELECT 0::BIGINT, list_transform(range({SLOTS}), lambda x: -1::BIGINT)
   UNION ALL
   SELECT turn + 1, list_concat(owner[1:p], [turn % {SHARDS}], owner[p + 2:])
   FROM (
     SELECT turn, owner,
       (SELECT (o[turn % {SHARDS} + 1] + j * s[turn % {SHARDS} + 1]) % {SLOTS} FROM offs,
-        (SELECT list_position(list_transform(range({SLOTS}), k -> owner[(o[turn % {SHARDS} + 1] + k * s[turn % {SHARDS} + 1]) % {SLOTS} + 1]), -1) - 1 AS j FROM offs)) AS p
+        (SELECT list_position(list_transform(range({SLOTS}), lambda k: owner[(o[turn % {SHARDS} + 1] + k * s[turn % {SHARDS} + 1]) % {SLOTS} + 1]), -1) - 1 AS j FROM offs)) AS p
     FROM fill WHERE turn < {SLOTS})),
 tab AS (SELECT unnest(range({SLOTS})) AS slot, unnest(owner) AS shard FROM fill WHERE turn = {SLOTS})
 SELECT doc_id, slot::INTEGER AS slot, shard::INTEGER AS shard
