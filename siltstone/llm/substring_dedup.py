@@ -67,7 +67,8 @@ class Anchors:
             place = (key & np.uint64(0xFFFFFF)).astype(np.int64)
             first = np.flatnonzero(np.diff(place, prepend=-1))
             at.append(place[first] + a)
-            hashes.append(h[place[first]])
+            # anchors have low hashes; a second mix spreads them evenly over the 48 bits again
+            hashes.append(h[place[first]] * np.uint64(0xD6E8FEB86659FD93) & np.uint64((1 << 48) - 1))
             low.append(first + a)
             high.append(np.append(first[1:], len(place)) - 1 + a)
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
@@ -283,12 +284,28 @@ def _suffix_blocks(length: int, parts: int):
             least, most = np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)
             lcp, rest = front_code(sorted_.view(np.uint8).reshape(-1, width))
             count = np.diff(np.append(first, len(t)))
-            yield run_id, int(all_parts[a]), lcp.tobytes(), rest, least.tobytes(), most.tobytes(), count.astype("<u4").tobytes(), at[order].astype("<u4").tobytes()
+            yield run_id, int(all_parts[a]), _squeeze(lcp, least, most, count.astype("<u4"), at[order].astype("<u4"), np.frombuffer(rest, np.uint8))
 
     return run
 
 
-BLOCK_SCHEMA = "run long, part long, lcp binary, rest binary, least binary, most binary, count binary, places binary"
+def _squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed blob."""
+    head = np.array([len(arrays), *(a.nbytes for a in arrays)], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+
+
+def _unsqueeze(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    at, out = 8 * (n + 1), []
+    for kind, size in zip(kinds, np.frombuffer(raw, "<i8", n, 8).tolist()):
+        out.append(np.frombuffer(raw[at : at + size], kind))
+        at += size
+    return out
+
+
+BLOCK_SCHEMA = "run long, part long, body binary"
 
 
 def _judge(length: int):
@@ -332,8 +349,7 @@ def _judge(length: int):
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("run", kind="stable").reset_index(drop=True)
-        least = [np.frombuffer(x, np.int64).tolist() for x in pdf["least"]]
-        most = [np.frombuffer(x, np.int64).tolist() for x in pdf["most"]]
+        lcps, least, most, counts, all_places, rests = zip(*(_unsqueeze(x, "u1", "<i8", "<i8", "<u4", "<u4", "u1") for x in pdf["body"]))
         found: list[tuple[list, list, list, list]] = [([], [], [], []) for _ in range(len(pdf))]
 
         def out(r, i, key, windows, smallest):
@@ -345,37 +361,38 @@ def _judge(length: int):
             d.append(smallest)
 
         seen, group = [0] * len(pdf), []
-        for n, r, key in merge_runs([decode_front(a, b, width) for a, b in zip(pdf["lcp"], pdf["rest"])]):
+        for n, r, key in merge_runs([decode_front(a.tobytes(), b.tobytes(), width) for a, b in zip(lcps, rests)]):
             if n < GRAM and group:
                 flush(group, out)
                 group = []
             i = seen[r]
             seen[r] += 1
-            group.append((n, r, i, key, least[r][i], most[r][i]))
+            group.append((n, r, i, key, int(least[r][i]), int(most[r][i])))
         if group:
             flush(group, out)
         rows = []
         for r, (i, near, far, smallest) in enumerate(found):
             if not i:
                 continue
-            count, places = np.frombuffer(pdf["count"][r], "<u4").astype(np.int64), np.frombuffer(pdf["places"][r], "<u4")
+            count, places = counts[r].astype(np.int64), all_places[r]
             i = np.array(i)
             many, start = count[i], (np.cumsum(count) - count)[i]
             at = np.repeat(start - np.cumsum(many) + many, many) + np.arange(many.sum())
-            rows.append((pdf["run"][r], places[at].tobytes(), np.repeat(np.array(near, np.uint8), many).tobytes(), np.repeat(np.array(far, np.uint8), many).tobytes(), np.repeat(np.array(smallest, np.int64), many).tobytes()))
-        return pd.DataFrame(rows, columns=["run", "places", "near", "far", "smallest"])
+            rows.append((pdf["run"][r], _squeeze(places[at], np.repeat(np.array(near, np.uint8), many), np.repeat(np.array(far, np.uint8), many), np.repeat(np.array(smallest, "<i8"), many))))
+        return pd.DataFrame(rows, columns=["run", "reply"])
 
     return judge
 
 
-def covered(ids, data, offsets, replies: pd.DataFrame, length: int) -> np.ndarray:
+def covered(ids, data, offsets, replies: list[bytes], length: int) -> np.ndarray:
     """Marks of the bytes to remove."""
-    cat = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in replies[c]] or [np.zeros(0, t)]).astype(np.int64)
-    at, near, far, smallest = cat("places", "<u4"), cat("near", np.uint8), cat("far", np.uint8), cat("smallest", np.int64)
-    hit = smallest < ids[np.searchsorted(offsets, at, "right") - 1]
     step = np.zeros(len(data) + 1, np.int32)
-    np.add.at(step, (at - far)[hit], 1)
-    np.add.at(step, (at - near + length)[hit], -1)
+    for reply in replies:
+        at, near, far, smallest = _unsqueeze(reply, "<u4", "u1", "u1", "<i8")
+        hit = smallest < ids[np.searchsorted(offsets, at, "right") - 1]
+        at = at[hit].astype(np.int64)
+        np.add.at(step, at - far[hit], 1)
+        np.add.at(step, at - near[hit] + length, -1)
     return np.cumsum(step[:-1]) > 0
 
 
@@ -401,17 +418,17 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, run_bytes: int = RUN_BYTE
         rows = []
         for run_id, body in zip(left["run"], left["body"]):
             rows += form(run_id, body, dict(zip(right["part"], right["marks"])))
-        return pd.DataFrame(rows, columns=["run", "part", "lcp", "rest", "least", "most", "count", "places"])
+        return pd.DataFrame(rows, columns=["run", "part", "body"])
 
     exchanged = source.groupBy("run").cogroup(marks.groupBy("run")).applyInPandas(blocks, BLOCK_SCHEMA)
-    replies = exchanged.groupBy("part").applyInPandas(_judge(length), "run long, places binary, near binary, far binary, smallest binary")
+    replies = exchanged.groupBy("part").applyInPandas(_judge(length), "run long, reply binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
     def cut(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for body in left["body"]:
             ids, null, data, offsets = _open(body)
-            gone = covered(ids, data, offsets, right, length)
+            gone = covered(ids, data, offsets, right["reply"].tolist(), length)
             for k, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
                 g = gone[a:b]
                 kept = data[a:b][~g].tobytes() if g.any() else data[a:b].tobytes()
