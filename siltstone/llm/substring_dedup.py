@@ -9,6 +9,9 @@ equals). The choice depends on the window's bytes alone, so equal windows have t
 the same offset, and sorting the suffixes at anchors loses no match. About one place in ten is
 an anchor.
 
+*Whole copies.* A text that equals one of a smaller id loses every byte, and no other document
+needs it as a witness; such texts are found by digest and take no further part.
+
 *Runs.* Documents are dealt into runs of bounded size, staged in the shared folder. A run first
 sends the hashes of its anchors, sorted and delta-coded; anchors whose hash no other anchor has
 cannot match and are dropped. For the rest it forms keys: the suffix at the anchor as far as its
@@ -110,7 +113,7 @@ def _run_row(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, body.schema) as w:
         w.write_batch(body)
-    blob = zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+    blob = zstandard.ZstdCompressor(level=6).compress(sink.getvalue())
     return pa.RecordBatch.from_arrays([pa.array([sum(len(t) for _, t in held)]), pa.array([blob], pa.binary())], ["n_bytes", "body"])
 
 
@@ -124,6 +127,27 @@ def _open(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return ids.fill_null(np.iinfo(np.int64).max).to_numpy(), np.asarray(ids.is_null()), data, offsets
 
 
+def whole_copies(source: DataFrame) -> DataFrame:
+    """run, copies: the places in their run of documents that equal one of a smaller id."""
+
+    def run(batches):
+        for batch in batches:
+            for run_id, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids, _, data, offsets = _open(blob.as_py())
+                raw = data.tobytes()
+                digests = [hashlib.sha256(raw[a:b]).digest() for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+                n = len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array([run_id] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(ids), pa.array(digests, pa.binary())], ["run", "nth", "id", "digest"])
+
+    texts = staged(source.mapInArrow(run, "run long, nth int, id long, digest binary"))
+    least = texts.groupBy("digest").agg(F.min("id").alias("least"))
+    return staged(texts.join(least, "digest").where("id > least").groupBy("run").agg(F.collect_list("nth").alias("copies")))
+
+
+def _copies(pdf: pd.DataFrame) -> np.ndarray:
+    return np.array([k for c in pdf["copies"] if c is not None for k in c], np.int64)
+
+
 def _deltas(sorted_: np.ndarray) -> bytes:
     """Sorted distinct hashes as differences, in four bytes each where they fit."""
     d = np.diff(sorted_, prepend=np.uint64(0))
@@ -253,14 +277,16 @@ def _suffix_blocks(length: int, parts: int):
     span = length - GRAM
     width = length + 1 + span + 1
 
-    def run(run_id, blob: bytes, marks: dict[int, bytes]):
+    def run(run_id, blob: bytes, marks: dict[int, bytes], copies: np.ndarray):
         ids, _, data, offsets = _open(blob)
+        copy = np.zeros(len(ids), bool)
+        copy[copies] = True
         x = Anchors(data, offsets, length)
         f = np.unique(x.hash)
         part = _part_of(f, parts)
         cut = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(f))
         mark = np.concatenate([np.unpackbits(np.frombuffer(marks[int(part[a])], np.uint8))[: b - a] for a, b in zip(cut, cut[1:])]) if len(f) else np.zeros(0)
-        take = np.flatnonzero(mark[np.searchsorted(f, x.hash)]) if len(f) else np.zeros(0, np.int64)
+        take = np.flatnonzero(mark[np.searchsorted(f, x.hash)].astype(bool) & ~copy[x.doc]) if len(f) else np.zeros(0, np.int64)
         if not len(take):
             return
         all_parts = _part_of(x.hash[take], parts)
@@ -412,23 +438,30 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, run_bytes: int = RUN_BYTE
     source = runs.select("run", "body")
     hashes = source.mapInArrow(_hash_blocks(length, parts), "run long, part long, hashes binary, own binary")
     marks = hashes.groupBy("part").applyInPandas(_repeated, "run long, part long, marks binary")
+    copies = whole_copies(source)
+    none, no_list = F.lit(None).cast("binary"), F.lit(None).cast("array<int>")
+    marks = marks.withColumn("copies", no_list).unionByName(copies.select("run", F.lit(-1).cast("long").alias("part"), none.alias("marks"), "copies"))
     form = _suffix_blocks(length, parts)
 
     def blocks(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for run_id, body in zip(left["run"], left["body"]):
-            rows += form(run_id, body, dict(zip(right["part"], right["marks"])))
+            rows += form(run_id, body, dict(zip(right["part"], right["marks"])), _copies(right))
         return pd.DataFrame(rows, columns=["run", "part", "body"])
 
     exchanged = source.groupBy("run").cogroup(marks.groupBy("run")).applyInPandas(blocks, BLOCK_SCHEMA)
     replies = exchanged.groupBy("part").applyInPandas(_judge(length), "run long, reply binary")
+    replies = replies.withColumn("copies", no_list).unionByName(copies.select("run", none.alias("reply"), "copies"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
     def cut(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for body in left["body"]:
             ids, null, data, offsets = _open(body)
-            gone = covered(ids, data, offsets, right["reply"].tolist(), length)
+            gone = covered(ids, data, offsets, [r for r in right["reply"] if r is not None], length)
+            for k in _copies(right):
+                if offsets[k + 1] - offsets[k] >= length:
+                    gone[offsets[k] : offsets[k + 1]] = True
             for k, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
                 g = gone[a:b]
                 kept = data[a:b][~g].tobytes() if g.any() else data[a:b].tobytes()
