@@ -33,10 +33,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
     def run(batches):
         bpe = load(WordBpe, path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part, rows = batch.slice(at, 512), []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1)):
-                    ids = bpe.encode(text.as_py() or "") + tail
+            for at in range(0, batch.num_rows, 256):
+                part, rows = batch.slice(at, 256), []
+                encoded = bpe.encode_all([t or "" for t in part.column(1).to_pylist()])
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoded):
+                    ids += tail
                     for k, a in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[a : a + 4 * capacity]
                         rows.append((doc_id, k, a // 4, len(cut) // 4, zlib.crc32(cut)))

@@ -104,20 +104,32 @@ class WordBpe:
 
     WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^\\sa-z0-9ß-öø-ɏ]+")
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         self.tok, self.most, self.cache = _library(path), most, {}
-
-    def encode(self, text: str) -> bytes:
-        if OTHER_ALPHABET.search(text):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words, cache = self.WORDS.findall(text.lower()), self.cache
-        new = list({w for w in words if w not in cache})
-        if new:
-            if len(cache) + len(new) > self.most:
-                cache.clear()
-                new = list(set(words))
-            for at in range(0, len(new), 1024):
-                part = new[at : at + 1024]
-                for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                    cache[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(cache.__getitem__, words))
+        vocab = self.tok.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+
+    def _learn(self, words: list[str], step: int = 512) -> None:
+        """Encodes words together; each ends with its only token that carries the word end."""
+        parts = [words[at : at + step] for at in range(0, len(words), step)]
+        for part, e in zip(parts, self.tok.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) != len(part):
+                raise ValueError("the vocabulary file does not mark each word's end")
+            raw = ids.tobytes()
+            self.cache.update(zip(part, (raw[a:b] for a, b in zip([0, *ends], ends))))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        split = [None if OTHER_ALPHABET.search(t) else self.WORDS.findall(t.lower()) for t in texts]
+        new = set().union(*(w for w in split if w)).difference(self.cache)
+        if len(self.cache) + len(new) > self.most:
+            self.cache.clear()
+            new = set().union(*(w for w in split if w))
+        self._learn(list(new))
+        get = self.cache.__getitem__
+        return [self._whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, split)]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
