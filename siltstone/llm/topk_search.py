@@ -24,39 +24,40 @@ DEPTHS = (0.5, 0.7, 0.85)
 
 
 class Block:
-    """Candidates (n x d integers) with each value's place in its dimension's list."""
+    """Candidates (n x d whole numbers) and one sorted list per dimension."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
-        order = np.lexsort((ids,))
+        order = np.argsort(ids, kind="stable")
         self.ids, self.values = ids[order], values[order]
-        by = np.argsort(-self.values, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.values, by, axis=0)
-        self.place = np.empty(by.shape, np.int32)
-        np.put_along_axis(self.place, by, np.arange(len(by), dtype=np.int32)[:, None].repeat(by.shape[1], 1), axis=0)
+        self.sorted = -np.sort(-self.values, axis=0)
 
     def best(self, query: np.ndarray, own: int, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """ids and scores of the block's k best (ties to smaller ids), less those under ``floor``."""
+        """ids and scores of the block's k best (ties to smaller ids), less those under ``floor``.
+
+        A list read down to a depth has shown exactly the shares at or above the share ``at`` that
+        depth; a candidate whose share is not among them counts with ``at`` in its upper bound
+        and with the list's last share in its lower one.
+        """
         n = len(self.ids)
         live = np.flatnonzero(self.ids != own)
         down = query >= 0
-        last = np.where(down, self.sorted[-1], self.sorted[0]) * query
         for share in DEPTHS:
             depth = int(n * share)
             if len(live) <= 4 * k or depth < 1:
                 break
             at = np.where(down, self.sorted[depth - 1], self.sorted[n - depth]) * query
-            place = self.place[live]
-            read = np.where(down, place < depth, place >= n - depth)
-            shares = self.values[live] * query
-            upper = np.where(read, shares, at).sum(axis=1)
-            lower = np.where(read, shares, last).sum(axis=1)
-            need = int(np.partition(lower, len(lower) - k)[len(lower) - k])
-            live = live[upper >= max(need, floor if floor is not None else need)]
+            shares = (self.values if len(live) == n else self.values[live]) * query
+            least = floor
+            if floor is None:
+                last = np.where(down, self.sorted[-1], self.sorted[0]) * query
+                lower = np.where(shares >= at, shares, last).sum(axis=1)
+                least = np.partition(lower, len(lower) - k)[len(lower) - k]
+            live = live[np.maximum(shares, at, out=shares).sum(axis=1) >= least]
         score = self.values[live] @ query
         if floor is not None:
             live, score = live[score >= floor], score[score >= floor]
         order = np.lexsort((self.ids[live], -score))[:k]
-        return self.ids[live[order]], score[order]
+        return self.ids[live[order]], score[order].astype(np.int64)
 
 
 def _integers(batch: pa.RecordBatch, scale: int, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -87,13 +88,13 @@ def _search(ids: np.ndarray, queries: np.ndarray, k: int, scale: int):
             if not len(cid):
                 continue
             most = max(1, int(np.abs(values).max(initial=0))) * max(1, int(np.abs(queries).max(initial=0))) * max(1, width)
-            kind = np.int32 if most < 2**31 else np.int64
+            kind = np.float64 if most < 2**53 else np.int64  # doubles are exact up to there, and faster
             block, asked = Block(cid, values.astype(kind)), queries.astype(kind)
             for q in range(len(ids)):
                 floor = int(got[q][-1]) if len(got[q]) >= k else None
                 new_id, new = block.best(asked[q], ids[q], k, floor)
                 if len(new):
-                    all_id, all_ = np.concatenate((got_id[q], new_id)), np.concatenate((got[q], new.astype(np.int64)))
+                    all_id, all_ = np.concatenate((got_id[q], new_id)), np.concatenate((got[q], new))
                     order = np.lexsort((all_id, -all_))[:k]
                     got_id[q], got[q] = all_id[order], all_[order]
         count = list(map(len, got))
