@@ -28,8 +28,19 @@ class Block:
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.values = ids[order], values[order]
-        self.sorted = -np.sort(-self.values, axis=0)
+        self.ids = ids[order]
+        self.most = np.abs(values).max(axis=0, initial=0)
+        #: By kind of number: values and lists. Whole numbers are exact in each kind up to its limit.
+        self.of = {}
+        self.whole = values[order]
+
+    def _kind(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bound = float(np.abs(query).astype(np.float64) @ self.most.astype(np.float64))
+        kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64
+        if kind not in self.of:
+            v = self.whole.astype(kind)
+            self.of[kind] = v, -np.sort(-v, axis=0)
+        return self.of[kind]
 
     def best(self, query: np.ndarray, own: int, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
         """ids and scores of the block's k best (ties to smaller ids), less those under ``floor``.
@@ -38,6 +49,8 @@ class Block:
         depth; a candidate whose share is not among them counts with ``at`` in its upper bound
         and with the list's last share in its lower one.
         """
+        values, lists = self._kind(query)
+        query = query.astype(values.dtype)
         n = len(self.ids)
         live = np.flatnonzero(self.ids != own)
         down = query >= 0
@@ -45,15 +58,15 @@ class Block:
             depth = int(n * share)
             if len(live) <= 4 * k or depth < 1:
                 break
-            at = np.where(down, self.sorted[depth - 1], self.sorted[n - depth]) * query
-            shares = (self.values if len(live) == n else self.values[live]) * query
+            at = np.where(down, lists[depth - 1], lists[n - depth]) * query
+            shares = (values if len(live) == n else values[live]) * query
             least = floor
             if floor is None:
-                last = np.where(down, self.sorted[-1], self.sorted[0]) * query
+                last = np.where(down, lists[-1], lists[0]) * query
                 lower = np.where(shares >= at, shares, last).sum(axis=1)
                 least = np.partition(lower, len(lower) - k)[len(lower) - k]
             live = live[np.maximum(shares, at, out=shares).sum(axis=1) >= least]
-        score = self.values[live] @ query
+        score = values[live] @ query
         if floor is not None:
             live, score = live[score >= floor], score[score >= floor]
         order = np.lexsort((self.ids[live], -score))[:k]
@@ -87,12 +100,10 @@ def _search(ids: np.ndarray, queries: np.ndarray, k: int, scale: int):
             cid, values = _integers(batch, scale, width)
             if not len(cid):
                 continue
-            most = max(1, int(np.abs(values).max(initial=0))) * max(1, int(np.abs(queries).max(initial=0))) * max(1, width)
-            kind = np.float64 if most < 2**53 else np.int64  # doubles are exact up to there, and faster
-            block, asked = Block(cid, values.astype(kind)), queries.astype(kind)
+            block = Block(cid, values)
             for q in range(len(ids)):
                 floor = int(got[q][-1]) if len(got[q]) >= k else None
-                new_id, new = block.best(asked[q], ids[q], k, floor)
+                new_id, new = block.best(queries[q], ids[q], k, floor)
                 if len(new):
                     all_id, all_ = np.concatenate((got_id[q], new_id)), np.concatenate((got[q], new))
                     order = np.lexsort((all_id, -all_))[:k]
