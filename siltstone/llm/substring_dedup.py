@@ -34,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,42 +90,52 @@ class Anchors:
 
 
 def pack_runs(docs: DataFrame, run_bytes: int) -> DataFrame:
-    """run, n, body: documents dealt into rows of about ``run_bytes`` of text, compressed."""
+    """run, n_bytes, body: rows of ``docs`` (doc_id and text first) dealt into runs of about
+    ``run_bytes`` of text, each one compressed record batch."""
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py() or b""
-                held.append((doc_id, text))
-                size += len(text)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                before = int(sizes[at - 1]) if at else 0
+                end = min(int(np.searchsorted(sizes, before + run_bytes - size)) + 1, batch.num_rows)
+                held.append(batch.slice(at, end - at))
+                size += int(sizes[end - 1]) - before
+                at = end
                 if size >= run_bytes:
-                    yield _run_row(held)
+                    yield _run_row(held, size)
                     held, size = [], 0
         if held:
-            yield _run_row(held)
+            yield _run_row(held, size)
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "n_bytes long, body binary")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), *rest).mapInArrow(run, "n_bytes long, body binary")
     return staged(rows.withColumn("run", F.monotonically_increasing_id()))
 
 
-def _run_row(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    body = pa.record_batch({"id": pa.array([i for i, _ in held], pa.int64()), "text": pa.array([t for _, t in held], pa.large_binary())})
+def _run_row(held: list[pa.RecordBatch], size: int) -> pa.RecordBatch:
+    body = pa.Table.from_batches(held)
+    body = body.set_column(1, "text", pc.fill_null(body.column(1), b"").cast(pa.large_binary())).combine_chunks()
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, body.schema) as w:
-        w.write_batch(body)
+        w.write_table(body)
     blob = zstandard.ZstdCompressor(level=6).compress(sink.getvalue())
-    return pa.RecordBatch.from_arrays([pa.array([sum(len(t) for _, t in held)]), pa.array([blob], pa.binary())], ["n_bytes", "body"])
+    return pa.RecordBatch.from_arrays([pa.array([size]), pa.array([blob], pa.binary())], ["n_bytes", "body"])
 
 
-def _open(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """ids (a null as the largest), null marks, texts as one array, offsets."""
-    batch = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_next_batch()
+def _rows(blob: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_next_batch()
+
+
+def _open(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids (a null as the largest), texts as one array, offsets."""
     ids, texts = batch.column(0), batch.column(1)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1]
     body = texts.buffers()[2]
     data = np.frombuffer(body, np.uint8)[: offsets[-1]] if body else np.zeros(0, np.uint8)
-    return ids.fill_null(np.iinfo(np.int64).max).to_numpy(), np.asarray(ids.is_null()), data, offsets
+    return ids.fill_null(np.iinfo(np.int64).max).to_numpy(), data, offsets
 
 
 def whole_copies(source: DataFrame) -> DataFrame:
@@ -133,7 +144,7 @@ def whole_copies(source: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for run_id, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids, _, data, offsets = _open(blob.as_py())
+                ids, data, offsets = _open(_rows(blob.as_py()))
                 raw = data.tobytes()
                 digests = [hashlib.sha256(raw[a:b]).digest() for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
                 n = len(ids)
@@ -168,7 +179,7 @@ def _hash_blocks(length: int, parts: int):
     def run(batches):
         for batch in batches:
             for run_id, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                _, _, data, offsets = _open(blob.as_py())
+                _, data, offsets = _open(_rows(blob.as_py()))
                 f, n = np.unique(Anchors(data, offsets, length).hash, return_counts=True)
                 part = _part_of(f, parts)
                 cut = np.flatnonzero(np.diff(part, prepend=-1))
@@ -278,7 +289,7 @@ def _suffix_blocks(length: int, parts: int):
     width = length + 1 + span + 1
 
     def run(run_id, blob: bytes, marks: dict[int, bytes], copies: np.ndarray):
-        ids, _, data, offsets = _open(blob)
+        ids, data, offsets = _open(_rows(blob))
         copy = np.zeros(len(ids), bool)
         copy[copies] = True
         x = Anchors(data, offsets, length)
@@ -422,14 +433,41 @@ def covered(ids, data, offsets, replies: list[bytes], length: int) -> np.ndarray
     return np.cumsum(step[:-1]) > 0
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, run_bytes: int = RUN_BYTES, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept: the remaining bytes) for every row
-    of ``docs(doc_id, text)``.
+def cut_repeats(docs: DataFrame, length: int = LENGTH, run_bytes: int = RUN_BYTES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs(doc_id, text)``.
 
     Null texts count as empty. Rows that repeat an id are judged like other documents of that id:
     neither removes bytes of the other. A null id counts as larger than any other. An empty table
     gives an empty result; other columns are not read.
     """
+
+    def shape(batch, data, offsets, gone) -> pa.Table:
+        rows = []
+        for a, b in zip(offsets.tolist(), offsets[1:].tolist()):
+            g = gone[a:b]
+            starts = np.count_nonzero(np.diff(g.view(np.int8), prepend=np.int8(0)) == 1)
+            rows.append((b - a, int(g.sum()), starts, hashlib.sha256(data[a:b][~g].tobytes()).hexdigest()))
+        names, kinds = ["n_bytes", "n_removed", "n_spans", "kept_sha256"], (pa.int64(), pa.int64(), pa.int64(), pa.string())
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
+        return pa.table([batch.column(0), *columns], ["doc_id", *names])
+
+    return _judged(docs.select("doc_id", "text"), length, run_bytes, shape, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def cut_texts(docs: DataFrame, length: int = LENGTH, run_bytes: int = RUN_BYTES) -> DataFrame:
+    """``docs`` with the removed bytes cut out of ``text``; a character that lost a byte goes whole.
+    All columns travel inside the runs, so no join follows."""
+    columns = ["doc_id", "text", *(c for c in docs.columns if c not in ("doc_id", "text"))]
+
+    def shape(batch, data, offsets, gone) -> pa.Table:
+        texts = [data[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+        return pa.table([batch.column(0), pa.array(texts, pa.string()), *batch.columns[2:]], columns)
+
+    typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *columns[2:])
+    return _judged(typed, length, run_bytes, shape, typed.schema).select(docs.columns)
+
+
+def _judged(docs: DataFrame, length: int, run_bytes: int, shape, schema) -> DataFrame:
     if not GRAM <= length < GRAM + 128:
         raise ValueError(f"length must be from {GRAM} to {GRAM + 127}")
     runs = pack_runs(docs, run_bytes)
@@ -452,22 +490,18 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, run_bytes: int = RUN_BYTE
     exchanged = source.groupBy("run").cogroup(marks.groupBy("run")).applyInPandas(blocks, BLOCK_SCHEMA)
     replies = exchanged.groupBy("part").applyInPandas(_judge(length), "run long, reply binary")
     replies = replies.withColumn("copies", no_list).unionByName(copies.select("run", none.alias("reply"), "copies"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
-    def cut(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for body in left["body"]:
-            ids, null, data, offsets = _open(body)
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.to_pandas()
+        out = []
+        for body in left.column("body").to_pylist():
+            batch = _rows(body)
+            ids, data, offsets = _open(batch)
             gone = covered(ids, data, offsets, [r for r in right["reply"] if r is not None], length)
             for k in _copies(right):
                 if offsets[k + 1] - offsets[k] >= length:
                     gone[offsets[k] : offsets[k + 1]] = True
-            for k, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
-                g = gone[a:b]
-                kept = data[a:b][~g].tobytes() if g.any() else data[a:b].tobytes()
-                row = (None if null[k] else int(ids[k]), b - a, int(g.sum()), int(np.count_nonzero(np.diff(g.view(np.int8), prepend=np.int8(0)) == 1)), hashlib.sha256(kept).hexdigest())
-                rows.append(row + (kept,) * with_text)
-        names = [c.split()[0] for c in schema.split(", ")]
-        return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-
-    return source.groupBy("run").cogroup(replies.groupBy("run")).applyInPandas(cut, schema)
+            out.append(shape(batch, data, offsets, gone))
+        return pa.concat_tables(out)
+
+    return source.groupBy("run").cogroup(replies.groupBy("run")).applyInArrow(cut, schema)
