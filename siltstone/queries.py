@@ -1,11 +1,424 @@
-"""Registered queries of the engine's own operators, with the SQL that must agree."""
+"""Registered queries of the engine's own operators, with the SQL that must agree.
+
+Each query applies operators to a whole table, mapped onto papers, concepts and items as its
+docstring or SQL shows.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone import schemas
+from siltstone.functions import text as X
+from siltstone.operators import concepts as C
+from siltstone.operators import extraction as E
+from siltstone.operators import layout as L
+from siltstone.operators import matrix as M
+from siltstone.operators import papers as P
+from siltstone.operators import tagging as G
+from siltstone.plans import workflows as W
+from siltstone.sources import concepts as S
+from siltstone.sources import papers as SP
+
+TERMS = ["the", "license", "data", "und", "les", "."]
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _papers(spark, sf) -> DataFrame:
+    return _t(spark, sf, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("paper"), F.col("source").alias("collection"), "text")
+
+
+def _long(name: str):
+    return F.col(name).cast("long").alias(name)
+
+
+SENTS = r"string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(30), 'g'), chr(30))"
+SQL_TERMS = "(VALUES " + ", ".join(f"('{t}')" for t in TERMS) + ") v(concept)"
+TALL = f"""(SELECT 'doc-' || doc_id AS paper, concept, array_to_string(list_filter({SENTS}, lambda s: contains(lower(s), concept)), ' | ') AS sentences
+FROM documents, {SQL_TERMS} WHERE text <> '' AND contains(lower(text), concept))"""
+
+
+@query(f"SELECT doc_id, len({SENTS})::BIGINT AS n_sentences FROM documents")
+def sentence_split_counts(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", F.size(X.sentences(F.coalesce("text", F.lit("")))).cast("long").alias("n_sentences"))
+
+
+@query(f"SELECT paper, concept, sentences FROM {TALL} WHERE sentences <> ''")
+def match_sentences_tall(spark, sf):
+    return M.match_tall(_papers(spark, sf), TERMS)
+
+
+@query(f"""SELECT 'doc-' || doc_id AS paper, {", ".join(f"array_to_string(list_filter({SENTS}, lambda s: contains(lower(s), '{t}')), ' | ') AS " + f'"{t}"' for t in TERMS)} FROM documents WHERE text <> ''""")
+def ontology_matrix_wide(spark, sf):
+    return M.ontology_matrix(_papers(spark, sf), TERMS)
+
+
+@query("SELECT 'doc-' || doc_id AS paper, (" + SENTS + """)[1] AS "the" FROM documents WHERE text <> '' AND contains(lower(text), 'zzzz')""")
+def ontology_matrix_pivot(spark, sf):
+    """The pivoted form over a term that no text has keeps the columns and gives no rows."""
+    tall = M.match_tall(_papers(spark, sf), ["zzzz"]).withColumn("concept", F.lit("the"))
+    return M.pivot_wide(tall, "paper", ["the"], "sentences")
+
+
+@query(f"SELECT concept, count(*) AS doc_frequency, avg(length(sentences)) AS avg_relevance FROM {TALL} WHERE sentences <> '' GROUP BY concept")
+def concept_rankings(spark, sf):
+    rows = M.match_tall(_papers(spark, sf), TERMS).select("paper", "concept", F.length("sentences").cast("double").alias("relevance"))
+    return C.rankings(rows)
+
+
+def _event_rows(spark, sf):
+    return _t(spark, sf, "events").select(F.col("user_id").alias("paper"), F.col("event_type").alias("concept"), F.floor(F.col("value") * 100).cast("double").alias("relevance"), F.col("event_id").alias("pos"))
+
+
+@query("SELECT event_type AS concept, count(*) AS doc_frequency, avg(floor(value * 100)) AS avg_relevance FROM events GROUP BY 1")
+def event_rankings(spark, sf):
+    return C.rankings(_event_rows(spark, sf))
+
+
+@query("SELECT event_type AS concept, count(DISTINCT user_id) AS doc_frequency FROM events GROUP BY 1")
+def concept_rankings_distinct(spark, sf):
+    return C.paper_frequency(_event_rows(spark, sf))
+
+
+@query("""SELECT paper, concept, relevance, pos FROM (SELECT user_id AS paper, event_type AS concept, floor(value * 100) AS relevance, event_id AS pos,
+row_number() OVER (PARTITION BY user_id ORDER BY coalesce(floor(value * 100), 0) DESC, event_id) AS r FROM events) WHERE r <= 3""")
+def top_n_per_paper(spark, sf):
+    return C.top_n_per_paper(_event_rows(spark, sf), 3)
+
+
+PHRASES = "(SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS concept FROM documents)"
+FREQUENCY = f"(SELECT concept, count(*) AS doc_frequency FROM {PHRASES} WHERE length(concept) > 4 GROUP BY concept)"
+
+
+def _frequency(spark, sf):
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 4)
+    return C.phrase_frequency(_t(spark, sf, "documents").select("doc_id", words.alias("phrases")))
+
+
+@query(f"SELECT * FROM {FREQUENCY}")
+def phrase_doc_frequency(spark, sf):
+    return _frequency(spark, sf)
+
+
+@query(f"SELECT * FROM {FREQUENCY} ORDER BY doc_frequency DESC, concept LIMIT 80")
+def vocabulary_top_n(spark, sf):
+    return C.vocabulary(_frequency(spark, sf), 80)
+
+
+@query(f"SELECT f.* FROM {FREQUENCY} f WHERE (SELECT count(*) FROM {FREQUENCY} WHERE doc_frequency >= 3) < 80 OR doc_frequency >= 3")
+def min_docs_cut(spark, sf):
+    return C.min_docs(_frequency(spark, sf), 3, 80)
+
+
+@query(f"SELECT * FROM {FREQUENCY}")
+def min_docs_fallback(spark, sf):
+    """No phrase is in so many papers, so all come back."""
+    return C.min_docs(_frequency(spark, sf), 1_000_000_000, 80)
+
+
+@query(f"SELECT concept FROM {FREQUENCY} ORDER BY concept LIMIT 80")
+def normalize_fallback(spark, sf):
+    return C.normalize_fallback(_frequency(spark, sf))
+
+
+def _items(spark, sf):
+    """Documents as items: titles repeat up to case, types and titles are missing here and there."""
+    d = F.col("doc_id")
+    kind = F.when(d % 11 == 0, "note").when(d % 11 == 1, "attachment").when(d % 11 != 2, "journalArticle")
+    title = F.when(d % 13 == 0, "").otherwise(F.concat(F.when(d % 2 == 0, F.upper("source")).otherwise(F.col("source")), F.lit("/"), "lang"))
+    return _t(spark, sf, "documents").select(
+        F.col("source").alias("collection"), d.alias("pos"), d.cast("string").alias("key"), kind.alias("item_type"), title.alias("title"), F.lit(None).cast("string").alias("doi"),
+        F.col("text").alias("abstract"), F.lit("").alias("date"), F.lit(None).cast(schemas.ITEMS["authors"].dataType).alias("authors"),
+    )
+
+
+ITEMS = """(SELECT doc_id AS pos, doc_id::VARCHAR AS key, CASE WHEN doc_id % 11 = 0 THEN 'note' WHEN doc_id % 11 = 1 THEN 'attachment' WHEN doc_id % 11 <> 2 THEN 'journalArticle' END AS item_type,
+CASE WHEN doc_id % 13 = 0 THEN '' ELSE CASE WHEN doc_id % 2 = 0 THEN upper(source) ELSE source END || '/' || lang END AS title FROM documents)"""
+REAL = f"(SELECT * FROM {ITEMS} WHERE coalesce(item_type, '') NOT IN ('note', 'attachment') AND title <> '')"
+
+
+@query(f"SELECT pos, key, item_type, title FROM {REAL}")
+def real_items(spark, sf):
+    return SP.real_items(_items(spark, sf)).select("pos", "key", "item_type", "title")
+
+
+DEDUP = f"(SELECT min(pos) AS pos, max_by(key, pos) AS key, max_by(title, pos) AS title FROM {REAL} GROUP BY lower(title))"
+
+
+@query(f"SELECT * FROM {DEDUP}")
+def paper_dedup_last_wins(spark, sf):
+    return SP.papers(_items(spark, sf)).select("pos", "key", "title")
+
+
+def _attachments(spark, sf):
+    """Labelled documents have a PDF; bad quality does not parse, and then a second one does."""
+    l = _t(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("item_key"), "quality", "toxic")
+    first = l.select("item_key", F.lit(0).cast("long").alias("pos"), F.lit("application/pdf").alias("content_type"), F.when(F.col("quality") == 0, F.unhex(F.lit("FF"))).otherwise(F.lit("").cast("binary")).alias("content"))
+    second = l.select("item_key", F.lit(1).cast("long").alias("pos"), F.when(F.col("toxic") == 0, "application/pdf").otherwise("text/html").alias("content_type"), F.concat(F.lit("text "), "item_key").cast("binary").alias("content"))
+    return first.unionByName(second)
+
+
+TEXTS = "(SELECT doc_id::VARCHAR AS item_key, CASE WHEN quality = 1 THEN '' ELSE 'text ' || doc_id END AS full_text FROM labels WHERE quality = 1 OR toxic = 0)"
+
+
+@query(f"SELECT item_key, full_text FROM {TEXTS}")
+def first_parsable_attachment(spark, sf):
+    return SP.first_text(_attachments(spark, sf))
+
+
+PAPERS = f"(SELECT d.pos, d.key, d.title, coalesce(t.full_text, '') AS full_text, x.text AS abstract FROM {DEDUP} d LEFT JOIN {TEXTS} t ON t.item_key = d.key JOIN documents x ON x.doc_id::VARCHAR = d.key)"
+
+
+def _full(spark, sf):
+    return SP.papers(_items(spark, sf), SP.first_text(_attachments(spark, sf)))
+
+
+@query(f"SELECT title FROM {PAPERS} WHERE full_text = ''")
+def missing_text_report(spark, sf):
+    return P.missing_text(_full(spark, sf))
+
+
+@query(f"SELECT key, substr(CASE WHEN full_text <> '' THEN full_text ELSE coalesce(abstract, '') END, 1, 80000) AS text FROM {PAPERS} WHERE full_text <> '' OR abstract <> ''")
+def prefer_full_text(spark, sf):
+    return P.chosen_text(P.with_any_text(_full(spark, sf))).select("key", "text")
+
+
+@query(f"SELECT key FROM {PAPERS} WHERE abstract <> ''")
+def with_abstract(spark, sf):
+    return P.with_abstract(_full(spark, sf)).select("key")
+
+
+@query(f"SELECT title, full_text FROM (SELECT r.title, max_by(r.key, r.pos) AS key FROM {REAL} r GROUP BY r.title) k LEFT JOIN (SELECT item_key, full_text FROM {TEXTS}) t ON t.item_key = k.key".replace("SELECT title, full_text FROM (SELECT r", "SELECT title, coalesce(full_text, '') AS full_text FROM (SELECT r"))
+def title_texts(spark, sf):
+    return SP.title_texts(_items(spark, sf), SP.first_text(_attachments(spark, sf)))
+
+
+@query("""SELECT p_partkey, CASE WHEN s = '' THEN 'concept' ELSE s END AS slug FROM (SELECT p_partkey, trim(regexp_replace(lower(p_name || ' (' || p_brand || ')'), '[^a-z0-9]+', '_', 'g'), '_') AS s FROM part)""")
+def slugify(spark, sf):
+    return _t(spark, sf, "part").select("p_partkey", X.slug(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).alias("slug"))
+
+
+DOI = "CASE event_id % 4 WHEN 0 THEN '10.1/' || event_id WHEN 1 THEN 'https://x.org/' || event_id WHEN 2 THEN '' ELSE NULL END"
+
+
+@query(f"SELECT event_id, CASE WHEN coalesce(d, '') = '' THEN 'Not Specified' WHEN d LIKE 'http%' THEN d ELSE 'https://doi.org/' || d END AS doi FROM (SELECT event_id, {DOI} AS d FROM events)")
+def doi_normalize(spark, sf):
+    return _t(spark, sf, "events").select("event_id", X.doi_url(F.expr(DOI)).alias("doi"))
+
+
+VALUE, QUOTE = "CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END", "CASE WHEN event_id % 3 = 0 THEN 'q' || user_id ELSE '' END"
+
+
+@query(f"SELECT event_id, CASE WHEN v <> '' AND q <> '' THEN v || ' | ' || q ELSE v || q END AS cell FROM (SELECT event_id, {VALUE} AS v, {QUOTE} AS q FROM events)")
+def cell_format(spark, sf):
+    return _t(spark, sf, "events").select("event_id", X.cell(F.expr(VALUE), F.expr(QUOTE)).alias("cell"))
+
+
+@query(r"""SELECT doc_id, 'Title: t' || doc_id || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'DOI (from metadata): https://doi.org/10.1/' || doc_id ELSE '' END || chr(10) || 'Authors (from metadata): ' || source || '; ' || lang
+|| CASE WHEN text <> '' THEN chr(10) || chr(10) || '[Article opening — may contain affiliations]:' || chr(10) || substr(text, 1, 2000) ELSE '' END AS context FROM documents""")
+def context_block(spark, sf):
+    who = lambda c: F.struct(F.lit("a").alias("firstName"), F.col(c).alias("lastName"))
+    authors = F.array(who("source"), F.struct(F.lit("b").alias("firstName"), F.lit("").alias("lastName")), who("lang"))
+    doi = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("10.1/"), "doc_id"))
+    return _t(spark, sf, "documents").select("doc_id", X.context_block(F.concat(F.lit("t"), "doc_id"), doi, authors, F.col("text"), F.lit("")).alias("context"))
+
+
+TAGS = [("click", ["data", "nonsense"], ["system"], 0), (" CLICK ", ["result", "analysis"], ["materials", "component"], 1), ("view", [], [], 2), ("purchase", ["tool"], [], 3)]
+
+
+def _tags(spark):
+    arr = lambda x: "array(" + ", ".join(f"'{v}'" for v in x) + ")" if x else "cast(array() AS array<string>)"
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{c}', {arr(s)}, {arr(l)}, {p})" for c, s, l, p in TAGS) + " AS t(concept, stages, levels, pos)")
+
+
+ENRICHED = """(SELECT concept, doc_frequency, CASE concept WHEN 'click' THEN 'mds:result, mds:analysis' WHEN 'purchase' THEN 'mds:tool' ELSE '' END AS "mds:studyStage",
+CASE concept WHEN 'click' THEN 'mds:materials, mds:component' ELSE '' END AS "mds:supplyChainLevel" FROM (SELECT event_type AS concept, count(DISTINCT user_id) AS doc_frequency FROM events GROUP BY 1))"""
+
+
+@query(f"SELECT * FROM {ENRICHED}")
+def tag_left_join(spark, sf):
+    return G.attach_tags(C.paper_frequency(_event_rows(spark, sf)), _tags(spark))
+
+
+@query(f"""SELECT concept, lower(trim(split_part(replace("mds:studyStage", 'mds:', ''), ',', 1))) AS stage FROM {ENRICHED}""")
+def primary_stage(spark, sf):
+    tagged = G.attach_tags(C.paper_frequency(_event_rows(spark, sf)), _tags(spark))
+    return tagged.select("concept", X.primary_tag(F.col("`mds:studyStage`")).alias("stage"))
+
+
+@query("SELECT concept, doc_frequency, ((row_number() OVER (ORDER BY doc_frequency DESC, concept) - 1) // 40)::INTEGER AS batch FROM (SELECT c_name AS concept, floor(c_acctbal)::BIGINT AS doc_frequency FROM customer)")
+def batch_ids(spark, sf):
+    return C.batches(_t(spark, sf, "customer").select(F.col("c_name").alias("concept"), F.floor("c_acctbal").alias("doc_frequency")))
+
+
+def _drawn(spark, sf):
+    """Suppliers as concepts, over some of the stages; group sizes differ."""
+    names = [s[0] for s in L.STAGES]
+    stage = F.element_at(F.array(*[F.lit(n) for n in names]), (F.pmod(F.col("s_suppkey") * F.col("s_suppkey"), F.lit(len(names))) + 1).cast("int"))
+    tag = F.when(stage == "unclassified", "").otherwise(F.concat(F.lit("mds:"), stage, F.lit(", mds:data")))
+    return L.stage_of(_t(spark, sf, "supplier").select(F.col("s_name").alias("concept"), F.floor("s_acctbal").alias("doc_frequency"), tag.alias(G.STAGE_COLUMN), F.lit("mds:system").alias(G.LEVEL_COLUMN)))
+
+
+LAYOUT = f"""WITH dim(seq, stage, zone) AS (VALUES {", ".join(f"({i}, '{s}', '{z}')" for i, (s, z, _, _) in enumerate(L.STAGES))}),
+node AS (SELECT s_name AS concept, floor(s_acctbal)::BIGINT AS doc_frequency, d.* FROM supplier JOIN dim d ON d.seq = (s_suppkey * s_suppkey) % 13),
+g0 AS (SELECT seq, stage, zone, count(*) AS n FROM node GROUP BY ALL),
+g1 AS (SELECT *, CASE WHEN n <= 3 THEN n ELSE least(8, greatest(3, round(sqrt(n * 1.5))))::BIGINT END AS nc FROM g0),
+g AS (SELECT *, least(nc, n) * 175 - 15 + 24 AS w, ceil(n / nc)::BIGINT * 70 - 15 + 60 AS h FROM g1),
+z AS (SELECT coalesce(sum(w) FILTER (zone = 'top') + 55 * (count(*) FILTER (zone = 'top') - 1), 0) AS tw, coalesce(max(h) FILTER (zone = 'top'), 0) AS th,
+ coalesce(sum(w) FILTER (zone = 'bottom') + 55 * (count(*) FILTER (zone = 'bottom') - 1), 0) AS bw, coalesce(max(h) FILTER (zone = 'bottom'), 0) AS bh,
+ coalesce(max(w) FILTER (zone = 'left'), 0) AS lw, coalesce(sum(h) FILTER (zone = 'left') + 55 * (count(*) FILTER (zone = 'left') - 1), 0) AS lh,
+ coalesce(max(w) FILTER (zone = 'right'), 0) AS rw, coalesce(sum(h) FILTER (zone = 'right') + 55 * (count(*) FILTER (zone = 'right') - 1), 0) AS rh FROM g),
+c0 AS (SELECT *, lw + CASE WHEN lw > 0 THEN 55 ELSE 0 END + CASE WHEN rw > 0 THEN 55 ELSE 0 END + rw AS sides FROM z),
+c AS (SELECT *, greatest(tw, bw, sides + 500) AS iw, greatest(greatest(tw, bw, sides + 500) - sides, 500) AS cw, greatest(lh, rh, 400) AS ch,
+ 60 + lw + CASE WHEN lw > 0 THEN 55 ELSE 0 END AS cx, 60 + th + CASE WHEN th > 0 THEN 55 ELSE 0 END AS cy FROM c0)"""
+
+
+@query(LAYOUT + """ SELECT stage, n, w::BIGINT AS w, h::BIGINT AS h,
+(CASE zone WHEN 'top' THEN 60 + greatest(0, (iw - tw) // 2) + pw WHEN 'bottom' THEN 60 + greatest(0, (iw - bw) // 2) + pw WHEN 'right' THEN cx + cw + 55 ELSE 60 END)::BIGINT AS x,
+(CASE zone WHEN 'top' THEN 60 WHEN 'left' THEN cy + ph WHEN 'right' THEN cy + ph WHEN 'bottom' THEN cy + ch + 55 ELSE 120 + th + CASE WHEN th > 0 THEN 55 ELSE 0 END + ch + CASE WHEN bh > 0 THEN 55 ELSE 0 END + bh - 60 + 55 END)::BIGINT AS y
+FROM (SELECT *, coalesce(sum(w + 55) OVER p, 0) AS pw, coalesce(sum(h + 55) OVER p, 0) AS ph FROM g WINDOW p AS (PARTITION BY zone ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), c""")
+def layout_groups(spark, sf):
+    return L.place_groups(L.groups(_drawn(spark, sf))).select("stage", "n", "w", "h", "x", "y")
+
+
+@query(LAYOUT + """, r AS (SELECT node.*, nc, row_number() OVER (PARTITION BY node.stage ORDER BY doc_frequency DESC, concept) - 1 AS j, row_number() OVER (ORDER BY node.seq, doc_frequency DESC, concept) + 1 AS id FROM node JOIN g USING (stage))
+SELECT concept, stage, id, (12 + (j % nc) * 175)::BIGINT AS x, (48 + (j // nc) * 70)::BIGINT AS y FROM r""")
+def layout_nodes(spark, sf):
+    drawn = _drawn(spark, sf)
+    return L.place_nodes(drawn, L.groups(drawn)).select("concept", "stage", "id", "x", "y")
+
+
+@query("""SELECT user_id AS paper, 'dom' AS domain, '' AS doi, coalesce(max_by(CASE WHEN event_id % 2 = 0 THEN 'v' || event_id || ' | q' ELSE 'q' END, event_id) FILTER (event_type = 'click'), '') AS click,
+coalesce(max_by(CASE WHEN event_id % 2 = 0 THEN 'v' || event_id || ' | q' ELSE 'q' END, event_id) FILTER (event_type = 'view'), '') AS "view" FROM events GROUP BY user_id""")
+def schema_wide(spark, sf):
+    e = _t(spark, sf, "events")
+    values = e.select(F.col("user_id").alias("paper"), F.upper("event_type").alias("concept"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("v"), "event_id")).otherwise("").alias("value"), F.lit("q").alias("quote"), F.col("event_id").alias("pos"))
+    papers = e.select(F.col("user_id").alias("paper"), F.lit("dom").alias("domain"), F.lit("").alias("doi")).distinct()
+    return M.schema_table(papers, values, ["click", "view"])
+
+
+@query("SELECT doc_id, lang, NULL::BIGINT AS n_chars FROM documents WHERE source = 'src0' UNION ALL SELECT doc_id, NULL, n_chars FROM documents WHERE source = 'src1'")
+def union_collections(spark, sf):
+    d = _t(spark, sf, "documents")
+    return P.union_collections(d.where("source = 'src0'").select("doc_id", "lang"), d.where("source = 'src1'").select("doc_id", "n_chars"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS canonical, CASE WHEN event_id % 5 = 0 THEN NULL ELSE 0.5::DOUBLE END AS relevance FROM events""")
+def json_tool_call(spark, sf):
+    """Every fifth payload is broken JSON, some are under another tool's name."""
+    args = F.to_json(F.struct(F.array(F.struct(F.col("event_type").alias("canonical"), F.lit(0.5).alias("relevance"))).alias("concepts")))
+    args = F.when(F.col("event_id") % 5 == 0, F.lit("{broken")).otherwise(args)
+    name = F.when(F.col("event_id") % 2 == 0, "record_concepts").otherwise("other")
+    calls = F.to_json(F.array(F.struct(name.alias("name"), args.alias("arguments"))))
+    got = F.get(E.tool_payload(calls, "record_concepts", schemas.CONCEPTS_JSON)["concepts"], F.lit(0))
+    return _t(spark, sf, "events").select("event_id", got["canonical"].alias("canonical"), got["relevance"].alias("relevance"))
+
+
+@query("SELECT event_id, CASE WHEN props IS NULL THEN NULL ELSE (props::JSON ->> 'k')::BIGINT END AS k FROM events")
+def json_props(spark, sf):
+    return _t(spark, sf, "events").select("event_id", F.from_json("props", "struct<k: bigint>")["k"].alias("k"))
+
+
+@query("SELECT event_type AS concept, count(DISTINCT user_id) AS doc_frequency FROM events GROUP BY 1")
+def load_concepts(spark, sf):
+    return S.load_concepts(_t(spark, sf, "events").select(F.col("user_id").alias("Paper"), F.upper("event_type").alias("Canonical")))
+
+
+@query("SELECT source AS name, max_by('k' || doc_id, doc_id) AS key FROM documents WHERE contains(source, 'src1') GROUP BY source")
+def catalog_search(spark, sf):
+    raw = _t(spark, sf, "documents").groupBy(F.col("source").alias("name")).agg(F.max_by(F.concat(F.lit("k"), "doc_id"), "doc_id").alias("key"))
+    return SP.search_catalog(raw, "SRC1")
+
+
+@query("SELECT DISTINCT lower(n_name) AS concept FROM nation")
+def unique_labels(spark, sf):
+    return C.unique_labels(_t(spark, sf, "nation").select(F.concat(F.lit("  "), F.col("n_name"), F.lit("\t")).alias("concept")))
+
+
+def _abstracts(spark, sf):
+    """The benchmark's passages as papers with an abstract and no full text."""
+    return _t(spark, sf, "benchmark").select(F.concat(F.lit("item-"), "item_id").alias("paper"), F.lit("benchmark").alias("collection"), F.lit("").alias("doi"), F.col("text").alias("abstract"), F.lit("").alias("full_text"))
+
+
+@query()
+def noun_phrases_offline(spark, sf):
+    return E.phrase_table(_papers(spark, sf), "text")
+
+
+@query()
+def keyphrases_mmr(spark, sf):
+    return E.concept_table(_abstracts(spark, sf), E.Offline(), 20)
+
+
+@query()
+def mmr_select(spark, sf):
+    """Of each label's vectors, ten by marginal relevance to their mean; groups are cut into salted parts
+    that each choose ten, and the union is chosen from again, so no group meets whole in one task."""
+    import numpy as np
+    import pandas as pd
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("vec_id")
+        v = np.stack(pdf["embedding"].to_list())
+        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        centre = v.mean(axis=0)
+        return pdf.iloc[E.mmr(centre / max(np.linalg.norm(centre), 1e-12), v, 10)]
+
+    e = _t(spark, sf, "embeddings").where("embedding IS NOT NULL").select("vec_id", "embedding", "label", F.pmod(F.xxhash64("vec_id"), F.lit(64)).cast("int").alias("part"))
+    some = e.groupBy("label", "part").applyInPandas(pick, e.schema)
+    return some.groupBy("label").applyInPandas(pick, e.schema).select("label", "vec_id")
+
+
+@query()
+def offline_tagging(spark, sf):
+    return G.offline_tags(_frequency(spark, sf))
+
+
+@query()
+def round_relevance(spark, sf):
+    return _t(spark, sf, "events").select("event_id", X.round_exact(F.col("value") / 7).alias("relevance"))
+
+
+@query()
+def discover_schema(spark, sf):
+    return W.discover_schema(_abstracts(spark, sf))[1]
+
+
+@query()
+def local_analytics(spark, sf):
+    return W.local_analytics(_abstracts(spark, sf))[2]
+
+
+@query()
+def vocabulary_analytics(spark, sf):
+    return W.vocabulary_analytics(_abstracts(spark, sf))[0]
+
+
+@query()
+def structured_extract(spark, sf):
+    items = _full(spark, sf)
+    return W.structured_extract(items, ["the", "DOI", "data"])
