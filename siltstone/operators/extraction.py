@@ -111,7 +111,8 @@ class Offline:
     def record(self, context: str, concepts: list[str]) -> dict:
         doi = re.search(r"DOI \(from metadata\): (\S+)", context)
         author = re.search(r"Authors \(from metadata\): ([^;\n]+)", context)
-        quotes = {v["canonical"]: v["quote"] for v in self.values(context, [c.lower() for c in concepts])}
+        body = "\n".join(re.split(r"\n\[[^\]\n]*\]:\n", context)[1:])  # the parts under a heading
+        quotes = {v["canonical"]: v["quote"] for v in self.values(body, [c.lower() for c in concepts])}
         names = schemas.field_names(concepts)
         return {"doi": doi and doi[1], "author": author and author[1]} | {names[c]: quotes.get(c.lower()) for c in concepts}
 
