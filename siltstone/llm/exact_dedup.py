@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
+#: Bounds of the broadcast winners and of the sketch.
+MAX_FREQUENT, TRACKED = 2048, 16384
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -32,7 +34,17 @@ def frequent_digests(digests: DataFrame, max_frequent: int, tracked: int) -> Dat
     return rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
 
 
-def exact_dedup(docs: DataFrame, max_frequent: int = 2048, tracked: int = 16384) -> DataFrame:
+def with_keeper(digests: DataFrame, max_frequent: int, tracked: int) -> DataFrame:
+    """``digests`` (digest, doc_id and any others) plus keep_id and group_size of the row's digest."""
+    frequent = staged(frequent_digests(digests, max_frequent, tracked))
+    hot = digests.join(F.broadcast(frequent), "digest")
+    same = Window.partitionBy("digest")
+    rest = digests.join(F.broadcast(frequent), "digest", "left_anti")
+    rest = rest.withColumn("keep_id", F.min("doc_id").over(same)).withColumn("group_size", F.count(F.lit(1)).over(same))
+    return hot.unionByName(rest)
+
+
+def exact_dedup(docs: DataFrame, max_frequent: int = MAX_FREQUENT, tracked: int = TRACKED) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs(doc_id, text)``.
 
     Null texts equal empty ones. Rows that repeat an id share that id's fate: each counts in
@@ -41,13 +53,7 @@ def exact_dedup(docs: DataFrame, max_frequent: int = 2048, tracked: int = 16384)
     than doc_id and text are not read.
     """
     digests = staged(docs.select("doc_id", text_digest(F.col("text")).alias("digest")))
-    frequent = staged(frequent_digests(digests, max_frequent, tracked))
-    hot = digests.join(F.broadcast(frequent), "digest")
-    same = Window.partitionBy("digest")
-    rest = digests.join(F.broadcast(frequent), "digest", "left_anti").select(
-        "digest", "doc_id", F.min("doc_id").over(same).alias("keep_id"), F.count(F.lit(1)).over(same).alias("group_size")
-    )
-    return hot.select("digest", "doc_id", "keep_id", "group_size").unionByName(rest).select(
+    return with_keeper(digests, max_frequent, tracked).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 

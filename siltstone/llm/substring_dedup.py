@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
+from .exact_dedup import MAX_FREQUENT, TRACKED, with_keeper
 
 LENGTH, GRAM = 50, 32
 RUN_BYTES, BLOCK = 8 << 20, 1 << 17
@@ -148,11 +149,11 @@ def whole_copies(source: DataFrame) -> DataFrame:
                 raw = data.tobytes()
                 digests = [hashlib.sha256(raw[a:b]).digest() for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
                 n = len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array([run_id] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(ids), pa.array(digests, pa.binary())], ["run", "nth", "id", "digest"])
+                yield pa.RecordBatch.from_arrays([pa.array([run_id] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(ids), pa.array(digests, pa.binary())], ["run", "nth", "doc_id", "digest"])
 
-    texts = staged(source.mapInArrow(run, "run long, nth int, id long, digest binary"))
-    least = texts.groupBy("digest").agg(F.min("id").alias("least"))
-    return staged(texts.join(least, "digest").where("id > least").groupBy("run").agg(F.collect_list("nth").alias("copies")))
+    texts = staged(source.mapInArrow(run, "run long, nth int, doc_id long, digest binary"))
+    copies = with_keeper(texts, MAX_FREQUENT, TRACKED).where("doc_id > keep_id")
+    return staged(copies.groupBy("run").agg(F.collect_list("nth").alias("copies")))
 
 
 def _copies(pdf: pd.DataFrame) -> np.ndarray:
@@ -475,7 +476,8 @@ def _judged(docs: DataFrame, length: int, run_bytes: int, shape, schema) -> Data
     parts = max(1, 2 * total // (length - GRAM + 2) // PART_ANCHORS + 1, min(total >> 16, 12))
     source = runs.select("run", "body")
     hashes = source.mapInArrow(_hash_blocks(length, parts), "run long, part long, hashes binary, own binary")
-    marks = hashes.groupBy("part").applyInPandas(_repeated, "run long, part long, marks binary")
+    # twice as many partitions as parts, so that few partitions get several
+    marks = hashes.repartition(2 * parts, "part").groupBy("part").applyInPandas(_repeated, "run long, part long, marks binary")
     copies = whole_copies(source)
     none, no_list = F.lit(None).cast("binary"), F.lit(None).cast("array<int>")
     marks = marks.withColumn("copies", no_list).unionByName(copies.select("run", F.lit(-1).cast("long").alias("part"), none.alias("marks"), "copies"))
@@ -488,7 +490,7 @@ def _judged(docs: DataFrame, length: int, run_bytes: int, shape, schema) -> Data
         return pd.DataFrame(rows, columns=["run", "part", "body"])
 
     exchanged = source.groupBy("run").cogroup(marks.groupBy("run")).applyInPandas(blocks, BLOCK_SCHEMA)
-    replies = exchanged.groupBy("part").applyInPandas(_judge(length), "run long, reply binary")
+    replies = exchanged.repartition(2 * parts, "part").groupBy("part").applyInPandas(_judge(length), "run long, reply binary")
     replies = replies.withColumn("copies", no_list).unionByName(copies.select("run", none.alias("reply"), "copies"))
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
