@@ -70,14 +70,13 @@ def label_variants(rows: DataFrame, column: str = "concept") -> DataFrame:
 def batches(concepts: DataFrame, size: int = 40) -> DataFrame:
     """``concepts`` (concept, doc_frequency) with batch: fixed-size groups in order of frequency.
 
-    Places are found without a window over one partition: range partitions in order, counted, then
-    numbered from their first place on.
+    Rows are numbered within groups of equal frequency and equal first letters, from the place where
+    their group starts; so no task sorts all concepts, only the group counts are summed in one place.
+    Rows without a concept are left out.
     """
-    order = [F.desc("doc_frequency"), F.asc("concept")]
-    spread = concepts.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    counts = spread.groupBy("_part").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = spread.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    return numbered.join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part").select(
-        *concepts.columns, F.floor((F.col("_before") + F.col("_nth") - 1) / size).cast("int").alias("batch")
-    )
+    keyed = concepts.where("concept IS NOT NULL AND doc_frequency IS NOT NULL").withColumn("_head", F.substring("concept", 1, 4))
+    group = ["doc_frequency", "_head"]
+    before = Window.orderBy(F.desc("doc_frequency"), "_head").rowsBetween(Window.unboundedPreceding, -1)
+    starts = keyed.groupBy(*group).count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    numbered = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy(*group).orderBy("concept")))
+    return numbered.join(starts, group).select(*concepts.columns, F.floor((F.col("_before") + F.col("_nth") - 1) / size).cast("int").alias("batch"))
