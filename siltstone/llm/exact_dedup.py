@@ -59,9 +59,17 @@ def exact_dedup(docs: DataFrame, max_frequent: int = MAX_FREQUENT, tracked: int
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_dedup` keeps, all columns, one row per id."""
-    kept = exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """One row of each group of equal texts: that of the smallest id, all columns of ``docs``.
+
+    A row is told by its id and text together, so texts that share an id are judged each for itself;
+    rows that repeat both are one row, any of them.
+    """
+    kept = staged(exact_dedup(docs).where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).count())
+    marked = docs.withColumn("_text_sha", F.lower(F.hex(text_digest(F.col("text")))))
+    out = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha")), "left_semi")
+    if not kept.where("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "_text_sha"])
+    return out.drop("_text_sha")
 
 
 ORACLE = """
