@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import tokens
 from .common import shuffle_partitions, staged
 from .components import components
 
@@ -92,6 +93,7 @@ def sketched(docs: DataFrame, shingle: int, keys: int) -> DataFrame:
     """doc_id, fp, sig, keys: fingerprint, sketch and the first of the sketch's smallest values."""
 
     def run(batches):
+        tokens.forget()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part, fp, sig, least = batch.slice(at, 512), [], [], []

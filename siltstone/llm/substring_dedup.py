@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
+from . import tokens
 from .exact_dedup import MAX_FREQUENT, TRACKED, with_keeper
 
 LENGTH, GRAM = 50, 32
@@ -95,6 +96,7 @@ def pack_runs(docs: DataFrame, run_bytes: int) -> DataFrame:
     ``run_bytes`` of text, each one compressed record batch."""
 
     def run(batches):
+        tokens.forget()
         held, size = [], 0
         for batch in batches:
             sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -178,6 +180,7 @@ def _hash_blocks(length: int, parts: int):
     """A run's distinct anchor hashes, in slices by part."""
 
     def run(batches):
+        tokens.forget()
         for batch in batches:
             for run_id, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 _, data, offsets = _open(_rows(blob.as_py()))
@@ -386,6 +389,7 @@ def _judge(length: int):
                 s = e + 1
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        tokens.forget()
         pdf = pdf.sort_values("run", kind="stable").reset_index(drop=True)
         lcps, least, most, counts, all_places, rests = zip(*(_unsqueeze(x, "u1", "<i8", "<i8", "<u4", "<u4", "u1") for x in pdf["body"]))
         found: list[tuple[list, list, list, list]] = [([], [], [], []) for _ in range(len(pdf))]
@@ -484,6 +488,7 @@ def _judged(docs: DataFrame, length: int, run_bytes: int, shape, schema) -> Data
     form = _suffix_blocks(length, parts)
 
     def blocks(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        tokens.forget()
         rows = []
         for run_id, body in zip(left["run"], left["body"]):
             rows += form(run_id, body, dict(zip(right["part"], right["marks"])), _copies(right))

@@ -42,6 +42,12 @@ def load(kind, path: str, *more):
     return _loaded[key]
 
 
+def forget() -> None:
+    """Gives a worker's vocabularies and caches back. Workers outlive stages, so stages that need
+    their memory for other things call this first."""
+    _loaded.clear()
+
+
 def _library(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
