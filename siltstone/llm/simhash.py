@@ -28,6 +28,8 @@ from .common import shuffle_partitions, staged
 from .components import components
 
 RADIUS, SHINGLE, TREE = 4, 4, 4096
+#: Sketches this near to the asked similarity do not decide: about three and a half deviations.
+DOUBT = 0.085
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SLICE = 1 << 15
 
@@ -77,6 +79,15 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, sketch: Sketch | Non
     return int.from_bytes(np.packbits(counts * 2 > len(starts)).tobytes(), "big")
 
 
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """Sorted distinct shingle hashes of the whole text; one zero without a word."""
+    words = (text or b"").translate(LOWER).split()
+    if not words:
+        return np.zeros(1, np.uint64)
+    size = min(shingle, len(words))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), 42) for i in range(len(words) - size + 1)), np.uint64))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long)."""
 
@@ -182,8 +193,10 @@ def join_all(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = up
 
 
-def _stars(table: pa.Table, radius: int, similarity: float | None) -> pa.RecordBatch:
-    """Spanning stars of the links in a batch of shards (key, piece; fp, rep, member of tree, sketch)."""
+def _stars(table: pa.Table, radius: int, similarity: float | None):
+    """Spanning stars of the links in a batch of shards (key, piece; fp, rep, member of tree, sketch).
+    Pairs whose sketches leave open whether they are similar enough follow as not sure, as far as
+    the sure links leave them apart."""
     key, piece, fp, rep, tree = (table.column(i).to_numpy() for i in range(5))
     code = np.cumsum((np.diff(key, prepend=key[:1]) != 0) | (np.diff(piece, prepend=piece[:1]) != 0))
     fp, tree = fp.view(np.uint64), tree.astype(bool)
@@ -194,6 +207,7 @@ def _stars(table: pa.Table, radius: int, similarity: float | None) -> pa.RecordB
     ask = np.flatnonzero(inside)
     parent = np.arange(len(fp))
     sig = None if similarity is None else np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint8).reshape(len(fp), -1)
+    doubts, many = [], 0
     for query, node in forest.near(fp[ask], np.searchsorted(groups, code[ask]), radius, 4096 if sig is None else 256):
         a, b = ask[query], at[node]
         for k in range(0, len(a), 1 << 15):
@@ -201,11 +215,34 @@ def _stars(table: pa.Table, radius: int, similarity: float | None) -> pa.RecordB
             apart = parent[c] != parent[d]
             c, d = c[apart], d[apart]
             if sig is not None:
-                alike = (sig[c] == sig[d]).mean(axis=1) >= similarity
+                share = (sig[c] == sig[d]).mean(axis=1)
+                open_ = np.abs(share - similarity) < DOUBT
+                doubts.append((c[open_], d[open_]))
+                many += int(open_.sum())
+                alike = share >= similarity + DOUBT
                 c, d = c[alike], d[alike]
             join_all(parent, c, d)
+            if many >= 1 << 20:
+                c, d = _apart(doubts, parent)
+                doubts, many = [(c, d)], len(c)
+                if many >= 1 << 19:
+                    yield _edge_rows(rep[c], rep[d], False)
+                    doubts, many = [], 0
+    if many:
+        c, d = _apart(doubts, parent)
+        yield _edge_rows(rep[c], rep[d], False)
     linked = np.flatnonzero(parent != np.arange(len(fp)))
-    return pa.RecordBatch.from_arrays([pa.array(rep[linked]), pa.array(rep[parent[linked]])], ["a", "b"])
+    yield _edge_rows(rep[linked], rep[parent[linked]], True)
+
+
+def _apart(pairs: list[tuple[np.ndarray, np.ndarray]], parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    a, b = (np.concatenate(x) for x in zip(*pairs))
+    apart = parent[a] != parent[b]
+    return a[apart], b[apart]
+
+
+def _edge_rows(a: np.ndarray, b: np.ndarray, sure: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), sure))], ["a", "b", "sure"])
 
 
 def _link(radius: int, similarity: float | None = None, rows: int = 1 << 16):
@@ -220,18 +257,19 @@ def _link(radius: int, similarity: float | None = None, rows: int = 1 << 16):
             if many < rows:
                 continue
             table = pa.Table.from_batches(kept)
-            yield _stars(table, radius, similarity)
+            yield from _stars(table, radius, similarity)
             key, piece, tree = (table.column(i).to_numpy() for i in (0, 1, 4))
             kept = table.filter(pa.array((key == key[-1]) & (piece == piece[-1]) & (tree == 1))).combine_chunks().to_batches()
             many = sum(b.num_rows for b in kept)
         if many:
-            yield _stars(pa.Table.from_batches(kept), radius, similarity)
+            yield from _stars(pa.Table.from_batches(kept), radius, similarity)
 
     return run
 
 
 def _linked(keyed: DataFrame, radius: int, tree: int, similarity: float | None = None) -> DataFrame:
-    """node, component over the links within the shards of ``keyed(fp, rep, key[, sig])``."""
+    """a, b, sure: the links within the shards of ``keyed(fp, rep, key[, sig])``, as spanning stars, and
+    with a similarity the pairs that are still to be compared (not sure)."""
     large = keyed.groupBy("key").count().where(F.col("count") > tree).select("key", F.ceil(F.col("count") / tree).cast("int").alias("pieces"))
     own = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("pieces")).cast("int")
     dealt = (
@@ -243,7 +281,7 @@ def _linked(keyed: DataFrame, radius: int, tree: int, similarity: float | None =
     )
     n = shuffle_partitions(keyed.sparkSession)
     edges = dealt.repartition(n, "key", "piece").sortWithinPartitions("key", "piece", F.desc("tree"))
-    return components(edges.mapInArrow(_link(radius, similarity), "a long, b long"))
+    return edges.mapInArrow(_link(radius, similarity), "a long, b long, sure boolean")
 
 
 def linked_components(fps: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFrame:
@@ -252,25 +290,65 @@ def linked_components(fps: DataFrame, radius: int = RADIUS, tree: int = TREE) ->
     masks = shard_masks(distinct.count(), radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
-    found = _linked(distinct.where("rep IS NOT NULL").select("fp", "rep", F.explode(keys).alias("key")), radius, tree)
+    found = components(_linked(distinct.where("rep IS NOT NULL").select("fp", "rep", F.explode(keys).alias("key")), radius, tree).select("a", "b"))
     return distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 16, keys: int = 6, tree: int = TREE) -> DataFrame:
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, hashes: the sorted distinct hashes of each whole text's shingles."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sets = [shingle_hashes(t.as_py(), shingle) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["doc_id", "hashes"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, hashes array<long>")
+
+
+def alike(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The rows of ``pairs(a, b, ...)``, ids of ``docs``, whose shingle sets have at least this
+    Jaccard similarity, by comparing the whole sets. Only texts that stand in a pair are read into sets."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = staged(shingle_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id", "left_semi"), shingle))
+
+    def run(batches):
+        for batch in batches:
+            mine, other = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+            keep = []
+            for x, y in zip(mine, other):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(range(batch.num_columns - 2)).filter(pa.array(keep, pa.bool_()))
+
+    with_sets = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("_b")), "b")
+    return with_sets.select(*pairs.columns, "_a", "_b").mapInArrow(run, pairs.schema)
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 20, keys: int = 6, tree: int = TREE) -> DataFrame:
     """doc_id, component_id: documents linked by a similarity of their shingle sets.
 
-    A radius that reaches Jaccard similarities of 0.8 is a quarter of the fingerprint, too wide to
+    A radius that reaches Jaccard similarities of 0.8 is a third of the fingerprint, too wide to
     shard by its bits. Here the shards of the BK-trees are the documents that share one of ``keys``
-    smallest shingle hashes (a pair at 0.8 shares none with a chance of 0.2 ** keys, less above);
-    pairs within the radius are linked if their sketches agree in ``similarity`` of the orders.
+    smallest shingle hashes (a pair at 0.8 shares none with a chance of 0.2 ** keys, less above).
+    Pairs within the radius whose sketches agree in clearly more orders than ``similarity`` are
+    linked; pairs within ``DOUBT`` of it, as far as those links leave them apart, by their whole sets.
     Nulls, blanks, repeats and ids as in :func:`near_duplicates`.
     """
     found = staged(sketched(docs, shingle, keys))
     distinct = staged(found.groupBy("fp", "sig").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
     keyed = distinct.where("rep IS NOT NULL").select("fp", "rep", "sig", F.posexplode("keys").alias("nth", "least"))
     keyed = keyed.select("fp", "rep", "sig", F.xxhash64("nth", "least").alias("key"))
-    links = _linked(keyed, radius, tree, similarity)
-    named = distinct.join(links, distinct["rep"] == links["node"], "left").select("fp", "sig", F.coalesce("component", "rep").alias("component_id"))
+    edges = staged(_linked(keyed, radius, tree, similarity))
+    sure = staged(components(edges.where("sure").select("a", "b")))
+    at = lambda end: sure.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
+    doubts = edges.where("NOT sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    doubts = doubts.join(at("a"), "a", "left").join(at("b"), "b", "left").select("a", "b", F.coalesce("a_in", "a").alias("a_in"), F.coalesce("b_in", "b").alias("b_in"))
+    more = components(alike(staged(doubts.where("a_in <> b_in")), docs, similarity, shingle).select(F.col("a_in").alias("a"), F.col("b_in").alias("b")))
+    named = distinct.join(sure, distinct["rep"] == sure["node"], "left").select("fp", "sig", F.coalesce("component", "rep").alias("part"))
+    named = named.join(more, named["part"] == more["node"], "left").select("fp", "sig", F.coalesce("component", "part").alias("component_id"))
     return found.join(named, ["fp", "sig"]).select("doc_id", "component_id")
 
 

@@ -226,6 +226,25 @@ def test_similar_documents(spark):
         assert all(got[i] == i // 3 * 3 for i in range(180)) and got[1000] == got[1001] == 1000 and got[1002] == got[None] == 1002
 
 
+def test_similar_documents_at_the_threshold(spark):
+    """Pairs on both sides of 0.8, nearer to it than a sketch can tell, and chains through them."""
+    rnd = random.Random(10)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for k in range(80):
+        text = [rnd.choice(words) for _ in range(200)]
+        rows.append((2 * k, " ".join(text)))
+        tail = 20 + k % 6  # a new tail of 20 to 25 words: similarities of 0.77 to 0.82
+        rows.append((2 * k + 1, " ".join(text[:-tail] + [rnd.choice(words) for _ in range(tail)])))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert 20 < len(pairs) < 60
+    want = brute_components(set(sets), pairs)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for tree in (simhash.TREE, 2):
+        assert {r.doc_id: r.component_id for r in simhash.similar_documents(df, tree=tree).collect()} == want
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 120)] + [(500, k) for k in range(501, 700)] + [(rnd.randint(800, 999), rnd.randint(800, 999)) for _ in range(90)]
