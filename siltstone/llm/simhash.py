@@ -195,8 +195,8 @@ def join_all(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 def _stars(table: pa.Table, radius: int, similarity: float | None):
     """Spanning stars of the links in a batch of shards (key, piece; fp, rep, member of tree, sketch).
-    Pairs whose sketches leave open whether they are similar enough follow as not sure, as far as
-    the sure links leave them apart."""
+    Of the pairs whose sketches leave open whether they are similar enough, those of a spanning
+    forest over what the sure links leave apart follow as not sure."""
     key, piece, fp, rep, tree = (table.column(i).to_numpy() for i in range(5))
     code = np.cumsum((np.diff(key, prepend=key[:1]) != 0) | (np.diff(piece, prepend=piece[:1]) != 0))
     fp, tree = fp.view(np.uint64), tree.astype(bool)
@@ -217,28 +217,41 @@ def _stars(table: pa.Table, radius: int, similarity: float | None):
             if sig is not None:
                 share = (sig[c] == sig[d]).mean(axis=1)
                 open_ = np.abs(share - similarity) < DOUBT
-                doubts.append((c[open_], d[open_]))
+                doubts.append((c[open_], d[open_], share[open_]))
                 many += int(open_.sum())
                 alike = share >= similarity + DOUBT
                 c, d = c[alike], d[alike]
             join_all(parent, c, d)
-            if many >= 1 << 20:
-                c, d = _apart(doubts, parent)
-                doubts, many = [(c, d)], len(c)
-                if many >= 1 << 19:
-                    yield _edge_rows(rep[c], rep[d], False)
-                    doubts, many = [], 0
+            if many >= 1 << 18:
+                doubts = [_forest(doubts, parent)]
+                many = len(doubts[0][0])
     if many:
-        c, d = _apart(doubts, parent)
+        c, d, _ = _forest(doubts, parent)
         yield _edge_rows(rep[c], rep[d], False)
     linked = np.flatnonzero(parent != np.arange(len(fp)))
     yield _edge_rows(rep[linked], rep[parent[linked]], True)
 
 
-def _apart(pairs: list[tuple[np.ndarray, np.ndarray]], parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    a, b = (np.concatenate(x) for x in zip(*pairs))
-    apart = parent[a] != parent[b]
-    return a[apart], b[apart]
+def _forest(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], parent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (a, b, share) those of a spanning forest over the sets of ``parent``, largest shares
+    first: fewer than there are members, however many pairs a group has."""
+    a, b, share = (np.concatenate(x) for x in zip(*pairs))
+    order = np.argsort(-share, kind="stable")
+    order = order[parent[a[order]] != parent[b[order]]]
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    keep = []
+    for k, x, y in zip(order.tolist(), parent[a[order]].tolist(), parent[b[order]].tolist()):
+        x, y = root(x), root(y)
+        if x != y:
+            up[x] = y
+            keep.append(k)
+    return a[keep], b[keep], share[keep]
 
 
 def _edge_rows(a: np.ndarray, b: np.ndarray, sure: bool) -> pa.RecordBatch:
@@ -334,7 +347,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     shard by its bits. Here the shards of the BK-trees are the documents that share one of ``keys``
     smallest shingle hashes (a pair at 0.8 shares none with a chance of 0.2 ** keys, less above).
     Pairs within the radius whose sketches agree in clearly more orders than ``similarity`` are
-    linked; pairs within ``DOUBT`` of it, as far as those links leave them apart, by their whole sets.
+    linked. Of the pairs within ``DOUBT`` of it, each shard gives the closest that would join what
+    those links leave apart (a spanning forest, so never all pairs of a group); whole sets settle them.
     Nulls, blanks, repeats and ids as in :func:`near_duplicates`.
     """
     found = staged(sketched(docs, shingle, keys))
