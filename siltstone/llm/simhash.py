@@ -15,10 +15,12 @@ different tasks. Tasks return spanning stars, not all pairs: linear in the membe
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ from .components import components
 RADIUS, SHINGLE, TREE = 4, 4, 4096
 #: Sketches this near to the asked similarity do not decide: about three and a half deviations.
 DOUBT = 0.085
+#: Shingles of the whole sets that a shard's tree may hold.
+SHINGLES = 1 << 21
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SLICE = 1 << 15
 
@@ -193,108 +197,181 @@ def join_all(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = up
 
 
-def _stars(table: pa.Table, radius: int, similarity: float | None):
-    """Spanning stars of the links in a batch of shards (key, piece; fp, rep, member of tree, sketch).
-    Of the pairs whose sketches leave open whether they are similar enough, those of a spanning
-    forest over what the sure links leave apart follow as not sure."""
-    key, piece, fp, rep, tree = (table.column(i).to_numpy() for i in range(5))
+def _shards(table: pa.Table, radius: int, step: int):
+    """Yields (query row, tree row) arrays of the pairs within the radius in a batch of shards (key,
+    piece; fp, rep, member of tree, ...)."""
+    key, piece, fp, tree = (table.column(i).to_numpy() for i in (0, 1, 2, 4))
     code = np.cumsum((np.diff(key, prepend=key[:1]) != 0) | (np.diff(piece, prepend=piece[:1]) != 0))
     fp, tree = fp.view(np.uint64), tree.astype(bool)
     at = np.flatnonzero(tree)
     groups, group = np.unique(code[at], return_inverse=True)
     forest = Trees(fp[at], group)
-    inside = np.isin(code, groups)
-    ask = np.flatnonzero(inside)
-    parent = np.arange(len(fp))
-    sig = None if similarity is None else np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint8).reshape(len(fp), -1)
-    doubts, many = [], 0
-    for query, node in forest.near(fp[ask], np.searchsorted(groups, code[ask]), radius, 4096 if sig is None else 256):
+    ask = np.flatnonzero(np.isin(code, groups))
+    for query, node in forest.near(fp[ask], np.searchsorted(groups, code[ask]), radius, step):
         a, b = ask[query], at[node]
         for k in range(0, len(a), 1 << 15):
-            c, d = a[k : k + (1 << 15)], b[k : k + (1 << 15)]
-            apart = parent[c] != parent[d]
-            c, d = c[apart], d[apart]
-            if sig is not None:
-                share = (sig[c] == sig[d]).mean(axis=1)
-                open_ = np.abs(share - similarity) < DOUBT
-                doubts.append((c[open_], d[open_], share[open_]))
-                many += int(open_.sum())
-                alike = share >= similarity + DOUBT
-                c, d = c[alike], d[alike]
-            join_all(parent, c, d)
-            if many >= 1 << 18:
-                doubts = [_forest(doubts, parent)]
-                many = len(doubts[0][0])
-    if many:
-        c, d, _ = _forest(doubts, parent)
-        yield _edge_rows(rep[c], rep[d], False)
-    linked = np.flatnonzero(parent != np.arange(len(fp)))
+            yield a[k : k + (1 << 15)], b[k : k + (1 << 15)]
+
+
+def _stars(table: pa.Table, radius: int):
+    """Spanning stars of the links in a batch of shards."""
+    rep, parent = table.column(3).to_numpy(), np.arange(table.num_rows)
+    for a, b in _shards(table, radius, 4096):
+        join_all(parent, a, b)
+    linked = np.flatnonzero(parent != np.arange(len(parent)))
     yield _edge_rows(rep[linked], rep[parent[linked]], True)
 
 
-def _forest(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], parent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of pairs (a, b, share) those of a spanning forest over the sets of ``parent``, largest shares
-    first: fewer than there are members, however many pairs a group has."""
-    a, b, share = (np.concatenate(x) for x in zip(*pairs))
-    order = np.argsort(-share, kind="stable")
-    order = order[parent[a[order]] != parent[b[order]]]
-    up: dict[int, int] = {}
+class _Sketches:
+    """Sketches of a batch of shards (column 5: sketch, 6: which of the smallest values the shard
+    shares, 7: those values)."""
+
+    def __init__(self, table: pa.Table, similarity: float):
+        n, self.similarity = table.num_rows, similarity
+        self.sig = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint8).reshape(n, -1)
+        self.nth = table.column(6).to_numpy()
+        self.keys = _flat(table.column(7)).reshape(n, -1)
+
+    def share(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (self.sig[a] == self.sig[b]).mean(axis=1)
 
-    def root(x: int) -> int:
-        while (y := up.get(x, x)) != x:
-            up[x] = x = up.get(y, y)
-        return x
+    def open(self, a: np.ndarray, b: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """Whether the sketches leave a pair open and this is the first of the shards it shares."""
+        some = np.flatnonzero(np.abs(share - self.similarity) < DOUBT)
+        found = np.zeros(len(a), bool)
+        found[some] = (self.keys[a[some]] == self.keys[b[some]]).argmax(axis=1) == self.nth[a[some]]
+        return found
 
-    keep = []
-    for k, x, y in zip(order.tolist(), parent[a[order]].tolist(), parent[b[order]].tolist()):
-        x, y = root(x), root(y)
-        if x != y:
-            up[x] = y
-            keep.append(k)
-    return a[keep], b[keep], share[keep]
+
+def _sure_stars(table: pa.Table, radius: int, similarity: float):
+    """Spanning stars of the links that sketches settle and, as not sure, (rep, key) of the shards'
+    members that stand in an open pair which those links leave apart."""
+    key, rep = table.column(0).to_numpy(), table.column(3).to_numpy()
+    sketches, parent, asked = _Sketches(table, similarity), np.arange(table.num_rows), np.zeros(table.num_rows, bool)
+    doubts, many = [], 0
+    for a, b in _shards(table, radius, 256):
+        apart = parent[a] != parent[b]
+        a, b = a[apart], b[apart]
+        share = sketches.share(a, b)
+        open_ = sketches.open(a, b, share)
+        doubts.append((a[open_], b[open_]))
+        many += int(open_.sum())
+        alike = share >= similarity + DOUBT
+        join_all(parent, a[alike], b[alike])
+        if many >= 1 << 18:
+            c, d = _apart(doubts, parent)
+            if len(c) >= 1 << 17:  # too many to hold: their members are asked, whatever joins them later
+                asked[c] = asked[d] = True
+                c, d = c[:0], d[:0]
+            doubts, many = [(c, d)], len(c)
+    if many:
+        c, d = _apart(doubts, parent)
+        asked[c] = asked[d] = True
+    yield _edge_rows(rep[asked], key[asked], False)
+    linked = np.flatnonzero(parent != np.arange(len(parent)))
+    yield _edge_rows(rep[linked], rep[parent[linked]], True)
+
+
+def _apart(pairs: list[tuple[np.ndarray, np.ndarray]], parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    a, b = (np.concatenate(x) for x in zip(*pairs))
+    apart = parent[a] != parent[b]
+    return a[apart], b[apart]
+
+
+def _settled_stars(table: pa.Table, radius: int, similarity: float):
+    """Spanning stars between parts (column 8) by open pairs whose whole shingle sets (column 9) are
+    similar enough. A pair goes uncompared only once its ends are in one set."""
+    part, sketches = table.column(8).to_numpy(), _Sketches(table, similarity)
+    size = pc.list_value_length(table.column(9)).to_numpy().astype(np.int64)
+    start = np.cumsum(size) - size
+    code = np.unique(_flat(table.column(9)), return_inverse=True)[1].astype(np.int32)
+    mark = np.zeros(int(code.max(initial=0)) + 1, bool)
+    _, first, same = np.unique(part, return_index=True, return_inverse=True)
+    parent = first[same]
+    before = parent.copy()
+
+    def join(x: int, others: np.ndarray) -> None:
+        mine = code[start[x] : start[x] + size[x]]
+        mark[mine] = True
+        n = size[others]
+        ends = np.cumsum(n)
+        both = np.add.reduceat(mark[code[np.repeat(start[others] - ends + n, n) + np.arange(ends[-1])]], ends - n, dtype=np.int64)
+        mark[mine] = False
+        good = others[both >= similarity * (size[x] + n - both)]
+        join_all(parent, np.full(len(good), x), good)
+
+    for a, b in _shards(table, radius, 256):
+        apart = (parent[a] != parent[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))
+        a, b = a[apart], b[apart]
+        share = sketches.share(a, b)
+        open_ = sketches.open(a, b, share)
+        a, b, share = a[open_], b[open_], share[open_]
+        order = np.lexsort((-share, a))
+        a, b = a[order], b[order]
+        for low, high in zip(edges := np.flatnonzero(np.diff(a, prepend=-1)), [*edges[1:], len(a)]):
+            x, others = int(a[low]), b[low:high]
+            others = others[parent[others] != parent[x]]
+            if len(others):  # of each set the closest first, then what that leaves apart
+                best = np.unique(parent[others], return_index=True)[1]
+                join(x, others[best])
+                others = np.delete(others, best)
+                others = others[parent[others] != parent[x]]
+            if len(others):
+                join(x, others)
+    linked = np.flatnonzero(parent != before)
+    yield _edge_rows(part[linked], part[parent[linked]], True)
+
+
+def _flat(lists: pa.ChunkedArray) -> np.ndarray:
+    return pc.list_flatten(lists).to_numpy()
 
 
 def _edge_rows(a: np.ndarray, b: np.ndarray, sure: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), sure))], ["a", "b", "sure"])
 
 
-def _link(radius: int, similarity: float | None = None, rows: int = 1 << 16):
-    """For shards sorted with tree members first: links batches of about ``rows`` rows. Of a shard
-    that goes on in the next batch only its tree members, bounded in number, are carried over."""
+def _link(stars, rows: int = 1 << 16, size: int = 1 << 25):
+    """For shards sorted with tree members first: links batches of about ``rows`` rows or ``size`` bytes
+    by ``stars(table)``. Of a shard that goes on in the next batch only its tree members, bounded in
+    number, are carried over."""
 
     def run(batches):
-        kept, many = [], 0
-        for batch in batches:
-            kept.append(batch)
-            many += batch.num_rows
-            if many < rows:
-                continue
-            table = pa.Table.from_batches(kept)
-            yield from _stars(table, radius, similarity)
-            key, piece, tree = (table.column(i).to_numpy() for i in (0, 1, 4))
-            kept = table.filter(pa.array((key == key[-1]) & (piece == piece[-1]) & (tree == 1))).combine_chunks().to_batches()
-            many = sum(b.num_rows for b in kept)
+        kept, many, held = [], 0, 0
+        for whole in batches:
+            for batch in (whole.slice(at, 1024) for at in range(0, whole.num_rows, 1024)):
+                kept.append(batch)
+                many += batch.num_rows
+                held += batch.nbytes
+                if many < rows and held < size:
+                    continue
+                table = pa.Table.from_batches(kept)
+                yield from stars(table)
+                key, piece, tree = (table.column(i).to_numpy() for i in (0, 1, 4))
+                kept = table.filter(pa.array((key == key[-1]) & (piece == piece[-1]) & (tree == 1))).combine_chunks().to_batches()
+                many = held = 0  # what is carried is bounded and counts no more
         if many:
-            yield from _stars(pa.Table.from_batches(kept), radius, similarity)
+            yield from stars(pa.Table.from_batches(kept))
 
     return run
 
 
-def _linked(keyed: DataFrame, radius: int, tree: int, similarity: float | None = None) -> DataFrame:
-    """a, b, sure: the links within the shards of ``keyed(fp, rep, key[, sig])``, as spanning stars, and
-    with a similarity the pairs that are still to be compared (not sure)."""
-    large = keyed.groupBy("key").count().where(F.col("count") > tree).select("key", F.ceil(F.col("count") / tree).cast("int").alias("pieces"))
+def _linked(keyed: DataFrame, tree: int, stars, more: list[str] = [], weight=None) -> DataFrame:
+    """a, b, sure: what ``stars`` finds within the shards of ``keyed(fp, rep, key, *more)``. Shards of
+    more than ``tree`` members, or of a ``weight`` over ``SHINGLES``, are cut into pieces."""
+    share = F.count(F.lit(1)) / tree
+    share = share if weight is None else F.greatest(share, F.sum(weight) / SHINGLES)
+    large = keyed.groupBy("key").agg(F.ceil(share).cast("int").alias("pieces")).where("pieces > 1")
     own = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("pieces")).cast("int")
     dealt = (
         keyed.join(large, "key", "left")
         .withColumn("pieces", F.coalesce("pieces", F.lit(1)))
         .withColumn("own", own)
         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("own"))))  # a pair meets in the tree of the lower piece
-        .select("key", "piece", "fp", "rep", (F.col("piece") == F.col("own")).cast("int").alias("tree"), *(["sig"] if similarity is not None else []))
+        .select("key", "piece", "fp", "rep", (F.col("piece") == F.col("own")).cast("int").alias("tree"), *more)
     )
     n = shuffle_partitions(keyed.sparkSession)
     edges = dealt.repartition(n, "key", "piece").sortWithinPartitions("key", "piece", F.desc("tree"))
-    return edges.mapInArrow(_link(radius, similarity), "a long, b long, sure boolean")
+    return edges.mapInArrow(_link(stars), "a long, b long, sure boolean")
 
 
 def linked_components(fps: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFrame:
@@ -303,41 +380,23 @@ def linked_components(fps: DataFrame, radius: int = RADIUS, tree: int = TREE) ->
     masks = shard_masks(distinct.count(), radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(signed)])
-    found = components(_linked(distinct.where("rep IS NOT NULL").select("fp", "rep", F.explode(keys).alias("key")), radius, tree).select("a", "b"))
+    found = components(_linked(distinct.where("rep IS NOT NULL").select("fp", "rep", F.explode(keys).alias("key")), tree, partial(_stars, radius=radius)).select("a", "b"))
     return distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, hashes: the sorted distinct hashes of each whole text's shingles."""
+    """doc_id, fp, hashes: the fingerprint and the sorted distinct hashes of each whole text's shingles."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                sets = [shingle_hashes(t.as_py(), shingle) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["doc_id", "hashes"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, hashes array<long>")
-
-
-def alike(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The rows of ``pairs(a, b, ...)``, ids of ``docs``, whose shingle sets have at least this
-    Jaccard similarity, by comparing the whole sets. Only texts that stand in a pair are read into sets."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = staged(shingle_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id", "left_semi"), shingle))
-
-    def run(batches):
-        for batch in batches:
-            mine, other = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
-            keep = []
-            for x, y in zip(mine, other):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select(range(batch.num_columns - 2)).filter(pa.array(keep, pa.bool_()))
+                texts = [t.as_py() for t in part.column(1)]
+                fp = np.array([fingerprint(t, shingle) for t in texts], np.uint64)
+                sets = [shingle_hashes(t, shingle).view(np.int64) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "fp", "hashes"])
 
-    with_sets = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("_b")), "b")
-    return with_sets.select(*pairs.columns, "_a", "_b").mapInArrow(run, pairs.schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long, hashes array<long>")
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 20, keys: int = 6, tree: int = TREE) -> DataFrame:
@@ -347,20 +406,29 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     shard by its bits. Here the shards of the BK-trees are the documents that share one of ``keys``
     smallest shingle hashes (a pair at 0.8 shares none with a chance of 0.2 ** keys, less above).
     Pairs within the radius whose sketches agree in clearly more orders than ``similarity`` are
-    linked. Of the pairs within ``DOUBT`` of it, each shard gives the closest that would join what
-    those links leave apart (a spanning forest, so never all pairs of a group); whole sets settle them.
+    linked. Pairs within ``DOUBT`` of it are settled by whole sets: each shard names the members of
+    such pairs that the links leave apart, and these meet again in their shards with their sets,
+    where every open pair is compared unless its ends are joined already. Pairs never leave a task.
     Nulls, blanks, repeats and ids as in :func:`near_duplicates`.
     """
     found = staged(sketched(docs, shingle, keys))
     distinct = staged(found.groupBy("fp", "sig").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
-    keyed = distinct.where("rep IS NOT NULL").select("fp", "rep", "sig", F.posexplode("keys").alias("nth", "least"))
-    keyed = keyed.select("fp", "rep", "sig", F.xxhash64("nth", "least").alias("key"))
-    edges = staged(_linked(keyed, radius, tree, similarity))
+    more = ["sig", "nth", "keys"]
+    dealt = lambda rows: rows.select("*", F.posexplode("keys").alias("nth", "least")).withColumn("key", F.xxhash64("nth", "least"))
+    named = distinct.where("rep IS NOT NULL")
+    edges = staged(_linked(dealt(named).select("fp", "rep", "key", *more), tree, partial(_sure_stars, radius=radius, similarity=similarity), more))
     sure = staged(components(edges.where("sure").select("a", "b")))
-    at = lambda end: sure.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
-    doubts = edges.where("NOT sure").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    doubts = doubts.join(at("a"), "a", "left").join(at("b"), "b", "left").select("a", "b", F.coalesce("a_in", "a").alias("a_in"), F.coalesce("b_in", "b").alias("b_in"))
-    more = components(alike(staged(doubts.where("a_in <> b_in")), docs, similarity, shingle).select(F.col("a_in").alias("a"), F.col("b_in").alias("b")))
+    asked = edges.where("NOT sure").select(F.col("a").alias("rep"), F.col("b").alias("key")).distinct()
+    asked = staged(asked.join(sure, asked["rep"] == sure["node"], "left").select("rep", "key", F.coalesce("component", "rep").alias("part")))
+    several = asked.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+    asked = staged(asked.join(several, "key", "left_semi"))
+    members = asked.select("rep").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members, "rep", "left_semi")
+    sets = shingle_sets(texts.withColumnRenamed("rep", "doc_id"), shingle).groupBy(F.col("doc_id").alias("rep"), "fp").agg(F.first("hashes").alias("hashes"))
+    with_sets = dealt(named.join(members, "rep", "left_semi")).join(asked, ["rep", "key"]).join(staged(sets), ["rep", "fp"])
+    settled = partial(_settled_stars, radius=radius, similarity=similarity)
+    joined = _linked(with_sets.select("fp", "rep", "key", *more, "part", "hashes"), tree, settled, [*more, "part", "hashes"], F.size("hashes"))
+    more = components(joined.select("a", "b"))
     named = distinct.join(sure, distinct["rep"] == sure["node"], "left").select("fp", "sig", F.coalesce("component", "rep").alias("part"))
     named = named.join(more, named["part"] == more["node"], "left").select("fp", "sig", F.coalesce("component", "part").alias("component_id"))
     return found.join(named, ["fp", "sig"]).select("doc_id", "component_id")

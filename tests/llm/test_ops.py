@@ -245,6 +245,27 @@ def test_similar_documents_at_the_threshold(spark):
         assert {r.doc_id: r.component_id for r in simhash.similar_documents(df, tree=tree).collect()} == want
 
 
+def test_similar_documents_by_a_lesser_sketch(spark):
+    """An outsider's only true link (0.802) goes to a member of a sure cluster whose sketch is further
+    from it than that of the other member (0.794)."""
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(50_000)]
+    rows = []
+    while len(rows) < 30:
+        c = rnd.sample(words, 204)
+        texts = [" ".join(w) for w in (c, ["new", *c[1:]], c[:-22] + rnd.sample(words, 22))]
+        sketches = [simhash.Sketch() for _ in texts]
+        fps = [simhash.fingerprint(t.encode(), 5, k) for t, k in zip(texts, sketches)]
+        sig = [np.frombuffer(k.signature(), np.uint8) for k in sketches]
+        to_c, to_b = ((sig[2] == x).mean() for x in sig[:2])
+        if 0.73 < to_c < to_b < 0.87 and max((fps[2] ^ x).bit_count() for x in fps[:2]) <= 20:
+            rows += [(len(rows) + k, t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for tree in (simhash.TREE, 2):
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(df, tree=tree).collect()}
+        assert got == {i: i // 3 * 3 for i in range(30)}
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 120)] + [(500, k) for k in range(501, 700)] + [(rnd.randint(800, 999), rnd.randint(800, 999)) for _ in range(90)]
