@@ -63,33 +63,44 @@ class Sketch:
         return self.least[:n].view(np.int64).tolist()
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE, sketch: Sketch | None = None) -> int:
-    """SimHash of the whole text over word shingles, repeats included; 0 without a word. A sketch
-    given is fed the shingles' hashes on the way."""
+def _digests(text: bytes | None, shingle: int):
+    """The hashes of the whole text's word shingles in slices, repeats included."""
     words = (text or b"").translate(LOWER).split()
     if not words:
-        return 0
+        return
     joined, size = b" ".join(words), min(shingle, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - size + 1].tolist()
     ends = ends[size - 1 :].tolist()
-    digest, counts = xxhash.xxh64_digest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_digest
     for at in range(0, len(starts), SLICE):
         raw = b"".join([digest(joined[a:b], 42) for a, b in zip(starts[at : at + SLICE], ends[at : at + SLICE])])
-        if sketch is not None:
-            sketch.add(np.frombuffer(raw, ">u8").astype(np.uint64))
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
+        yield np.frombuffer(raw, ">u8")
+
+
+def _majority(slices) -> int:
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in slices:
+        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         counts += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(starts)).tobytes(), "big")
+        n += len(hashes)
+    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """SimHash of the whole text over word shingles, repeats included; 0 without a word."""
+    return _majority(_digests(text, shingle))
 
 
 def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
-    """Sorted distinct shingle hashes of the whole text; one zero without a word."""
-    words = (text or b"").translate(LOWER).split()
-    if not words:
-        return np.zeros(1, np.uint64)
-    size = min(shingle, len(words))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), 42) for i in range(len(words) - size + 1)), np.uint64))
+    """Sorted distinct shingle hashes of the whole text; none without a word."""
+    found = list(_digests(text, shingle))
+    return np.unique(np.concatenate(found).astype(np.uint64)) if found else np.zeros(0, np.uint64)
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes, each counted once; 0 of none."""
+    return _majority(hashes[at : at + SLICE] for at in range(0, len(hashes), SLICE))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -105,7 +116,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def sketched(docs: DataFrame, shingle: int, keys: int) -> DataFrame:
-    """doc_id, fp, sig, keys: fingerprint, sketch and the first of the sketch's smallest values."""
+    """doc_id, fp, sig, keys: fingerprint of the set of shingles, sketch and the first of the sketch's
+    smallest values."""
 
     def run(batches):
         tokens.forget()
@@ -113,7 +125,9 @@ def sketched(docs: DataFrame, shingle: int, keys: int) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part, fp, sig, least = batch.slice(at, 512), [], [], []
                 for t in part.column(1):
-                    fp.append(fingerprint(t.as_py(), shingle, sketch := Sketch()))
+                    hashes, sketch = shingle_hashes(t.as_py(), shingle), Sketch()
+                    fp.append(set_fingerprint(hashes))
+                    sketch.add(hashes)
                     sig.append(sketch.signature())
                     least.append(sketch.keys(keys))
                 fp = pa.array(np.array(fp, np.uint64).view(np.int64))
@@ -391,10 +405,10 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                texts = [t.as_py() for t in part.column(1)]
-                fp = np.array([fingerprint(t, shingle) for t in texts], np.uint64)
-                sets = [shingle_hashes(t, shingle).view(np.int64) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64)), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "fp", "hashes"])
+                sets = [shingle_hashes(t.as_py(), shingle) for t in part.column(1)]
+                fp = np.array([set_fingerprint(x) for x in sets], np.uint64)
+                sets = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64)), sets], ["doc_id", "fp", "hashes"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long, hashes array<long>")
 
@@ -405,6 +419,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     A radius that reaches Jaccard similarities of 0.8 is a third of the fingerprint, too wide to
     shard by its bits. Here the shards of the BK-trees are the documents that share one of ``keys``
     smallest shingle hashes (a pair at 0.8 shares none with a chance of 0.2 ** keys, less above).
+    Fingerprints count each shingle once here, as the similarity does, so repeats move nothing.
     Pairs within the radius whose sketches agree in clearly more orders than ``similarity`` are
     linked. Pairs within ``DOUBT`` of it are settled by whole sets: each shard names the members of
     such pairs that the links leave apart, and these meet again in their shards with their sets,

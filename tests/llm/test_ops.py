@@ -255,7 +255,10 @@ def test_similar_documents_by_a_lesser_sketch(spark):
         c = rnd.sample(words, 204)
         texts = [" ".join(w) for w in (c, ["new", *c[1:]], c[:-22] + rnd.sample(words, 22))]
         sketches = [simhash.Sketch() for _ in texts]
-        fps = [simhash.fingerprint(t.encode(), 5, k) for t, k in zip(texts, sketches)]
+        sets = [simhash.shingle_hashes(t.encode(), 5) for t in texts]
+        fps = [simhash.set_fingerprint(x) for x in sets]
+        for k, x in zip(sketches, sets):
+            k.add(x)
         sig = [np.frombuffer(k.signature(), np.uint8) for k in sketches]
         to_c, to_b = ((sig[2] == x).mean() for x in sig[:2])
         if 0.73 < to_c < to_b < 0.87 and max((fps[2] ^ x).bit_count() for x in fps[:2]) <= 20:
@@ -266,6 +269,22 @@ def test_similar_documents_by_a_lesser_sketch(spark):
         assert got == {i: i // 3 * 3 for i in range(30)}
 
 
+def test_similar_documents_do_not_count_repeats(spark):
+    """Copies whose sets of shingles are equal, but where a line stands once or often."""
+    rnd = random.Random(12)
+    words = [f"w{i}" for i in range(50_000)]
+    rows = []
+    for k in range(40):
+        text, line = rnd.sample(words, 120), rnd.sample(words, 8)
+        rows.append((2 * k, " ".join([*line, *line, *text])))
+        rows.append((2 * k + 1, " ".join([*line * (30 + 5 * k), *text])))
+    sets = [simhash.shingle_hashes(t.encode(), 5) for _, t in rows]
+    assert all(a.tolist() == b.tolist() for a, b in zip(sets[::2], sets[1::2]))
+    assert any((simhash.fingerprint(a[1].encode(), 5) ^ simhash.fingerprint(b[1].encode(), 5)).bit_count() > 20 for a, b in zip(rows[::2], rows[1::2]))
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i in range(80)}
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 120)] + [(500, k) for k in range(501, 700)] + [(rnd.randint(800, 999), rnd.randint(800, 999)) for _ in range(90)]
