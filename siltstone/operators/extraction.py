@@ -15,8 +15,11 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from siltstone import schemas
 from siltstone.functions import text as X
@@ -86,6 +89,75 @@ def mmr(doc: np.ndarray, vectors: np.ndarray, top_n: int, diversity: float = 0.5
     return chosen
 
 
+def mmr_groups(df: DataFrame, group: str, key: str, vector: str, top_n: int, diversity: float = 0.5) -> DataFrame:
+    """group, key: what :func:`mmr` picks from each group's unit vectors by their mean direction, every
+    vector competing; of equal gains the smallest key (unique in its group) wins.
+
+    One pass sums the unit vectors in fixed point, so order does not matter, and each of ``top_n`` more
+    passes gives every task's best row of each group. The driver holds ``top_n`` vectors a group."""
+    spark, unit = df.sparkSession, float(1 << 30)
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(vector).alias("v"))
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def groups(batch):
+        labels = batch.column(0).to_pylist()
+        codes: dict = {}
+        code = np.array([codes.setdefault(x, len(codes)) for x in labels], np.int64)
+        for label, c in codes.items():
+            part = batch.take(pa.array(np.flatnonzero(code == c)))
+            v = pc.list_flatten(part.column(2)).to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+            yield label, part, v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
+
+    def sums(batches):
+        total: dict = {}
+        for batch in batches:
+            for label, _, v in groups(batch):
+                high = np.rint(v * unit)
+                low = np.rint((v * unit - high) * unit)
+                new = len(v), high.astype(np.int64).sum(axis=0), low.astype(np.int64).sum(axis=0)
+                total[label] = tuple(a + b for a, b in zip(total[label], new)) if label in total else new
+        out = [{"g": g, "at": i, "n": n, "high": int(h), "low": int(l)} for g, (n, high, low) in total.items() for i, (h, l) in enumerate(zip(high, low))]
+        yield pa.RecordBatch.from_pylist(out, pa.schema([("g", like), ("at", pa.int32()), ("n", pa.int64()), ("high", pa.int64()), ("low", pa.int64())]))
+
+    like = to_arrow_type(rows.schema["g"].dataType)
+    parts = rows.mapInArrow(sums, f"g {types['g']}, at int, n long, high long, low long")
+    parts = parts.groupBy("g", "at").agg(F.sum("n").alias("n"), *[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("high", "low")])
+    centre: dict = {}
+    for r in parts.orderBy("at").collect():
+        centre.setdefault(r.g, []).append((int(r.high) + int(r.low) / unit) / unit / r.n)
+    centre = {g: np.array(x) / max(np.linalg.norm(x), 1e-12) for g, x in centre.items()}
+    chosen: dict = {g: ([], []) for g in centre}
+    schema = pa.schema([("g", like), ("k", to_arrow_type(rows.schema["k"].dataType)), ("gain", pa.float64()), ("unit", pa.list_(pa.float64()))])
+    for _ in range(top_n):
+        state = spark.sparkContext.broadcast((centre, chosen))
+
+        def best(batches, state=state):
+            centre, chosen = state.value
+            found: dict = {}
+            for batch in batches:
+                for label, part, v in groups(batch):
+                    keys, (gone, picks) = part.column(1).to_pylist(), chosen[label]
+                    gain = (v * centre[label]).sum(axis=1)
+                    if picks:
+                        closest = np.max([(v * p).sum(axis=1) for p in picks], axis=0)
+                        gain = (1 - diversity) * gain - diversity * closest
+                    free = [i for i, k in enumerate(keys) if k not in gone]
+                    if free:
+                        top = min(free, key=lambda i: (-gain[i], keys[i]))
+                        new = -float(gain[top]), keys[top], v[top]
+                        found[label] = min(found.get(label, new), new, key=lambda x: x[:2])
+            yield pa.RecordBatch.from_pylist([{"g": g, "k": k, "gain": -x, "unit": v.tolist()} for g, (x, k, v) in found.items()], schema)
+
+        tops = rows.mapInArrow(best, f"g {types['g']}, k {types['k']}, gain double, unit array<double>")
+        tops = tops.groupBy("g").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "k", "unit")).alias("top")).collect()
+        for r in tops:
+            chosen[r.g][0].append(r.top.k)
+            chosen[r.g][1].append(np.array(r.top.unit))
+        state.destroy()
+    picked = [(g, k) for g, (keys, _) in chosen.items() for k in keys]
+    return spark.createDataFrame(picked, f"`{group}` {types['g']}, `{key}` {types['k']}")
+
+
 def keyphrases(text: str, top_n: int = 20, diversity: float = 0.5, embed=hashed_vector) -> list[tuple[str, float]]:
     """(phrase, score) by MMR, best score first; scores rounded to four digits."""
     phrases = candidates(text)

@@ -376,21 +376,8 @@ def keyphrases_mmr(spark, sf):
 
 @query()
 def mmr_select(spark, sf):
-    """Of each label's vectors, ten by marginal relevance to their mean; groups are cut into salted parts
-    that each choose ten, and the union is chosen from again, so no group meets whole in one task."""
-    import numpy as np
-    import pandas as pd
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        v = np.stack(pdf["embedding"].to_list())
-        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        centre = v.mean(axis=0)
-        return pdf.iloc[E.mmr(centre / max(np.linalg.norm(centre), 1e-12), v, 10)]
-
-    e = _t(spark, sf, "embeddings").where("embedding IS NOT NULL").select("vec_id", "embedding", "label", F.pmod(F.xxhash64("vec_id"), F.lit(64)).cast("int").alias("part"))
-    some = e.groupBy("label", "part").applyInPandas(pick, e.schema)
-    return some.groupBy("label").applyInPandas(pick, e.schema).select("label", "vec_id")
+    """Of each label's vectors, ten by marginal relevance to the mean of them all."""
+    return E.mmr_groups(_t(spark, sf, "embeddings"), "label", "vec_id", "embedding", 10)
 
 
 @query()

@@ -122,3 +122,21 @@ def test_structured_extract(spark):
     df = spark.createDataFrame(paper, f"title string, doi string, authors {schemas.ITEMS['authors'].dataType.simpleString()}, full_text string, abstract string")
     r = W.structured_extract(df, ["band gap", "DOI"]).first().asDict()
     assert r == {"Title": "T", "Author": "Bee", "Institution": "Not Specified", "Country": "Not Specified", "DOI": "https://doi.org/10.1/x", "Device Type": "Not Specified", "band gap": "The band gap was 1.5 eV.", "DOI_val": r["DOI_val"]}
+
+
+def test_marginal_relevance_of_large_groups(spark, tmp_path):
+    """Every vector of a group of thousands competes, and the centre is of them all."""
+    import numpy as np
+
+    from siltstone import queries as Q
+
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=16).tolist(), i % 3 and 1) for i in range(6000)] + [(6000, None, 0), (6001, [1.0] * 16, 7)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = set()
+    for label in (0, 1, 7):
+        some = [(k, np.array(v, np.float32).astype(float)) for k, v, l in rows if l == label and v]
+        v = np.array([x / np.linalg.norm(x) for _, x in some])
+        centre = v.mean(axis=0)
+        want |= {(label, some[i][0]) for i in E.mmr(centre / np.linalg.norm(centre), v, 10)}
+    assert {tuple(r) for r in Q.mmr_select(spark, str(tmp_path)).collect()} == want and len(want) == 21
