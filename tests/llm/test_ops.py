@@ -409,6 +409,23 @@ def test_mined_rules_against_brute_force(spark):
     assert (frozenset({"p0=es"}), "block") in {r[:2] for r in found}
 
 
+def test_urls_are_mined_and_matched_whole(spark):
+    """Many rare host parts before the deciding segment, deep segments, a common long host, and a
+    verdict that only four tokens together decide."""
+    rnd = random.Random(3)
+    mined = lambda rows: url_filter.Index(url_filter.mine(spark.createDataFrame(rows, "host string, path string, verdict string")))
+    rare = lambda i: "-".join(f"q{i}x{j}" for j in range(30))
+    some = [(f"{rare(i)}.net", f"/{'es' if i % 2 else 'de'}/a/b/c/d/{'in' if i % 3 else 'out'}/", "block" if i % 2 else "allow") for i in range(200)]
+    common = "-".join(f"y{j}" for j in range(26)) + ".net"
+    some += [(common, f"/{'es' if i % 2 else 'de'}/", "block" if i % 2 else "allow") for i in range(100)]
+    index = mined(some)
+    assert index.verdict(url_filter.url_tokens(f"{rare(999)}.net", "/es/")) == "block" and index.verdict(url_filter.url_tokens(common, "/es/")) == "block"
+    assert "p5=in" in url_filter.url_tokens("m.net", "/es/a/b/c/d/in/") and "h7=a" in url_filter.url_tokens("a.b.c.d.e.f.g.net", "/")
+    four = [tuple(rnd.choice("uv") for _ in range(4)) for _ in range(800)]
+    index = mined([(f"{a}.{b}.net", f"/{c}/{d}", "block" if (a, b, c, d) == ("u",) * 4 else "allow") for a, b, c, d in four])
+    assert index.verdict(url_filter.url_tokens("u.u.net", "/u/u")) == "block" and index.verdict(url_filter.url_tokens("u.u.net", "/u/v")) == "allow"
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_agrees_with_sql(name, same):
     same(queries.queries()[name], queries.oracle_sql()[name])
