@@ -84,6 +84,12 @@ def ontology_matrix_pivot(spark, sf):
     return M.pivot_wide(tall, "paper", ["the"], "sentences")
 
 
+@query(f"""SELECT paper, {", ".join(f"coalesce(max(sentences) FILTER (concept = '{t}'), '') AS " + f'"{t}"' for t in TERMS)} FROM {TALL} WHERE sentences <> '' GROUP BY paper""")
+def ontology_matrix_pivot_terms(spark, sf):
+    """The pivoted form of all matches."""
+    return M.pivot_wide(M.match_tall(_papers(spark, sf), TERMS), "paper", TERMS, "sentences")
+
+
 @query(f"SELECT concept, count(*) AS doc_frequency, avg(length(sentences)) AS avg_relevance FROM {TALL} WHERE sentences <> '' GROUP BY concept")
 def concept_rankings(spark, sf):
     rows = M.match_tall(_papers(spark, sf), TERMS).select("paper", "concept", F.length("sentences").cast("double").alias("relevance"))
@@ -327,6 +333,16 @@ def union_collections(spark, sf):
     return P.union_collections(d.where("source = 'src0'").select("doc_id", "lang"), d.where("source = 'src1'").select("doc_id", "n_chars"))
 
 
+@query("SELECT doc_id, CASE WHEN source <> 'src1' THEN lang END AS lang, CASE WHEN source = 'src1' THEN n_chars END AS n_chars FROM documents WHERE source IS NOT NULL")
+def union_all_collections(spark, sf):
+    """Every collection's own table, the second without a language and the others without a length."""
+    d = _t(spark, sf, "documents")
+    names = [r.source for r in d.where("source IS NOT NULL").select("source").distinct().orderBy("source").limit(1001).collect()]
+    if len(names) > 1000:
+        raise ValueError("more than 1000 collections")
+    return P.union_collections(*[d.where(F.col("source") == n).select("doc_id", "n_chars" if n == "src1" else "lang") for n in names])
+
+
 @query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS canonical, CASE WHEN event_id % 5 = 0 THEN NULL ELSE 0.5::DOUBLE END AS relevance FROM events""")
 def json_tool_call(spark, sf):
     """Every fifth payload is broken JSON, some are under another tool's name."""
