@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 
 NOT_SPECIFIED = "Not Specified"
 CELL = " | "
+#: What a field name keeps of a label; all else becomes one underscore.
+NAME_PART = "[a-z0-9]+"
+#: Words that end a phrase.
+STOP_WORDS = frozenset(
+    "a about after all also an and any are as at be because been before both but by can could do does during each for from had has have he her his how i if in into is it its "
+    "may might more most no nor not of on or other our over she should so some such than that the their them then there these they this those through to under until up very "
+    "was we were what when where which while who will with would you your".split()
+)
+#: A word, and what ends a run of words; written out, as engines differ in their short forms.
+WORD = r"[\p{L}\p{N}][\p{L}\p{N}_-]*"
+BREAK = r"[^\p{L}\p{N}_\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}-]+"
 
 
 def strip(c: Column) -> Column:
@@ -43,8 +54,8 @@ def joined_matches(text: Column, term: Column) -> Column:
 
 
 def slug(c: Column) -> Column:
-    """Field name of a label: runs other than a-z and 0-9 become one underscore."""
-    s = F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    """Field name of a label; see :func:`siltstone.schemas.slug`."""
+    s = F.array_join(F.regexp_extract_all(F.lower(c), F.lit(f"({NAME_PART})")), "_")
     return F.when(s == "", "concept").otherwise(s)
 
 
@@ -77,13 +88,16 @@ def bullets(labels: Column) -> Column:
     return F.array_join(F.transform(labels, lambda x: F.concat(F.lit("- "), x)), "\n")
 
 
+OPENING, ABSTRACT = "How the text begins:", "Its abstract:"
+
+
 def context_block(title: Column, doi: Column, authors: Column, full_text: Column, abstract: Column, opening: int = 2000) -> Column:
     """What a structured extractor is given of one paper; parts that are missing are left out."""
     part = lambda head, c: F.when(~missing(c), F.concat(F.lit(head), c))
     start = F.substring(full_text, 1, opening)
     return F.concat_ws(
         "\n", F.concat(F.lit("Title: "), F.coalesce(title, F.lit(""))), F.when(~missing(doi), F.concat(F.lit("DOI (from metadata): "), doi_url(doi))),
-        part("Authors (from metadata): ", author_names(authors)), part("\n[Article opening — may contain affiliations]:\n", start), part("\n[Abstract]:\n", abstract),
+        part("Authors (from metadata): ", author_names(authors)), part(f"\n{OPENING}\n", start), part(f"\n{ABSTRACT}\n", abstract),
     )
 
 
@@ -113,6 +127,24 @@ def round_exact(c: Column, digits: int = 4) -> Column:
     return of(c)
 
 
+def title_case(c: Column) -> Column:
+    """A slug as a title."""
+    return F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))
+
+
+def noun_phrases(text: Column, least_words: int = 1, longer_than: int = 4) -> Column:
+    """Word runs between stop words and punctuation, lower-cased, each once, in order. An approximation
+    of noun chunks without their determiners and pronouns."""
+
+    def runs(part: Column) -> Column:
+        words = F.regexp_extract_all(part, F.lit(f"({WORD})"))
+        marked = F.transform(words, lambda w: F.when(w.isin(*sorted(STOP_WORDS)), "\n").otherwise(w))
+        return F.split(F.array_join(marked, " "), " ?\n[ \n]*")
+
+    found = F.flatten(F.transform(F.split(F.lower(text), BREAK), runs))
+    return F.array_distinct(F.filter(found, lambda p: (F.length(p) > longer_than) & (F.size(F.split(p, " ")) >= least_words)))
+
+
 def group_columns(n: Column, low: int = 3, high: int = 8) -> Column:
     """Columns of a grid of n nodes, about 3:2."""
     best = F.rint(F.sqrt(n * 1.5))

@@ -71,12 +71,17 @@ def batches(concepts: DataFrame, size: int = 40) -> DataFrame:
     """``concepts`` (concept, doc_frequency) with batch: fixed-size groups in order of frequency.
 
     Rows are numbered within groups of equal frequency and equal first letters, from the place where
-    their group starts; so no task sorts all concepts, only the group counts are summed in one place.
+    their group starts. Those places are summed in two steps: within each power of two of the
+    frequency, and over these powers, 65 rows at most; so no task sees all concepts or all groups.
     Rows without a concept are left out.
     """
+    power = F.floor(F.log2(F.greatest(F.col("doc_frequency"), F.lit(1)))).alias("_power")
     keyed = concepts.where("concept IS NOT NULL AND doc_frequency IS NOT NULL").withColumn("_head", F.substring("concept", 1, 4))
     group = ["doc_frequency", "_head"]
-    before = Window.orderBy(F.desc("doc_frequency"), "_head").rowsBetween(Window.unboundedPreceding, -1)
-    starts = keyed.groupBy(*group).count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    earlier = lambda w: F.coalesce(F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = keyed.groupBy(*group).count().select("*", power)
+    powers = counts.groupBy("_power").agg(F.sum("count").alias("count")).select("_power", earlier(Window.orderBy(F.desc("_power"))).alias("_base"))
+    inside = counts.select(*group, "_power", earlier(Window.partitionBy("_power").orderBy(F.desc("doc_frequency"), "_head")).alias("_in"))
+    starts = inside.join(F.broadcast(powers), "_power").select(*group, (F.col("_base") + F.col("_in")).alias("_before"))
     numbered = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy(*group).orderBy("concept")))
     return numbered.join(starts, group).select(*concepts.columns, F.floor((F.col("_before") + F.col("_nth") - 1) / size).cast("int").alias("batch"))

@@ -24,12 +24,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 from siltstone import schemas
 from siltstone.functions import text as X
 
-#: Words that end a phrase.
-STOP_WORDS = frozenset(
-    "a about after all also an and any are as at be because been before both but by can could do does during each for from had has have he her his how i if in into is it its "
-    "may might more most no nor not of on or other our over she should so some such than that the their them then there these they this those through to under until up very "
-    "was we were what when where which while who will with would you your".split()
-)
 WORD = re.compile(r"[^\W_][\w-]*")
 
 
@@ -39,26 +33,9 @@ class Extractor(Protocol):
     def record(self, context: str, concepts: list[str]) -> dict: ...
 
 
-def noun_phrases(text: str, least_words: int = 1, longer_than: int = 4) -> list[str]:
-    """Word runs between stop words and punctuation, lower-cased, each once, in order. An approximation
-    of noun chunks without their determiners and pronouns."""
-    out: dict[str, None] = {}
-    for part in re.split(r"[^\w\s-]+", (text or "").lower()):
-        run: list[str] = []
-        for w in [*WORD.findall(part), "the"]:
-            if w in STOP_WORDS:
-                phrase = " ".join(run)
-                if len(run) >= least_words and len(phrase) > longer_than:
-                    out[phrase] = None
-                run = []
-            else:
-                run.append(w)
-    return list(out)
-
-
 def candidates(text: str, longest: int = 3) -> list[str]:
     """All 1- to 3-grams of the words that are no stop words."""
-    words = [w for w in WORD.findall((text or "").lower()) if w not in STOP_WORDS and len(w) > 1]
+    words = [w for w in WORD.findall((text or "").lower()) if w not in X.STOP_WORDS and len(w) > 1]
     return list(dict.fromkeys(" ".join(words[i : i + n]) for n in range(1, longest + 1) for i in range(len(words) - n + 1)))
 
 
@@ -183,7 +160,7 @@ class Offline:
     def record(self, context: str, concepts: list[str]) -> dict:
         doi = re.search(r"DOI \(from metadata\): (\S+)", context)
         author = re.search(r"Authors \(from metadata\): ([^;\n]+)", context)
-        body = "\n".join(re.split(r"\n\[[^\]\n]*\]:\n", context)[1:])  # the parts under a heading
+        body = "\n".join(re.split(rf"\n\n(?:{X.OPENING}|{X.ABSTRACT})\n", context)[1:])  # the parts under a heading
         quotes = {v["canonical"]: v["quote"] for v in self.values(body, [c.lower() for c in concepts])}
         names = schemas.field_names(concepts)
         return {"doi": doi and doi[1], "author": author and author[1]} | {names[c]: quotes.get(c.lower()) for c in concepts}
@@ -211,12 +188,7 @@ def _rows(df: DataFrame, of, schema: str, names: list[str], delay_s: float = 0.0
 
 def phrase_table(papers: DataFrame, text: str = "abstract", least_words: int = 1, longer_than: int = 4) -> DataFrame:
     """paper, phrases."""
-
-    @F.pandas_udf("array<string>")
-    def of(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: noun_phrases(x, least_words, longer_than))
-
-    return papers.where(~X.missing(F.col(text))).select("paper", of(F.col(text)).alias("phrases"))
+    return papers.where(~X.missing(F.col(text))).select("paper", X.noun_phrases(F.col(text), least_words, longer_than).alias("phrases"))
 
 
 def concept_table(papers: DataFrame, extractor: Extractor, top_n: int = 25, text: str = "abstract", delay_s: float = 0.0) -> DataFrame:

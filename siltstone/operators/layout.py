@@ -120,7 +120,6 @@ def place_nodes(staged: DataFrame, grouped: DataFrame) -> DataFrame:
 
 
 def node_label(concept, stage, level) -> "F.Column":
-    """HTML label: the concept in bold and its tags below, in small print."""
-    tags = F.concat_ws("<br/>", F.nullif(stage, F.lit("")), F.nullif(level, F.lit("")))
-    small = F.concat(F.lit('<br/><font style="font-size:9px;color:#555555;">'), tags, F.lit("</font>"))
-    return F.concat(F.lit("<b>"), concept, F.lit("</b>"), F.when(tags == "", "").otherwise(small))
+    """HTML label: the concept, and its tags in small print below."""
+    lines = F.transform(F.array_compact(F.array(F.nullif(stage, F.lit("")), F.nullif(level, F.lit("")))), lambda t: F.concat(F.lit("<small>"), t, F.lit("</small>")))
+    return F.concat_ws("<br>", F.concat(F.lit("<strong>"), concept, F.lit("</strong>")), lines)

@@ -21,10 +21,19 @@ from siltstone.sources.config import Settings
 
 
 def _labels(df: DataFrame, most: int) -> list[str]:
-    """At most ``most`` labels on the driver: the one barrier of a workflow."""
+    """The first ``most`` labels on the driver: the one barrier of a workflow. For tables that are cut to
+    their ``most`` best rows on purpose."""
     return [r[0] for r in df.select("concept").limit(most).collect()]
 
 
+def _all_labels(df: DataFrame, most: int) -> list[str]:
+    """All labels on the driver, sorted; an error if there are more than ``most``."""
+    found = _labels(df, most + 1)
+    if len(found) > most:
+        raise ValueError(f"more than {most} distinct labels to normalise: raise most_labels, or give a concept file")
+    return sorted(found)
+
+
 def vocabulary_analytics(papers: DataFrame, top_n: int = 80, least: int = 2, least_words: int = 1, longer_than: int = 4) -> tuple[DataFrame, DataFrame]:
     """(matrix of the vocabulary's phrases, phrase frequencies). ``papers(paper, abstract)``."""
     phrases = E.phrase_table(papers, least_words=least_words, longer_than=longer_than)
@@ -48,9 +57,11 @@ def custom_matrix(papers: DataFrame, concept_file: DataFrame, column: str = "con
     return M.ontology_matrix(P.with_abstract(papers), S.concept_list(concept_file, column), "abstract")
 
 
-def discover_schema(papers: DataFrame, extractor: E.Extractor | None = None, settings: Settings = Settings(), concept_file: DataFrame | None = None, normalize=None, most: int = 80) -> tuple[DataFrame | None, DataFrame]:
+def discover_schema(papers: DataFrame, extractor: E.Extractor | None = None, settings: Settings = Settings(), concept_file: DataFrame | None = None, normalize=None, most: int = 80, most_labels: int = 10_000) -> tuple[DataFrame | None, DataFrame]:
     """(concept rows or None, schema table). Discovery is skipped if a concept file is given; the
-    concepts are normalised by ``normalize(list)``, else the first unique labels are taken."""
+    concepts are normalised by ``normalize(list)``, else the first ``most`` unique labels are taken.
+    ``normalize`` gets the whole label set: of labels that differ in hyphens, spaces or a plural only, the
+    most frequent one. More than ``most_labels`` of them are an error, never cut."""
     extractor, found = extractor or E.Offline(), None
     if concept_file is not None:
         terms = S.concept_list(concept_file)
@@ -59,7 +70,8 @@ def discover_schema(papers: DataFrame, extractor: E.Extractor | None = None, set
         labels = found.where("error IS NULL").select(F.col("canonical").alias("concept"))
         terms = _labels(C.normalize_fallback(labels, most), most)
         if normalize:
-            terms = normalize(_labels(C.unique_labels(labels), 10_000)) or terms
+            variants = C.label_variants(labels).select(F.col("canonical").alias("concept"))
+            terms = normalize(_all_labels(C.unique_labels(variants), most_labels)) or terms
     terms = schemas.unique_labels([t.strip().lower() for t in terms])
     texts = P.chosen_text(P.with_any_text(papers), settings.max_chars)
     values = E.value_table(texts, extractor, terms)
@@ -85,8 +97,9 @@ def tag_all(spark, folder: str, out: str, on: date, version: int = 6) -> dict[st
     done = {}
     for row in files.discover(spark, folder).collect():
         try:
-            slug = spark.range(1).select(X.file_stem_slug(F.lit(row.path))).first()[0]
-            enriched, xml = tag_and_draw(S.read_csv(spark, row.path), title=slug.replace("_", " ").title())
+            stem = X.file_stem_slug(F.lit(row.path))
+            slug, title = spark.range(1).select(stem, X.title_case(stem)).first()
+            enriched, xml = tag_and_draw(S.read_csv(spark, row.path), title=title)
             tables.write_csv(enriched, f"{out}/{tables.file_name('enriched', slug, 'user', version, on)}", single=True)
             diagram.write_text(spark, xml, f"{out}/{tables.diagram_name(row.path, version, on)}")
             done[row.path] = "ok"

@@ -16,10 +16,12 @@ from siltstone.operators import extraction as E
 from siltstone.operators import layout as L
 from siltstone.operators import matrix as M
 from siltstone.operators import papers as P
+from siltstone.operators import prompts
 from siltstone.operators import tagging as G
 from siltstone.plans import workflows as W
 from siltstone.sources import concepts as S
 from siltstone.sources import papers as SP
+from siltstone.streaming import inbox
 
 TERMS = ["the", "license", "data", "und", "les", "."]
 _QUERIES: dict = {}
@@ -77,15 +79,8 @@ def ontology_matrix_wide(spark, sf):
     return M.ontology_matrix(_papers(spark, sf), TERMS)
 
 
-@query("SELECT 'doc-' || doc_id AS paper, (" + SENTS + """)[1] AS "the" FROM documents WHERE text <> '' AND contains(lower(text), 'zzzz')""")
-def ontology_matrix_pivot(spark, sf):
-    """The pivoted form over a term that no text has keeps the columns and gives no rows."""
-    tall = M.match_tall(_papers(spark, sf), ["zzzz"]).withColumn("concept", F.lit("the"))
-    return M.pivot_wide(tall, "paper", ["the"], "sentences")
-
-
 @query(f"""SELECT paper, {", ".join(f"coalesce(max(sentences) FILTER (concept = '{t}'), '') AS " + f'"{t}"' for t in TERMS)} FROM {TALL} WHERE sentences <> '' GROUP BY paper""")
-def ontology_matrix_pivot_terms(spark, sf):
+def ontology_matrix_pivot(spark, sf):
     """The pivoted form of all matches."""
     return M.pivot_wide(M.match_tall(_papers(spark, sf), TERMS), "paper", TERMS, "sentences")
 
@@ -245,12 +240,14 @@ def cell_format(spark, sf):
 
 
 @query(r"""SELECT doc_id, 'Title: t' || doc_id || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'DOI (from metadata): https://doi.org/10.1/' || doc_id ELSE '' END || chr(10) || 'Authors (from metadata): ' || source || '; ' || lang
-|| CASE WHEN text <> '' THEN chr(10) || chr(10) || '[Article opening — may contain affiliations]:' || chr(10) || substr(text, 1, 2000) ELSE '' END AS context FROM documents""")
+|| CASE WHEN text <> '' THEN chr(10) || chr(10) || 'How the text begins:' || chr(10) || substr(text, 1, 2000) ELSE '' END
+|| CASE WHEN doc_id % 3 = 0 THEN chr(10) || chr(10) || 'Its abstract:' || chr(10) || 'About ' || source ELSE '' END AS context FROM documents""")
 def context_block(spark, sf):
     who = lambda c: F.struct(F.lit("a").alias("firstName"), F.col(c).alias("lastName"))
     authors = F.array(who("source"), F.struct(F.lit("b").alias("firstName"), F.lit("").alias("lastName")), who("lang"))
     doi = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("10.1/"), "doc_id"))
-    return _t(spark, sf, "documents").select("doc_id", X.context_block(F.concat(F.lit("t"), "doc_id"), doi, authors, F.col("text"), F.lit("")).alias("context"))
+    abstract = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("About "), "source")).otherwise("")
+    return _t(spark, sf, "documents").select("doc_id", X.context_block(F.concat(F.lit("t"), "doc_id"), doi, authors, F.col("text"), abstract).alias("context"))
 
 
 TAGS = [("click", ["data", "nonsense"], ["system"], 0), (" CLICK ", ["result", "analysis"], ["materials", "component"], 1), ("view", [], [], 2), ("purchase", ["tool"], [], 3)]
@@ -327,14 +324,8 @@ def schema_wide(spark, sf):
     return M.schema_table(papers, values, ["click", "view"])
 
 
-@query("SELECT doc_id, lang, NULL::BIGINT AS n_chars FROM documents WHERE source = 'src0' UNION ALL SELECT doc_id, NULL, n_chars FROM documents WHERE source = 'src1'")
-def union_collections(spark, sf):
-    d = _t(spark, sf, "documents")
-    return P.union_collections(d.where("source = 'src0'").select("doc_id", "lang"), d.where("source = 'src1'").select("doc_id", "n_chars"))
-
-
 @query("SELECT doc_id, CASE WHEN source <> 'src1' THEN lang END AS lang, CASE WHEN source = 'src1' THEN n_chars END AS n_chars FROM documents WHERE source IS NOT NULL")
-def union_all_collections(spark, sf):
+def union_collections(spark, sf):
     """Every collection's own table, the second without a language and the others without a length."""
     d = _t(spark, sf, "documents")
     names = [r.source for r in d.where("source IS NOT NULL").select("source").distinct().orderBy("source").limit(1001).collect()]
@@ -354,9 +345,28 @@ def json_tool_call(spark, sf):
     return _t(spark, sf, "events").select("event_id", got["canonical"].alias("canonical"), got["relevance"].alias("relevance"))
 
 
-@query("SELECT event_id, CASE WHEN props IS NULL THEN NULL ELSE (props::JSON ->> 'k')::BIGINT END AS k FROM events")
-def json_props(spark, sf):
-    return _t(spark, sf, "events").select("event_id", F.from_json("props", "struct<k: bigint>")["k"].alias("k"))
+@query("SELECT event_id, event_type AS canonical, 'v' || user_id AS value, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'q' END AS quote FROM events WHERE event_id % 5 <> 0")
+def json_values(spark, sf):
+    """Payloads of the value tool; broken ones and calls without arguments give no rows."""
+    value = F.struct(F.col("event_type").alias("canonical"), F.concat(F.lit("v"), "user_id").alias("value"), F.when(F.col("event_id") % 3 == 0, "").otherwise("q").alias("quote"))
+    args = F.when(F.col("event_id") % 5 == 0, F.when(F.col("event_id") % 2 == 0, "[1")).otherwise(F.to_json(F.struct(F.array(value).alias("values"))))
+    calls = F.to_json(F.array(F.struct(F.lit(prompts.POPULATE.tool).alias("name"), args.alias("arguments"))))
+    got = _t(spark, sf, "events").select("event_id", F.explode(E.tool_payload(calls, prompts.POPULATE.tool, schemas.VALUES_JSON)["values"]).alias("v"))
+    return got.select("event_id", "v.canonical", "v.value", "v.quote")
+
+
+@query("""SELECT 'user ' || user_id AS concept, coalesce(max_by(CASE event_id % 3 WHEN 0 THEN 'mds:tool, mds:data' WHEN 1 THEN 'mds:result' ELSE '' END, event_id), '') AS "mds:studyStage",
+CASE WHEN max_by(event_id % 3, event_id) = 0 THEN 'mds:system' ELSE '' END AS "mds:supplyChainLevel" FROM events GROUP BY user_id""")
+def json_tags(spark, sf):
+    """Payloads of the tag tool attached to their concepts: unknown tags go, of repeated concepts the last counts."""
+    e = _t(spark, sf, "events").withColumn("concept", F.concat(F.lit("user "), "user_id"))
+    kind = F.col("event_id") % 3
+    stages = F.when(kind == 0, F.array(F.lit("tool"), F.lit("nonsense"), F.lit("data"))).when(kind == 1, F.array(F.lit("result"))).otherwise(F.array().cast("array<string>"))
+    tag = F.struct(F.upper("concept").alias("concept"), stages.alias("mds_study_stage"), F.when(kind == 0, F.array(F.lit("system"))).otherwise(F.array(F.lit("?"))).alias("mds_supply_chain_level"))
+    calls = F.to_json(F.array(F.struct(F.lit("record_tags").alias("name"), F.to_json(F.struct(F.array(tag).alias("tagged_concepts"))).alias("arguments"))))
+    tags = e.select(F.explode(E.tool_payload(calls, "record_tags", schemas.TAGS_JSON)["tagged_concepts"]).alias("t"), F.col("event_id").alias("pos"))
+    tags = tags.select("t.concept", F.col("t.mds_study_stage").alias("stages"), F.col("t.mds_supply_chain_level").alias("levels"), "pos")
+    return G.attach_tags(e.select("concept").distinct(), tags)
 
 
 @query("SELECT event_type AS concept, count(DISTINCT user_id) AS doc_frequency FROM events GROUP BY 1")
@@ -364,10 +374,114 @@ def load_concepts(spark, sf):
     return S.load_concepts(_t(spark, sf, "events").select(F.col("user_id").alias("Paper"), F.upper("event_type").alias("Canonical")))
 
 
-@query("SELECT source AS name, max_by('k' || doc_id, doc_id) AS key FROM documents WHERE contains(source, 'src1') GROUP BY source")
+CATALOG = "(SELECT source AS name, max_by('k' || doc_id, doc_id) AS key FROM documents GROUP BY source)"
+
+
+def _catalog(spark, sf):
+    return SP.catalog(_t(spark, sf, "documents").select(F.col("source").alias("name"), F.concat(F.lit("k"), "doc_id").alias("key"), F.col("doc_id").alias("pos")))
+
+
+@query(f"SELECT * FROM {CATALOG}")
+def catalog_scan(spark, sf):
+    return _catalog(spark, sf)
+
+
+@query(f"SELECT * FROM {CATALOG} WHERE contains(name, 'src1')")
 def catalog_search(spark, sf):
-    raw = _t(spark, sf, "documents").groupBy(F.col("source").alias("name")).agg(F.max_by(F.concat(F.lit("k"), "doc_id"), "doc_id").alias("key"))
-    return SP.search_catalog(raw, "SRC1")
+    return SP.search_catalog(_catalog(spark, sf), "SRC1")
+
+
+@query(f"SELECT key FROM {CATALOG} WHERE name = 'src1'")
+def collection_key(spark, sf):
+    return SP.collection_key(_catalog(spark, sf), "src1")
+
+
+@query("SELECT lower(c_mktsegment) AS concept FROM customer WHERE c_custkey % 3 > 0")
+def concept_column(spark, sf):
+    """Cleaned labels of a column, whatever the case of its header; blanks and nulls go."""
+    label = F.when(F.col("c_custkey") % 3 == 1, F.concat(F.lit(" \t"), "c_mktsegment", F.lit("\u00a0"))).when(F.col("c_custkey") % 3 == 2, F.col("c_mktsegment"))
+    label = F.when(F.col("c_custkey") % 6 == 0, "  ").otherwise(label)
+    return S.concept_column(_t(spark, sf, "customer").select(label.alias(" Concept ")))
+
+
+@query("SELECT 'concept: ' || column_name AS concept FROM (DESCRIBE SELECT * FROM documents) WHERE column_name <> 'doc_id'")
+def header_concepts(spark, sf):
+    """A wide table's headers as concepts, its base columns left out."""
+    wide = _t(spark, sf, "documents")
+    wide = wide.select(F.col("doc_id").alias("DOI"), *[F.col(c).alias(f"concept: {c}") for c in wide.columns if c != "doc_id"])
+    return spark.createDataFrame([(c,) for c in S.header_concepts(wide)], "concept string")
+
+
+@query("SELECT lang, doc_id FROM documents")
+def existing_columns(spark, sf):
+    return P.existing(_t(spark, sf, "documents"), ["missing", "lang", "doi", "doc_id"])
+
+
+@query("SELECT event_type AS concept, count(DISTINCT user_id) AS doc_frequency FROM events GROUP BY 1")
+def load_concepts_short(spark, sf):
+    """The layout with short concept rows."""
+    return S.load_concepts(_t(spark, sf, "events").select(F.col("user_id").alias("paper"), F.concat(F.lit(" "), F.upper("event_type")).alias("Concept"), F.lit("1").alias("relevance")))
+
+
+@query("SELECT c_name AS concept, floor(c_acctbal)::BIGINT AS doc_frequency FROM customer")
+def load_concepts_ranked(spark, sf):
+    """Rankings are taken as they are, case kept."""
+    return S.load_concepts(_t(spark, sf, "customer").select(F.concat("c_name", F.lit(" ")).alias("concept"), F.floor("c_acctbal").cast("string").alias("doc_frequency")))
+
+
+@query("SELECT count(*) AS untagged FROM (SELECT DISTINCT event_type FROM events) WHERE event_type NOT IN ('click', 'purchase')")
+def untagged_count(spark, sf):
+    return G.untagged(G.attach_tags(C.paper_frequency(_event_rows(spark, sf)), _tags(spark)))
+
+
+@query("SELECT c_name AS concept, floor(c_acctbal)::BIGINT AS doc_frequency, c_custkey % 7 + 0.5::DOUBLE AS avg_relevance FROM customer ORDER BY 2 DESC, 3 DESC, 1 LIMIT 80")
+def top_concepts(spark, sf):
+    return C.top_concepts(_t(spark, sf, "customer").select(F.col("c_name").alias("concept"), F.floor("c_acctbal").alias("doc_frequency"), (F.col("c_custkey") % 7 + F.lit(0.5)).alias("avg_relevance")))
+
+
+@query("SELECT p_partkey, lower(replace(p_name || ' ' || p_brand, ' ', '_')) AS slug FROM part")
+def collection_slugs(spark, sf):
+    return _t(spark, sf, "part").select("p_partkey", X.collection_slug(F.concat("p_name", F.lit(" "), "p_brand")).alias("slug"))
+
+
+@query("SELECT c_nationkey, string_agg('- ' || c_name, chr(10) ORDER BY c_name) AS list FROM customer GROUP BY 1")
+def bullet_lists(spark, sf):
+    return _t(spark, sf, "customer").groupBy("c_nationkey").agg(X.bullets(F.array_sort(F.collect_list("c_name"))).alias("list"))
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(string_split(lower(p_type), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS title FROM part")
+def title_case(spark, sf):
+    return _t(spark, sf, "part").select("p_partkey", X.title_case(X.collection_slug(F.col("p_type"))).alias("title"))
+
+
+@query("""SELECT event_id, '<strong>' || event_type || '</strong>' || CASE WHEN event_id % 2 = 0 THEN '<br><small>s' || user_id || '</small>' ELSE '' END || CASE WHEN event_id % 3 = 0 THEN '<br><small>level</small>' ELSE '' END AS label FROM events""")
+def node_labels(spark, sf):
+    stage, level = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("s"), "user_id")).otherwise(""), F.when(F.col("event_id") % 3 == 0, "level")
+    return _t(spark, sf, "events").select("event_id", L.node_label(F.col("event_type"), stage, level).alias("label"))
+
+
+COLORS = ", ".join(f"('{s}', '{f}', '{k}')" for s, _, f, k in L.STAGES)
+
+
+@query(f"""SELECT s_suppkey, coalesce(fill, '{L.UNKNOWN[0]}') AS fill, coalesce(stroke, '{L.UNKNOWN[1]}') AS stroke FROM (SELECT s_suppkey, [{", ".join(f"'{s[0]}'" for s in L.STAGES)}, 'other'][s_suppkey % 14 + 1] AS stage FROM supplier)
+LEFT JOIN (VALUES {COLORS}) v(stage, fill, stroke) USING (stage)""")
+def stage_colors(spark, sf):
+    """Colours by the first of several tags, some of them unknown."""
+    stage = F.get(F.array(*[F.lit(s[0]) for s in L.STAGES], F.lit("other")), (F.col("s_suppkey") % 14).cast("int"))
+    color = L.stage_color(F.concat(F.lit("mds:"), stage, F.lit(", mds:data")))
+    return _t(spark, sf, "supplier").select("s_suppkey", color["fill"].alias("fill"), color["stroke"].alias("stroke"))
+
+
+@query("SELECT p_partkey, replace(lower(p_brand), '#', '') AS slug FROM part")
+def file_stems(spark, sf):
+    path = F.concat(F.lit("file:/a.b/concepts_"), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("")), F.lit("-user-v"), "p_size", F.lit(".csv"))
+    return _t(spark, sf, "part").select("p_partkey", X.file_stem_slug(path).alias("slug"))
+
+
+@query("SELECT 'doc-' || doc_id AS paper, unnest(list_filter(" + SENTS + ", lambda s: contains(lower(s), 'data'))) AS sentence FROM documents WHERE text <> ''")
+def matching_sentences(spark, sf):
+    """The stateless stream operator over a whole table."""
+    return inbox.sentence_stream(_papers(spark, sf), "data")
 
 
 @query("SELECT DISTINCT lower(n_name) AS concept FROM nation")
@@ -380,9 +494,49 @@ def _abstracts(spark, sf):
     return _t(spark, sf, "benchmark").select(F.concat(F.lit("item-"), "item_id").alias("paper"), F.lit("benchmark").alias("collection"), F.lit("").alias("doi"), F.col("text").alias("abstract"), F.lit("").alias("full_text"))
 
 
-@query()
+STOPS = ", ".join(f"'{w}'" for w in sorted(X.STOP_WORDS))
+RUNS = (
+    r"""list_transform(string_split_regex(lower({text}), '[^\p{L}\p{N}_\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}-]+'), lambda part: string_split_regex(array_to_string(
+list_transform(regexp_extract_all(part, '[\p{L}\p{N}][\p{L}\p{N}_-]*'), lambda w: CASE WHEN w IN ({stops}) THEN chr(10) ELSE w END), ' '), ' ?\n[ \n]*'))"""
+    .replace("{stops}", STOPS)
+)
+
+
+def _phrases_sql(text: str, table: str, paper: str) -> str:
+    runs = RUNS.replace("{text}", text)
+    return f"(SELECT DISTINCT {paper} AS paper, unnest(list_filter(flatten({runs}), lambda p: length(p) > 4)) AS phrase FROM {table} WHERE {text} <> '')"
+
+
+DOC_PHRASES = _phrases_sql("text", "documents", "'doc-' || doc_id")
+
+
+@query(f"SELECT paper, phrase FROM {DOC_PHRASES}")
 def noun_phrases_offline(spark, sf):
-    return E.phrase_table(_papers(spark, sf), "text")
+    return E.phrase_table(_papers(spark, sf), "text").select("paper", F.explode("phrases").alias("phrase"))
+
+
+def _abstract_documents(spark, sf):
+    """Documents as papers with an abstract only."""
+    return _papers(spark, sf).withColumnRenamed("text", "abstract")
+
+
+VOCABULARY = f"""WITH f AS (SELECT phrase AS concept, count(*) AS doc_frequency FROM {DOC_PHRASES} GROUP BY 1),
+v AS (SELECT * FROM (SELECT f.* FROM f WHERE (SELECT count(*) FROM f WHERE doc_frequency >= 2) < 80 OR doc_frequency >= 2) ORDER BY doc_frequency DESC, concept LIMIT 80)"""
+
+
+@query(f"{VOCABULARY} SELECT * FROM v")
+def vocabulary_frequency(spark, sf):
+    """The second table of the vocabulary workflow: how often its phrases occur."""
+    return W.vocabulary_analytics(_abstract_documents(spark, sf))[1]
+
+
+@query(f"""{VOCABULARY}, s AS (SELECT 'doc-' || doc_id AS paper, {SENTS} AS sents FROM documents WHERE text <> '')
+SELECT * FROM (SELECT paper, concept, array_to_string(list_filter(sents, lambda x: contains(lower(x), concept)), ' | ') AS sentences FROM s, v) WHERE sentences <> ''""")
+def vocabulary_analytics(spark, sf):
+    """The first table of the vocabulary workflow, one row a filled cell."""
+    wide = W.vocabulary_analytics(_abstract_documents(spark, sf))[0]
+    cells = F.array(*[F.struct(F.lit(c).alias("concept"), F.col(f"`{c}`").alias("sentences")) for c in wide.columns[1:]])
+    return wide.select("paper", F.inline(F.filter(cells, lambda c: c["sentences"] != "")))
 
 
 @query()
@@ -396,18 +550,34 @@ def mmr_select(spark, sf):
     return E.mmr_groups(_t(spark, sf, "embeddings"), "label", "vec_id", "embedding", 10)
 
 
-@query()
+def _tag_sql(rules) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(concept, '{p}') THEN '{t}'" for t, p in rules) + " ELSE '' END"
+
+
+@query(f"SELECT concept, {_tag_sql(G.STAGE_RULES)} AS stage, {_tag_sql(G.LEVEL_RULES)} AS level FROM {FREQUENCY}")
 def offline_tagging(spark, sf):
-    return G.offline_tags(_frequency(spark, sf))
+    return G.offline_tags(_frequency(spark, sf)).select("concept", F.array_join("stages", ", ").alias("stage"), F.array_join("levels", ", ").alias("level"))
 
 
-@query()
+@query("SELECT event_id, CASE WHEN x * 10000 = floor(x * 10000) + 0.5 THEN round_even(x, 4) ELSE round(x, 4) END AS relevance FROM (SELECT event_id, value / 7 AS x FROM events)")
 def round_relevance(spark, sf):
     return _t(spark, sf, "events").select("event_id", X.round_exact(F.col("value") / 7).alias("relevance"))
 
 
-@query()
+FIRST = "coalesce(list_filter({sents}, lambda s: contains(lower(s), '{t}'))[1], '')"
+
+
+@query(f"""SELECT source AS domain, '' AS doi, {", ".join(FIRST.format(sents=SENTS.replace("text", "substr(text, 1, 80000)"), t=t) + f' AS "{t}"' for t in TERMS)} FROM documents WHERE text <> ''""")
 def discover_schema(spark, sf):
+    """The schema table of a concept file over all documents: offline values are the first sentence that
+    names the concept."""
+    papers = _papers(spark, sf).withColumnRenamed("text", "full_text").withColumn("abstract", F.lit("")).withColumn("doi", F.lit(None).cast("string"))
+    return W.discover_schema(papers, concept_file=spark.createDataFrame([(t,) for t in TERMS], "concept string"))[1]
+
+
+@query()
+def discover_schema_unaided(spark, sf):
+    """The schema workflow that finds its concepts itself."""
     return W.discover_schema(_abstracts(spark, sf))[1]
 
 
@@ -416,12 +586,14 @@ def local_analytics(spark, sf):
     return W.local_analytics(_abstracts(spark, sf))[2]
 
 
-@query()
-def vocabulary_analytics(spark, sf):
-    return W.vocabulary_analytics(_abstracts(spark, sf))[0]
+BODY = "concat_ws(chr(10), nullif(substr(full_text, 1, 2000), ''), nullif(abstract, ''))"
 
 
-@query()
+def _stated(term: str) -> str:
+    return "coalesce(nullif(" + FIRST.format(sents=SENTS.replace("text", BODY), t=term) + ", ''), 'Not Specified')"
+
+
+@query(f"""SELECT title AS "Title", 'Not Specified' AS "Author", 'Not Specified' AS "Institution", 'Not Specified' AS "Country", 'Not Specified' AS "DOI", 'Not Specified' AS "Device Type",
+{_stated("the")} AS "the", {_stated("doi")} AS "DOI_val", {_stated("data")} AS "data" FROM {PAPERS}""")
 def structured_extract(spark, sf):
-    items = _full(spark, sf)
-    return W.structured_extract(items, ["the", "DOI", "data"])
+    return W.structured_extract(_full(spark, sf), ["the", "DOI", "data"])

@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import types as T
 
+from siltstone.functions.text import NAME_PART
+
 AUTHOR = T.StructType([T.StructField(n, T.StringType()) for n in ("firstName", "lastName", "creatorType")])
 CATALOG = T.StructType([T.StructField("name", T.StringType()), T.StructField("key", T.StringType())])
 ITEMS = T.StructType(
@@ -24,14 +26,15 @@ CONCEPTS_JSON = "struct<concepts: array<struct<canonical: string, paper_term: st
 VALUES_JSON = "struct<values: array<struct<canonical: string, value: string, quote: string>>>"
 TAGS_JSON = "struct<tagged_concepts: array<struct<concept: string, mds_study_stage: array<string>, mds_supply_chain_level: array<string>>>>"
 CALLS_JSON = "array<struct<name: string, arguments: string>>"
-#: Fields that every structured extraction has, with their table headers.
+#: Fields that every structured extraction has, with their table headers.
 FIXED_FIELDS = {"author": "Author", "institution": "Institution", "country": "Country", "doi": "DOI", "device_type": "Device Type"}
 #: Fixed values.
 DEVICE_TYPES = ("photovoltaic cell", "light emitting diode", "photodetector", "Not Specified")
 
 
 def slug(label: str) -> str:
-    return re.sub("[^a-z0-9]+", "_", label.lower().strip()).strip("_") or "concept"
+    """The same name as :func:`siltstone.functions.text.slug`, for lists on the driver."""
+    return "_".join(re.findall(NAME_PART, label.lower())) or "concept"
 
 
 def unique_labels(labels, taken=()) -> list[str]:

@@ -14,7 +14,11 @@ from siltstone.functions import text as X
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """name, key of all collections, from JSON lines; of a repeated name the last one counts."""
-    raw = spark.read.schema("name string, key string, pos long").json(path)
+    return catalog(spark.read.schema("name string, key string, pos long").json(path))
+
+
+def catalog(raw: DataFrame) -> DataFrame:
+    """name, key of ``raw(name, key, pos)``: the last key of each name."""
     return raw.groupBy("name").agg(F.max_by("key", F.coalesce("pos", F.lit(0))).alias("key"))
 
 

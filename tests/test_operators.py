@@ -100,7 +100,6 @@ def test_offline_extraction_is_repeatable_and_errors_stay_in_their_row(spark):
     assert {r.paper for r in rows if r.error is None} == {"p"} and [r.error for r in rows if r.paper == "r"] == ["RuntimeError: no answer"]
     assert len([r for r in rows if r.paper == "p"]) == 5
     assert E.keyphrases("", 5) == [] and E.keyphrases("tin tin", 5)[0][0] in ("tin", "tin tin")
-    assert E.noun_phrases("The thin film of the tin, and it") == ["thin film"]
 
 
 def test_workflows(spark):

@@ -50,3 +50,25 @@ def test_field_names_are_distinct():
     names = schemas.field_names(["DOI", "a b", "a-b", "x"])
     assert list(names.values()) == ["doi_val", "a_b", "a_b_val", "x"]
     assert schemas.unique_labels(["paper", " ", "a", "A", "a"], ["paper"]) == ["paper_val", "a"]
+
+
+def brute_phrases(text, least_words=1, longer_than=4):
+    """Word by word: runs between stop words and marks."""
+    out, run = {}, []
+    for w in re.findall(r"[^\W_][\w-]*|[^\w\s-]+", text.lower()) + ["the"]:
+        if w in X.STOP_WORDS or not (w[0].isalnum()):
+            if len(run) >= least_words and len(" ".join(run)) > longer_than:
+                out[" ".join(run)] = None
+            run = []
+        else:
+            run.append(w)
+    return list(out)
+
+
+def test_noun_phrases_against_brute_force(spark):
+    texts = ["The thin film of the tin, and it", "", "of the", "Tin-doped  oxide_layer (ITO) was grown\nby sputtering; thin film, Thin Film.", "Größe überall \u00e9t\u00e9 42 kV -x- __a a__b", "a\u00a0wide\u2003gap", "x" * 3000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for least, longer in ((1, 4), (2, 0)):
+        got = {r.i: r.p for r in rows.select("i", X.noun_phrases(F.col("t"), least, longer).alias("p")).collect()}
+        assert [got[i] for i in range(len(texts))] == [brute_phrases(t, least, longer) for t in texts]
+    assert brute_phrases(texts[0]) == ["thin film"]
