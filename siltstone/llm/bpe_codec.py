@@ -51,21 +51,21 @@ class ChunkCodec:
                 found = (chunk, None, b"")
             else:
                 last = LAST_STABLE.match(chunk).end()
-                found = (chunk[: first.start()], chunk[first.start() : last], chunk[last:])
+                found = (chunk[: first.end()], chunk[first.end() : last], chunk[last:])
             self.split[chunk] = found
         return found
 
     def spans(self, text: bytes) -> list[bytes]:
         """The text as chunk cores and repaired joins; their ids, one after another, are the text's."""
         ends = chunk_ends(np.frombuffer(text, np.uint8)).tolist()
-        out, open_ = [], b""
+        out, open_ = [], []
         for a, b in zip([0, *ends], [*ends, len(text)]):
             head, core, tail = self._parts(text[a:b])
-            open_ += head
+            open_.append(head)
             if core is not None:
-                out += [open_, core]
-                open_ = tail
-        return [s for s in [*out, open_] if s]
+                out += [b"".join(open_), core]
+                open_ = [tail]
+        return [s for s in [*out, b"".join(open_)] if s]
 
     def encode(self, texts: list[bytes]) -> list[list[tuple[str, int, bytes]]]:
         """For each text its spans' (ids joined by commas, number of ids, decoded bytes)."""

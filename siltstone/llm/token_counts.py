@@ -3,8 +3,9 @@
 A text longer than a chunk is encoded as overlapping chunks, each with its tokens' byte offsets.
 Neighbours are spliced at a boundary that both encodings have inside their overlap and that is
 stable (see ``tokens``), so that the left ids before it and the right ids after it are those of the
-whole text. Where an overlap holds no such boundary it is doubled and both chunks are encoded
-again, in the end as one.
+whole text. An overlap without a stable boundary is doubled until it has one, before anything is
+encoded; a stretch without any, however long, becomes part of one chunk. Neighbours whose encodings
+do not both have the boundary are joined and encoded again. So every byte is encoded about once.
 """
 
 from __future__ import annotations
@@ -25,31 +26,44 @@ def _char_start(text: bytes, at: int) -> int:
     return at
 
 
-def spliced_ids(text: bytes, bpe: ByteBpe, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """The whole text's ids."""
-    starts = sorted({_char_start(text, a) for a in range(0, max(1, len(text)), chunk)})
-    piece = lambda a, b: text[a : _char_start(text, b)].decode()
-    ends = [min(len(text), b + overlap) for b in starts[1:]] + [len(text)]
-    encoded = bpe.encode_all([piece(a, b) for a, b in zip(starts, ends)])
-    offsets = lambda ids, a: np.concatenate(([a], a + np.cumsum(bpe.sizes[ids])))
-    out, left, left_at = [], encoded[0], starts[0]
-    for k in range(1, len(starts)):
-        right, end, wide = encoded[k], ends[k - 1], overlap
+def overlapping(text: bytes, chunk: int, overlap: int) -> list[tuple[int, int, int]]:
+    """(start, end, splice): chunks, each with its end in the next chunk's overlap and the stable
+    boundary there; the last ends with the text."""
+    out, start, at = [], 0, chunk
+    while at < len(text):
+        right, wide = _char_start(text, at), overlap
         while True:
-            at, right_at = offsets(left, left_at), offsets(right, starts[k])
-            both = np.intersect1d(at, right_at)
-            stable = next((m.start() for m in STABLE.finditer(text, starts[k], end) if (i := np.searchsorted(both, m.start())) < len(both) and both[i] == m.start()), None)
-            if stable is not None or end >= ends[k]:
+            end = min(right + wide, len(text))
+            if (found := STABLE.search(text, right, end)) or end == len(text):
                 break
             wide *= 2
-            end = min(starts[k] + wide, ends[k])
-            left = bpe.encode_all([piece(left_at, end)])[0]
-        if stable is None:  # no common boundary up to the right chunk's end: one chunk of both
-            left = bpe.encode_all([piece(left_at, ends[k])])[0]
-            continue
-        out += left[: int(np.searchsorted(at, stable))]
-        left, left_at = right[int(np.searchsorted(right_at, stable)) :], stable
-    return out + left
+        if not found:
+            break
+        out.append((start, _char_start(text, end), found.end()))
+        start, at = right, max(at + chunk, found.end())
+    return [*out, (start, len(text), len(text))]
+
+
+def spliced_ids(text: bytes, bpe: ByteBpe, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+    """The whole text's ids."""
+    chunks, done = overlapping(text, chunk, overlap), {}
+    while True:
+        new = [c for c in chunks if c not in done]
+        done.update(zip(new, bpe.encode_all([text[a:b].decode() for a, b, _ in new])))
+        out, low, joined = [], 0, []
+        for a, b, high in chunks:
+            offsets = np.concatenate(([a], a + np.cumsum(bpe.sizes[done[a, b, high]])))
+            i, j = np.searchsorted(offsets, (low, high))
+            aligned = offsets[i] == low, offsets[j] == high
+            if joined and not (joined[-1][1] and aligned[0]):  # the two encodings do not share the boundary
+                joined[-1] = ((joined[-1][0][0], b, high), aligned[1])
+            else:
+                joined.append(((a, b, high), aligned[1]))
+            out += done[a, b, high][i:j]
+            low = high
+        if len(joined) == len(chunks):
+            return out
+        chunks = [c for c, _ in joined]
 
 
 def token_counts(docs: DataFrame, path: str, ranks_path: str | None = None, limit: int = 1024, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

@@ -7,9 +7,11 @@ special token, goes to the tokenizers library itself.
 
 ``WordBpe`` gives the ids of the lower-casing word BPE, one cached word at a time.
 
-A *stable boundary* lies between a visible ASCII character and a space or line feed. No
-alternative of the byte-level pre-tokenisation pattern matches across it, a look-ahead never
-passes it, and no special token contains white space, so ids left and right of it are independent.
+A *stable boundary* is a place that no alternative of the byte-level pre-tokenisation pattern matches
+across and no look-ahead passes: after a visible character and before a space or line feed, after
+a letter or digit and before a mark, between a letter and a digit. Only characters whose class is
+the same in all Unicode versions count. No special token may hold one (checked on loading), so
+ids left and right of it are independent.
 """
 
 from __future__ import annotations
@@ -21,8 +23,18 @@ import re
 import numpy as np
 
 OTHER_ALPHABET = re.compile("[^\t\n\r -~À-įı-ɏ]|<\\|")
-STABLE = re.compile(rb"(?<=[!-~])[ \n]")
-LAST_STABLE = re.compile(rb"(?s:.*)(?<=[!-~])(?=[ \n])")
+#: UTF-8 of letters whose class has never changed: Latin, Greek, Cyrillic, Hebrew, Arabic, Thai, kana,
+#: Han (U+5000 to U+8FFF) and Hangul (U+B000 to U+CFFF).
+LETTER = (
+    rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf]|\xce[\xb1-\xbf]|\xcf[\x80-\x89]|\xd0[\x90-\xbf]|\xd1[\x80-\x8f]|\xd7[\x90-\xaa]|\xd8[\xa1-\xba]|\xd9[\x81-\x8a]"
+    rb"|\xe0\xb8[\x81-\xae]|\xe3(?:\x81[\x81-\xbf]|\x82[\xa1-\xbf]|\x83[\x80-\xba])|[\xe5-\xe8\xeb\xec][\x80-\xbf][\x80-\xbf])"
+)
+#: ASCII marks but the bar, which special tokens have, and dashes, quotes and full-width marks.
+MARK = rb"(?:[!-/:-@\[-`{}~]|\xe2\x80[\x93\x94\x9c\x9d\xa6]|\xe3\x80[\x81\x82\x8c-\x8f]|\xef\xbc[\x81\x88\x89\x8c\x9a\x9b\x9f])"
+#: Matches what stands before a stable boundary; the boundary is the match's end.
+BEFORE = rb"(?:[!-~](?=[ \n])|[0-9](?=[A-Za-z]|" + MARK + rb")|" + LETTER + rb"(?=[ \n0-9]|" + MARK + rb"))"
+STABLE = re.compile(BEFORE)
+LAST_STABLE = re.compile(rb"(?s:.*)" + BEFORE)
 #: Pre-tokenisation of the rank files: a fixed value of the public vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _loaded: dict = {}
@@ -74,6 +86,8 @@ class ByteBpe:
         self.tok = _library(path)
         to_byte = _byte_of_char()
         added = {i: t.content.encode() for i, t in self.tok.get_added_tokens_decoder().items()}
+        if any(STABLE.search(t) or t != t.strip() for t in added.values()):
+            raise ValueError("a special token holds a boundary that ids must not depend on")
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.bytes_of = [b""] * (max(vocab.values()) + 1)
         for text, i in vocab.items():
