@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,31 +30,69 @@ def shared_dir(spark: SparkSession) -> str:
         root = getattr(sc, "_siltstone_tmp", None)
         if root is None:
             root = sc._siltstone_tmp = "file://" + tempfile.mkdtemp(prefix="siltstone-")
+            fs, p = _path(spark, root)
+            fs.deleteOnExit(p)
     return f"{root.rstrip('/')}/siltstone-{sc.applicationId}"
 
 
-_cleanups: set[str] = set()
+_open: list[list[str]] = []
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, outlive: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends there, so a lost
-    executor costs no recomputation of what came before. The folder goes when the session ends."""
+    executor costs no recomputation of what came before. The folder goes when the enclosing
+    :func:`scratch` ends (with ``outlive`` the one around that), at the latest with the driver's JVM,
+    whether or not the session was stopped."""
     spark = df.sparkSession
     root = shared_dir(spark)
-    if root not in _cleanups:
-        _cleanups.add(root)
-        atexit.register(_remove, spark, root)
+    sc = spark.sparkContext
+    if getattr(sc, "_siltstone_root", None) != root:
+        fs, p = _path(spark, root)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        sc._siltstone_root = root
     path = f"{root}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if len(_open) > outlive:
+        _open[-1 - outlive].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes, at its end, the tables staged inside it, so a long session does not gather them.
+    DataFrames that read them must have been written or staged to outlive it by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+
+
+def _path(spark: SparkSession, path: str):
     sc = spark.sparkContext
-    if sc._jsc is None or sc._jsc.sc().isStopped():
-        return
     p = sc._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers; sorting beats the hash table that ``np.unique`` takes for them."""
+    values = np.sort(values)
+    return values[np.concatenate((np.ones(min(1, len(values)), bool), values[1:] != values[:-1]))]
+
+
+def new_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -6,8 +6,9 @@ least squares fits their repeat counts to the histogram; counts are rounded down
 histogram can give, and what is left is packed best-fit decreasing, by length and count, never by
 piece. The plan then says, for the i-th piece of a length, its sequence and offset.
 
-Pieces are numbered within their length over salted buckets, so that a length which holds a third
-of all pieces is spread over tasks; only bucket counts (lengths x buckets) reach the driver.
+Pieces are numbered within their length over salted buckets, whose number follows that of the pieces,
+so that a length which holds a third of all pieces is spread over tasks of bounded size. Where a
+bucket's numbers start is summed and joined in the cluster; the driver gets the histogram only.
 """
 
 from __future__ import annotations
@@ -19,11 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import shuffle_partitions, staged
+from .common import new_name, shuffle_partitions, staged
 from .tokens import WordBpe, load
 
 CAPACITY = 2048
+#: Pieces of a bucket on average, and buckets of a length at most (by then 10 ** 12 pieces of a length).
+PER_BUCKET, MOST_BUCKETS = 1 << 20, 1 << 20
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -147,29 +151,35 @@ def slots(planned: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.nd
     return a[:, 0], a[:, 1], a[:, 2]
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``cut`` (any columns, with doc_id, piece and length) plus sequence_id and offset."""
-    spark = cut.sparkSession
-    cut = staged(cut.drop("sequence_id", "offset"))
-    buckets = min(max(16, shuffle_partitions(spark)), 1024)
-    salted = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
-    counts = np.zeros((capacity + 1, buckets), np.int64)
-    for v, b, n in salted.groupBy("length", "_bucket").count().toLocalIterator():
-        counts[v, b] = n
-    keys, first, offset = slots(plan(counts.sum(axis=1), capacity))
-    before = np.cumsum(counts, axis=1) - counts
-    names, schema = [*cut.columns, "sequence_id", "offset"], cut.schema.add("sequence_id", "long").add("offset", "long")
+def pack(cut: DataFrame, capacity: int = CAPACITY, per_bucket: int = PER_BUCKET) -> DataFrame:
+    """``cut`` (any columns, with length, a long from 1 to ``capacity``) plus sequence_id and offset; columns
+    of those names are replaced. Rows are told apart by nothing but their place, so repeated ones each
+    get their own. An empty table gives an empty result."""
+    cut = cut.drop("sequence_id", "offset")
+    salt, bucket, nth, start = (new_name(cut, n) for n in ("salt", "bucket", "nth", "start_of"))
+    kept = cut.columns
+    names, schema = [*kept, "sequence_id", "offset"], StructType([*cut.schema.fields]).add("sequence_id", "long").add("offset", "long")
+    salted = staged(cut.withColumn(salt, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(MOST_BUCKETS)).cast("int")))
+    buckets = min(max(16, shuffle_partitions(cut.sparkSession), salted.count() // per_bucket), MOST_BUCKETS)
+    salted = salted.withColumn(bucket, F.col(salt) % buckets)
+    counts = staged(salted.groupBy("length", bucket).agg(F.count(F.lit(1)).alias("n")))
+    hist = np.zeros(capacity + 1, np.int64)
+    for v, n in counts.groupBy("length").agg(F.sum("n")).toLocalIterator():
+        hist[v] = n
+    keys, first, offset = slots(plan(hist, capacity))
+    earlier = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("length", bucket, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(start))
 
     def run(batches):
         for batch in batches:
-            v, b, i = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "_bucket", "_nth"))
-            key = (v << 48) + before[v, b] + i - 1
+            v, b, i = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", start, nth))
+            key = (v << 48) + b + i - 1
             at = np.searchsorted(keys, key, "right") - 1
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in names[:-2]]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(first[at] + key - keys[at]), pa.array(offset[at])], names)
+            same = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(first[at] + key - keys[at]), pa.array(offset[at])], names)
 
-    order = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece")
-    return salted.withColumn("_nth", F.row_number().over(order).cast("long")).mapInArrow(run, schema)
+    numbered = salted.withColumn(nth, F.row_number().over(Window.partitionBy("length", bucket).orderBy(salt)).cast("long"))
+    return numbered.join(starts, ["length", bucket]).select(*[f"`{c}`" for c in kept], start, nth).mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
