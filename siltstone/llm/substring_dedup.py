@@ -15,15 +15,21 @@ needs it as a witness; such texts are found by digest and take no further part.
 *Runs.* Documents are dealt into runs of bounded size, staged in the shared folder. A run first
 sends the hashes of its anchors, sorted and delta-coded; anchors whose hash no other anchor has
 cannot match and are dropped. For the rest it forms keys: the suffix at the anchor as far as its
-windows reach, then what stands before it. Equal keys of a run are one row with the smallest and
-largest id, so a passage that a third of all documents hold costs each run one row. The sorted
-keys are front-coded (length of the common prefix, remaining bytes) and exchanged.
+windows reach, then what stands before it. Equal keys of a run are one key with the smallest and
+largest id; where they stand stays in the run. So a passage that a third of all documents hold costs
+each run one key, however often it stands there. The sorted keys are front-coded (length of the
+common prefix, remaining bytes) and exchanged by parts, ranges of the anchor's hash.
 
 *Merge.* Runs meet in a loser tree. Every entry carries its common prefix with the last key put
 out; of two entries the one with the longer common prefix is smaller without a look at the
 bytes, and equal ones are compared only beyond the known prefix. Keys come out sorted with
 their common prefixes; those that share the anchor's gram are neighbours, and each window gets the
-smallest id that holds it. Verdicts go back to the runs, which cut their texts.
+smallest id that holds it. Verdicts go back to the runs by the key's number; a run forms its keys
+again, finds where they stand and cuts its texts.
+
+*Sizes.* Each run sends at most one row to each part, and a row should hold many anchors. So the size of
+runs grows with the square root of the input (within ``RUN_BYTES`` and ``MOST_RUN_BYTES``), and there
+are at most as many parts as leave a run ``ROW_ANCHORS`` anchors for each; many parts share a partition.
 """
 
 from __future__ import annotations
@@ -39,13 +45,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import distinct, staged
 from . import tokens
 from .exact_dedup import MAX_FREQUENT, TRACKED, with_keeper
 
 LENGTH, GRAM = 50, 32
-RUN_BYTES, BLOCK = 8 << 20, 1 << 17
-PART_ANCHORS, PART_LOG = 1 << 20, 48
+RUN_BYTES, MOST_RUN_BYTES, BLOCK = 8 << 20, 64 << 20, 1 << 17
+PART_ANCHORS, ROW_ANCHORS, MOST_PARTITIONS = 1 << 20, 64, 1 << 15
 
 
 class Anchors:
@@ -199,7 +205,7 @@ def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
     slices = [_from_deltas(h) for h in pdf["hashes"]]
     own = [np.unpackbits(np.frombuffer(o, np.uint8))[: len(s)].astype(bool) for o, s in zip(pdf["own"], slices)]
     every = np.sort(np.concatenate(slices))
-    twice = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], *[s[o] for s, o in zip(slices, own)]]))
+    twice = distinct(np.concatenate([every[1:][every[1:] == every[:-1]], *[s[o] for s, o in zip(slices, own)]]))
     marks = []
     for s in slices:
         at = np.minimum(np.searchsorted(twice, s), max(0, len(twice) - 1))
@@ -287,45 +293,62 @@ def merge_runs(runs: list[Iterator[tuple[int, bytes]]]) -> Iterator[tuple[int, i
             node //= 2
 
 
-def _suffix_blocks(length: int, parts: int):
-    """A run's front-coded keys by part: of anchors that are marked as repeated."""
+def _keys(length: int, parts: int):
+    """A run's keys by part, of anchors that are marked as repeated and stand in no whole copy."""
     span = length - GRAM
     width = length + 1 + span + 1
 
-    def run(run_id, blob: bytes, marks: dict[int, bytes], copies: np.ndarray):
-        ids, data, offsets = _open(_rows(blob))
-        copy = np.zeros(len(ids), bool)
+    def run(data: np.ndarray, offsets: np.ndarray, marks: dict[int, bytes], copies: np.ndarray, wanted=None):
+        """Yields part, sorted distinct keys, and of each of their places: document, offset, number of its
+        key. Of the ``wanted`` parts only, if given."""
+        copy = np.zeros(len(offsets) - 1, bool)
         copy[copies] = True
         x = Anchors(data, offsets, length)
-        f = np.unique(x.hash)
-        part = _part_of(f, parts)
-        cut = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(f))
-        mark = np.concatenate([np.unpackbits(np.frombuffer(marks[int(part[a])], np.uint8))[: b - a] for a, b in zip(cut, cut[1:])]) if len(f) else np.zeros(0)
-        take = np.flatnonzero(mark[np.searchsorted(f, x.hash)].astype(bool) & ~copy[x.doc]) if len(f) else np.zeros(0, np.int64)
-        if not len(take):
+        if not len(x.at):
             return
+        order = np.argsort(x.hash, kind="stable")
+        hashes = x.hash[order]
+        new = np.diff(hashes, prepend=~hashes[:1]) != 0
+        part = _part_of(hashes[new], parts)
+        cut = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+        mark = np.concatenate([np.unpackbits(np.frombuffer(marks[int(part[a])], np.uint8))[: b - a] for a, b in zip(cut, cut[1:])])
+        take = order[mark[np.cumsum(new) - 1].astype(bool) & ~copy[x.doc[order]]]  # by hash, so by part
         all_parts = _part_of(x.hash[take], parts)
-        order = np.argsort(all_parts, kind="stable")
-        take, all_parts = take[order], all_parts[order]
         cut = np.append(np.flatnonzero(np.diff(all_parts, prepend=-1)), len(take))
         padded = np.concatenate([np.zeros(span, np.uint8), data, np.zeros(length, np.uint8)])
+        after, ahead = (np.lib.stride_tricks.sliding_window_view(padded, n) for n in (length, span))
         for a, b in zip(cut, cut[1:]):
+            if wanted is not None and int(all_parts[a]) not in wanted:
+                continue
             t = take[a:b]
             at, low, high = x.at[t], x.low[t], x.high[t]
             right, before = high + length - at, at - low
-            keys = np.zeros((len(t), width), np.uint8)
-            keys[:, :length] = padded[(at + span)[:, None] + np.arange(length)] * (np.arange(length) < right[:, None])
+            keys = np.empty((len(t), width), np.uint8)
+            keys[:, :length] = after[at + span]
             keys[:, length] = right
-            keys[:, length + 1 : -1] = padded[(at + span - 1)[:, None] - np.arange(span)] * (np.arange(span) < before[:, None])
+            keys[:, length + 1 : -1] = ahead[at][:, ::-1]
             keys[:, -1] = before + 1
+            for some, n, start in ((right, length, 0), (before, span, length + 1)):  # nothing beyond the windows
+                short = np.flatnonzero(some < n)
+                keys[short, start : start + n] *= np.arange(n) < some[short, None]
             sorted_, inverse = np.unique(keys.view(f"S{width}").ravel(), return_inverse=True)
-            doc = ids[x.doc[t]]
+            yield int(all_parts[a]), sorted_.view(np.uint8).reshape(-1, width), x.doc[t], at, inverse
+
+    return run
+
+
+def _suffix_blocks(length: int, parts: int):
+    """A run's front-coded keys by part, each with the smallest and largest id that has it."""
+    keys_of = _keys(length, parts)
+
+    def run(run_id, blob: bytes, marks: dict[int, bytes], copies: np.ndarray):
+        ids, data, offsets = _open(_rows(blob))
+        for part, keys, doc, _, inverse in keys_of(data, offsets, marks, copies):
             order = np.argsort(inverse, kind="stable")
             first = np.flatnonzero(np.diff(inverse[order], prepend=-1))
-            least, most = np.minimum.reduceat(doc[order], first), np.maximum.reduceat(doc[order], first)
-            lcp, rest = front_code(sorted_.view(np.uint8).reshape(-1, width))
-            count = np.diff(np.append(first, len(t)))
-            yield run_id, int(all_parts[a]), _squeeze(lcp, least, most, count.astype("<u4"), at[order].astype("<u4"), np.frombuffer(rest, np.uint8))
+            doc = ids[doc][order]
+            lcp, rest = front_code(keys)
+            yield run_id, part, _squeeze(lcp, np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first), np.frombuffer(rest, np.uint8))
 
     return run
 
@@ -350,7 +373,8 @@ BLOCK_SCHEMA = "run long, part long, body binary"
 
 
 def _judge(length: int):
-    """Merges a part's runs; returns for each run the places and window offsets held by a smaller id."""
+    """Merges a part's runs; returns for each run the numbers of keys and the window offsets that a smaller
+    id holds."""
     span = length - GRAM
     width = length + 1 + span + 1
 
@@ -391,7 +415,7 @@ def _judge(length: int):
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         tokens.forget()
         pdf = pdf.sort_values("run", kind="stable").reset_index(drop=True)
-        lcps, least, most, counts, all_places, rests = zip(*(_unsqueeze(x, "u1", "<i8", "<i8", "<u4", "<u4", "u1") for x in pdf["body"]))
+        lcps, least, most, rests = zip(*(_unsqueeze(x, "u1", "<i8", "<i8", "u1") for x in pdf["body"]))
         found: list[tuple[list, list, list, list]] = [([], [], [], []) for _ in range(len(pdf))]
 
         def out(r, i, key, windows, smallest):
@@ -412,33 +436,31 @@ def _judge(length: int):
             group.append((n, r, i, key, int(least[r][i]), int(most[r][i])))
         if group:
             flush(group, out)
-        rows = []
-        for r, (i, near, far, smallest) in enumerate(found):
-            if not i:
-                continue
-            count, places = counts[r].astype(np.int64), all_places[r]
-            i = np.array(i)
-            many, start = count[i], (np.cumsum(count) - count)[i]
-            at = np.repeat(start - np.cumsum(many) + many, many) + np.arange(many.sum())
-            rows.append((pdf["run"][r], _squeeze(places[at], np.repeat(np.array(near, np.uint8), many), np.repeat(np.array(far, np.uint8), many), np.repeat(np.array(smallest, "<i8"), many))))
-        return pd.DataFrame(rows, columns=["run", "reply"])
+        kinds = "<u4", np.uint8, np.uint8, "<i8"
+        rows = [(pdf["run"][r], pdf["part"][r], _squeeze(*map(np.array, x, kinds))) for r, x in enumerate(found) if x[0]]
+        return pd.DataFrame(rows, columns=["run", "part", "reply"])
 
     return judge
 
 
-def covered(ids, data, offsets, replies: list[bytes], length: int) -> np.ndarray:
-    """Marks of the bytes to remove."""
+def covered(ids, data, offsets, keys, replies: dict[int, bytes], length: int) -> np.ndarray:
+    """Marks of the bytes to remove, from the ``keys`` of :func:`_keys` and the replies by part."""
     step = np.zeros(len(data) + 1, np.int32)
-    for reply in replies:
-        at, near, far, smallest = _unsqueeze(reply, "<u4", "u1", "u1", "<i8")
-        hit = smallest < ids[np.searchsorted(offsets, at, "right") - 1]
-        at = at[hit].astype(np.int64)
-        np.add.at(step, at - far[hit], 1)
-        np.add.at(step, at - near[hit] + length, -1)
+    for part, _, doc, at, number in keys:
+        told, near, far, smallest = _unsqueeze(replies[part], "<u4", "u1", "u1", "<i8")
+        order = np.argsort(told, kind="stable")
+        low, high = (np.searchsorted(told[order], number, side) for side in ("left", "right"))
+        many = high - low  # a key may have several runs of windows
+        place = np.repeat(np.arange(len(at)), many)
+        which = order[np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        hit = smallest[which] < ids[doc[place]]
+        place, which = at[place[hit]], which[hit]
+        np.add.at(step, place - far[which], 1)
+        np.add.at(step, place - near[which] + length, -1)
     return np.cumsum(step[:-1]) > 0
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, run_bytes: int = RUN_BYTES) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = LENGTH, run_bytes: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs(doc_id, text)``.
 
     Null texts count as empty. Rows that repeat an id are judged like other documents of that id:
@@ -459,7 +481,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, run_bytes: int = RUN_BYTE
     return _judged(docs.select("doc_id", "text"), length, run_bytes, shape, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def cut_texts(docs: DataFrame, length: int = LENGTH, run_bytes: int = RUN_BYTES) -> DataFrame:
+def cut_texts(docs: DataFrame, length: int = LENGTH, run_bytes: int | None = None) -> DataFrame:
     """``docs`` with the removed bytes cut out of ``text``; a character that lost a byte goes whole.
     All columns travel inside the runs, so no join follows."""
     columns = ["doc_id", "text", *(c for c in docs.columns if c not in ("doc_id", "text"))]
@@ -472,20 +494,29 @@ def cut_texts(docs: DataFrame, length: int = LENGTH, run_bytes: int = RUN_BYTES)
     return _judged(typed, length, run_bytes, shape, typed.schema).select(docs.columns)
 
 
-def _judged(docs: DataFrame, length: int, run_bytes: int, shape, schema) -> DataFrame:
+def _run_size(docs: DataFrame) -> int:
+    """Bytes of a run, from the planner's estimate of the input's size."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return int(min(max(RUN_BYTES, (size * 40 * ROW_ANCHORS) ** 0.5), MOST_RUN_BYTES))
+
+
+def _judged(docs: DataFrame, length: int, run_bytes: int | None, shape, schema) -> DataFrame:
     if not GRAM <= length < GRAM + 128:
         raise ValueError(f"length must be from {GRAM} to {GRAM + 127}")
+    run_bytes = run_bytes or _run_size(docs)
     runs = pack_runs(docs, run_bytes)
     total = runs.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    parts = max(1, 2 * total // (length - GRAM + 2) // PART_ANCHORS + 1, min(total >> 16, 12))
+    per_anchor = (length - GRAM + 2) / 2
+    parts = max(1, int(total / per_anchor) // PART_ANCHORS + 1, min(total >> 16, 12))
+    parts = min(parts, max(12, int(run_bytes / per_anchor) // ROW_ANCHORS))
+    spread = min(2 * parts, MOST_PARTITIONS)  # twice as many partitions as parts, so that few get several
     source = runs.select("run", "body")
     hashes = source.mapInArrow(_hash_blocks(length, parts), "run long, part long, hashes binary, own binary")
-    # twice as many partitions as parts, so that few partitions get several
-    marks = hashes.repartition(2 * parts, "part").groupBy("part").applyInPandas(_repeated, "run long, part long, marks binary")
+    marks = staged(hashes.repartition(spread, "part").groupBy("part").applyInPandas(_repeated, "run long, part long, marks binary"))
     copies = whole_copies(source)
-    none, no_list = F.lit(None).cast("binary"), F.lit(None).cast("array<int>")
-    marks = marks.withColumn("copies", no_list).unionByName(copies.select("run", F.lit(-1).cast("long").alias("part"), none.alias("marks"), "copies"))
-    form = _suffix_blocks(length, parts)
+    none, no_list, no_part = F.lit(None).cast("binary").alias, F.lit(None).cast("array<int>").alias, F.lit(-1).cast("long").alias
+    told = marks.withColumn("copies", F.lit(None).cast("array<int>")).unionByName(copies.select("run", no_part("part"), none("marks"), "copies"))
+    form, keys_of = _suffix_blocks(length, parts), _keys(length, parts)
 
     def blocks(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         tokens.forget()
@@ -494,18 +525,20 @@ def _judged(docs: DataFrame, length: int, run_bytes: int, shape, schema) -> Data
             rows += form(run_id, body, dict(zip(right["part"], right["marks"])), _copies(right))
         return pd.DataFrame(rows, columns=["run", "part", "body"])
 
-    exchanged = source.groupBy("run").cogroup(marks.groupBy("run")).applyInPandas(blocks, BLOCK_SCHEMA)
-    replies = exchanged.repartition(2 * parts, "part").groupBy("part").applyInPandas(_judge(length), "run long, reply binary")
-    replies = replies.withColumn("copies", no_list).unionByName(copies.select("run", none.alias("reply"), "copies"))
+    exchanged = source.groupBy("run").cogroup(told.groupBy("run")).applyInPandas(blocks, BLOCK_SCHEMA)
+    replies = exchanged.repartition(spread, "part").groupBy("part").applyInPandas(_judge(length), "run long, part long, reply binary")
+    replies = told.withColumn("reply", none("reply")).unionByName(replies.select("run", "part", none("marks"), no_list("copies"), "reply"))
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.to_pandas()
-        out = []
+        told = {part: reply for part, reply in zip(right["part"], right["reply"]) if reply is not None}
+        marks = {part: mark for part, mark in zip(right["part"], right["marks"]) if mark is not None}
+        copies, out = _copies(right), []
         for body in left.column("body").to_pylist():
             batch = _rows(body)
             ids, data, offsets = _open(batch)
-            gone = covered(ids, data, offsets, [r for r in right["reply"] if r is not None], length)
-            for k in _copies(right):
+            gone = covered(ids, data, offsets, keys_of(data, offsets, marks, copies, told) if told else (), told, length)
+            for k in copies:
                 if offsets[k + 1] - offsets[k] >= length:
                     gone[offsets[k] : offsets[k + 1]] = True
             out.append(shape(batch, data, offsets, gone))
