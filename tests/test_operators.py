@@ -35,6 +35,20 @@ def test_matrix_forms_agree(spark):
     assert [(r.paper, r.cat, r.dog) for r in pivoted] == [("p", "One cat. | Three cats.", "Two dogs.")]
 
 
+def test_many_terms_in_one_pass(spark, monkeypatch):
+    """The automaton finds what the built-in functions find: nested and overlapping terms, marks, none."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("paper"), "text")
+    words = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("w <> ''").groupBy("w").count().orderBy(F.desc("count"), "w").limit(60)
+    terms = [r.w for r in words.collect()]
+    terms = [*terms, *[t[1:-1] for t in terms if len(t) > 4], "e", "th", ".", ". ", "zzzz", "paper", "É"]
+    few = [sorted(map(tuple, f(docs, terms).collect())) for f in (M.match_tall, M.ontology_matrix)]
+    for library in (M.ahocorasick, None):
+        monkeypatch.setattr(M, "FEW", 1)
+        monkeypatch.setattr(M, "ahocorasick", library)
+        assert [sorted(map(tuple, f(docs, terms).collect())) for f in (M.match_tall, M.ontology_matrix)] == few
+    assert M.ontology_matrix(docs, terms).columns[:2] == ["paper", terms[0]]
+
+
 def test_rankings_order_and_counts(spark):
     rows = spark.createDataFrame([("p", "b", 1.0), ("q", "b", 0.0), ("p", "a", 0.5), ("p", "a", 0.5), ("q", "c", 0.5)], schemas.CONCEPTS_SHORT)
     assert [tuple(r) for r in C.rankings(rows).collect()] == [("a", 2, 0.5), ("b", 2, 0.5), ("c", 1, 0.5)]
