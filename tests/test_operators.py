@@ -153,3 +153,61 @@ def test_marginal_relevance_of_large_groups(spark, tmp_path):
         centre = v.mean(axis=0)
         want |= {(label, some[i][0]) for i in E.mmr(centre / np.linalg.norm(centre), v, 10)}
     assert {tuple(r) for r in Q.mmr_select(spark, str(tmp_path)).collect()} == want and len(want) == 21
+
+
+#: A published diagram's groups (members, x, y, width, height), its workspace and its page.
+KNOWN_GROUPS = {
+    "materials processing": (7, 529, 60, 534, 255),
+    "sample": (23, 1118, 60, 1059, 325),
+    "recipe": (2, 2288, 440, 359, 115),
+    "result": (15, 60, 895, 884, 255),
+    "analysis": (25, 999, 895, 1059, 395),
+    "results and metadata": (6, 2113, 895, 534, 185),
+}
+KNOWN_WORKSPACE = (60, 440, 2173, 400)
+KNOWN_PAGE = (2707, 1350)
+
+
+def test_known_diagram(spark):
+    rows = [(f"{stage} {i:02}", 1, f"mds:{stage}", "") for stage, (n, *_) in KNOWN_GROUPS.items() for i in range(n)]
+    enriched = spark.createDataFrame(rows, f"concept string, doc_frequency long, `{G.STAGE_COLUMN}` string, `{G.LEVEL_COLUMN}` string")
+    drawn = L.stage_of(enriched)
+    grouped = L.groups(drawn)
+    assert {r.stage: (r.n, r.x, r.y, r.w, r.h) for r in L.place_groups(grouped).collect()} == KNOWN_GROUPS
+    c = L.canvas(grouped).first()
+    assert (c.cx, c.cy, c.centre_w, c.centre_h) == KNOWN_WORKSPACE and (c.canvas_w, c.canvas_h) == KNOWN_PAGE
+    from xml.etree import ElementTree as ET
+
+    from siltstone.sinks import diagram
+
+    root = ET.fromstring(diagram.diagram_xml(enriched))
+    box = lambda cell: tuple(int(cell[0].get(k)) for k in ("x", "y", "width", "height"))
+    cells = {c.get("id"): c for c in root.iter("mxCell") if len(c)}
+    assert {k: box(v) for k, v in cells.items() if k.startswith("grp-")} == {"grp-" + s.replace(" ", "_"): v[1:] for s, v in KNOWN_GROUPS.items()}
+    nodes = [c for k, c in cells.items() if k.startswith("concept-")]
+    assert len(nodes) == 78 and len({(c.get("parent"), box(c)) for c in nodes}) == 78
+    for parent, ids in {p: sorted(int(c.get("id")[8:]) for c in nodes if c.get("parent") == p) for p in {c.get("parent") for c in nodes}}.items():
+        assert ids == list(range(ids[0], ids[0] + len(ids)))  # numbered on within a group
+    model = next(root.iter("mxGraphModel"))
+    assert (int(model.get("pageWidth")), int(model.get("pageHeight"))) == KNOWN_PAGE
+
+
+def test_known_ranking(spark):
+    """Means as published, not rounded; of equal frequencies the higher mean first, of equal means by name."""
+    rows = [("a", "crystalline silicon", 0.95), ("a", "cadmium telluride", 0.92), ("b", "cadmium telluride", 0.8), ("b", "crystalline silicon", 0.68), ("a", "cdsete solar cells", 1.0), ("a", "cadmium selenide telluride", 1.0), ("b", "negative", -0.0449)]
+    got = C.rankings(spark.createDataFrame(rows, schemas.CONCEPTS_SHORT)).collect()
+    assert [tuple(r) for r in got] == [("cadmium telluride", 2, 0.8600000000000001), ("crystalline silicon", 2, 0.815), ("cadmium selenide telluride", 1, 1.0), ("cdsete solar cells", 1, 1.0), ("negative", 1, -0.0449)]
+
+
+def test_matrix_invariants(spark):
+    """Columns stand in ranking order, every sentence holds its column's label, and the matrix of a concept file is
+    the same as that of the ranking it was written from."""
+    papers = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select(F.concat(F.lit("p"), "item_id").alias("paper"), F.lit("").alias("doi"), F.col("text").alias("abstract"))
+    rows, ranked, matrix = W.local_analytics(papers, columns=40)
+    per_paper = rows.groupBy("paper").agg(F.count("concept").alias("n"), F.countDistinct("concept").alias("d")).collect()
+    assert all(r.n == r.d <= 20 for r in per_paper)
+    assert matrix.columns[1:] == [r.concept for r in ranked.limit(40).collect()]
+    cells = [(c, s) for r in matrix.collect() for c in matrix.columns[1:] for s in r[c].split(" | ") if s]
+    assert cells and all(c in s.lower() for c, s in cells)
+    custom = W.custom_matrix(papers, ranked.limit(40).select(F.upper("concept").alias("Concept")))
+    assert sorted(map(tuple, custom.select(matrix.columns).collect())) == sorted(map(tuple, matrix.collect()))
