@@ -81,6 +81,12 @@ def _path(spark: SparkSession, path: str):
     return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
 
 
+def quoted(names: list[str]) -> list[str]:
+    """Column names as ``select`` takes them literally, dots and all. (``mapInArrow`` takes no dots even
+    so: rename first.)"""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
 def distinct(values: np.ndarray) -> np.ndarray:
     """Sorted distinct numbers; sorting beats the hash table that ``np.unique`` takes for them."""
     values = np.sort(values)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import new_name, shuffle_partitions, staged
+from .common import new_name, quoted, shuffle_partitions, staged
 from .tokens import WordBpe, load
 
 CAPACITY = 2048
@@ -172,14 +172,15 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, per_bucket: int = PER_BUCKET)
 
     def run(batches):
         for batch in batches:
-            v, b, i = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", start, nth))
+            v, b, i = (batch.column(c).to_numpy() for c in (kept.index("length"), -2, -1))
             key = (v << 48) + b + i - 1
             at = np.searchsorted(keys, key, "right") - 1
-            same = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays([*same, pa.array(first[at] + key - keys[at]), pa.array(offset[at])], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(first[at] + key - keys[at]), pa.array(offset[at])], names)
 
     numbered = salted.withColumn(nth, F.row_number().over(Window.partitionBy("length", bucket).orderBy(salt)).cast("long"))
-    return numbered.join(starts, ["length", bucket]).select(*[f"`{c}`" for c in kept], start, nth).mapInArrow(run, schema)
+    # both sides lie and are sorted by length and bucket, so a merge moves only the starts, of any size
+    placed = numbered.join(starts.hint("merge"), ["length", bucket]).select(*quoted(kept), start, nth)
+    return placed.toDF(*[f"c{i}" for i in range(len(kept) + 2)]).mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
