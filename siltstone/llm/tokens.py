@@ -17,6 +17,8 @@ ids left and right of it are independent.
 from __future__ import annotations
 
 import base64
+import ctypes
+import gc
 import os
 import re
 
@@ -56,8 +58,14 @@ def load(kind, path: str, *more):
 
 def forget() -> None:
     """Gives a worker's vocabularies and caches back. Workers outlive stages, so stages that need
-    their memory for other things call this first."""
+    their memory for other things call this first. Freed memory goes back to the system where the C
+    library can do that, as a worker would otherwise keep its largest task's share for ever."""
     _loaded.clear()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 def _library(path: str):
