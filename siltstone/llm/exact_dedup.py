@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import new_name, staged
 
 #: Bounds of the broadcast winners and of the sketch.
 MAX_FREQUENT, TRACKED = 2048, 16384
@@ -58,18 +58,31 @@ def exact_dedup(docs: DataFrame, max_frequent: int = MAX_FREQUENT, tracked: int
     )
 
 
-def drop_exact_copies(docs: DataFrame) -> DataFrame:
+def drop_exact_copies(docs: DataFrame, max_frequent: int = MAX_FREQUENT, tracked: int = TRACKED) -> DataFrame:
     """One row of each group of equal texts: that of the smallest id, all columns of ``docs``.
 
-    A row is told by its id and text together, so texts that share an id are judged each for itself;
-    rows that repeat both are one row, any of them.
+    Null texts equal empty ones; a null id is larger than any other. A row is told by its id and text
+    together, so texts that share an id are judged each for itself; rows that repeat both are one row,
+    any of them. Columns may have any names. An empty table gives an empty result.
+
+    No text is shuffled: rows are split into those whose id has a row to drop and those to keep as
+    they are, and only of ids with several rows are the digests told apart.
     """
-    kept = staged(exact_dedup(docs).where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).count())
-    marked = docs.withColumn("_text_sha", F.lower(F.hex(text_digest(F.col("text")))))
-    out = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha")), "left_semi")
-    if not kept.where("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "_text_sha"])
-    return out.drop("_text_sha")
+    doc_id, digest, keep, rows, several = (new_name(docs, n) for n in ("id", "digest", "keep", "rows", "several"))
+    found = staged(with_keeper(staged(docs.select("doc_id", text_digest(F.col("text")).alias("digest"))), max_frequent, tracked))
+    # by id: does any row go, and do rows of the same id differ in what becomes of them?
+    gone = found.withColumn("goes", (~F.col("doc_id").eqNullSafe(F.col("keep_id"))).cast("int")).groupBy("doc_id").agg(F.max("goes").alias("goes"), F.count(F.lit(1)).alias("n"))
+    gone = staged(gone.where("goes = 1 OR n > 1").select(F.col("doc_id").alias(doc_id), (F.col("n") > 1).alias(several)))
+    same = F.col("doc_id").eqNullSafe(F.col(doc_id))
+    out = docs.join(gone, same, "left_anti")
+    twice = gone.where(several)
+    if twice.isEmpty():
+        return out
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias(doc_id), F.col("digest").alias(keep)).distinct()
+    kept = staged(kept.join(twice.select(F.col(doc_id).alias(rows)), F.col(doc_id).eqNullSafe(F.col(rows)), "left_semi"))
+    some = docs.join(twice, same, "left_semi").withColumn(digest, text_digest(F.col("text")))
+    some = some.join(kept, F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.col(digest) == F.col(keep)), "left_semi")
+    return out.unionByName(some.dropDuplicates(["doc_id", digest]).drop(digest))
 
 
 ORACLE = """
