@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import shuffle_partitions, staged
+from .common import distinct, shuffle_partitions, staged
 from .components import components
 
 RADIUS, SHINGLE, TREE = 4, 4, 4096
 #: Sketches this near to the asked similarity do not decide: about three and a half deviations.
 DOUBT = 0.085
+#: How often a large shard is dealt again by further smallest values.
+LEVELS = 2
 #: Shingles of the whole sets that a shard's tree may hold.
 SHINGLES = 1 << 21
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -95,7 +97,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
     """Sorted distinct shingle hashes of the whole text; none without a word."""
     found = list(_digests(text, shingle))
-    return np.unique(np.concatenate(found).astype(np.uint64)) if found else np.zeros(0, np.uint64)
+    return distinct(np.concatenate(found).astype(np.uint64)) if found else np.zeros(0, np.uint64)
 
 
 def set_fingerprint(hashes: np.ndarray) -> int:
@@ -369,12 +371,14 @@ def _link(stars, rows: int = 1 << 16, size: int = 1 << 25):
     return run
 
 
-def _linked(keyed: DataFrame, tree: int, stars, more: list[str] = [], weight=None) -> DataFrame:
+def _linked(keyed: DataFrame, tree: int, stars, more: list[str] = [], weight=None, large: DataFrame | None = None) -> DataFrame:
     """a, b, sure: what ``stars`` finds within the shards of ``keyed(fp, rep, key, *more)``. Shards of
-    more than ``tree`` members, or of a ``weight`` over ``SHINGLES``, are cut into pieces."""
-    share = F.count(F.lit(1)) / tree
-    share = share if weight is None else F.greatest(share, F.sum(weight) / SHINGLES)
-    large = keyed.groupBy("key").agg(F.ceil(share).cast("int").alias("pieces")).where("pieces > 1")
+    more than ``tree`` members, or of a ``weight`` over ``SHINGLES``, are cut into pieces; ``large(key,
+    pieces)`` names them if they are known."""
+    if large is None:
+        share = F.count(F.lit(1)) / tree
+        share = share if weight is None else F.greatest(share, F.sum(weight) / SHINGLES)
+        large = keyed.groupBy("key").agg(F.ceil(share).cast("int").alias("pieces")).where("pieces > 1")
     own = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("pieces")).cast("int")
     dealt = (
         keyed.join(large, "key", "left")
@@ -413,12 +417,37 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long, hashes array<long>")
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 20, keys: int = 6, tree: int = TREE) -> DataFrame:
+def _dealt(rows: DataFrame, keys: int, large: list[DataFrame]) -> DataFrame:
+    """Rows of ``rows(fp, rep, keys, ...)`` once for each shard: key, and nth, which of the first ``keys``
+    smallest values it shares. A shard named in ``large[i]`` is dealt again by the next ``keys`` values."""
+    out = rows.select("*", F.posexplode(F.slice("keys", 1, keys)).alias("nth", "least")).withColumn("key", F.xxhash64("nth", "least"))
+    for level, big in enumerate(large, 1):
+        finer = F.transform(F.slice("keys", keys * level + 1, keys), lambda x, i: F.xxhash64(F.col("key"), i, x))
+        out = out.join(big, "key", "left").withColumn("key", F.explode(F.when(F.col("big"), finer).otherwise(F.array("key")))).drop("big")
+    return out.withColumn("keys", F.slice("keys", 1, keys))
+
+
+def _large(rows: DataFrame, keys: int, tree: int, levels: int) -> tuple[list[DataFrame], DataFrame]:
+    """(key, big) of the shards of each level that hold more than ``tree`` members, and (key, pieces) of
+    those that do so after the last one."""
+    large: list[DataFrame] = []
+    while True:
+        pieces = F.ceil(F.count(F.lit(1)) / tree).cast("int").alias("pieces")
+        sizes = staged(_dealt(rows.select("fp", "rep", "keys"), keys, large).groupBy("key").agg(pieces).where("pieces > 1"))
+        if len(large) == levels or sizes.isEmpty():
+            return large, sizes
+        large.append(sizes.select("key", F.lit(True).alias("big")))
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 20, keys: int = 6, tree: int = TREE, levels: int = LEVELS) -> DataFrame:
     """doc_id, component_id: documents linked by a similarity of their shingle sets.
 
     A radius that reaches Jaccard similarities of 0.8 is a third of the fingerprint, too wide to
     shard by its bits. Here the shards of the BK-trees are the documents that share one of ``keys``
-    smallest shingle hashes (a pair at 0.8 shares none with a chance of 0.2 ** keys, less above).
+    smallest shingle hashes (a pair at 0.8 shares none with a chance of 0.2 ** keys, less above). A
+    common shingle makes a shard of documents that share little else, so one of more than ``tree``
+    members is dealt again by ``keys`` further smallest values, up to ``levels`` times (at the same
+    chance each); what is larger even then shares so many values that its members are mostly alike.
     Fingerprints count each shingle once here, as the similarity does, so repeats move nothing.
     Pairs within the radius whose sketches agree in clearly more orders than ``similarity`` are
     linked. Pairs within ``DOUBT`` of it are settled by whole sets: each shard names the members of
@@ -426,12 +455,13 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     where every open pair is compared unless its ends are joined already. Pairs never leave a task.
     Nulls, blanks, repeats and ids as in :func:`near_duplicates`.
     """
-    found = staged(sketched(docs, shingle, keys))
+    found = staged(sketched(docs, shingle, keys * (1 + levels)))
     distinct = staged(found.groupBy("fp", "sig").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
     more = ["sig", "nth", "keys"]
-    dealt = lambda rows: rows.select("*", F.posexplode("keys").alias("nth", "least")).withColumn("key", F.xxhash64("nth", "least"))
     named = distinct.where("rep IS NOT NULL")
-    edges = staged(_linked(dealt(named).select("fp", "rep", "key", *more), tree, partial(_sure_stars, radius=radius, similarity=similarity), more))
+    large, pieces = _large(named, keys, tree, levels)
+    dealt = _dealt(named, keys, large).select("fp", "rep", "key", *more)
+    edges = staged(_linked(dealt, tree, partial(_sure_stars, radius=radius, similarity=similarity), more, large=pieces))
     sure = staged(components(edges.where("sure").select("a", "b")))
     asked = edges.where("NOT sure").select(F.col("a").alias("rep"), F.col("b").alias("key")).distinct()
     asked = staged(asked.join(sure, asked["rep"] == sure["node"], "left").select("rep", "key", F.coalesce("component", "rep").alias("part")))
@@ -440,13 +470,13 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     members = asked.select("rep").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members, "rep", "left_semi")
     sets = shingle_sets(texts.withColumnRenamed("rep", "doc_id"), shingle).groupBy(F.col("doc_id").alias("rep"), "fp").agg(F.first("hashes").alias("hashes"))
-    with_sets = dealt(named.join(members, "rep", "left_semi")).join(asked, ["rep", "key"]).join(staged(sets), ["rep", "fp"])
+    with_sets = _dealt(named.join(members, "rep", "left_semi"), keys, large).join(asked, ["rep", "key"]).join(staged(sets), ["rep", "fp"])
     settled = partial(_settled_stars, radius=radius, similarity=similarity)
     joined = _linked(with_sets.select("fp", "rep", "key", *more, "part", "hashes"), tree, settled, [*more, "part", "hashes"], F.size("hashes"))
     more = components(joined.select("a", "b"))
     named = distinct.join(sure, distinct["rep"] == sure["node"], "left").select("fp", "sig", F.coalesce("component", "rep").alias("part"))
     named = named.join(more, named["part"] == more["node"], "left").select("fp", "sig", F.coalesce("component", "part").alias("component_id"))
-    return found.join(named, ["fp", "sig"]).select("doc_id", "component_id")
+    return found.select("doc_id", "fp", "sig").join(named, ["fp", "sig"]).select("doc_id", "component_id")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tree: int = TREE) -> DataFrame:
