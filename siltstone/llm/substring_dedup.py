@@ -45,7 +45,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct, staged
+from .common import distinct, quoted, staged
 from . import tokens
 from .exact_dedup import MAX_FREQUENT, TRACKED, with_keeper
 
@@ -120,13 +120,13 @@ def pack_runs(docs: DataFrame, run_bytes: int) -> DataFrame:
             yield _run_row(held, size)
 
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), *rest).mapInArrow(run, "n_bytes long, body binary")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), *quoted(rest)).toDF(*[f"c{i}" for i in range(len(rest) + 2)]).mapInArrow(run, "n_bytes long, body binary")
     return staged(rows.withColumn("run", F.monotonically_increasing_id()))
 
 
 def _run_row(held: list[pa.RecordBatch], size: int) -> pa.RecordBatch:
     body = pa.Table.from_batches(held)
-    body = body.set_column(1, "text", pc.fill_null(body.column(1), b"").cast(pa.large_binary())).combine_chunks()
+    body = body.set_column(1, "c1", pc.fill_null(body.column(1), b"").cast(pa.large_binary())).combine_chunks()
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, body.schema) as w:
         w.write_table(body)
@@ -490,8 +490,8 @@ def cut_texts(docs: DataFrame, length: int = LENGTH, run_bytes: int | None = Non
         texts = [data[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
         return pa.table([batch.column(0), pa.array(texts, pa.string()), *batch.columns[2:]], columns)
 
-    typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *columns[2:])
-    return _judged(typed, length, run_bytes, shape, typed.schema).select(docs.columns)
+    typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *quoted(columns[2:]))
+    return _judged(typed, length, run_bytes, shape, typed.schema).select(quoted(docs.columns))
 
 
 def _run_size(docs: DataFrame) -> int:
