@@ -10,7 +10,9 @@ from __future__ import annotations
 import json
 import re
 import time
-from collections import Counter
+import zlib
+from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
@@ -39,16 +41,19 @@ def candidates(text: str, longest: int = 3) -> list[str]:
     return list(dict.fromkeys(" ".join(words[i : i + n]) for n in range(1, longest + 1) for i in range(len(words) - n + 1)))
 
 
-def hashed_vector(text: str, size: int = 256) -> np.ndarray:
-    """Unit vector of character trigrams: a stand-in for a sentence embedding."""
-    import zlib
-
-    v = np.zeros(size)
-    padded = f" {text.lower()} "
-    for g, c in Counter(padded[i : i + 3] for i in range(len(padded) - 2)).items():
-        v[zlib.crc32(g.encode()) % size] += c
-    n = np.linalg.norm(v)
-    return v / n if n else v
+def hashed_vectors(texts: list[str], size: int = 256) -> np.ndarray:
+    """Unit vectors of character trigrams: a stand-in for sentence embeddings."""
+    slot: dict[str, int] = {}
+    at: list[int] = []
+    for i, text in enumerate(texts):
+        padded, base = f" {text.lower()} ", size * i
+        for k in range(len(padded) - 2):
+            g = padded[k : k + 3]
+            if (b := slot.get(g)) is None:
+                b = slot[g] = zlib.crc32(g.encode()) % size
+            at.append(base + b)
+    v = np.bincount(np.array(at, np.int64), minlength=size * len(texts)).reshape(-1, size).astype(np.float64)
+    return v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
 
 
 def mmr(doc: np.ndarray, vectors: np.ndarray, top_n: int, diversity: float = 0.5) -> list[int]:
@@ -135,22 +140,26 @@ def mmr_groups(df: DataFrame, group: str, key: str, vector: str, top_n: int, div
     return spark.createDataFrame(picked, f"`{group}` {types['g']}, `{key}` {types['k']}")
 
 
-def keyphrases(text: str, top_n: int = 20, diversity: float = 0.5, embed=hashed_vector) -> list[tuple[str, float]]:
-    """(phrase, score) by MMR, best score first; scores rounded to four digits."""
+def keyphrases(text: str, top_n: int = 20, diversity: float = 0.5, embed=hashed_vectors) -> list[tuple[str, float]]:
+    """(phrase, score) by MMR, best score first; scores rounded to four digits. ``embed`` gives the unit
+    vectors of a list of texts."""
     phrases = candidates(text)
     if not phrases:
         return []
-    doc, vectors = embed(text), np.array([embed(p) for p in phrases])
+    doc, vectors = embed([text])[0], embed(phrases)
     chosen = mmr(doc, vectors, top_n, diversity)
     return sorted(((phrases[i], round(float(vectors[i] @ doc), 4)) for i in chosen), key=lambda x: (-x[1], x[0]))
 
 
+@dataclass(frozen=True)
 class Offline:
     """Deterministic rules: concepts are keyphrases; a value is left empty and quoted by the first
     sentence that names the concept; a record takes what the context states."""
 
+    embed: Callable[[list[str]], np.ndarray] = hashed_vectors
+
     def concepts(self, text: str, top_n: int) -> list[dict]:
-        return [{"canonical": p, "paper_term": p, "relevance": s} for p, s in keyphrases(text, top_n)]
+        return [{"canonical": p, "paper_term": p, "relevance": s} for p, s in keyphrases(text, top_n, embed=self.embed)]
 
     def values(self, text: str, concepts: list[str]) -> list[dict]:
         sents = re.split(r"(?<=[.!?])\s+", text)
@@ -186,9 +195,18 @@ def _rows(df: DataFrame, of, schema: str, names: list[str], delay_s: float = 0.0
     return df.mapInPandas(run, schema)
 
 
-def phrase_table(papers: DataFrame, text: str = "abstract", least_words: int = 1, longer_than: int = 4) -> DataFrame:
-    """paper, phrases."""
-    return papers.where(~X.missing(F.col(text))).select("paper", X.noun_phrases(F.col(text), least_words, longer_than).alias("phrases"))
+def phrase_table(papers: DataFrame, text: str = "abstract", least_words: int = 1, longer_than: int = 4, chunker: Callable[[str, int, int], list[str]] | None = None) -> DataFrame:
+    """paper, phrases: by built-in functions, or by a parser's ``chunker`` (see ``models``)."""
+    if chunker is None:
+        phrases = X.noun_phrases(F.col(text), least_words, longer_than)
+    else:
+
+        @F.pandas_udf("array<string>")
+        def chunked(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: chunker(t or "", least_words, longer_than))
+
+        phrases = chunked(F.col(text))
+    return papers.where(~X.missing(F.col(text))).select("paper", phrases.alias("phrases"))
 
 
 def concept_table(papers: DataFrame, extractor: Extractor, top_n: int = 25, text: str = "abstract", delay_s: float = 0.0) -> DataFrame:

@@ -34,9 +34,10 @@ def _all_labels(df: DataFrame, most: int) -> list[str]:
     return sorted(found)
 
 
-def vocabulary_analytics(papers: DataFrame, top_n: int = 80, least: int = 2, least_words: int = 1, longer_than: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(matrix of the vocabulary's phrases, phrase frequencies). ``papers(paper, abstract)``."""
-    phrases = E.phrase_table(papers, least_words=least_words, longer_than=longer_than)
+def vocabulary_analytics(papers: DataFrame, top_n: int = 80, least: int = 2, least_words: int = 1, longer_than: int = 4, chunker=None) -> tuple[DataFrame, DataFrame]:
+    """(matrix of the vocabulary's phrases, phrase frequencies). ``papers(paper, abstract)``; ``chunker`` as of
+    :func:`extraction.phrase_table`."""
+    phrases = E.phrase_table(papers, least_words=least_words, longer_than=longer_than, chunker=chunker)
     frequency = C.phrase_frequency(phrases)
     vocabulary = C.vocabulary(C.min_docs(frequency, least, top_n), top_n)
     terms = sorted(_labels(vocabulary, top_n))

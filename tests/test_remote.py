@@ -1,8 +1,10 @@
 import json
 import sys
 import types
+import zlib
 from dataclasses import dataclass
 
+import numpy as np
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -158,10 +160,18 @@ def test_readers_of_catalogs_items_and_attachments(spark, tmp_path):
     assert {r.title: r.full_text for r in SP.papers(items, texts).collect()} == {"T": "second"}
 
 
+def slow_vector(text):
+    v = np.zeros(256)
+    padded = f" {text.lower()} "
+    for i in range(len(padded) - 2):
+        v[zlib.crc32(padded[i : i + 3].encode()) % 256] += 1
+    return v / np.linalg.norm(v)
+
+
 def brute_keyphrases(text, n):
     """Each candidate's marginal relevance anew in every round, without matrices."""
     phrases = E.candidates(text)
-    doc, vec = E.hashed_vector(text), {p: E.hashed_vector(p) for p in phrases}
+    doc, vec = slow_vector(text), {p: slow_vector(p) for p in phrases}
     dot = lambda a, b: float((a * b).sum())
     chosen = []
     while phrases and len(chosen) < min(n, len(phrases)):
@@ -220,3 +230,30 @@ def test_batches_of_many_frequencies(spark):
     got = {r.concept: r.batch for r in C.batches(rows, 7).collect()}
     order = sorted((r.concept, r.doc_frequency) for r in rows.collect())
     assert got == {c: i // 7 for i, (c, _) in enumerate(sorted(order, key=lambda x: (-x[1], x[0])))}
+
+
+def test_installed_models_take_the_rules_place(spark, monkeypatch):
+    from siltstone.operators import models
+
+    for load, library in ((models.noun_chunker, "spacy"), (models.sentence_embedder, "sentence_transformers")):
+        monkeypatch.setitem(sys.modules, library, None)
+        with pytest.raises(ImportError):
+            load()
+    word = lambda t: types.SimpleNamespace(text=t, pos_={"the": "DET", "it": "PRON"}.get(t.lower(), "NOUN"))
+
+    class Chunk(list):
+        text = property(lambda self: " ".join(w.text for w in self))
+
+    parse = lambda text: types.SimpleNamespace(noun_chunks=[Chunk(map(word, part.split())) for part in text.split(",")])
+    monkeypatch.setitem(sys.modules, "spacy", types.SimpleNamespace(load=lambda model: parse))
+    chunker = models.noun_chunker("m")
+    assert chunker("The Thin Film,it,gap,the thin film,the gap", 1, 4) == ["thin film", "gap"]
+    assert chunker("The Thin Film,it,silicon", 2, 4) == ["thin film"]
+    encoder = types.SimpleNamespace(encode=lambda texts: [[3.0 * len(t), 4.0 * len(t)] for t in texts])
+    monkeypatch.setitem(sys.modules, "sentence_transformers", types.SimpleNamespace(SentenceTransformer=lambda model: encoder))
+    assert np.allclose(models.sentence_embedder("m")(["a", "bcd"]), [[0.6, 0.8], [0.6, 0.8]])
+    papers = spark.createDataFrame([("p", "one, two words,"), ("q", "")], "paper string, abstract string")
+    got = E.phrase_table(papers, chunker=lambda t, least, longer: [x.strip() for x in t.split(",") if len(x) > longer])
+    assert [(r.paper, r.phrases) for r in got.collect()] == [("p", ["two words"])]
+    fixed = E.Offline(embed=lambda texts: np.array([[1.0, 0.0] if "b" in t else [0.0, 1.0] for t in texts]))
+    assert fixed.concepts("alpha beta", 1)[0]["canonical"] == "beta"
