@@ -128,8 +128,16 @@ def round_exact(c: Column, digits: int = 4) -> Column:
 
 
 def title_case(c: Column) -> Column:
-    """A slug as a title."""
-    return F.initcap(F.replace(c, F.lit("_"), F.lit(" ")))
+    """A slug as a title: each run of letters has its first one upper-cased, also after a digit or a mark
+    (``initcap`` looks at spaces only)."""
+    runs = F.split(F.replace(c, F.lit("_"), F.lit(" ")), r"(?<!\p{L})(?=\p{L})")
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substr(r, F.lit(2))))), "")
+
+
+def elapsed(seconds: Column) -> Column:
+    """Whole seconds as ``2m 05s``, or ``42s`` below a minute."""
+    minutes, rest = F.floor(seconds / 60), (seconds % 60).cast("int")
+    return F.when(minutes > 0, F.format_string("%dm %02ds", minutes, rest)).otherwise(F.format_string("%ds", rest))
 
 
 def noun_phrases(text: Column, least_words: int = 1, longer_than: int = 4) -> Column:

@@ -119,6 +119,14 @@ def place_nodes(staged: DataFrame, grouped: DataFrame) -> DataFrame:
     )
 
 
+#: Of every text box in a diagram.
+BOX = "rounded=1;whiteSpace=wrap;html=1;align=center;verticalAlign=middle;"
+
+
+def node_style(fill, stroke) -> "F.Column":
+    return F.concat(F.lit(f"{BOX}fillColor="), fill, F.lit(";strokeColor="), stroke, F.lit(";"))
+
+
 def node_label(concept, stage, level) -> "F.Column":
     """HTML label: the concept, and its tags in small print below."""
     lines = F.transform(F.array_compact(F.array(F.nullif(stage, F.lit("")), F.nullif(level, F.lit("")))), lambda t: F.concat(F.lit("<small>"), t, F.lit("</small>")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
@@ -26,6 +26,13 @@ def chosen_text(papers: DataFrame, most: int = 80_000) -> DataFrame:
     return papers.withColumn("text", F.substring(X.prefer(F.col("full_text"), F.col("abstract")), 1, most))
 
 
+def progress(papers: DataFrame) -> DataFrame:
+    """``papers`` plus progress: ``[i/n] title`` in the collection's order."""
+    inside = Window.partitionBy("collection")
+    place = F.row_number().over(inside.orderBy("pos"))
+    return papers.withColumn("progress", F.format_string("[%d/%d] %s", place, F.count(F.lit(1)).over(inside), F.substring("title", 1, 70)))
+
+
 def existing(df: DataFrame, columns: list[str]) -> DataFrame:
     """The named columns that the table has, in the order named."""
     return df.select(*[F.col(f"`{c}`") for c in columns if c in df.columns])

@@ -99,7 +99,7 @@ def tag_all(spark, folder: str, out: str, on: date, version: int = 6) -> dict[st
     for row in files.discover(spark, folder).collect():
         try:
             stem = X.file_stem_slug(F.lit(row.path))
-            slug, title = spark.range(1).select(stem, X.title_case(stem)).first()
+            slug, title = spark.range(1).select(stem.alias("slug"), X.title_case(stem).alias("title")).first()
             enriched, xml = tag_and_draw(S.read_csv(spark, row.path), title=title)
             tables.write_csv(enriched, f"{out}/{tables.file_name('enriched', slug, 'user', version, on)}", single=True)
             diagram.write_text(spark, xml, f"{out}/{tables.diagram_name(row.path, version, on)}")

@@ -19,6 +19,7 @@ from siltstone.operators import papers as P
 from siltstone.operators import prompts
 from siltstone.operators import tagging as G
 from siltstone.plans import workflows as W
+from siltstone.sinks import tables
 from siltstone.sources import concepts as S
 from siltstone.sources import papers as SP
 from siltstone.streaming import inbox
@@ -472,6 +473,31 @@ def stage_colors(spark, sf):
     return _t(spark, sf, "supplier").select("s_suppkey", color["fill"].alias("fill"), color["stroke"].alias("stroke"))
 
 
+@query("SELECT event_id, CASE WHEN s >= 60 THEN (s // 60) || 'm ' || lpad((s % 60)::VARCHAR, 2, '0') || 's' ELSE s || 's' END AS elapsed FROM (SELECT event_id, event_id * 7 % 7300 AS s FROM events)")
+def elapsed_time(spark, sf):
+    return _t(spark, sf, "events").select("event_id", X.elapsed(F.col("event_id") * 7 % 7300).alias("elapsed"))
+
+
+@query(f"SELECT key, '[' || row_number() OVER (ORDER BY pos) || '/' || count(*) OVER () || '] ' || substr(title, 1, 70) AS progress FROM {DEDUP}")
+def paper_progress(spark, sf):
+    return P.progress(SP.papers(_items(spark, sf)).withColumn("collection", F.lit("c"))).select("key", "progress")
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 20")
+def last_rows(spark, sf):
+    return tables.last_rows(_t(spark, sf, "events").select("event_id", "event_type"), "event_id", 20)
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_mktsegment), 'build') AND contains(c_nationkey::VARCHAR, '1')")
+def grid_filter(spark, sf):
+    return tables.filtered(_t(spark, sf, "customer"), {"c_mktsegment": "Build", "c_nationkey": "1"}).select("c_custkey", "c_name")
+
+
+@query(f"SELECT s_suppkey, '{L.BOX}fillColor=#ffffff;strokeColor=' || CASE WHEN s_suppkey % 2 = 0 THEN '#000000' ELSE '#aaaaaa' END || ';' AS style FROM supplier")
+def node_styles(spark, sf):
+    return _t(spark, sf, "supplier").select("s_suppkey", L.node_style(F.lit("#ffffff"), F.when(F.col("s_suppkey") % 2 == 0, "#000000").otherwise("#aaaaaa")).alias("style"))
+
+
 @query("SELECT p_partkey, replace(lower(p_brand), '#', '') AS slug FROM part")
 def file_stems(spark, sf):
     path = F.concat(F.lit("file:/a.b/concepts_"), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("")), F.lit("-user-v"), "p_size", F.lit(".csv"))

@@ -6,6 +6,7 @@ from datetime import date
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def file_name(kind: str, name: str, user: str, version: int, on: date, end: str = "csv") -> str:
@@ -41,6 +42,18 @@ def write_twice(df: DataFrame, path: str, copy: str, **options) -> None:
     write_csv(again, copy, **options)
 
 
+def filtered(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """Rows whose columns contain the given texts, whatever the case: what a grid's column filters show."""
+    for name, text in wanted.items():
+        df = df.where(F.contains(F.lower(F.col(f"`{name}`").cast("string")), F.lit(text.lower())))
+    return df
+
+
+def last_rows(df: DataFrame, order: str, rows: int = 20) -> DataFrame:
+    """The last rows by a column, in its order; each task hands over that many at most."""
+    return df.orderBy(F.desc(order)).limit(rows).orderBy(order)
+
+
 def preview(df: DataFrame, columns: list[str] | None = None, rows: int = 10) -> str:
     """The first rows as a markdown table."""
     shown = [c for c in columns or df.columns if c in df.columns]

@@ -36,6 +36,12 @@ def test_slug_doi_cell_tags(spark):
     assert one(spark, X.file_stem_slug(F.col("a")), a="/x/concepts_tem-semi-u-v3.csv") == "tem"
 
 
+def test_title_case_and_elapsed(spark):
+    for a in ("tem-semi_2d-films", "o'neil x1y", "ab__c", "", "Éa éB"):
+        assert one(spark, X.title_case(F.col("a")), a=a) == a.replace("_", " ").title()
+    assert [one(spark, X.elapsed(F.lit(s))) for s in (0, 59, 60, 125, 3725)] == ["0s", "59s", "1m 00s", "2m 05s", "62m 05s"]
+
+
 def test_round_is_exact(spark):
     for v in (0.71585, 0.12345, -0.04495, 2.5):
         assert one(spark, X.round_exact(F.col("a")), a=v) == round(v, 4)
