@@ -439,10 +439,10 @@ def _large(rows: DataFrame, keys: int, tree: int, levels: int) -> tuple[list[Dat
         large.append(sizes.select("key", F.lit(True).alias("big")))
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 20, keys: int = 6, tree: int = TREE, levels: int = LEVELS) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 26, keys: int = 8, tree: int = TREE, levels: int = LEVELS) -> DataFrame:
     """doc_id, component_id: documents linked by a similarity of their shingle sets.
 
-    A radius that reaches Jaccard similarities of 0.8 is a third of the fingerprint, too wide to
+    A radius that reaches Jaccard similarities of 0.8 with certainty is two fifths of the fingerprint, too wide to
     shard by its bits. Here the shards of the BK-trees are the documents that share one of ``keys``
     smallest shingle hashes (a pair at 0.8 shares none with a chance of 0.2 ** keys, less above). A
     common shingle makes a shard of documents that share little else, so one of more than ``tree``
