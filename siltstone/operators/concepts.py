@@ -10,7 +10,8 @@ from siltstone.functions import text as X
 
 def phrase_frequency(phrases: DataFrame) -> DataFrame:
     """concept, doc_frequency from ``phrases(paper, phrases array)``: each phrase once for a paper."""
-    one = phrases.select(F.explode(F.array_distinct("phrases")).alias("concept"))
+    # an outer explode: for the other kind the planner computes the phrases once more, to drop empty ones
+    one = phrases.select(F.explode_outer(F.array_distinct("phrases")).alias("concept")).where("concept IS NOT NULL")
     return one.groupBy("concept").agg(F.count(F.lit(1)).alias("doc_frequency"))
 
 

@@ -63,7 +63,8 @@ def match_tall(papers: DataFrame, terms: list[str], text: str = "text", key: str
         return _many(split, terms, key).select(key, F.inline("hits")).select(key, F.get(F.array(*map(F.lit, terms)), F.col("term")).alias("concept"), "sentences")
     hits = F.transform(F.array(*[F.lit(t) for t in terms]), lambda t: F.struct(t.alias("concept"), X.matching(F.col("_s"), t).alias("found")))
     hits = F.filter(hits, lambda h: F.size(h["found"]) > 0)
-    return split.select(key, F.explode(hits).alias("h")).select(key, "h.concept", F.array_join("h.found", X.CELL).alias("sentences"))
+    # an outer explode: for the other kind the planner computes the hits once more, to drop empty ones
+    return split.select(key, F.explode_outer(hits).alias("h")).where("h IS NOT NULL").select(key, "h.concept", F.array_join("h.found", X.CELL).alias("sentences"))
 
 
 def pivot_wide(tall: DataFrame, key: str, concepts: list[str], column: str, base: list[str] | None = None) -> DataFrame:

@@ -538,7 +538,7 @@ DOC_PHRASES = _phrases_sql("text", "documents", "'doc-' || doc_id")
 
 @query(f"SELECT paper, phrase FROM {DOC_PHRASES}")
 def noun_phrases_offline(spark, sf):
-    return E.phrase_table(_papers(spark, sf), "text").select("paper", F.explode("phrases").alias("phrase"))
+    return E.phrase_table(_papers(spark, sf), "text").select("paper", F.explode_outer("phrases").alias("phrase")).where("phrase IS NOT NULL")
 
 
 def _abstract_documents(spark, sf):
