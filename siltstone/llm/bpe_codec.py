@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import LAST_STABLE, STABLE, ByteBpe, load
+from .tokens import LAST_STABLE, STABLE, ByteBpe, load, slices
 
 MASK, CACHE = 511, 8 << 20
 
@@ -99,8 +99,7 @@ def _mapped(docs: DataFrame, path: str, ranks_path: str | None, schema: str, sha
     def run(batches):
         codec = ChunkCodec(load(ByteBpe, path, ranks_path))
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, 1):
                 rows = []
                 for spans in codec.encode([t or b"" for t in part.column(1).to_pylist()]):
                     a, b = shape(",".join(s[0] for s in spans), b"".join(s[2] for s in spans).decode("utf-8", "replace"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import new_name, quoted, shuffle_partitions, staged
-from .tokens import WordBpe, load
+from .tokens import WordBpe, load, slices, trim
 
 CAPACITY = 2048
 #: Pieces of a bucket on average, and buckets of a length at most (by then 10 ** 12 pieces of a length).
@@ -35,10 +35,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
+        trim()
         bpe = load(WordBpe, path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(at, 256), []
+            for part in slices(batch, 1):
+                rows = []
                 encoded = bpe.encode_all([t or "" for t in part.column(1).to_pylist()])
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoded):
                     ids += tail

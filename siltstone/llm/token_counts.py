@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import STABLE, ByteBpe, load
+from .tokens import STABLE, ByteBpe, load, slices
 
 CHUNK, OVERLAP = 1 << 14, 128
 
@@ -76,8 +76,7 @@ def token_counts(docs: DataFrame, path: str, ranks_path: str | None = None, limi
     def run(batches):
         bpe = load(ByteBpe, path, ranks_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, 1):
                 texts = [t or b"" for t in part.column(1).to_pylist()]
                 short = [i for i, t in enumerate(texts) if len(t) <= chunk]
                 counts = np.zeros(len(texts), np.int64)

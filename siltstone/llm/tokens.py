@@ -23,6 +23,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 OTHER_ALPHABET = re.compile("[^\t\n\r -~À-įı-ɏ]|<\\|")
 #: UTF-8 of letters whose class has never changed: Latin, Greek, Cyrillic, Hebrew, Arabic, Thai, kana,
@@ -58,16 +60,33 @@ def load(kind, path: str, *more):
 
 def forget() -> None:
     """Gives a worker's vocabularies and caches back. Workers outlive stages, so stages that need
-    their memory for other things call this first. Freed memory goes back to the system where the C
-    library can do that, as a worker would otherwise keep its largest task's share for ever."""
+    their memory for other things call this first."""
     _loaded.clear()
+    trim()
+
+
+def trim() -> None:
+    """Freed memory goes back to the system where the C library can do that, as a worker would otherwise
+    keep its largest task's share for ever."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
         pass
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int = 256, size: int = 4 << 20):
+    """A batch in slices of at most ``rows`` rows and, unless it is one row, ``size`` bytes of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        held = ends[at - 1] if at else 0
+        end = min(max(at + 1, int(np.searchsorted(ends, held + size, "right"))), at + rows, batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _library(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -130,6 +149,7 @@ class WordBpe:
     """Ids as little-endian unsigned 32-bit bytes. Words of the plain alphabet are encoded once and
     cached, up to ``most`` of them at a time; other texts go to the library whole."""
 
+    SPACE, LONG = re.compile("[ \t\n\r]"), 1 << 20
     WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ɏ]+|[0-9]|[^\\sa-z0-9ß-öø-ɏ]+")
 
     def __init__(self, path: str, most: int = 600_000):
@@ -149,7 +169,19 @@ class WordBpe:
             raw = ids.tobytes()
             self.cache.update(zip(part, (raw[a:b] for a, b in zip([0, *ends], ends))))
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
+    def _long(self, text: str) -> bytes:
+        """A text in pieces that begin with white space, which no word crosses."""
+        out, at = [], 0
+        while at < len(text):
+            end = self.SPACE.search(text, at + self.LONG)
+            end = end.start() if end else len(text)
+            out += self.encode_all([text[at:end]], whole=True)
+            at = end
+        return b"".join(out)
+
+    def encode_all(self, texts: list[str], whole: bool = False) -> list[bytes]:
+        if not whole and any(len(t) > self.LONG for t in texts):
+            return [self._long(t) if len(t) > self.LONG and not OTHER_ALPHABET.search(t) else self.encode_all([t], whole=True)[0] for t in texts]
         split = [None if OTHER_ALPHABET.search(t) else self.WORDS.findall(t.lower()) for t in texts]
         new = set().union(*(w for w in split if w)).difference(self.cache)
         if len(self.cache) + len(new) > self.most:
