@@ -257,3 +257,18 @@ def test_installed_models_take_the_rules_place(spark, monkeypatch):
     assert [(r.paper, r.phrases) for r in got.collect()] == [("p", ["two words"])]
     fixed = E.Offline(embed=lambda texts: np.array([[1.0, 0.0] if "b" in t else [0.0, 1.0] for t in texts]))
     assert fixed.concepts("alpha beta", 1)[0]["canonical"] == "beta"
+
+
+def test_schema_found_unaided_against_brute_force(spark):
+    import re
+
+    from siltstone import queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    texts = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    labels = {r.canonical for r in E.concept_table(Q._abstracts(spark, sf), E.Offline(), Settings().top_n).collect()}
+    terms = sorted(labels)[:80]
+    got = Q.queries()["discover_schema_unaided"](spark, sf)
+    assert got.columns == ["domain", "doi", *terms]
+    first = lambda t, c: next((s for s in re.split(r"(?<=[.!?])\s+", t) if c in s.lower()), "")
+    assert sorted(map(tuple, got.collect())) == sorted(("benchmark", "", *(first(t, c) for c in terms)) for t in texts)
