@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, packing, quality, sharding, simhash, substring_dedup, token_counts, topk_search, url_filter
+from . import bpe_codec, exact_dedup, lexical_search, packing, quality, sharding, simhash, substring_dedup, token_counts, topk_search, url_filter
 from .common import table
 from .tokens import default_path
 
@@ -50,9 +50,13 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), default_path("byte_bpe_50k.json"), default_path("byte_bpe_50k.tiktoken"))
 
 
+def op11_lexical_search(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_topk_search, op2_exact_dedup, op3_quality, op4_sharding, op5_bpe_codec, op6_url_filter, op7_simhash, op8_packing, op9_substring_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_topk_search, op2_exact_dedup, op3_quality, op4_sharding, op5_bpe_codec, op6_url_filter, op7_simhash, op8_packing, op9_substring_dedup, op10_token_counts, op11_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": topk_search.ORACLE, "op2_exact_dedup": exact_dedup.ORACLE, "op4_sharding": sharding.ORACLE}
+    return {"op1_topk_search": topk_search.ORACLE, "op2_exact_dedup": exact_dedup.ORACLE, "op4_sharding": sharding.ORACLE, "op11_lexical_search": lexical_search.ORACLE}
