@@ -1,0 +1,97 @@
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from siltstone.llm import queries as Q
+from siltstone.llm import spelling as S
+
+RUNS = re.compile("[A-Za-zÀ-ÿ]+")
+SMALL = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def one_edit(a: str, b: str) -> bool:
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    if len(b) != len(a) + 1:
+        return False
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[i:] == b[i + 1 :]
+
+
+def brute(docs):
+    n = Counter()
+    for d, t in docs:
+        for run in RUNS.findall(t or ""):
+            run = run.translate(SMALL)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            n[run] += 1
+    n = {w: k for w, k in n.items() if len(w) >= 7 and k >= 2}
+    by_size = {}
+    for w in n:
+        by_size.setdefault(len(w), []).append(w)
+    form, near = {}, {}
+    for w in n:
+        near[w] = [x for s in (-1, 0, 1) for x in by_size.get(len(w) + s, ()) if one_edit(w, x)]
+        best = min(near[w], key=lambda x: (-n[x], x), default=None)
+        if best and n[best] >= 10 * n[w]:
+            form[w] = best
+    out = []
+    for w in n:
+        root = w
+        while root in form:
+            root = form[root]
+        out.append((w, form.get(w), root, n[w], len(near[w]), n[form[w]] if w in form else None))
+    return sorted(out, key=repr)
+
+
+def found(df):
+    return sorted((tuple(r) for r in S.variants(df).select("word", "form", "root", "n", "n_near", "form_n").collect()), key=repr)
+
+
+def frame(spark, docs):
+    return spark.createDataFrame(docs, "doc_id long, text string").withColumn("n", F.lit("x")).withColumn("word", F.lit(1)).withColumn("h.x", F.lit(2))
+
+
+def test_whole_table_by_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    want = brute(docs)
+    assert found(spark.read.parquet(f"{sf}/documents.parquet")) == want and any(r[1] for r in want)
+    assert Q.op13_spelling(spark, sf).count() == len(want)
+
+
+@pytest.mark.parametrize("bits", [None, 1 << 16, 64])
+def test_chains_ties_and_repeated_letters(spark, monkeypatch, bits):
+    """Words one edit apart in chains of counts, with runs of one letter; a filter that passes nearly all changes nothing."""
+    r = random.Random(5)
+    base = ["aaaaaaaa", "aaaaaaab", "naïvement", "letters", "öööööööö", "abcdefgh", "abcdefg"]
+    words = Counter({w: n for w, n in zip(base, (1000, 60, 300, 40, 5, 90, 8))})
+    for w in base:
+        for _ in range(25):
+            i, x = r.randrange(len(w)), r.choice("abïöÿ×Z")
+            words[r.choice([w[:i] + w[i + 1 :], w[:i] + x + w[i + 1 :], w[:i] + x + w[i:]])] += r.choice([1, 2, 2, 3, 25])
+    docs = [(i, " ".join([w.upper() if w.isascii() and i % 2 else w] * (n // 3 + (i < n % 3)))) for w, n in words.items() for i in range(3)]
+    pairs = S.pairs
+    monkeypatch.setattr(S, "pairs", lambda words: pairs(words, bits and max(bits, 1 << 15)))
+    want = brute(docs)
+    assert found(frame(spark, docs)) == want
+    assert any(a[1] and a[1] != a[2] for a in want)
+
+
+def test_odd_rows(spark):
+    long = "abcdefghij" * 3000
+    docs = [(1, None), (2, ""), (3, "12 short _"), (None, "Wordless wordless"), (None, "wordless"), (5, "wordles wordles wordless"), (5, "wordles wordles wordless")]
+    docs += [(6, long), (7, long + " " + long[1:]), (8, long[1:] + "," + long[:77] + "x" + long[78:]), (9, long[:77] + "x" + long[78:])] + [(i, f"{long}.") for i in range(20, 45)]
+    assert found(frame(spark, docs)) == brute(docs)
+
+
+def test_empty_table(spark):
+    assert found(frame(spark, [])) == []
+    assert found(frame(spark, [(1, "only here")])) == []
