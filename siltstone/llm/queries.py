@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, lexical_search, packing, quality, sharding, simhash, spelling, substring_dedup, token_counts, topk_search, url_filter
+from . import ann_search, bpe_codec, exact_dedup, lexical_search, packing, quality, sharding, simhash, spelling, substring_dedup, token_counts, topk_search, url_filter
 from .common import table
 from .tokens import default_path
 
@@ -54,12 +54,16 @@ def op11_lexical_search(spark, sf_dir):
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_ann_search(spark, sf_dir):
+    return ann_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op13_spelling(spark, sf_dir):
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_topk_search, op2_exact_dedup, op3_quality, op4_sharding, op5_bpe_codec, op6_url_filter, op7_simhash, op8_packing, op9_substring_dedup, op10_token_counts, op11_lexical_search, op13_spelling)}
+    return {f.__name__: f for f in (op1_topk_search, op2_exact_dedup, op3_quality, op4_sharding, op5_bpe_codec, op6_url_filter, op7_simhash, op8_packing, op9_substring_dedup, op10_token_counts, op11_lexical_search, op12_ann_search, op13_spelling)}
 
 
 def oracle_sql() -> dict[str, str]:
