@@ -6,9 +6,10 @@
 2. A small network learns to tell a vector's part, from the parts of its neighbours in the graph. Every
    row of the table is put into its most probable part; a query goes to its most probable parts, as
    many as it took for held-out vectors of the sample to find the wanted share of their neighbours.
-3. Queries and candidates meet by part. Large parts are cut into blocks of bounded size that all
-   queries of the part visit. Scores are exact: a product in double precision, with its terms added in order,
-   of the original vectors. A query's best over its parts are ranked by a window.
+3. Queries and candidates meet by part, first in each query's most probable part, then in its others, where only
+   candidates count that reach the last of the best found first. Large parts are cut into blocks of bounded
+   size that all queries of the part visit. Scores are exact: a product in double precision, with its terms
+   added in order, of the original vectors. A query's best over its parts are ranked by a window.
 
 Equal vectors are searched once: a distinct vector carries its smallest ids, one more than is asked for, as
 no other can be among a query's nearest; and queries with equal vectors are asked together.
@@ -182,14 +183,14 @@ def _placed(rows: DataFrame, index: Index, width: int) -> DataFrame:
 
 
 def _visiting(rows: DataFrame, index: Index, width: int) -> DataFrame:
-    """``rows(vector, …)`` once for each part that they visit."""
+    """``rows(vector, …)`` once for each part that they visit after the most probable one."""
     shared = rows.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                parts = shared.value.visits(_rows(some.column("vector"), width))
+                parts = shared.value.visits(_rows(some.column("vector"), width))[:, 1:]
                 again = some.take(pa.array(np.repeat(np.arange(some.num_rows), parts.shape[1])))
                 yield again.append_column("part", pa.array(parts.ravel().astype(np.int32)))
 
@@ -198,7 +199,7 @@ def _visiting(rows: DataFrame, index: Index, width: int) -> DataFrame:
 
 
 def _search(k: int, width: int):
-    """The ``k`` best of a cell's candidates for each of its queries: q, vec_id, score."""
+    """The ``k`` best of a cell's candidates for each of its queries, less those under its floor: q, vec_id, score."""
 
     def run(asked: pa.Table, candidates: pa.Table) -> pa.Table:
         out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
@@ -211,18 +212,20 @@ def _search(k: int, width: int):
             for at in range(0, asked.num_rows, 256):
                 part = asked.slice(at, 256).combine_chunks()
                 x, q, own = _rows(column(part, "vector"), width), column(part, "q").to_numpy(), column(part, "own")
+                floor = column(part, "floor").to_numpy()
                 single, own = own.is_valid().to_numpy(zero_copy_only=False), own.fill_null(0).to_numpy()
                 s = x @ c.T
                 # rounding in the product may differ from that of the exact score
                 slack = 1e-12 * np.linalg.norm(x, axis=1) * np.linalg.norm(c, axis=1).max()
                 keep = min(k, s.shape[1])
-                row, col = np.nonzero(s >= (np.partition(s, s.shape[1] - keep, axis=1)[:, s.shape[1] - keep] - slack)[:, None])
+                least = np.maximum(np.partition(s, s.shape[1] - keep, axis=1)[:, s.shape[1] - keep], floor)
+                row, col = np.nonzero(s >= (least - slack)[:, None])
                 score = exact_scores(x[row], c[col])
                 n = many[col]
                 row, score = np.repeat(row, n), np.repeat(score, n)
                 inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 vec_id = flat[np.repeat(start[col], n) + inside]
-                fine = ~(single[row] & (own[row] == vec_id))
+                fine = ~(single[row] & (own[row] == vec_id)) & (score >= floor[row])
                 row, score, vec_id = row[fine], score[fine], vec_id[fine]
                 order = np.lexsort((vec_id, -score, row))
                 row, score, vec_id = row[order], score[order], vec_id[order]
@@ -277,14 +280,24 @@ def search(vectors: DataFrame, is_query, k: int = 20, recall: float = RECALL, pa
     groups = one.groupBy("vector", alone.alias("alone"), salt.alias("salt")).agg(F.collect_list("vec_id").alias("ids"))
     groups = staged(groups.select(F.monotonically_increasing_id().alias("q"), "vector", "ids"))
     across = max(1, -(-many * index.probes // (index.parts * block)))
-    own = F.when(F.size("ids") == 1, F.get("ids", F.lit(0)))
     along = lambda m: F.explode(F.sequence(F.lit(0), m - 1))
-    left = _visiting(groups.select("q", "vector", own.alias("own")), index, width)
-    left = left.select("part", F.pmod(F.xxhash64("q"), F.lit(across)).cast("int").alias("i"), along(blocks).alias("j"), "q", "own", "vector")
     right = placed.select("part", along(F.lit(across)).alias("i"), F.pmod(F.xxhash64(F.get("ids", F.lit(0))), blocks).cast("int").alias("j"), "ids", "vector")
-    found = left.groupBy("part", "i", "j").cogroup(right.groupBy("part", "i", "j")).applyInArrow(_search(k + 1, width), "q long, vec_id long, score double")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    best = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
+
+    def meet(asked: DataFrame) -> DataFrame:
+        left = asked.select("part", F.pmod(F.xxhash64("q"), F.lit(across)).cast("int").alias("i"), along(blocks).alias("j"), "q", "own", "floor", "vector")
+        return left.groupBy("part", "i", "j").cogroup(right.groupBy("part", "i", "j")).applyInArrow(_search(k + 1, width), "q long, vec_id long, score double")
+
+    def best_of(found: DataFrame) -> DataFrame:
+        return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
+
+    own = F.when(F.size("ids") == 1, F.get("ids", F.lit(0)))
+    asked, none = groups.select("q", own.alias("own"), "vector"), F.lit(float("-inf"))
+    best = staged(best_of(meet(_placed(asked.withColumn("floor", none), index, width))))
+    if index.probes > 1:
+        floors = best.where(F.col("r") == k + 1).select("q", F.col("score").alias("floor"))
+        asked = asked.join(floors, "q", "left").withColumn("floor", F.coalesce("floor", none))
+        best = best_of(best.drop("r").unionByName(meet(_visiting(asked, index, width))))
     best = best.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("best"))
     answers = groups.join(best, "q").select(F.explode("ids").alias("query_id"), "best")
     others = F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k)
