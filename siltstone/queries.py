@@ -6,6 +6,7 @@ docstring or SQL shows.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +21,10 @@ from siltstone.operators import prompts
 from siltstone.operators import tagging as G
 from siltstone.plans import workflows as W
 from siltstone.sinks import tables
+from siltstone.sinks.pdf import as_pdf
 from siltstone.sources import concepts as S
 from siltstone.sources import papers as SP
+from siltstone.sources import pdf
 from siltstone.streaming import inbox
 
 TERMS = ["the", "license", "data", "und", "les", "."]
@@ -195,6 +198,33 @@ def first_parsable_attachment(spark, sf):
 PAPERS = f"(SELECT d.pos, d.key, d.title, coalesce(t.full_text, '') AS full_text, x.text AS abstract FROM {DEDUP} d LEFT JOIN {TEXTS} t ON t.item_key = d.key JOIN documents x ON x.doc_id::VARCHAR = d.key)"
 
 
+def _pdfs(spark, sf):
+    """Documents as PDF attachments of five lines a page. Every third has a first one that is cut off; all have a
+    later one that only counts if it is the first to be read."""
+
+    def run(batches):
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                whole = as_pdf(text.as_py() or "", 5)
+                rows = [whole[: len(whole) // 4]] * (int(key) % 3 == 0) + [whole, b"%PDF-1.7 no page"]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(rows)), pa.array(range(len(rows)), pa.int64()), pa.array(["application/pdf"] * len(rows)), pa.array(rows, pa.binary())], ["item_key", "pos", "content_type", "content"])
+
+    return _t(spark, sf, "documents").select(F.col("doc_id").cast("string"), "text").mapInArrow(run, schemas.ATTACHMENTS)
+
+
+@query("SELECT doc_id::VARCHAR AS item_key, coalesce(text, '') AS full_text FROM documents")
+def pdf_first_text(spark, sf):
+    """The text of the first attachment that can be read as PDF, by the package's own reader."""
+    return SP.first_text(_pdfs(spark, sf), pdf.parser(own=True))
+
+
+@query("""SELECT doc_id::VARCHAR AS item_key, page::INTEGER AS page, array_to_string(rows[5 * page + 1 : 5 * page + 5], chr(10)) || CASE WHEN 5 * page + 5 < len(rows) THEN chr(10) ELSE '' END AS text
+FROM (SELECT doc_id, rows, unnest(range((len(rows) + 4) // 5)) AS page FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS rows FROM documents))""")
+def pdf_pages(spark, sf):
+    """The pages of the attachments that can be read."""
+    return SP.page_texts(_pdfs(spark, sf)).where("error IS NULL").select("item_key", "page", "text")
+
+
 def _full(spark, sf):
     return SP.papers(_items(spark, sf), SP.first_text(_attachments(spark, sf)))
 

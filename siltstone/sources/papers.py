@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone import schemas
 from siltstone.functions import text as X
+from siltstone.sources import pdf_text
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -71,6 +73,26 @@ def first_text(attachments: DataFrame, parse: Callable[[bytes], str] | None = No
     return parsed.groupBy("item_key").agg(F.min_by("full_text", "pos").alias("full_text"))
 
 
+def page_texts(attachments: DataFrame, pages: Callable[[bytes], list[str]] = pdf_text.page_texts) -> DataFrame:
+    """item_key, pos, page, text, error: one row a page (from 0) of every PDF among
+    ``attachments(item_key, pos, content_type, content)``; one that cannot be read is one row with an error."""
+    schema = pa.schema([("item_key", pa.string()), ("pos", pa.int64()), ("page", pa.int32()), ("text", pa.string()), ("error", pa.string())])
+
+    def rows(key, pos, content):
+        try:
+            return [(key, pos, i, text, None) for i, text in enumerate(pages(content or b""))]
+        except Exception as e:  # noqa: BLE001  a file that cannot be read must not lose the others
+            return [(key, pos, None, None, f"{type(e).__name__}: {e}")]
+
+    def run(batches):
+        for batch in batches:
+            for row in zip(*(batch.column(i) for i in range(3))):  # a file at a time
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows(*(x.as_py() for x in row))), schema.types)], schema=schema)
+
+    pdfs = attachments.where(F.col("content_type") == "application/pdf").select("item_key", F.col("pos").cast("long").alias("pos"), "content")
+    return pdfs.mapInArrow(run, "item_key string, pos long, page int, text string, error string")
+
+
 def read_attachment_files(spark: SparkSession, path: str) -> DataFrame:
     """Attachments from files ``<item_key>/<name>.pdf`` below ``path``, in order of name."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pdf").load(path)

@@ -1,4 +1,4 @@
-"""PDF text by whichever parser is installed; none is required."""
+"""PDF text by whichever parser is installed, else by :mod:`pdf_text`."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import importlib
 import io
 from collections.abc import Callable
 
+from siltstone.sources import pdf_text
+
 
 def _pages(module, data: bytes) -> str:
     return "".join(p.extract_text() or "" for p in module.PdfReader(io.BytesIO(data)).pages)
@@ -19,23 +21,20 @@ def _whole(module, data: bytes) -> str:
 KNOWN = [("pypdf", _pages), ("PyPDF2", _pages), ("pdfminer.high_level", _whole)]
 
 
-def parser() -> Callable[[bytes], str]:
-    """Text of a PDF's bytes, for :func:`siltstone.sources.papers.first_text`; it raises on what it cannot
-    read, and the next attachment is tried. Found anew in each worker, so only a name is shipped."""
-
-    def parse(data: bytes) -> str:
-        for name, text in KNOWN:
-            try:
-                module = importlib.import_module(name)
-            except ImportError:
-                continue
-            return text(module, data)
-        raise ModuleNotFoundError("install one of: " + ", ".join(n for n, _ in KNOWN))
-
-    for name, _ in KNOWN:
+def _installed() -> Callable[[bytes], str] | None:
+    for name, text in KNOWN:
         try:
-            importlib.import_module(name)
-            return parse
+            module = importlib.import_module(name)
         except ImportError:
             continue
-    raise ModuleNotFoundError("install one of: " + ", ".join(n for n, _ in KNOWN))
+        return lambda data: text(module, data)
+    return None
+
+
+def parser(own: bool = False) -> Callable[[bytes], str]:
+    """Text of a PDF's bytes, for :func:`siltstone.sources.papers.first_text`; it raises on what it cannot
+    read, and the next attachment is tried. An installed library is found anew in each worker; without one, or
+    if asked to, the package's own reader is taken."""
+    if own:
+        return pdf_text.text_of
+    return lambda data: (_installed() or pdf_text.text_of)(data)

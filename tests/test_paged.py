@@ -1,0 +1,119 @@
+"""The paged source against a small server that fails now and then."""
+
+import json
+import sys
+import threading
+from collections import Counter
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import parse_qs, urlsplit
+
+import pytest
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
+
+from siltstone.sinks.pdf import as_pdf
+from siltstone.sources import paged
+from siltstone.sources import papers as SP
+from siltstone.sources import pdf
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+ITEMS = [
+    {"data": {"key": f"k{i}", "itemType": "journalArticle" if i % 5 else "note", "title": f"Title {i % 40}", "DOI": f"10.1/{i}", "abstractNote": "über" if i % 2 else "", "creators": [{"firstName": "A", "lastName": f"B{i}", "creatorType": "author"}]}}
+    for i in range(137)
+] + [{"data": None}, {"other": 1}]
+
+
+class Server(ThreadingHTTPServer):
+    daemon_threads = True
+
+    def __init__(self):
+        self.asked, self.lock, self.most = Counter(), threading.Lock(), 10**6
+        super().__init__(("127.0.0.1", 0), Handler)
+
+    @property
+    def url(self):
+        return f"http://127.0.0.1:{self.server_port}"
+
+
+class Handler(BaseHTTPRequestHandler):
+    def log_message(self, *a):
+        pass
+
+    def answer(self, code, body=b"", **headers):
+        self.send_response(code)
+        for k, v in headers.items():
+            self.send_header(k.replace("_", "-"), v)
+        self.send_header("Content-Length", str(len(body)))
+        self.end_headers()
+        self.wfile.write(body)
+
+    def do_GET(self):
+        s, url = self.server, urlsplit(self.path)
+        with s.lock:
+            s.asked[self.path] += 1
+            times = s.asked[self.path]
+        ask = {k: int(v[0]) for k, v in parse_qs(url.query).items()}
+        if url.path == "/gone":
+            return self.answer(404)
+        if url.path == "/down":
+            return self.answer(503)
+        if times == 1 and ask.get("start", 0) % 3 == 0 and ask.get("limit") != 1:
+            return self.answer(429, Retry_After="0")
+        if times == 2 and ask.get("start", 0) % 2 == 0 and ask.get("limit") != 1:
+            self.wfile.close()  # a connection that breaks
+            return None
+        if url.path.startswith("/file/"):
+            name = url.path.split("/")[-1]
+            return self.answer(404) if name.endswith("lost") else self.answer(200, as_pdf(f"text of {name}") if not name.endswith("bad") else b"%PDF-")
+        rows = ITEMS if url.path == "/items" else [{"data": {"name": n, "key": k}} for n, k in (("A", "1"), ("B", "2"), ("A", "3"))] if url.path == "/collections" else [] if url.path == "/none" else None
+        if rows is None:  # children of an item
+            item = url.path.split("/")[-1]
+            kinds = [("page", "text/html"), ("lost", "application/pdf"), ("bad", "application/pdf"), ("good", "application/pdf")]
+            rows = [{"data": {"key": f"{item}-{n}", "contentType": t}} for n, t in kinds] if item != "k3" else []
+        part = rows[ask["start"] : ask["start"] + min(ask["limit"], s.most)]
+        return self.answer(200, json.dumps(part).encode(), Total_Results=str(len(rows)))
+
+
+@pytest.fixture
+def server():
+    s = Server()
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield s
+    s.shutdown()
+    s.server_close()
+
+
+@pytest.mark.parametrize("limit, per_task, most", [(10, 2, 10**6), (7, 1, 5), (100, 10, 10**6)])
+def test_each_item_once(spark, server, limit, per_task, most):
+    """Over many tasks, pages that fail once or twice, and pages shorter than asked for."""
+    server.most = most
+    pages = paged.read_pages(spark, f"{server.url}/items", limit=limit, pagesPerTask=per_task, waitS=0.01)
+    assert pages.rdd.getNumPartitions() == -(-len(ITEMS) // (limit * per_task))
+    got = paged.items_of(pages, "c").orderBy("pos").collect()
+    assert [r.pos for r in got] == list(range(len(ITEMS)))
+    assert [(r.key, r.item_type, r.title, r.doi, r.abstract, r.authors and r.authors[0].lastName) for r in got[:137]] == [
+        (d["key"], d["itemType"], d["title"], d["DOI"], d["abstractNote"], d["creators"][0]["lastName"]) for d in (x["data"] for x in ITEMS[:137])
+    ]
+    assert all(r.key is None for r in got[137:])
+    assert SP.papers(paged.items_of(pages, "c")).count() == len({x["data"]["title"].lower() for x in ITEMS[:137] if x["data"]["itemType"] != "note"})
+
+
+def test_catalog_empty_and_dead_services(spark, server):
+    found = SP.catalog(paged.collections_of(paged.read_pages(spark, f"{server.url}/collections", waitS=0.01)))
+    assert {tuple(r) for r in found.collect()} == {("A", "3"), ("B", "2")}
+    assert paged.read_pages(spark, f"{server.url}/none", waitS=0.01).count() == 0
+    for path in ("gone", "down"):
+        with pytest.raises(Exception, match="404|503"):
+            paged.read_pages(spark, f"{server.url}/{path}", retries=1, waitS=0.01).count()
+    assert server.asked["/gone?start=0&limit=1"] == 1 and server.asked["/down?start=0&limit=1"] == 2  # only a passing fault is tried again
+
+
+def test_attachments(spark, server):
+    """Of each item the first PDF that comes and can be read."""
+    url = server.url
+    items = spark.createDataFrame([("k1",), ("k2",), ("k3",), (None,)], "key string").withColumn("pos", F.lit(0))
+    found = paged.fetch_attachments(items, lambda k: f"{url}/children/{k}", lambda k: f"{url}/file/{k}", wait_s=0.01, limit=3)
+    rows = {(r.item_key, r.pos): (r.content_type, r.content is None) for r in found.collect()}
+    assert rows == {(k, i): t for k in ("k1", "k2") for i, t in enumerate([("text/html", True), ("application/pdf", True), ("application/pdf", False), ("application/pdf", False)])}
+    assert {tuple(r) for r in SP.first_text(found, pdf.parser(own=True)).collect()} == {("k1", "text of k1-good"), ("k2", "text of k2-good")}

@@ -1,0 +1,102 @@
+"""The package's own PDF reader, on files written here by hand and by the package's writer."""
+
+import base64
+import zlib
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from siltstone import schemas
+from siltstone.sinks.pdf import as_pdf
+from siltstone.sources import papers as SP
+from siltstone.sources import pdf, pdf_text
+
+WIN = b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding /WinAnsiEncoding >>"
+
+
+def made(content: bytes, font: bytes = WIN, more: dict[int, bytes] | None = None, entries: bytes = b"", resources: bytes = b"") -> bytes:
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Count 1 /Kids [3 0 R] /Resources << /Font << /F1 5 0 R >> %s >> >>" % resources, 3: b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R >>"}
+    objects |= {4: b"<< /Length %d %s >>\nstream\n%s\nendstream" % (len(content), entries, content), 5: font} | (more or {})
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in objects.items()) + b"trailer << /Root 1 0 R >>"
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.characters(exclude_categories=["Cs"]), max_size=60), st.integers(1, 4), st.booleans())
+def test_round_trip(text, lines, compress):
+    data = as_pdf(text, lines, compress)
+    assert pdf_text.text_of(data) == text
+    assert len(pdf_text.page_texts(data)) == -(-(text.count("\n") + 1) // lines)
+
+
+@pytest.mark.parametrize(
+    "content, text",
+    [
+        (b"BT /F1 12 Tf (one \\(two\\) (three) \\101\\53\\n) Tj ET", "one (two) (three) A+\n"),
+        (b"BT /F1 12 Tf (a\\\nb) Tj <4142 4> Tj % (no) Tj\n ET", "abAB@"),
+        (b"BT /F1 12 Tf [(W) 80 (ide) -300 (gap) -300 ( once)] TJ ET", "Wide gap once"),
+        (b"BT /F1 9 Tf 72 700 Td (first) Tj 0 -12 Td (second) Tj 40 0 Td (same) Tj T* (third) Tj (fourth) ' 1 2 (fifth) \" ET", "first\nsecondsame\nthird\nfourth\nfifth"),
+        (b"BT /F1 9 Tf 1 0 0 1 72 700 Tm (up) Tj 1 0 0 1 90 700 Tm (on) Tj 1 0 0 1 72 680 Tm (down) Tj ET", "upon\ndown"),
+        (b"BT /F1 9 Tf 72 700 Td (left) Tj ET BT 200 700 Td (right) Tj ET", "left right"),
+        (b"BT /F1 9 Tf (a) Tj ET q BI /W 1 /H 1 ID (\xff\x00<< ) Tj EI Q BT (b) Tj ET", "a b"),
+        (b"BT /F1 9 Tf (caf\xe9 \x80) Tj ET", "café €"),
+        (b"BT (no font) Tj ET", ""),
+    ],
+)
+def test_operators(content, text):
+    assert pdf_text.text_of(made(content)) == text
+
+
+def test_fonts():
+    shown = b"BT /F1 9 Tf (\x01\x02A\x03) Tj ET"
+    named = b"<< /Type /Font /Subtype /Type1 /Encoding << /BaseEncoding /MacRomanEncoding /Differences [1 /fi /uni20AC 3 /seven] >> >>"
+    assert pdf_text.text_of(made(shown, named)) == "fi€A7"
+    cmap = b"2 beginbfchar <01> <0066 0069> <41> <00C6> endbfchar 2 beginbfrange <02> <02> <D83DDE00> <03> <04> [<0078> <0079>] endbfrange"
+    mapped = b"<< /Type /Font /Subtype /Type1 /ToUnicode 9 0 R >>"
+    assert pdf_text.text_of(made(shown, mapped, {9: b"<< /Length %d >> stream\n%s\nendstream" % (len(cmap), cmap)})) == "fi\U0001f600Æx"
+
+
+def test_filters_forms_and_object_streams():
+    content = b"BT /F1 9 Tf (packed) Tj ET"
+    for entries, data in (
+        (b"/Filter /FlateDecode", zlib.compress(content)), (b"/Filter [/ASCII85Decode /FlateDecode]", base64.a85encode(zlib.compress(content)) + b"~>"),
+        (b"/Filter /AHx", content.hex().encode() + b">"),
+    ):
+        assert pdf_text.text_of(made(data, entries=entries)) == "packed"
+    form = b"<< /Type /XObject /Subtype /Form /Length %d >> stream\n%s\nendstream" % (len(content), content)
+    assert pdf_text.text_of(made(b"/X Do /X Do", more={7: form}, resources=b"/XObject << /X 7 0 R >>")) == "packed packed"
+    again = b"<< /Type /XObject /Subtype /Form /Length 5 >> stream\n/X Do\nendstream"
+    assert pdf_text.text_of(made(b"/X Do", more={7: again}, resources=b"/XObject << /X 7 0 R >>")) == ""
+    inner = b"5 0 " + WIN
+    held = b"<< /Type /ObjStm /N 1 /First 4 /Length %d >> stream\n%s\nendstream" % (len(inner), inner)
+    assert pdf_text.text_of(made(content, b"null", {8: held}).replace(b"5 0 obj\nnull\nendobj\n", b"")) == "packed"
+
+
+def test_updates_and_damage():
+    old = made(b"BT /F1 9 Tf (old) Tj ET")
+    new = b"BT /F1 9 Tf (new) Tj ET"
+    assert pdf_text.text_of(old + b"\n4 0 obj << /Length 999 >> stream\r\n%s\nendstream endobj" % new) == "new"
+    assert pdf_text.text_of(old.replace(b"1 0 obj", b"6 0 obj << /A ( endobj 1 0 obj")) == "old"
+    for bad in (b"", b"plain", old[:40], old.replace(b"/Root", b"/Encrypt 9 0 R /Root"), made(b"x", entries=b"/Filter /LZWDecode"), made(b"x", entries=b"/Filter /FlateDecode")):
+        with pytest.raises((ValueError, zlib.error)):
+            pdf_text.text_of(bad)
+
+
+def test_attachments(spark):
+    """The first that can be read counts; nulls, other types and empty texts; pages with their errors."""
+    long = "word " * 200_000 + "\n" + "x" * 1_000_000
+    rows = [("a", 0, "application/pdf", b"%PDF-1.4 broken"), ("a", 1, "application/pdf", as_pdf("second\ntwo", 1)), ("a", 2, "application/pdf", as_pdf("third")), ("b", 0, "text/html", as_pdf("no")), ("c", 3, "application/pdf", as_pdf("")), ("d", 0, "application/pdf", None), ("e", 0, "application/pdf", as_pdf(long))]
+    df = spark.createDataFrame(rows, schemas.ATTACHMENTS)
+    assert {r.item_key: r.full_text for r in SP.first_text(df, pdf.parser(own=True)).collect()} == {"a": "second\ntwo", "c": "", "e": long}
+    got = {(r.item_key, r.pos, r.page): (r.text, r.error) for r in SP.page_texts(df).collect()}
+    assert got.pop(("a", 0, None))[1].startswith("ValueError") and got.pop(("d", 0, None))[1].startswith("ValueError")
+    assert {k: t for k, (t, e) in got.items()} == {("a", 1, 0): "second\n", ("a", 1, 1): "two", ("a", 2, 0): "third", ("c", 3, 0): "", ("e", 0, 0): long}
+    assert SP.page_texts(df.where("false")).count() == 0
+
+
+def test_files(spark, tmp_path):
+    for name, body in (("k/b.pdf", as_pdf("second")), ("k/a.pdf", b"damaged"), ("m/x.pdf", as_pdf("über"))):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    found = SP.first_text(SP.read_attachment_files(spark, str(tmp_path)), pdf.parser(own=True))
+    assert {tuple(r) for r in found.collect()} == {("k", "second"), ("m", "über")}
