@@ -83,7 +83,7 @@ def encode_decode(docs: DataFrame, path: str, ranks_path: str | None = None) ->
     """doc_id, ids (comma-joined), n_tokens, decoded for every row of ``docs(doc_id, text)``.
 
     Null texts count as empty: no ids. Repeated rows give repeated results; an empty table an empty
-    one; other columns are not read.
+    one; other columns are not read. White space of any length is encoded as the library does.
     """
     return _mapped(docs, path, ranks_path, "doc_id long, ids string, n_tokens long, decoded string", lambda ids, out: [ids, out])
 

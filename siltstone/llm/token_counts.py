@@ -70,7 +70,8 @@ def token_counts(docs: DataFrame, path: str, ranks_path: str | None = None, limi
     """doc_id, n_bytes, n_tokens, over_limit for every row of ``docs(doc_id, text)``.
 
     Null texts count as empty. Repeated rows give repeated results; an empty table an empty one;
-    other columns are not read. No shuffle; a task holds one batch of texts.
+    other columns are not read. No shuffle; a task holds one batch of texts. White space of any length
+    counts as the library has it.
     """
 
     def run(batches):

@@ -3,7 +3,7 @@
 ``ByteBpe`` gives the ids of a byte-level BPE file (.json of the tokenizers library). Text over an
 alphabet on which both libraries' character classes are fixed (ASCII, Latin letters) may go to
 the faster rank-file engine with the same merges; all other text, and any text that could hold a
-special token, goes to the tokenizers library itself.
+special token or has very long white space, goes to the tokenizers library itself.
 
 ``WordBpe`` gives the ids of the lower-casing word BPE, one cached word at a time.
 
@@ -27,6 +27,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 OTHER_ALPHABET = re.compile("[^\t\n\r -~À-įı-ɏ]|<\\|")
+#: Runs of white space on which the rank-file engine's look-ahead would run out of memory to go back.
+LONG_BLANK = re.compile("[\t\n\r ]{1000}")
 #: UTF-8 of letters whose class has never changed: Latin, Greek, Cyrillic, Hebrew, Arabic, Thai, kana,
 #: Han (U+5000 to U+8FFF) and Hangul (U+B000 to U+CFFF).
 LETTER = (
@@ -131,7 +133,7 @@ class ByteBpe:
     def encode_all(self, texts: list[str]) -> list[list[int]]:
         out, slow = [None] * len(texts), []
         for i, text in enumerate(texts):
-            if self.fast is None or OTHER_ALPHABET.search(text):
+            if self.fast is None or OTHER_ALPHABET.search(text) or LONG_BLANK.search(text):
                 slow.append(i)
             else:
                 out[i] = self.fast(text)
