@@ -139,10 +139,9 @@ def elapsed(seconds: Column) -> Column:
     return F.when(minutes > 0, F.format_string("%dm %02ds", minutes, rest)).otherwise(F.format_string("%ds", rest))
 
 
-def noun_phrases(text: Column, least_words: int = 1, longer_than: int = 4) -> Column:
-    """Word runs between stop words and punctuation, lower-cased, each once, in order. An approximation
-    of noun chunks without their determiners and pronouns. A word begins with a letter or digit and goes
-    on with these, hyphens and underscores.
+def word_runs(text: Column) -> Column:
+    """Runs of words between stop words and marks, lower-cased, in order, repeats included; some may be empty. A
+    word begins with a letter or digit and goes on with these, hyphens and underscores.
 
     A few replacements over the whole text, in which a bar stands for a break, keep it in generated code.
     """
@@ -154,8 +153,14 @@ def noun_phrases(text: Column, least_words: int = 1, longer_than: int = 4) -> Co
     s = F.regexp_replace(s, rf"[^\p{{L}}\p{{N}}_{BLANK}-]+", "|")
     s = F.regexp_replace(s, rf"[{BLANK}|][_-]*(?:{stop})(?![^{BLANK}|])", "|")
     s = F.regexp_replace(s, rf"[{BLANK}][{BLANK}_-]+|[{BLANK}&&[^ ]]", " ")
+    return F.split(F.trim(s), r" ?\|[ |_-]*")
+
+
+def noun_phrases(text: Column, least_words: int = 1, longer_than: int = 4) -> Column:
+    """:func:`word_runs` that are long enough, each once: an approximation of noun chunks without their determiners
+    and pronouns."""
     fine = lambda p: (F.length(p) > longer_than) & (F.lit(True) if least_words < 2 else F.size(F.split(p, " ")) >= least_words)
-    return F.array_distinct(F.filter(F.split(F.trim(s), r" ?\|[ |_-]*"), fine))
+    return F.array_distinct(F.filter(word_runs(text), fine))
 
 
 def group_columns(n: Column, low: int = 3, high: int = 8) -> Column:

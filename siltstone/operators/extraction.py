@@ -234,7 +234,7 @@ def value_table(papers: DataFrame, extractor: Extractor, concepts: list[str], te
     return _rows(rows, of, "paper string, concept string, value string, quote string, pos long, error string", ["paper", "concept", "value", "quote", "pos", "error"], delay_s)
 
 
-def record_table(papers: DataFrame, extractor: Extractor, concepts: list[str], device_type: bool = True) -> DataFrame:
+def record_table(papers: DataFrame, extractor: Extractor, concepts: list[str], device_type: bool = True, delay_s: float = 0.0) -> DataFrame:
     """Title, Author, Institution, Country, DOI, Device Type and one column a concept; what is not stated
     is "Not Specified". The record's schema is built from the concepts at run time."""
     struct, names = schemas.extraction_struct(concepts, device_type), schemas.field_names(concepts)
@@ -243,7 +243,7 @@ def record_table(papers: DataFrame, extractor: Extractor, concepts: list[str], d
     def of(title, body):
         return [(title, json.dumps({k: v for k, v in extractor.record(body, concepts).items() if v}))]
 
-    raw = _rows(papers.select("title", context.alias("context")), of, "title string, json string, error string", ["title", "json", "error"])
+    raw = _rows(papers.select("title", context.alias("context")), of, "title string, json string, error string", ["title", "json", "error"], delay_s)
     got = raw.select("title", F.from_json("json", struct).alias("r"))
     stated = lambda f: F.coalesce(F.nullif(F.col(f"r.{f}"), F.lit("")), F.lit(X.NOT_SPECIFIED))
     fixed = [(X.doi_url(F.col("r.doi")) if f == "doi" else F.when(stated(f).isin(*schemas.DEVICE_TYPES), stated(f)).otherwise(X.NOT_SPECIFIED) if f == "device_type" else stated(f)).alias(h) for f, h in schemas.FIXED_FIELDS.items() if device_type or f != "device_type"]

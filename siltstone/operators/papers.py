@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
+from siltstone.operators.ordinals import numbered
 
 
 def with_abstract(papers: DataFrame) -> DataFrame:
@@ -27,10 +28,10 @@ def chosen_text(papers: DataFrame, most: int = 80_000) -> DataFrame:
 
 
 def progress(papers: DataFrame) -> DataFrame:
-    """``papers`` plus progress: ``[i/n] title`` in the collection's order."""
-    inside = Window.partitionBy("collection")
-    place = F.row_number().over(inside.orderBy("pos"))
-    return papers.withColumn("progress", F.format_string("[%d/%d] %s", place, F.count(F.lit(1)).over(inside), F.substring("title", 1, 70)))
+    """``papers`` plus progress: ``[i/n] title`` in the collection's order; no task sees a whole collection."""
+    order = ["pos", *[c for c in ("key",) if c in papers.columns]]
+    found = numbered(papers, order, ["collection"], "_place", "_total")
+    return found.select(*papers.columns, F.format_string("[%d/%d] %s", "_place", "_total", F.substring("title", 1, 70)).alias("progress"))
 
 
 def existing(df: DataFrame, columns: list[str]) -> DataFrame:

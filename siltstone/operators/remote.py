@@ -46,11 +46,20 @@ class Remote:
     settings: Settings
     transport: Callable[[str, dict, dict], dict] = post
 
-    def ask(self, task: prompts.Task, question: str, instructions: str | None = None):
-        """The task's result, or None."""
+    def send(self, task: prompts.Task, question: str, instructions: str | None = None) -> dict:
+        """The whole answer."""
         messages = [{"role": "system", "content": instructions or task.instructions}, {"role": "user", "content": question}]
         body = {"model": self.settings.model_name, "messages": messages, "tools": [task.request()], "tool_choice": tool_choice(self.settings, task.tool)}
-        found = called(self.transport(self.settings.model_url, {"Authorization": f"Bearer {self.settings.model_key}"}, body), task.tool)
+        return self.transport(self.settings.model_url, {"Authorization": f"Bearer {self.settings.model_key}"}, body)
+
+    def calls(self, task: prompts.Task, question: str, instructions: str | None = None) -> str:
+        """The answer's tool calls (name, arguments) as JSON, for :func:`extraction.tool_payload`."""
+        message = self.send(task, question, instructions)["choices"][0]["message"]
+        return json.dumps([{k: c["function"].get(k) for k in ("name", "arguments")} for c in message.get("tool_calls") or ()])
+
+    def ask(self, task: prompts.Task, question: str, instructions: str | None = None):
+        """The task's result, or None."""
+        found = called(self.send(task, question, instructions), task.tool)
         return None if found is None else found.get(task.result)
 
     def _records(self, task: prompts.Task, question: str) -> list[dict]:

@@ -14,6 +14,7 @@ from siltstone.operators import extraction as E
 from siltstone.operators import matrix as M
 from siltstone.operators import papers as P
 from siltstone.operators import tagging as G
+from siltstone.operators.answers import Asker, Store
 from siltstone.sinks import diagram, tables
 from siltstone.sources import concepts as S
 from siltstone.sources import files
@@ -34,6 +35,12 @@ def _all_labels(df: DataFrame, most: int) -> list[str]:
     return sorted(found)
 
 
+def _delay(extractor) -> float:
+    """Seconds between a remote model's calls; the offline rules need none."""
+    settings = getattr(extractor, "settings", None)
+    return settings.delay_s if settings else 0.0
+
+
 def vocabulary_analytics(papers: DataFrame, top_n: int = 80, least: int = 2, least_words: int = 1, longer_than: int = 4, chunker=None) -> tuple[DataFrame, DataFrame]:
     """(matrix of the vocabulary's phrases, phrase frequencies). ``papers(paper, abstract)``; ``chunker`` as of
     :func:`extraction.phrase_table`."""
@@ -47,7 +54,7 @@ def vocabulary_analytics(papers: DataFrame, top_n: int = 80, least: int = 2, lea
 
 def local_analytics(papers: DataFrame, extractor: E.Extractor | None = None, top_n: int = 20, columns: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(concept rows, rankings, matrix of the best concepts)."""
-    rows = E.concept_table(papers, extractor or E.Offline(), top_n).where("error IS NULL").select("paper", F.col("canonical").alias("concept"), "relevance")
+    rows = E.concept_table(papers, extractor or E.Offline(), top_n, delay_s=_delay(extractor)).where("error IS NULL").select("paper", F.col("canonical").alias("concept"), "relevance")
     ranked = C.rankings(rows)
     terms = _labels(C.top_concepts(ranked, columns), columns)
     return rows, ranked, M.ontology_matrix(P.with_abstract(papers), terms, "abstract")
@@ -58,16 +65,18 @@ def custom_matrix(papers: DataFrame, concept_file: DataFrame, column: str = "con
     return M.ontology_matrix(P.with_abstract(papers), S.concept_list(concept_file, column), "abstract")
 
 
-def discover_schema(papers: DataFrame, extractor: E.Extractor | None = None, settings: Settings = Settings(), concept_file: DataFrame | None = None, normalize=None, most: int = 80, most_labels: int = 10_000) -> tuple[DataFrame | None, DataFrame]:
+def discover_schema(papers: DataFrame, extractor: E.Extractor | None = None, settings: Settings = Settings(), concept_file: DataFrame | None = None, normalize=None, most: int = 80, most_labels: int = 10_000, store: Store | None = None) -> tuple[DataFrame | None, DataFrame]:
     """(concept rows or None, schema table). Discovery is skipped if a concept file is given; the
     concepts are normalised by ``normalize(list)``, else the first ``most`` unique labels are taken.
     ``normalize`` gets the whole label set: of labels that differ in hyphens, spaces or a plural only, the
-    most frequent one. More than ``most_labels`` of them are an error, never cut."""
+    most frequent one. More than ``most_labels`` of them are an error, never cut. With a ``store`` the extractor is a
+    remote model whose answers are kept there, so a run that ended early is continued."""
     extractor, found = extractor or E.Offline(), None
+    asker = Asker(extractor, store) if store else None
     if concept_file is not None:
         terms = S.concept_list(concept_file)
     else:
-        found = E.concept_table(papers, extractor, settings.top_n)
+        found = asker.concept_table(papers, settings.top_n) if asker else E.concept_table(papers, extractor, settings.top_n, delay_s=_delay(extractor))
         labels = found.where("error IS NULL").select(F.col("canonical").alias("concept"))
         terms = _labels(C.normalize_fallback(labels, most), most)
         if normalize:
@@ -75,19 +84,20 @@ def discover_schema(papers: DataFrame, extractor: E.Extractor | None = None, set
             terms = normalize(_all_labels(C.unique_labels(variants), most_labels)) or terms
     terms = schemas.unique_labels([t.strip().lower() for t in terms])
     texts = P.chosen_text(P.with_any_text(papers), settings.max_chars)
-    values = E.value_table(texts, extractor, terms)
+    values = asker.value_table(texts, terms) if asker else E.value_table(texts, extractor, terms, delay_s=_delay(extractor))
     base = texts.select("paper", F.coalesce("collection", F.lit("")).alias("domain"), F.coalesce("doi", F.lit("")).alias("doi"))
     return found, M.schema_table(base, values, terms).drop("paper")
 
 
 def structured_extract(papers: DataFrame, concepts: list[str], extractor: E.Extractor | None = None, device_type: bool = True) -> DataFrame:
-    return E.record_table(papers, extractor or E.Offline(), concepts, device_type)
+    return E.record_table(papers, extractor or E.Offline(), concepts, device_type, _delay(extractor))
 
 
-def tag_and_draw(concept_file: DataFrame, tagger=None, title: str = "Concepts") -> tuple[DataFrame, str]:
-    """(enriched concepts, diagram XML)."""
+def tag_and_draw(concept_file: DataFrame, tagger=None, title: str = "Concepts", asker: Asker | None = None, size: int = 40) -> tuple[DataFrame, str]:
+    """(enriched concepts, diagram XML). Tags are an ``asker``'s, whose answers are kept, or a ``tagger``'s, or those of
+    the offline rules; ``size`` concepts are asked for at a time."""
     loaded = S.load_concepts(concept_file)
-    tags = G.batched_tags(loaded, tagger) if tagger else G.offline_tags(loaded)
+    tags = asker.tags(loaded, size) if asker else G.batched_tags(loaded, tagger, size) if tagger else G.offline_tags(loaded)
     enriched = G.attach_tags(loaded, tags).orderBy(F.desc("doc_frequency"), "concept")
     return enriched, diagram.diagram_xml(enriched, title)
 

@@ -14,18 +14,21 @@ from siltstone import schemas
 from siltstone.functions import text as X
 from siltstone.operators import concepts as C
 from siltstone.operators import extraction as E
+from siltstone.operators import labels
 from siltstone.operators import layout as L
 from siltstone.operators import matrix as M
 from siltstone.operators import papers as P
 from siltstone.operators import prompts
 from siltstone.operators import tagging as G
+from siltstone.operators import terms as T
+from siltstone.operators import vectors
 from siltstone.plans import workflows as W
 from siltstone.sinks import tables
 from siltstone.sinks.pdf import as_pdf
 from siltstone.sources import concepts as S
 from siltstone.sources import papers as SP
 from siltstone.sources import pdf
-from siltstone.streaming import inbox
+from siltstone.streaming import heartbeat, inbox
 
 TERMS = ["the", "license", "data", "und", "les", "."]
 _QUERIES: dict = {}
@@ -653,3 +656,83 @@ def _stated(term: str) -> str:
 {_stated("the")} AS "the", {_stated("doi")} AS "DOI_val", {_stated("data")} AS "data" FROM {PAPERS}""")
 def structured_extract(spark, sf):
     return W.structured_extract(_full(spark, sf), ["the", "DOI", "data"])
+
+
+GRAMS = """unnest(flatten(list_transform(range({first}, {last}), lambda k: list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')))))"""
+TERM_STATISTICS = f"""WITH runs AS (SELECT unnest(flatten({RUNS.replace("{text}", "text")})) AS run FROM documents WHERE text <> ''),
+grams AS (SELECT {GRAMS.format(first=1, last="least(4, len(w)) + 1")} AS concept FROM (SELECT string_split(run, ' ') AS w FROM runs WHERE run <> '')),
+counts AS (SELECT concept, count(*) AS occurrences FROM grams GROUP BY 1 HAVING count(*) >= 3),
+lent AS (SELECT DISTINCT {GRAMS.format(first=1, last="len(w)")} AS concept, whole, occurrences FROM (SELECT string_split(concept, ' ') AS w, concept AS whole, occurrences FROM counts)),
+sums AS (SELECT concept, count(*) AS longer, sum(occurrences)::BIGINT AS inside FROM lent GROUP BY 1),
+terms AS (SELECT c.concept, len(string_split(c.concept, ' '))::INTEGER AS words, c.occurrences, coalesce(longer, 0) AS longer, coalesce(inside, 0) AS inside,
+ len(string_split(c.concept, ' ')) * (c.occurrences - coalesce(inside::DOUBLE / longer, 0)) AS score FROM counts c LEFT JOIN sums USING (concept))"""
+
+
+def _terms(spark, sf):
+    return T.terms(_papers(spark, sf), least=3)
+
+
+@query(f"{TERM_STATISTICS} SELECT * FROM terms WHERE length(concept) > 4 AND score > 0")
+def nested_terms(spark, sf):
+    """Terms of all documents by their nested n-grams."""
+    return _terms(spark, sf)
+
+
+@query(f"""{TERM_STATISTICS}, held AS (SELECT DISTINCT paper, {GRAMS.format(first=1, last="least(4, len(w)) + 1")} AS phrase FROM (SELECT paper, string_split(run, ' ') AS w FROM
+(SELECT 'doc-' || doc_id AS paper, unnest(flatten({RUNS.replace("{text}", "text")})) AS run FROM documents WHERE text <> '') WHERE run <> ''))
+SELECT paper, phrase FROM held WHERE phrase IN (SELECT concept FROM terms WHERE length(concept) > 4 AND score > 0)""")
+def term_phrases(spark, sf):
+    """Which of these terms each document holds."""
+    return T.term_table(_papers(spark, sf), _terms(spark, sf)).select("paper", F.explode("phrases").alias("phrase"))
+
+
+@query("SELECT doc_id, '[' || row_number() OVER (PARTITION BY source ORDER BY doc_id) || '/' || count(*) OVER (PARTITION BY source) || '] ' || lang AS progress FROM documents")
+def collection_progress(spark, sf):
+    """Each document's place in its collection."""
+    docs = _t(spark, sf, "documents").select("doc_id", F.col("source").alias("collection"), F.col("doc_id").alias("pos"), F.col("lang").alias("title"))
+    return P.progress(docs).select("doc_id", "progress")
+
+
+@query()
+def label_spellings(spark, sf):
+    """The documents' frequent words as labels, spellings within two edits under the most frequent one."""
+    return labels.canonical_labels(C.min_docs(_frequency(spark, sf), 3, 80))
+
+
+@query()
+def keyphrases_learned(spark, sf):
+    """Keyphrases of all documents by vectors that are learned from them."""
+    docs = _papers(spark, sf).select("paper", F.lit("").alias("doi"), F.col("text").alias("abstract"))
+    return E.concept_table(docs, E.Offline(vectors.learn(docs, "abstract")), 20)
+
+
+def _round(n: int) -> str:
+    return f"""n{n} AS MATERIALIZED (SELECT node, label, sum(share) AS share FROM (SELECT m.node, label, CASE WHEN s.node IS NULL THEN share ELSE share // 2 END AS share
+FROM (SELECT e.a AS node, label, sum(share) // any_value(total) AS share FROM e JOIN n{n - 1} n ON n.node = e.b JOIN t ON t.a = e.a GROUP BY e.a, label) m LEFT JOIN (SELECT DISTINCT node FROM n0) s USING (node)
+UNION ALL SELECT node, label, share // 2 FROM n0) GROUP BY node, label HAVING sum(share) > 0)"""
+
+
+@query(f"""WITH p AS (SELECT DISTINCT 'c' || l_partkey AS a, 'p' || l_orderkey AS b FROM lineitem), e AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), t AS (SELECT a, count(*) AS total FROM e GROUP BY a),
+n0 AS MATERIALIZED (SELECT 'c' || p_partkey AS node, string_split(p_type, ' ')[-1] AS label, {1 << 40}::HUGEINT AS share FROM part WHERE p_partkey % 10 = 0), {", ".join(map(_round, range(1, 5)))}
+SELECT concept, label, share FROM (SELECT node[2:] AS concept, label, share::DOUBLE / {1 << 40} AS share, row_number() OVER (PARTITION BY node ORDER BY share DESC, label) AS r FROM n4 WHERE node LIKE 'c%') WHERE r = 1""")
+def spread_tags(spark, sf):
+    """Parts as concepts and orders as papers: a tenth of the parts has a label, which spreads for two steps."""
+    rows = _t(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("paper"), F.col("l_partkey").cast("string").alias("concept"))
+    seeds = _t(spark, sf, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").cast("string").alias("concept"), F.element_at(F.split("p_type", " "), -1).alias("label"))
+    return G.spread_tags(rows, seeds, rounds=4)
+
+
+DAY = 86_400
+
+
+@query(f"""WITH e AS (SELECT user_id::VARCHAR AS run, epoch_ms(ts) AS at, event_type = 'purchase' AS ended FROM events),
+g AS (SELECT *, at - lag(at) OVER w AS gap, lag(ended) OVER w AS after_end FROM e WINDOW w AS (PARTITION BY run ORDER BY at, ended)),
+l AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= {5000 * DAY} OR after_end THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY at, ended ROWS UNBOUNDED PRECEDING) AS life FROM g),
+s AS (SELECT run, min(at) AS start, CASE WHEN bool_or(ended) THEN max(at) ELSE max(at) + {5000 * DAY} END AS stop FROM l GROUP BY run, life),
+b AS (SELECT run, start, unnest(range(start + {250 * DAY}, stop, {250 * DAY})) AS at FROM s), m AS (SELECT *, (at - start) // 60000 AS minutes FROM b)
+SELECT run, at AS at_ms, 'still running after ' || minutes || 'm ' || lpad((((at - start) // 1000) % 60)::VARCHAR, 2, '0') || 's' AS message FROM m""")
+def run_heartbeats(spark, sf):
+    """Users as runs that a purchase ends or five days without an event: a message every quarter of a day."""
+    events = _t(spark, sf, "events").select(F.col("user_id").cast("string").alias("run"), F.col("ts").alias("at"), F.col("event_type").alias("kind"))
+    found = heartbeat.beats(events, DAY // 4, 5 * DAY, ("purchase",))
+    return found.select("run", F.unix_millis("at").alias("at_ms"), "message")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,3 +23,13 @@ def latest(spark: SparkSession, folder: str, glob: str) -> str | None:
     except FileNotFoundError:
         return None
     return files.agg(F.max_by("path", F.struct("modified", "path"))).first()[0]
+
+
+def parquet_if_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A Parquet table, empty as long as nothing has been written there."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
