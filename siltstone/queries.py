@@ -725,14 +725,14 @@ def spread_tags(spark, sf):
 DAY = 86_400
 
 
-@query(f"""WITH e AS (SELECT user_id::VARCHAR AS run, epoch_ms(ts) AS at, event_type = 'purchase' AS ended FROM events),
-g AS (SELECT *, at - lag(at) OVER w AS gap, lag(ended) OVER w AS after_end FROM e WINDOW w AS (PARTITION BY run ORDER BY at, ended)),
-l AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= {5000 * DAY} OR after_end THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY at, ended ROWS UNBOUNDED PRECEDING) AS life FROM g),
-s AS (SELECT run, min(at) AS start, CASE WHEN bool_or(ended) THEN max(at) ELSE max(at) + {5000 * DAY} END AS stop FROM l GROUP BY run, life),
-b AS (SELECT run, start, unnest(range(start + {250 * DAY}, stop, {250 * DAY})) AS at FROM s), m AS (SELECT *, (at - start) // 60000 AS minutes FROM b)
-SELECT run, at AS at_ms, 'still running after ' || minutes || 'm ' || lpad((((at - start) // 1000) % 60)::VARCHAR, 2, '0') || 's' AS message FROM m""")
+@query(f"""WITH e AS (SELECT user_id::VARCHAR AS run, epoch_ms(ts) AS t, event_type = 'purchase' AS ended FROM events),
+g AS (SELECT *, t - lag(t) OVER w AS gap, lag(ended) OVER w AS after_end FROM e WINDOW w AS (PARTITION BY run ORDER BY t, ended)),
+l AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= {5000 * DAY} OR after_end THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY t, ended ROWS UNBOUNDED PRECEDING) AS life FROM g),
+s AS (SELECT run, min(t) AS start, CASE WHEN bool_or(ended) THEN max(t) ELSE max(t) + {5000 * DAY} END AS stop FROM l GROUP BY run, life),
+b AS (SELECT run, start, (unnest(range(start + {250 * DAY}, stop, {250 * DAY})) - start) // 1000 AS seconds FROM s)
+SELECT run, strftime(make_timestamp(start * 1000), '%Y-%m-%d %H:%M:%S') AS started, 'still running after ' || (seconds // 60) || 'm ' || lpad((seconds % 60)::VARCHAR, 2, '0') || 's' AS message FROM b""")
 def run_heartbeats(spark, sf):
     """Users as runs that a purchase ends or five days without an event: a message every quarter of a day."""
-    events = _t(spark, sf, "events").select(F.col("user_id").cast("string").alias("run"), F.col("ts").alias("at"), F.col("event_type").alias("kind"))
+    events = _t(spark, sf, "events").select(F.col("user_id").cast("string").alias("run"), F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("kind"))
     found = heartbeat.beats(events, DAY // 4, 5 * DAY, ("purchase",))
-    return found.select("run", F.unix_millis("at").alias("at_ms"), "message")
+    return found.select("run", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("started"), "message")

@@ -2,7 +2,7 @@
 
 It reads what text needs and no more: pages in order, Flate, hex and base-85 streams, object streams,
 simple and composite fonts by their ToUnicode maps or the common encodings, forms. Files that are
-encrypted, have other filters on their text or no page at all raise ``ValueError``.
+encrypted, cut off, have other filters on their text or no page at all raise ``ValueError``.
 """
 
 from __future__ import annotations
@@ -122,7 +122,8 @@ class Document:
             if isinstance(value, dict) and (s := STREAM.match(data, end)):
                 size = value.get("Length")
                 stop = s.end() + size if isinstance(size, int) and re.match(rb"\s*endstream", data[s.end() + size : s.end() + size + 20]) else data.find(b"endstream", s.end())
-                stop = len(data) if stop < 0 else stop
+                if stop < 0:
+                    break  # the file is cut off here
                 value, at = Stream(value, data[s.end() : stop]), stop
                 if value.entries.get("Type") == "XRef":
                     self.trailer(value.entries)
@@ -176,6 +177,8 @@ class Document:
             if isinstance(node, Ref) and (node.number in seen or seen.add(node.number)):
                 continue
             node = self.get(node)
+            if node is None:
+                raise ValueError("a page is missing")
             if isinstance(node, dict):
                 resources = node.get("Resources", resources)
                 if "Kids" in node:
@@ -310,6 +313,8 @@ def page_texts(data: bytes) -> list[str]:
     for page, resources in doc.pages():
         contents = doc.get(page.get("Contents"))
         parts = [doc.get(c) for c in contents] if isinstance(contents, list) else [contents]
+        if page.get("Contents") is not None and None in parts:
+            raise ValueError("a page's content is missing")
         writer = Writer(doc)
         writer.run(b"\n".join(doc.body(c) for c in parts if isinstance(c, Stream)), resources)
         text = "".join(writer.out)

@@ -77,6 +77,10 @@ def test_updates_and_damage():
     new = b"BT /F1 9 Tf (new) Tj ET"
     assert pdf_text.text_of(old + b"\n4 0 obj << /Length 999 >> stream\r\n%s\nendstream endobj" % new) == "new"
     assert pdf_text.text_of(old.replace(b"1 0 obj", b"6 0 obj << /A ( endobj 1 0 obj")) == "old"
+    whole = as_pdf("line\n" * 100, 5)
+    for cut in range(500, whole.index(b"\nxref") - 10, 300):
+        with pytest.raises(ValueError):
+            pdf_text.text_of(whole[:cut])  # some pages are there, not all
     for bad in (b"", b"plain", old[:40], old.replace(b"/Root", b"/Encrypt 9 0 R /Root"), made(b"x", entries=b"/Filter /LZWDecode"), made(b"x", entries=b"/Filter /FlateDecode")):
         with pytest.raises((ValueError, zlib.error)):
             pdf_text.text_of(bad)
