@@ -16,6 +16,7 @@ from siltstone.operators import concepts as C
 from siltstone.operators import extraction as E
 from siltstone.operators import labels
 from siltstone.operators import layout as L
+from siltstone.operators import matching as V
 from siltstone.operators import matrix as M
 from siltstone.operators import papers as P
 from siltstone.operators import prompts
@@ -736,3 +737,13 @@ def run_heartbeats(spark, sf):
     events = _t(spark, sf, "events").select(F.col("user_id").cast("string").alias("run"), F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("kind"))
     found = heartbeat.beats(events, DAY // 4, 5 * DAY, ("purchase",))
     return found.select("run", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("started"), "message")
+
+
+@query(f"""WITH terms AS (SELECT DISTINCT concept FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS concept FROM benchmark) WHERE length(concept) > 2),
+d AS MATERIALIZED (SELECT 'doc-' || doc_id AS paper, {SENTS} AS sents, list_transform({SENTS}, lambda s: lower(s)) AS low, lower(text) AS whole FROM documents WHERE text <> ''),
+p AS MATERIALIZED (SELECT paper, concept, sents, low FROM d, terms WHERE contains(whole, concept))
+SELECT * FROM (SELECT paper, concept, array_to_string(list_filter(sents, lambda s, i: contains(low[i], concept)), ' | ') AS sentences FROM p) WHERE sentences <> ''""")
+def match_vocabulary(spark, sf):
+    """All words of the benchmark's passages as a vocabulary, matched with all documents by the index of anchors."""
+    words = _t(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("concept")).where(F.length("concept") > 2)
+    return V.match_vocabulary(_papers(spark, sf), words)
