@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_name, staged
+from .without import without
 
 #: Bounds of the broadcast winners and of the sketch.
 MAX_FREQUENT, TRACKED = 2048, 16384
@@ -65,8 +66,9 @@ def drop_exact_copies(docs: DataFrame, max_frequent: int = MAX_FREQUENT, tracked
     together, so texts that share an id are judged each for itself; rows that repeat both are one row,
     any of them. Columns may have any names. An empty table gives an empty result.
 
-    No text is shuffled: rows are split into those whose id has a row to drop and those to keep as
-    they are, and only of ids with several rows are the digests told apart.
+    No text is shuffled for a row whose id is its own: rows are split by :func:`without.without` into those whose id
+    has a row to drop and those to keep as they are, and only of ids with several rows are the digests
+    told apart, for which these rows meet their digests.
     """
     doc_id, digest, keep, rows, several = (new_name(docs, n) for n in ("id", "digest", "keep", "rows", "several"))
     found = staged(with_keeper(staged(docs.select("doc_id", text_digest(F.col("text")).alias("digest"))), max_frequent, tracked))
@@ -74,7 +76,9 @@ def drop_exact_copies(docs: DataFrame, max_frequent: int = MAX_FREQUENT, tracked
     gone = found.withColumn("goes", (~F.col("doc_id").eqNullSafe(F.col("keep_id"))).cast("int")).groupBy("doc_id").agg(F.max("goes").alias("goes"), F.count(F.lit(1)).alias("n"))
     gone = staged(gone.where("goes = 1 OR n > 1").select(F.col("doc_id").alias(doc_id), (F.col("n") > 1).alias(several)))
     same = F.col("doc_id").eqNullSafe(F.col(doc_id))
-    out = docs.join(gone, same, "left_anti")
+    out = without(docs, gone.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id")))
+    if not gone.where(F.col(doc_id).isNull()).isEmpty():
+        out = out.where(F.col("doc_id").isNotNull())
     twice = gone.where(several)
     if twice.isEmpty():
         return out

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from siltstone.llm import common, exact_dedup, packing, simhash, substring_dedup
+from siltstone.llm import common, exact_dedup, packing, simhash, substring_dedup, without
 
 CLASHES = ["_id", "_sha", "_text_sha", "id", "digest", "keep", "rows", "several", "goes", "n", "keep_id", "group_size", "k", "top", "a.b", "Keep_"]
 
@@ -28,18 +28,49 @@ def test_exact_copies_with_clashing_columns(spark):
     assert exact_dedup.drop_exact_copies(df.limit(0)).collect() == []
 
 
-def test_only_ids_are_shuffled_where_ids_are_unique(spark):
-    df = spark.createDataFrame([(i, f"text {i % 7}") for i in range(50)], "doc_id long, text string")
-    assert sorted(r.doc_id for r in exact_dedup.drop_exact_copies(df).collect()) == list(range(7))
-    assert "text" not in {f.split("#")[0].strip() for f in _exchanged(exact_dedup.drop_exact_copies(df))}
-
-
-def _exchanged(df) -> list[str]:
-    """Columns below any exchange of the physical plan that is no broadcast."""
-    import re
-
-    text = df._jdf.queryExecution().executedPlan().toString()
-    return [c for line in text.splitlines() if re.search(r"(?<!Broadcast)Exchange hashpartitioning", line) for c in re.findall(r"hashpartitioning\((.*?)\)", line)[0].split(",")]
+@pytest.mark.parametrize("few", [1 << 20, 0])
+def test_rows_off_a_list(spark, few):
+    """All but the listed ids, by a filter that names many in error, too; nulls and repeated ids stay or go together."""
+    rnd = random.Random(8)
+    rows = [(rnd.choice([None, *range(3000)]), f"t{i}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(i).alias(c) for i, c in enumerate([*CLASHES, "_piece", "_bits", "_maybe", "_wrong", "bit"])])
+    gone = set(rnd.sample(range(3000), 1500))
+    ids = spark.createDataFrame([(i,) for i in gone], "id long")
+    for bits in (1 << 29, 1 << 15, 1):  # with 32,768 bits for 1,500 ids three spots are often all set
+        got = without.without(df, ids, most_bits=max(bits, without.PIECE), few=few)
+        assert got.columns == df.columns
+        assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(r for r in rows if r[0] not in gone)
+    assert without.without(df, ids.limit(0)).count() == len(rows)
+
+
+def test_no_text_is_shuffled_where_ids_are_unique(spark):
+    """However long the list of rows to drop is: no exchange carries texts, with automatic broadcasts off."""
+    df = spark.createDataFrame([(i, f"text {i % 7} " * 9, "en", "s", 0) for i in range(500)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plain = df.join(df.select("doc_id"), "doc_id", "left_semi")
+        assert any("text" in columns for columns in _exchanged(plain))  # what the test would find
+        for stage in (lambda: exact_dedup.drop_exact_copies(df), lambda: P.drop_near_copies(spark, df, None)):
+            out = stage()
+            assert not any("text" in columns for columns in _exchanged(out))
+            assert sorted(r.doc_id for r in out.collect()) == list(range(7))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def _exchanged(df) -> list[set[str]]:
+    """The columns that each shuffle of the physical plan carries."""
+    out, nodes = [], [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.getClass().getSimpleName() == "ShuffleExchangeExec":
+            columns = node.output()
+            out.append({columns.apply(i).name() for i in range(columns.size())})
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return out
 
 
 @pytest.mark.parametrize("per_bucket", [1 << 20, 7])
