@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from siltstone.llm import exact_dedup, packing, quality, simhash, substring_dedup
 from siltstone.llm.common import scratch, staged, table
 from siltstone.llm.tokens import default_path
+from siltstone.llm.without import without
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -37,10 +38,10 @@ def drop_near_copies(spark, docs, sf_dir):
     """One document of each group stays: the smallest doc_id, which names the group, so no group is
     gathered. Groups are linked by five-word shingles at a similarity of 0.8 or more. Texts without
     a word are one group. Rows that share an id go or stay together; rows without an id always stay,
-    as nothing names them."""
+    as nothing names them. No text is shuffled to drop rows."""
     found = simhash.similar_documents(docs, similarity=0.8, shingle=5)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    gone = staged(found.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct())
+    return without(docs, gone).select(COLUMNS)
 
 
 def cut_repeats(spark, docs, sf_dir):
