@@ -27,6 +27,8 @@ from siltstone import schemas
 from siltstone.functions import text as X
 
 WORD = re.compile(r"[^\W_][\w-]*")
+#: Numbers that :func:`mmr_groups` may hold on the driver.
+MOST_NUMBERS = 1 << 23
 
 
 class Extractor(Protocol):
@@ -76,7 +78,8 @@ def mmr_groups(df: DataFrame, group: str, key: str, vector: str, top_n: int, div
     vector competing; of equal gains the smallest key (unique in its group) wins.
 
     One pass sums the unit vectors in fixed point, so order does not matter, and each of ``top_n`` more
-    passes gives every task's best row of each group. The driver holds ``top_n`` vectors a group."""
+    passes gives every task's best row of each group. The driver holds ``top_n`` vectors a group: at most
+    ``MOST_NUMBERS`` numbers in all, more is an error."""
     spark, unit = df.sparkSession, float(1 << 30)
     rows = df.where(F.col(vector).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(vector).alias("v"))
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
@@ -105,7 +108,10 @@ def mmr_groups(df: DataFrame, group: str, key: str, vector: str, top_n: int, div
     parts = rows.mapInArrow(sums, f"g {types['g']}, at int, n long, high long, low long")
     parts = parts.groupBy("g", "at").agg(F.sum("n").alias("n"), *[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("high", "low")])
     centre: dict = {}
-    for r in parts.orderBy("at").collect():
+    sums_of_all = parts.orderBy("at").limit(MOST_NUMBERS // max(1, top_n) + 1).collect()
+    if len(sums_of_all) * top_n > MOST_NUMBERS:
+        raise ValueError(f"the groups' picks are more than {MOST_NUMBERS} numbers: take fewer groups at a time")
+    for r in sums_of_all:
         centre.setdefault(r.g, []).append((int(r.high) + int(r.low) / unit) / unit / r.n)
     centre = {g: np.array(x) / max(np.linalg.norm(x), 1e-12) for g, x in centre.items()}
     chosen: dict = {g: ([], []) for g in centre}

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone import schemas
@@ -211,3 +212,11 @@ def test_matrix_invariants(spark):
     assert cells and all(c in s.lower() for c, s in cells)
     custom = W.custom_matrix(papers, ranked.limit(40).select(F.upper("concept").alias("Concept")))
     assert sorted(map(tuple, custom.select(matrix.columns).collect())) == sorted(map(tuple, matrix.collect()))
+
+
+def test_picks_of_too_many_groups_are_an_error(spark, monkeypatch):
+    df = spark.createDataFrame([(g, i, [float(g), float(i), 1.0]) for g in range(5) for i in range(4)], "label int, id int, v array<double>")
+    assert E.mmr_groups(df, "label", "id", "v", 2).count() == 10
+    monkeypatch.setattr(E, "MOST_NUMBERS", 5 * 3 * 2 - 1)
+    with pytest.raises(ValueError, match="fewer groups"):
+        E.mmr_groups(df, "label", "id", "v", 2)
