@@ -68,6 +68,20 @@ def offline_tags(concepts: DataFrame) -> DataFrame:
     return concepts.select(c.alias("concept"), _by_rule(c, STAGE_RULES).alias("stages"), _by_rule(c, LEVEL_RULES).alias("levels"))
 
 
+def spread_all(concepts: DataFrame, rows: DataFrame, rounds: int = 20) -> DataFrame:
+    """concept, stages, levels: the offline rules' tags, and for concepts that no rule knows those that spread from the
+    concepts of the same papers, ``rows(paper, concept)``."""
+    known = offline_tags(concepts)
+    pairs = rows.select("paper", X.clean_label(F.col("concept")).alias("concept"))
+    out = known
+    for column in ("stages", "levels"):
+        seeds = known.where(F.size(column) > 0).select("concept", F.get(column, F.lit(0)).alias("label"))
+        found = spread_tags(pairs, seeds, rounds).select(F.col("concept").alias("_c"), F.array("label").alias("_spread"))
+        joined = out.join(found, F.col("concept") == F.col("_c"), "left")
+        out = joined.withColumn(column, F.when((F.size(column) == 0) & F.col("_spread").isNotNull(), F.col("_spread")).otherwise(F.col(column))).drop("_c", "_spread")
+    return out
+
+
 def batched_tags(concepts: DataFrame, tagger: Callable[[list[str]], list[dict]], size: int = 40) -> DataFrame:
     """concept, stages, levels, pos from a tagger called with one batch of concepts at a time. A batch
     whose answer is unusable leaves its concepts untagged."""

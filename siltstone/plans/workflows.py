@@ -11,9 +11,12 @@ from siltstone import schemas
 from siltstone.functions import text as X
 from siltstone.operators import concepts as C
 from siltstone.operators import extraction as E
+from siltstone.operators import labels as spellings
 from siltstone.operators import matrix as M
 from siltstone.operators import papers as P
 from siltstone.operators import tagging as G
+from siltstone.operators import terms as T
+from siltstone.operators import vectors
 from siltstone.operators.answers import Asker, Store
 from siltstone.sinks import diagram, tables
 from siltstone.sources import concepts as S
@@ -41,10 +44,15 @@ def _delay(extractor) -> float:
     return settings.delay_s if settings else 0.0
 
 
-def vocabulary_analytics(papers: DataFrame, top_n: int = 80, least: int = 2, least_words: int = 1, longer_than: int = 4, chunker=None) -> tuple[DataFrame, DataFrame]:
+def vocabulary_analytics(papers: DataFrame, top_n: int = 80, least: int = 2, least_words: int = 1, longer_than: int = 4, chunker=None, nested: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(matrix of the vocabulary's phrases, phrase frequencies). ``papers(paper, abstract)``; ``chunker`` as of
-    :func:`extraction.phrase_table`."""
-    phrases = E.phrase_table(papers, least_words=least_words, longer_than=longer_than, chunker=chunker)
+    :func:`extraction.phrase_table`. With ``nested`` phrases are the collection's terms by nested n-grams that occur
+    so often at least (:func:`terms.terms`), instead of whole runs of words."""
+    if nested:
+        found = T.terms(papers, "abstract", least=nested, longer_than=longer_than).where(F.col("words") >= least_words)
+        phrases = T.term_table(papers, found, "abstract")
+    else:
+        phrases = E.phrase_table(papers, least_words=least_words, longer_than=longer_than, chunker=chunker)
     frequency = C.phrase_frequency(phrases)
     vocabulary = C.vocabulary(C.min_docs(frequency, least, top_n), top_n)
     terms = sorted(_labels(vocabulary, top_n))
@@ -52,8 +60,11 @@ def vocabulary_analytics(papers: DataFrame, top_n: int = 80, least: int = 2, lea
     return M.ontology_matrix(P.with_abstract(papers), terms, "abstract"), kept
 
 
-def local_analytics(papers: DataFrame, extractor: E.Extractor | None = None, top_n: int = 20, columns: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(concept rows, rankings, matrix of the best concepts)."""
+def local_analytics(papers: DataFrame, extractor: E.Extractor | None = None, top_n: int = 20, columns: int = 80, learned: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(concept rows, rankings, matrix of the best concepts). With ``learned`` the offline rules take word vectors learned
+    from these papers (:func:`vectors.learn`) instead of hashed letters."""
+    if learned and extractor is None:
+        extractor = E.Offline(vectors.learn(papers, "abstract"))
     rows = E.concept_table(papers, extractor or E.Offline(), top_n, delay_s=_delay(extractor)).where("error IS NULL").select("paper", F.col("canonical").alias("concept"), "relevance")
     ranked = C.rankings(rows)
     terms = _labels(C.top_concepts(ranked, columns), columns)
@@ -65,12 +76,13 @@ def custom_matrix(papers: DataFrame, concept_file: DataFrame, column: str = "con
     return M.ontology_matrix(P.with_abstract(papers), S.concept_list(concept_file, column), "abstract")
 
 
-def discover_schema(papers: DataFrame, extractor: E.Extractor | None = None, settings: Settings = Settings(), concept_file: DataFrame | None = None, normalize=None, most: int = 80, most_labels: int = 10_000, store: Store | None = None) -> tuple[DataFrame | None, DataFrame]:
+def discover_schema(papers: DataFrame, extractor: E.Extractor | None = None, settings: Settings = Settings(), concept_file: DataFrame | None = None, normalize=None, most: int = 80, most_labels: int = 10_000, store: Store | None = None, by_spelling: bool = False) -> tuple[DataFrame | None, DataFrame]:
     """(concept rows or None, schema table). Discovery is skipped if a concept file is given; the
     concepts are normalised by ``normalize(list)``, else the first ``most`` unique labels are taken.
     ``normalize`` gets the whole label set: of labels that differ in hyphens, spaces or a plural only, the
     most frequent one. More than ``most_labels`` of them are an error, never cut. With a ``store`` the extractor is a
-    remote model whose answers are kept there, so a run that ended early is continued."""
+    remote model whose answers are kept there, so a run that ended early is continued. With ``by_spelling`` and no
+    ``normalize`` the terms are the ``most`` most frequent labels, spellings of one label counted together."""
     extractor, found = extractor or E.Offline(), None
     asker = Asker(extractor, store) if store else None
     if concept_file is not None:
@@ -78,7 +90,11 @@ def discover_schema(papers: DataFrame, extractor: E.Extractor | None = None, set
     else:
         found = asker.concept_table(papers, settings.top_n) if asker else E.concept_table(papers, extractor, settings.top_n, delay_s=_delay(extractor))
         labels = found.where("error IS NULL").select(F.col("canonical").alias("concept"))
-        terms = _labels(C.normalize_fallback(labels, most), most)
+        if by_spelling:
+            counted = labels.groupBy("concept").agg(F.count(F.lit(1)).alias("doc_frequency"))
+            terms = sorted(_labels(spellings.normalized(counted, most), most))
+        else:
+            terms = _labels(C.normalize_fallback(labels, most), most)
         if normalize:
             variants = C.label_variants(labels).select(F.col("canonical").alias("concept"))
             terms = normalize(_all_labels(C.unique_labels(variants), most_labels)) or terms
@@ -93,11 +109,12 @@ def structured_extract(papers: DataFrame, concepts: list[str], extractor: E.Extr
     return E.record_table(papers, extractor or E.Offline(), concepts, device_type, _delay(extractor))
 
 
-def tag_and_draw(concept_file: DataFrame, tagger=None, title: str = "Concepts", asker: Asker | None = None, size: int = 40) -> tuple[DataFrame, str]:
+def tag_and_draw(concept_file: DataFrame, tagger=None, title: str = "Concepts", asker: Asker | None = None, size: int = 40, rows: DataFrame | None = None) -> tuple[DataFrame, str]:
     """(enriched concepts, diagram XML). Tags are an ``asker``'s, whose answers are kept, or a ``tagger``'s, or those of
-    the offline rules; ``size`` concepts are asked for at a time."""
+    the offline rules; ``size`` concepts are asked for at a time. With ``rows(paper, concept)`` concepts that no rule
+    knows get the tags that spread to them from those of the same papers (:func:`tagging.spread_all`)."""
     loaded = S.load_concepts(concept_file)
-    tags = asker.tags(loaded, size) if asker else G.batched_tags(loaded, tagger, size) if tagger else G.offline_tags(loaded)
+    tags = asker.tags(loaded, size) if asker else G.batched_tags(loaded, tagger, size) if tagger else G.offline_tags(loaded) if rows is None else G.spread_all(loaded, rows)
     enriched = G.attach_tags(loaded, tags).orderBy(F.desc("doc_frequency"), "concept")
     return enriched, diagram.diagram_xml(enriched, title)
 
