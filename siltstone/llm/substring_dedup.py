@@ -16,8 +16,11 @@ needs it as a witness; such texts are found by digest and take no further part.
 sends the hashes of its anchors, sorted and delta-coded; anchors whose hash no other anchor has
 cannot match and are dropped. For the rest it forms keys: the suffix at the anchor as far as its
 windows reach, then what stands before it. Equal keys of a run are one key with the smallest and
-largest id; where they stand stays in the run. So a passage that a third of all documents hold costs
-each run one key, however often it stands there. The sorted keys are front-coded (length of the
+largest id; where they stand stays in the run. So the inside of a passage that a third of all documents
+hold costs each run one key an anchor, however often it stands there. At its edges windows reach into
+what differs from place to place, and all these keys share a gram. A gram of which runs may send very many
+keys (``HOT`` in all, told with the marks of what is repeated) is therefore sent as single windows, which
+are dealt by all their bytes: equal ones still meet, the others spread over all parts. The sorted keys are front-coded (length of the
 common prefix, remaining bytes) and exchanged by parts, ranges of the anchor's hash.
 
 *Merge.* Runs meet in a loser tree. Every entry carries its common prefix with the last key put
@@ -52,6 +55,8 @@ from .exact_dedup import MAX_FREQUENT, TRACKED, with_keeper
 LENGTH, GRAM = 50, 32
 RUN_BYTES, MOST_RUN_BYTES, BLOCK = 8 << 20, 64 << 20, 1 << 17
 PART_ANCHORS, ROW_ANCHORS, MOST_PARTITIONS = 1 << 20, 64, 1 << 15
+#: Runs that have a gram, or its places in runs that have several (rounded down to powers of two), that make it hot.
+HOT = 4096
 
 
 class Anchors:
@@ -193,24 +198,58 @@ def _hash_blocks(length: int, parts: int):
                 f, n = np.unique(Anchors(data, offsets, length).hash, return_counts=True)
                 part = _part_of(f, parts)
                 cut = np.flatnonzero(np.diff(part, prepend=-1))
-                rows = [(run_id, int(part[a]), _deltas(f[a:b]), np.packbits(n[a:b] > 1).tobytes()) for a, b in zip(cut, np.append(cut[1:], len(f)))]
+                rows = [(run_id, int(part[a]), _deltas(f[a:b]), np.packbits(n[a:b] > 1).tobytes(), _squeeze(np.log2(n[a:b]).astype(np.uint8))) for a, b in zip(cut, np.append(cut[1:], len(f)))]
                 for at in range(0, len(rows), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 64]), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["run", "part", "hashes", "own"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 64]), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["run", "part", "hashes", "own", "many"])
 
     return run
 
 
-def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each run's slice, marks of the hashes that stand at more than one anchor anywhere."""
-    slices = [_from_deltas(h) for h in pdf["hashes"]]
-    own = [np.unpackbits(np.frombuffer(o, np.uint8))[: len(s)].astype(bool) for o, s in zip(pdf["own"], slices)]
-    every = np.sort(np.concatenate(slices))
-    twice = distinct(np.concatenate([every[1:][every[1:] == every[:-1]], *[s[o] for s, o in zip(slices, own)]]))
-    marks = []
-    for s in slices:
-        at = np.minimum(np.searchsorted(twice, s), max(0, len(twice) - 1))
-        marks.append(np.packbits(twice[at] == s if len(twice) else np.zeros(len(s), bool)).tobytes())
-    return pd.DataFrame({"run": pdf["run"], "part": pdf["part"], "marks": marks})
+def _repeated(hot: int):
+    """For each run's slice, marks of the hashes that stand at more than one anchor anywhere, then marks of the hot ones."""
+
+    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
+        slices = [_from_deltas(h) for h in pdf["hashes"]]
+        own = [np.unpackbits(np.frombuffer(o, np.uint8))[: len(s)].astype(bool) for o, s in zip(pdf["own"], slices)]
+        every = np.sort(np.concatenate(slices))
+        several = np.concatenate([s[o] for s, o in zip(slices, own)])
+        twice = distinct(np.concatenate([every[1:][every[1:] == every[:-1]], several]))
+        places = 1 << np.concatenate([_unsqueeze(m, "u1")[0][o] for m, o in zip(pdf["many"], own)]).astype(np.int64)
+        some, number = np.unique(several, return_inverse=True)
+        often = some[np.bincount(number, places, len(some)) >= hot]
+        if len(every) >= hot:
+            often = distinct(np.concatenate([often, every[hot - 1 :][every[hot - 1 :] == every[: len(every) - hot + 1]]]))
+        marks = [_marks(s, twice) + _marks(s, often) for s in slices]
+        return pd.DataFrame({"run": pdf["run"], "part": pdf["part"], "marks": marks})
+
+    return mark
+
+
+def _marks(hashes: np.ndarray, among: np.ndarray) -> bytes:
+    at = np.minimum(np.searchsorted(among, hashes), max(0, len(among) - 1))
+    return np.packbits(among[at] == hashes if len(among) else np.zeros(len(hashes), bool)).tobytes()
+
+
+def _marked(raw: bytes, n: int) -> np.ndarray:
+    """Marks of repeated and of hot hashes (2 x n); without the latter none is hot."""
+    both, size = np.frombuffer(raw, np.uint8), -(-n // 8)
+    out = np.zeros((2, n), bool)
+    out[0] = np.unpackbits(both[:size])[:n]
+    if len(both) > size:
+        out[1] = np.unpackbits(both[size:])[:n]
+    return out
+
+
+def _window_hash(windows: np.ndarray) -> np.ndarray:
+    """48 bits of windows of bytes (n x length)."""
+    n, length = windows.shape
+    words = np.zeros((n, -(-length // 8) * 8), np.uint8)
+    words[:, :length] = windows
+    h = np.zeros(n, np.uint64)
+    for x in words.view("<u8").T:
+        h = (h ^ x) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(16)
 
 
 def front_code(keys: np.ndarray) -> tuple[np.ndarray, bytes]:
@@ -311,19 +350,31 @@ def _keys(length: int, parts: int):
         new = np.diff(hashes, prepend=~hashes[:1]) != 0
         part = _part_of(hashes[new], parts)
         cut = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
-        mark = np.concatenate([np.unpackbits(np.frombuffer(marks[int(part[a])], np.uint8))[: b - a] for a, b in zip(cut, cut[1:])])
-        take = order[mark[np.cumsum(new) - 1].astype(bool) & ~copy[x.doc[order]]]  # by hash, so by part
-        all_parts = _part_of(x.hash[take], parts)
-        cut = np.append(np.flatnonzero(np.diff(all_parts, prepend=-1)), len(take))
+        mark, hot = np.concatenate([_marked(marks[int(part[a])], b - a) for a, b in zip(cut, cut[1:])], axis=1)
+        of = np.cumsum(new) - 1
+        keep = mark[of] & ~copy[x.doc[order]]
+        take, hot = order[keep], hot[of][keep]  # by hash, so by part
         padded = np.concatenate([np.zeros(span, np.uint8), data, np.zeros(length, np.uint8)])
         after, ahead = (np.lib.stride_tricks.sliding_window_view(padded, n) for n in (length, span))
+        every = [np.stack((x.at, x.low, x.high, x.doc))[:, take[~hot]]]
+        all_parts = [_part_of(x.hash[take[~hot]], parts)]
+        if hot.any():  # each window of a hot gram for itself
+            t = take[hot]
+            n = x.high[t] - x.low[t] + 1
+            start = np.repeat(x.low[t] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            every.append(np.stack((start, start, start, np.repeat(x.doc[t], n))))
+            all_parts.append(np.concatenate([_part_of(_window_hash(after[start[a : a + BLOCK] + span]), parts) for a in range(0, len(start), BLOCK)]))
+        every, all_parts = np.concatenate(every, axis=1), np.concatenate(all_parts)
+        if hot.any():
+            order = np.argsort(all_parts, kind="stable")
+            every, all_parts = every[:, order], all_parts[order]
+        cut = np.append(np.flatnonzero(np.diff(all_parts, prepend=-1)), len(all_parts))
         for a, b in zip(cut, cut[1:]):
             if wanted is not None and int(all_parts[a]) not in wanted:
                 continue
-            t = take[a:b]
-            at, low, high = x.at[t], x.low[t], x.high[t]
+            at, low, high, doc = every[:, a:b]
             right, before = high + length - at, at - low
-            keys = np.empty((len(t), width), np.uint8)
+            keys = np.empty((len(at), width), np.uint8)
             keys[:, :length] = after[at + span]
             keys[:, length] = right
             keys[:, length + 1 : -1] = ahead[at][:, ::-1]
@@ -332,7 +383,7 @@ def _keys(length: int, parts: int):
                 short = np.flatnonzero(some < n)
                 keys[short, start : start + n] *= np.arange(n) < some[short, None]
             sorted_, inverse = np.unique(keys.view(f"S{width}").ravel(), return_inverse=True)
-            yield int(all_parts[a]), sorted_.view(np.uint8).reshape(-1, width), x.doc[t], at, inverse
+            yield int(all_parts[a]), sorted_.view(np.uint8).reshape(-1, width), doc, at, inverse
 
     return run
 
@@ -460,7 +511,7 @@ def covered(ids, data, offsets, keys, replies: dict[int, bytes], length: int) ->
     return np.cumsum(step[:-1]) > 0
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, run_bytes: int | None = None) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = LENGTH, run_bytes: int | None = None, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs(doc_id, text)``.
 
     Null texts count as empty. Rows that repeat an id are judged like other documents of that id:
@@ -478,7 +529,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, run_bytes: int | None = N
         columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
         return pa.table([batch.column(0), *columns], ["doc_id", *names])
 
-    return _judged(docs.select("doc_id", "text"), length, run_bytes, shape, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _judged(docs.select("doc_id", "text"), length, run_bytes, hot, shape, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut_texts(docs: DataFrame, length: int = LENGTH, run_bytes: int | None = None) -> DataFrame:
@@ -491,7 +542,7 @@ def cut_texts(docs: DataFrame, length: int = LENGTH, run_bytes: int | None = Non
         return pa.table([batch.column(0), pa.array(texts, pa.string()), *batch.columns[2:]], columns)
 
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *quoted(columns[2:]))
-    return _judged(typed, length, run_bytes, shape, typed.schema).select(quoted(docs.columns))
+    return _judged(typed, length, run_bytes, HOT, shape, typed.schema).select(quoted(docs.columns))
 
 
 def _run_size(docs: DataFrame) -> int:
@@ -500,7 +551,7 @@ def _run_size(docs: DataFrame) -> int:
     return int(min(max(RUN_BYTES, (size * 40 * ROW_ANCHORS) ** 0.5), MOST_RUN_BYTES))
 
 
-def _judged(docs: DataFrame, length: int, run_bytes: int | None, shape, schema) -> DataFrame:
+def _judged(docs: DataFrame, length: int, run_bytes: int | None, hot: int, shape, schema) -> DataFrame:
     if not GRAM <= length < GRAM + 128:
         raise ValueError(f"length must be from {GRAM} to {GRAM + 127}")
     run_bytes = run_bytes or _run_size(docs)
@@ -511,8 +562,8 @@ def _judged(docs: DataFrame, length: int, run_bytes: int | None, shape, schema)
     parts = min(parts, max(12, int(run_bytes / per_anchor) // ROW_ANCHORS))
     spread = min(2 * parts, MOST_PARTITIONS)  # twice as many partitions as parts, so that few get several
     source = runs.select("run", "body")
-    hashes = source.mapInArrow(_hash_blocks(length, parts), "run long, part long, hashes binary, own binary")
-    marks = staged(hashes.repartition(spread, "part").groupBy("part").applyInPandas(_repeated, "run long, part long, marks binary"))
+    hashes = source.mapInArrow(_hash_blocks(length, parts), "run long, part long, hashes binary, own binary, many binary")
+    marks = staged(hashes.repartition(spread, "part").groupBy("part").applyInPandas(_repeated(hot), "run long, part long, marks binary"))
     copies = whole_copies(source)
     none, no_list, no_part = F.lit(None).cast("binary").alias, F.lit(None).cast("array<int>").alias, F.lit(-1).cast("long").alias
     told = marks.withColumn("copies", F.lit(None).cast("array<int>")).unionByName(copies.select("run", no_part("part"), none("marks"), "copies"))

@@ -143,23 +143,69 @@ def exact_key(text):
     return re.sub("[ \t-\r]+", " ", text or "")
 
 
-def test_passage_of_every_document_is_one_key_a_run(spark):
-    """However often a passage stands in a run, the run sends its keys once; results as by brute force."""
-    import numpy as np
+def hot_documents(n, seed=9):
+    """A passage in every document, and in every third a second one within it, random text around them."""
+    rnd = random.Random(seed)
+    passage, short = " ".join(f"common{i}" for i in range(20)), "One line that many have, of over fifty bytes in all."
+    return passage, [(i, f"{rnd.random()} {passage} {rnd.random()}" + (f" {rnd.random()} {short} {rnd.random()}" if i % 3 == 0 else "")) for i in range(n)]
+
+
+def brute_removed(rows, length=50):
+    first, out = {}, {}
+    for i, t in rows:
+        b = t.encode()
+        for p in range(len(b) - length + 1):
+            first.setdefault(b[p : p + length], i)
+    for i, t in rows:
+        b = t.encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            if first[b[p : p + length]] < i:
+                gone[p : p + length] = b"\1" * length
+        out[i] = sum(gone)
+    return out
 
-    rnd = random.Random(9)
-    passage = " ".join(f"common{i}" for i in range(20))
-    rows = [(i, f"{rnd.random()} {passage} {rnd.random()}") for i in range(600)]
+
+@pytest.mark.parametrize("hot", [2, 40, 1 << 30])
+def test_hot_grams_change_nothing(spark, hot):
+    _, rows = hot_documents(700)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r.n_removed for r in substring_dedup.cut_repeats(df, run_bytes=20_000).collect()}
-    assert got[0] == 0 and all(len(passage) <= got[i] <= len(passage) + 16 for i in range(1, 600))
-    data = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
-    offsets = np.cumsum([0, *(len(t) for _, t in rows)])
-    anchors = substring_dedup.Anchors(data, offsets, 50)
-    f = np.unique(anchors.hash)
-    sent = list(substring_dedup._keys(50, 1)(data, offsets, {0: np.packbits(np.ones(len(f), bool)).tobytes()}, np.zeros(0, np.int64)))
-    keys, places = sum(len(k) for _, k, *_ in sent), sum(len(at) for *_, at, _ in sent)
-    assert places == len(anchors.at) and keys < places / 2
+    got = {r.doc_id: r.n_removed for r in substring_dedup.cut_repeats(df, run_bytes=20_000, hot=hot).collect()}
+    assert got == brute_removed(rows)
+
+
+def test_passage_of_every_document_loads_no_part(spark):
+    """20,000 documents with one passage: what runs send of one gram is spread over all parts, evenly; unsplit it would
+    all go to one."""
+    import numpy as np
+
+    _, rows = hot_documents(20_000)
+    parts, hot, per_run = 12, 512, 500
+    runs = []
+    for a in range(0, len(rows), per_run):
+        texts = [t for _, t in rows[a : a + per_run]]
+        runs.append((np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])))
+    slices = []
+    for r, (data, offsets) in enumerate(runs):
+        ids, texts = np.arange(len(offsets) - 1), data.tobytes()
+        batch = substring_dedup.pa.record_batch([substring_dedup.pa.array(ids), substring_dedup.pa.array([texts[a:b] for a, b in zip(offsets, offsets[1:])], substring_dedup.pa.binary())], ["c0", "c1"])
+        body = substring_dedup._run_row([batch], len(texts)).column(1)[0].as_py()
+        one = substring_dedup.pa.record_batch([substring_dedup.pa.array([r]), substring_dedup.pa.array([body])], ["run", "body"])
+        slices += [b.to_pandas() for b in substring_dedup._hash_blocks(50, parts)([one])]
+    hashes = __import__("pandas").concat(slices)
+
+    def most(hot):
+        marks = __import__("pandas").concat([substring_dedup._repeated(hot)(p) for _, p in hashes.groupby("part")])
+        sent, grams = Counter(), Counter()
+        for r, (data, offsets) in enumerate(runs):
+            own = {int(p): m for p, m in zip(marks["part"][marks["run"] == r], marks["marks"][marks["run"] == r])}
+            for part, keys, *_ in substring_dedup._keys(50, parts)(data, offsets, own, np.zeros(0, np.int64)):
+                sent[part] += len(keys)
+                grams.update((part, k[: substring_dedup.GRAM].tobytes()) for k in keys)
+        return max(grams.values()), max(sent.values()) / (sum(sent.values()) / parts)
+
+    (split, uneven), (whole, _) = most(hot), most(1 << 30)
+    assert whole > 15_000 and split < whole / 5 and uneven < 1.5
 
 
 def test_scratch_tables_go(spark):
