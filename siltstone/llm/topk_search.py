@@ -11,8 +11,9 @@ outsider can then displace; their scores are resolved exactly. It stops for the
 stopped for all queries.
 
 Candidates and queries are dealt into blocks of bounded size, staged in the shared folder, and meet in
-the cells of a grid: a cell holds one block of queries and a bounded number of candidate blocks, and
-returns its k best for each query. Neither side goes to the driver, and no task holds more than a cell.
+the cells of a grid: a cell holds a bounded number of query blocks and of candidate blocks, takes them
+up block by block, and returns its k best for each query. So the candidates travel once for every
+``ASKED`` blocks of queries. Neither side goes to the driver, and no task holds more than a cell.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from .common import shuffle_partitions, staged
 
 #: Depths of a list at which bounds are taken, as shares of its length.
 DEPTHS = (0.25, 0.4, 0.55, 0.7, 0.8, 0.9)
-#: Candidates of a block, and candidate blocks of a grid cell at most on average.
-CANDIDATES, CELL = 4096, 8
+#: Candidates of a block, and candidate blocks and query blocks of a grid cell at most on average.
+CANDIDATES, CELL, ASKED = 4096, 8, 16
 BOUNDS = float(1 << 63)
 
 
@@ -189,7 +190,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, block: i
     """
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     asked, rows = blocks(vectors.where(is_query).dropDuplicates(["vec_id"]), block, scale), blocks(vectors, CANDIDATES, scale)
-    down, many = max(1, asked.count()), max(1, rows.count())
+    down, many = max(1, -(-asked.count() // ASKED)), max(1, rows.count())
     across = min(many, max(-(-many // CELL), shuffle_partitions(vectors.sparkSession)))
     place = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
     along = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
