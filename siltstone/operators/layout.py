@@ -119,7 +119,7 @@ def place_nodes(staged: DataFrame, grouped: DataFrame) -> DataFrame:
     )
 
 
-#: Of every text box in a diagram.
+#: Words of the file format, for every text box in a diagram.
 BOX = "rounded=1;whiteSpace=wrap;html=1;align=center;verticalAlign=middle;"
 
 

@@ -29,13 +29,13 @@ def numbered(df: DataFrame, order: list[str], group: list[str] = (), place: str
     spark, group = df.sparkSession, list(group)
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = boundaries(df, [*group, *order], ranges)
+    keys = [*group, *order]
+    passed = F.lit(0)
     if cuts:
-        kind = df.select(F.struct(*group, *order).alias("k")).schema["k"].dataType
-        table = spark.createDataFrame([(cuts,)], f"cuts array<{kind.simpleString()}>")
-        passed = F.size(F.filter("_cuts", lambda c: c <= F.struct(*group, *order)))
-        held = df.crossJoin(F.broadcast(table.withColumnRenamed("cuts", "_cuts"))).withColumn("_range", passed).drop("_cuts")  # one row
-    else:
-        held = df.withColumn("_range", F.lit(0))
+        kinds = {f.name: f.dataType for f in df.select(*keys).schema}
+        table = F.array(*[F.struct(*[F.lit(c[k]).cast(kinds[k]).alias(k) for k in keys]) for c in cuts])
+        passed = F.size(F.filter(table, lambda c: c <= F.struct(*keys)))
+    held = df.withColumn("_range", passed)
     counts = held.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
     parts = counts.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_range", "_n"))).alias("_parts")) if group else counts.agg(F.array_sort(F.collect_list(F.struct("_range", "_n"))).alias("_parts"))
     sums = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x["_n"])

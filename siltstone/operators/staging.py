@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -16,5 +18,8 @@ def staged(df: DataFrame) -> DataFrame:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the driver and all executors")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="siltstone-checkpoints-"))
+        if not folder:
+            folder = tempfile.mkdtemp(prefix="siltstone-checkpoints-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return df.checkpoint()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as X
 from siltstone.operators import concepts as C
 
-#: Header names of wide tables that are not concepts.
+#: Header names of wide tables that are not concepts.
 NOT_CONCEPTS = {"domain", "doi", "title", "paper"}
 
 
