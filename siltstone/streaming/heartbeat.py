@@ -27,10 +27,15 @@ def message(seconds):
     return F.concat(F.lit("still running after "), X.elapsed(seconds))
 
 
+def millis():
+    """``at`` in milliseconds, to the nearest one, halves away from 1970 (``unix_millis`` takes the one below)."""
+    return F.expr("(unix_micros(at) + if(unix_micros(at) < 0, -500, 500)) div 1000")
+
+
 def beats(events: DataFrame, every_s: int = 30, silence_s: int = 3600, ends: tuple[str, ...] = ENDS) -> DataFrame:
     """run, start, at, message of ``events(run, at, kind)``: all messages of a table of events."""
     order = Window.partitionBy("run").orderBy("at", "ended")
-    ms = F.unix_millis(F.col("at")).alias("at")
+    ms = millis().alias("at")
     e = events.where("run IS NOT NULL AND at IS NOT NULL").select("run", ms, F.coalesce(F.col("kind").isin(*ends), F.lit(False)).alias("ended"))
     e = e.withColumn("gap", F.col("at") - F.lag("at").over(order)).withColumn("after_end", F.lag("ended").over(order))
     fresh = F.col("gap").isNull() | (F.col("gap") >= 1000 * silence_s) | F.col("after_end")
@@ -103,6 +108,6 @@ def heartbeats(events: DataFrame, every_s: int = 30, silence_s: int = 3600, late
             yield pd.DataFrame({"run": key[0], "start": [s for s, _ in out], "at": [a for _, a in out]})
 
     rows = events.where("run IS NOT NULL AND at IS NOT NULL").withWatermark("at", late)
-    rows = rows.select("run", "at", F.unix_millis(F.col("at")).alias("ms"), F.coalesce(F.col("kind").isin(*ends), F.lit(False)).alias("ended"))
+    rows = rows.select("run", "at", millis().alias("ms"), F.coalesce(F.col("kind").isin(*ends), F.lit(False)).alias("ended"))
     found = rows.groupBy("run").applyInPandasWithState(step, "run string, start long, at long", STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return _shown(found)

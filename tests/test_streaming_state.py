@@ -162,3 +162,19 @@ def test_stream_equals_table_and_state_goes(spark, tmp_path, files):
     got = shown([x for x in spark.read.parquet(str(tmp_path / "out")).collect() if x.run != "zzz"])
     assert got == by_steps(events, 30, 600)
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1
+
+
+def test_fractions_of_milliseconds_as_in_sql(spark, tmp_path):
+    """Events at the last microseconds of a second, or before 1970, begin runs in the second that the SQL names."""
+    from siltstone import queries as Q
+
+    base = [datetime(2024, 1, 3, 0, 58, 7, us) for us in (999_499, 999_500, 999_999, 0)] + [datetime(1969, 12, 31, 23, 59, 58, us) for us in (400, 500, 999_500, 999_600)]
+    rows = [(i, t, i, "view") for i, t in enumerate(base)] + [(100 + i, t + timedelta(hours=13, microseconds=1), i, "purchase") for i, t in enumerate(base)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(c.execute(Q.oracle_sql()["run_heartbeats"]).fetchall())
+    got = sorted(tuple(r) for r in Q.queries()["run_heartbeats"](spark, str(tmp_path)).collect())
+    assert got == want and ("1", "2024-01-03 00:58:08", "still running after 360m 00s") in got
