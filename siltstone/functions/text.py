@@ -156,6 +156,12 @@ def word_runs(text: Column) -> Column:
     return F.split(F.trim(s), r" ?\|[ |_-]*")
 
 
+def spaced_words(text: Column) -> Column:
+    """Lower-cased text with each run of marks as a bar between blanks: split at white space, without leading hyphens and
+    underscores, and with stop words as bars, its words are those of :func:`word_runs`, the bars its breaks."""
+    return F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{N}}_{BLANK}-]+", " | ")
+
+
 def noun_phrases(text: Column, least_words: int = 1, longer_than: int = 4) -> Column:
     """:func:`word_runs` that are long enough, each once: an approximation of noun chunks without their determiners
     and pronouns."""

@@ -5,31 +5,147 @@ a longer one is part of that term and no term itself, so an n-gram counts as oft
 mean count of the longer n-grams that hold it, times its number of words. Two aggregates do it, both
 combined on the map side: one counts, the other adds each n-gram's own count and those it lends to the
 n-grams inside it.
+
+Most n-grams occur once and are no terms. So a first pass counts their hashes, and only what may be frequent
+enough by these counts is spelled out, shuffled and counted as text in a second one. What tasks share is a bitmap
+of bounded size; where it is too small for the n-grams more pass it, which changes no count.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
+from siltstone.operators.staging import staged
+
+#: Words that a task counts at once, bits of the bitmap at least and at most, and of its pieces.
+HELD, FEWEST, BITS, PIECE = 1 << 19, 1 << 20, 1 << 29, 1 << 15
+BREAK = "|"
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+class _Numbers(dict):
+    """Numbers of tokens as they stand in a text: a word's own, 0 for what breaks a run, -1 for what is no word. ``words`` are
+    the numbered ones."""
+
+    def __init__(self):
+        super().__init__({BREAK: 0})
+        self.words, self.own = [BREAK], {}
+
+    def __missing__(self, token: str) -> int:
+        word = token.lstrip("_-")
+        if word in X.STOP_WORDS or not word:
+            self[token] = 0 if word else -1
+        else:
+            self[token] = self.own.setdefault(word, len(self.words))
+            if self[token] == len(self.words):
+                self.words.append(word)
+        return self[token]
+
+    def hashes(self) -> np.ndarray:
+        return _word_hashes(self.words)
+
+
+def _word_hashes(words) -> np.ndarray:
+    """Equal in all tasks."""
+    return np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in words], np.uint64)
+
+
+def _grams(ids: np.ndarray, longest: int):
+    """For each n: n, the places where an n-gram without a break starts, its code there, and each code's first place and
+    number of places. Codes are equal for equal n-grams only."""
+    code, fine = ids, ids > 0
+    for n in range(1, min(longest, len(ids)) + 1):
+        if n > 1:
+            code, fine = code[:-1] << 32 | ids[n - 1 :], fine[:-1] & (ids[n - 1 :] > 0)
+        at = np.flatnonzero(fine)
+        _, first, codes, count = np.unique(code[at], return_index=True, return_inverse=True, return_counts=True)
+        code = np.zeros(len(code), np.int64)
+        code[at] = codes
+        yield n, at, codes, at[first], count
+
+
+def _hashes(ids: np.ndarray, words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    out = np.full(len(at), n, np.uint64)
+    for i in range(n):
+        out = (out ^ words[ids[at + i]]) * MIX
+        out ^= out >> np.uint64(31)
+    return out
+
+
+def _spelled(ids: np.ndarray, words: list[str], at: np.ndarray, n: int) -> pa.Array:
+    return pa.array([" ".join([words[j] for j in row]) for row in ids[at[:, None] + np.arange(n)].tolist()], pa.string())
 
 
-def grams(words, longest: int, least: int = 1):
-    """All n-grams of an array of words, ``least`` to ``longest`` of them, repeats included, joined by blanks."""
-    n = F.size(words)
-    cut = lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(words, i, k), " "))
-    longest_here = F.least(F.lit(longest), n)
-    none = F.array().cast("array<string>")
-    return F.when(longest_here >= least, F.flatten(F.transform(F.sequence(F.lit(least), longest_here), cut))).otherwise(none)
+def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+
+
+def _passing(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    at = _slots(hashes, len(bitmap) * 8)
+    return bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+
+
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of the slots of staged ``hashes(hash)``."""
+    n = hashes.count()
+    bits = min(BITS, max(FEWEST, 1 << (16 * n).bit_length()))
+    slot = F.shiftrightunsigned("hash", 65 - bits.bit_length())
+    rows = hashes.select(F.floor(slot / PIECE).alias("piece"), (slot % PIECE).alias("bit")).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows.toLocalIterator():
+        out[r.piece * PIECE // 8 : (r.piece + 1) * PIECE // 8] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
+
+
+def _held(batches, column: int):
+    """(words' numbers of many rows, where rows begin, numbers); each row ends with a break, about ``HELD`` words at most."""
+
+    def whole():
+        codes = np.concatenate(rows)
+        fine = codes >= 0
+        return codes[fine], np.concatenate(([0], np.cumsum(fine)))[np.cumsum([0, *map(len, rows[:-1])])], number
+
+    rows, held, number = [], 0, _Numbers()
+    for batch in batches:
+        for body in batch.column(column):
+            tokens = [*body.as_py().split(), BREAK]
+            rows.append(np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens)))
+            held += len(tokens)
+            if held > HELD:
+                yield whole()
+                rows, held, number = [], 0, _Numbers()
+    if rows:
+        yield whole()
 
 
 def term_counts(papers: DataFrame, text: str = "text", longest: int = 4, least: int = 2) -> DataFrame:
     """concept, occurrences: n-grams of up to ``longest`` words that occur at least ``least`` times."""
-    runs = F.filter(X.word_runs(F.col(text)), lambda r: r != "")
-    found = F.flatten(F.transform(runs, lambda r: grams(F.split(r, " "), longest)))
-    one = papers.where(~X.missing(F.col(text))).select(F.explode_outer(found).alias("concept")).where("concept IS NOT NULL")
-    return one.groupBy("concept").agg(F.count(F.lit(1)).alias("occurrences")).where(F.col("occurrences") >= least)
+    runs = papers.where(~X.missing(F.col(text))).select(X.spaced_words(F.col(text)).alias("words"))
+
+    def hashed(batches):
+        for ids, _, number in _held(batches, 0):
+            words = number.hashes()
+            for n, _, _, first, count in _grams(ids, longest):
+                yield pa.RecordBatch.from_arrays([pa.array(_hashes(ids, words, first, n).view(np.int64)), pa.array(count)], ["hash", "n"])
+
+    often = staged(runs.mapInArrow(hashed, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("hash"))
+    shared = papers.sparkSession.sparkContext.broadcast(_bitmap(often))
+
+    def counted(batches):
+        for ids, _, number in _held(batches, 0):
+            words = number.hashes()
+            for n, _, _, first, count in _grams(ids, longest):
+                kept = _passing(_hashes(ids, words, first, n), shared.value)
+                yield pa.RecordBatch.from_arrays([_spelled(ids, number.words, first[kept], n), pa.array(count[kept])], ["concept", "n"])
+
+    rows = runs.mapInArrow(counted, "concept string, n long")
+    return rows.groupBy("concept").agg(F.sum("n").alias("occurrences")).where(F.col("occurrences") >= least)
 
 
 def term_statistics(counts: DataFrame) -> DataFrame:
@@ -47,14 +163,42 @@ def term_statistics(counts: DataFrame) -> DataFrame:
 
 def terms(papers: DataFrame, text: str = "text", longest: int = 4, least: int = 2, longer_than: int = 4) -> DataFrame:
     """The statistics of all terms: concepts of more than ``longer_than`` characters with a score above 0."""
-    found = term_statistics(term_counts(papers, text, longest, least))
+    found = term_statistics(staged(term_counts(papers, text, longest, least)))
     return found.where((F.length("concept") > longer_than) & (F.col("score") > 0))
 
 
 def term_table(papers: DataFrame, terms: DataFrame, text: str = "text", longest: int = 4) -> DataFrame:
     """paper, phrases: the concepts of ``terms(concept)`` that a paper holds, as :func:`extraction.phrase_table` gives phrases.
-    Papers' n-grams meet the terms by shuffle, each once a paper; papers without any are left out."""
-    runs = F.filter(X.word_runs(F.col(text)), lambda r: r != "")
-    found = F.array_distinct(F.flatten(F.transform(runs, lambda r: grams(F.split(r, " "), longest))))
-    rows = papers.where(~X.missing(F.col(text))).select("paper", F.explode(found).alias("concept"))
-    return rows.join(terms.select("concept"), "concept").groupBy("paper").agg(F.array_sort(F.collect_list("concept")).alias("phrases"))
+    Papers' n-grams that the terms' bitmap passes meet the terms by shuffle, each once a paper; papers without any are
+    left out."""
+    wanted = staged(terms.select("concept").where("concept IS NOT NULL").distinct())
+
+    def hashed(batches):
+        for batch in batches:
+            number: dict[str, int] = {BREAK: 0}
+            ids = np.array([number.setdefault(w, len(number)) for c in batch.column(0).to_pylist() for w in [*c.split(" "), BREAK]], np.int64)
+            words = _word_hashes(number)
+            ends = np.flatnonzero(ids == 0)
+            starts = np.concatenate(([0], ends[:-1] + 1)).astype(np.int64)
+            for n in range(1, longest + 1):
+                yield pa.RecordBatch.from_arrays([pa.array(_hashes(ids, words, starts[ends - starts == n], n).view(np.int64))], ["hash"])
+
+    shared = papers.sparkSession.sparkContext.broadcast(_bitmap(staged(wanted.mapInArrow(hashed, "hash long"))))
+
+    def found(batches):
+        for batch in batches:
+            done = 0
+            for ids, starts, number in _held([batch], 1):
+                words = number.hashes()
+                row = np.repeat(np.arange(len(starts)), np.diff([*starts, len(ids)]))
+                for n, at, codes, first, _ in _grams(ids, longest):
+                    kept = _passing(_hashes(ids, words, first, n), shared.value)
+                    place = np.cumsum(kept) - 1
+                    at, codes = at[kept[codes]], codes[kept[codes]]
+                    pairs = np.unique(row[at] << 32 | place[codes])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array((pairs >> 32) + done)), _spelled(ids, number.words, first[kept], n).take(pa.array(pairs & 0xFFFFFFFF))], ["paper", "concept"])
+                done += len(starts)
+
+    rows = papers.where(~X.missing(F.col(text))).select("paper", X.spaced_words(F.col(text)).alias("words"))
+    held = rows.mapInArrow(found, f"paper {rows.schema['paper'].dataType.simpleString()}, concept string")
+    return held.join(wanted, "concept").groupBy("paper").agg(F.array_sort(F.collect_list("concept")).alias("phrases"))

@@ -201,3 +201,37 @@ def test_propagation_is_the_dense_iteration(spark):
     edges = spark.createDataFrame([(a, b, w) for (a, b), w in weight.items()], "a long, b long, weight long")
     got = graph.propagate(edges, spark.createDataFrame(seeds, "node long, label string"), rounds=6)
     assert {(x.node, x.label): x.share for x in got.collect()} == {(n, label): s / unit for n, v in now.items() for label, s in v.items()}
+
+
+def test_words_of_all_characters_are_those_of_the_runs(spark):
+    """Numbers of words and breaks give the runs that the replacements give, whatever characters stand between words."""
+    from siltstone.functions import text as X
+    from siltstone.operators import terms as T
+
+    odd = [chr(c) for c in [*range(1, 0x3100), *range(0xFE00, 0x10000, 7), *range(0x10000, 0x1F700, 97)] if not 0xD800 <= c < 0xE000]
+    r = random.Random(3)
+    texts = [" ".join(f"a{c}the{c}{c}b{c} _{c}-of- c" for c in odd[i : i + 50]) for i in range(0, len(odd), 50)]
+    texts += ["".join(r.choice(["the", "of", "cell", "x1", "-", "_", "--", " ", "  ", "|", ".", "\n", " ", "\x1c", "The", "İs"]) for _ in range(60)) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(X.word_runs(F.col("text")).alias("runs"), X.spaced_words(F.col("text")).alias("words")).collect()
+    for row in rows:
+        number = T._Numbers()
+        got, runs = [number[w] for w in row.words.split()], [[]]
+        for i in got:
+            if i == 0:
+                runs.append([])
+            elif i > 0:
+                runs[-1].append(number.words[i])
+        assert [" ".join(x) for x in runs if x] == [x for x in row.runs if x]
+
+
+def test_long_runs_take_time_by_their_length(spark):
+    """One run of 60,000 words: each n-gram once splits the run anew where words are not bound."""
+    import time
+
+    from siltstone.operators import terms as T
+
+    docs = spark.createDataFrame([("p", " ".join(f"w{i % 997}x" for i in range(60_000)))], "paper string, text string")
+    t = time.monotonic()
+    found = T.term_counts(docs, least=2)
+    assert found.count() == 4 * 997 and found.agg(F.sum("occurrences")).first()[0] == 4 * 60_000 - 6
+    assert time.monotonic() - t < 60
