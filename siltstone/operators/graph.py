@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.operators.staging import staged
+from siltstone.operators.staging import drop, packed, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -56,3 +56,36 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 20, keep: float
         if both.where("share IS DISTINCT FROM was").isEmpty():
             break
     return now.select("node", "label", (F.col("share") / unit).alias("share"))
+
+
+def propagate_between(pairs: DataFrame, seeds: DataFrame, rounds: int = 20, keep: float = 0.5, unit: int = 1 << 40) -> DataFrame:
+    """node, label, share for the nodes ``a`` of ``pairs(a, b)``: as :func:`propagate` over edges of weight 1 from each a to its
+    b and back, where only nodes a have ``seeds(node, label)``.
+
+    What the one side has after a round depends on what the other had before it, so each round computes one side
+    only. Edges are kept once, a round's shares until the next but one is there.
+    """
+    edges, _ = packed(pairs.select("a", "b").distinct())
+    sizes = {side: packed(edges.groupBy(F.col(side).alias("node")).agg(F.count(F.lit(1)).alias("total")))[0] for side in "ab"}
+    own, _ = packed(seeds.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.collect_set("label").alias("labels")).select("node", F.explode("labels").alias("label"), F.floor(F.lit(unit) / F.size("labels")).alias("seed")))
+    held = own.select("node", "label", F.floor(F.col("seed") * keep).alias("share"))
+    most = max(sizes[s].agg(F.max("total")).first()[0] or 0 for s in "ab")
+    share = F.col("share") if most * unit < 1 << 62 else F.col("share").cast("decimal(38,0)")
+    start = own.select("node", "label", F.col("seed").alias("share"))
+    (now, path), before = packed(start if rounds % 2 == 0 else start.limit(0)), None
+    for left in range(rounds, 0, -1):
+        to, of = ("a", "b") if left % 2 else ("b", "a")
+        sent = edges.join(now.withColumnRenamed("node", of), of).groupBy(F.col(to).alias("node"), "label").agg(F.sum(share).alias("sum"))
+        new = sent.join(sizes[to], "node").select("node", "label", F.expr("sum div total").cast("long").alias("share"))
+        if to == "a":
+            mixed = new.join(own.select("node").distinct().withColumn("fixed", F.lit(True)), "node", "left").select("node", "label", F.when(F.col("fixed"), F.floor(F.col("share") * (1 - keep))).otherwise(F.col("share")).alias("share"))
+            new = mixed.unionByName(held).groupBy("node", "label").agg(F.sum("share").alias("share"))
+        last, (now, path) = (now, path), packed(new.where("share > 0"))
+        drop(now, last[1])
+        if to == "a":
+            # the same shares again would give the same again
+            marks = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("node", "label", "share")), F.sum(F.xxhash64("label", "share", "node").cast("decimal(38,0)"))).first()
+            if marks == before:
+                break
+            before = marks
+    return now.select("node", "label", (F.col("share") / unit).alias("share"))

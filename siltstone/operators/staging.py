@@ -5,14 +5,14 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept: a reliable checkpoint in the folder that the session names in
-    ``spark.checkpoint.dir``, so lineage ends there and lost executors lose nothing. Only a local master, where all
-    threads share one disk, may go without that setting; elsewhere its absence is an error."""
+def _folder(df: DataFrame) -> str:
+    """The session's folder of checkpoints. Only a local master, where all threads share one disk, may go without that
+    setting; elsewhere its absence is an error."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
@@ -22,4 +22,25 @@ def staged(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="siltstone-checkpoints-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept: a reliable checkpoint in the folder that the session names in
+    ``spark.checkpoint.dir``, so lineage ends there and lost executors lose nothing."""
+    _folder(df)
     return df.checkpoint()
+
+
+def packed(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` computed once and kept as compressed columns in the same folder, and its path for :func:`drop`."""
+    path = f"{_folder(df)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop(df: DataFrame, path: str) -> None:
+    """Removes a table of :func:`packed` that nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)

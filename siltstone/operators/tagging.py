@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
 from siltstone.operators import concepts as C
-from siltstone.operators.graph import propagate
+from siltstone.operators.graph import propagate_between
 
 #: The study stages, in order.
 STUDY_STAGES = [
@@ -103,14 +103,13 @@ def spread_tags(rows: DataFrame, seeds: DataFrame, rounds: int = 20) -> DataFram
     label of the largest share, ties alphabetical.
 
     Labels go from concepts to the papers that name them and on to the papers' other concepts, so no paper's
-    concepts are paired with each other; see :func:`graph.propagate`. Two rounds are one step between
+    concepts are paired with each other; see :func:`graph.propagate_between`. Two rounds are one step between
     concepts.
     """
-    pairs = rows.where("paper IS NOT NULL AND concept IS NOT NULL").select(F.concat(F.lit("c"), "concept").alias("a"), F.concat(F.lit("p"), "paper").alias("b"), F.lit(1).cast("long").alias("weight")).distinct()
-    edges = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-    found = propagate(edges, seeds.select(F.concat(F.lit("c"), "concept").alias("node"), "label"), rounds).where("node LIKE 'c%'")
+    pairs = rows.where("paper IS NOT NULL AND concept IS NOT NULL").select(F.col("concept").alias("a"), F.col("paper").alias("b"))
+    found = propagate_between(pairs, seeds.select(F.col("concept").alias("node"), "label"), rounds)
     best = found.groupBy("node").agg(F.min(F.struct((-F.col("share")).alias("less"), "label")).alias("best"))
-    return best.select(F.substr("node", F.lit(2)).alias("concept"), "best.label", (-F.col("best.less")).alias("share"))
+    return best.select(F.col("node").alias("concept"), "best.label", (-F.col("best.less")).alias("share"))
 
 
 def attach_tags(concepts: DataFrame, tags: DataFrame) -> DataFrame:

@@ -235,3 +235,24 @@ def test_long_runs_take_time_by_their_length(spark):
     found = T.term_counts(docs, least=2)
     assert found.count() == 4 * 997 and found.agg(F.sum("occurrences")).first()[0] == 4 * 60_000 - 6
     assert time.monotonic() - t < 60
+
+
+def test_tags_between_two_sides_and_what_they_leave(spark):
+    """Every number of rounds gives what spreading over all edges gives, and shares of past rounds are removed."""
+    import glob
+    import os
+
+    from siltstone.operators import staging, tagging
+
+    r = random.Random(5)
+    pairs = spark.createDataFrame([(f"a{r.randrange(40)}", f"b{r.randrange(60)}") for _ in range(300)], "a string, b string")
+    seeds = spark.createDataFrame([(f"a{i}", "xyz"[i % 3]) for i in range(0, 44, 4)] + [("a0", "z")], "node string, label string")
+    e = pairs.distinct().withColumn("weight", F.lit(1).cast("long"))
+    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    rows = lambda df: sorted(tuple(x) for x in df.where("node LIKE 'a%'").collect())
+    for n in (1, 4):
+        assert rows(graph.propagate_between(pairs, seeds, n)) == rows(graph.propagate(both, seeds, n))
+    folder = staging._folder(pairs).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/*"))
+    tagging.spread_tags(pairs.toDF("concept", "paper"), seeds.withColumnRenamed("node", "concept"), 6).count()
+    assert len(set(glob.glob(f"{folder}/*")) - before) == 5 and os.path.isdir(folder)  # edges, two sizes, seeds, shares
