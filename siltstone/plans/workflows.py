@@ -53,10 +53,11 @@ def vocabulary_analytics(papers: DataFrame, top_n: int = 80, least: int = 2, lea
         phrases = T.term_table(papers, found, "abstract")
     else:
         phrases = E.phrase_table(papers, least_words=least_words, longer_than=longer_than, chunker=chunker)
-    frequency = C.phrase_frequency(phrases)
-    vocabulary = C.vocabulary(C.min_docs(frequency, least, top_n), top_n)
-    terms = sorted(_labels(vocabulary, top_n))
-    kept = frequency.where(F.col("concept").isin(terms)).orderBy(F.desc("doc_frequency"), "concept")
+    # of the phrases in `least` papers, or of all if those are fewer than `top_n`, the most frequent are the most frequent of
+    # all either way; so texts are read once for them, and once for the matrix
+    best = C.phrase_frequency(phrases).orderBy(F.desc("doc_frequency"), "concept").limit(top_n).collect()
+    terms = sorted(r.concept for r in best)
+    kept = papers.sparkSession.createDataFrame([tuple(r) for r in best], "concept string, doc_frequency long").orderBy(F.desc("doc_frequency"), "concept")
     return M.ontology_matrix(P.with_abstract(papers), terms, "abstract"), kept
 
 

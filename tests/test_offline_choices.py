@@ -43,3 +43,9 @@ def test_tags_spread_to_unknown_concepts(spark):
     assert tags == {"xrd detector": ["tool"], "goniometer": ["tool"], "sputter deposition": ["synthesis"], "qqq": ["synthesis"], "alone": []}
     enriched, _ = W.tag_and_draw(concepts, rows=rows)
     assert {r.concept: r["mds:studyStage"] for r in enriched.collect()}["goniometer"] == "mds:tool"
+
+
+def test_vocabulary_reads_texts_once(spark):
+    """The frequencies of the vocabulary's phrases are those that chose it: no second pass counts them again."""
+    kept = W.vocabulary_analytics(papers(spark), top_n=2)[1]
+    assert kept.count() == 2 and "Generate" not in kept._jdf.queryExecution().toString()
