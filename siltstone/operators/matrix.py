@@ -90,7 +90,9 @@ def ontology_matrix(papers: DataFrame, terms: list[str], text: str = "text", key
         dense = F.transform(F.sequence(F.lit(0), F.lit(len(terms) - 1)), lambda i: F.coalesce(F.try_element_at(cells, i), F.lit("")))
         wide = _many(split, terms, key).select(key, dense.alias("_c"))
         return wide.select(key, *[F.get("_c", F.lit(i)).alias(n) for i, n in enumerate(names)])
-    return split.select(key, *[F.array_join(X.matching(F.col("_s"), F.lit(t)), X.CELL).alias(n) for t, n in zip(terms, names)])
+    split = split.select(key, "_s", F.transform("_s", F.lower).alias("_l"))  # once for all terms
+    found = lambda t: F.filter("_s", lambda _, i: F.contains(F.get("_l", i), F.lit(t)))
+    return split.select(key, *[F.array_join(found(t), X.CELL).alias(n) for t, n in zip(terms, names)])
 
 
 def schema_table(papers: DataFrame, values: DataFrame, concepts: list[str]) -> DataFrame:

@@ -49,3 +49,12 @@ def test_vocabulary_reads_texts_once(spark):
     """The frequencies of the vocabulary's phrases are those that chose it: no second pass counts them again."""
     kept = W.vocabulary_analytics(papers(spark), top_n=2)[1]
     assert kept.count() == 2 and "Generate" not in kept._jdf.queryExecution().toString()
+
+
+def test_matrix_lowers_sentences_once(spark):
+    from siltstone.operators import matrix as M
+
+    docs = spark.createDataFrame([("p", "One ALPHA. Two beta! alpha and Beta? None"), ("q", "")], "paper string, text string").selectExpr("paper", "concat(text, '') AS text")
+    wide = M.ontology_matrix(docs, ["alpha", "beta", "gamma"])
+    assert [tuple(r) for r in wide.collect()] == [("p", "One ALPHA. | alpha and Beta?", "Two beta! | alpha and Beta?", "")]
+    assert wide._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
