@@ -84,3 +84,29 @@ def test_weights_solve_the_stated_problem():
     assert np.abs(grad).max() < 1e-6
     scores = np.sort(z @ ranker.weights)
     assert np.sum(scores <= ranker.cut) == np.sum(~good)
+
+
+def test_all_labelled_rows_and_all_their_pairs_are_fitted(spark):
+    """More rows than one machine's sample would have: mean, scale and cut are of all of them, and the gradient over all pairs is zero."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(20_000):
+        good = i % 4 > 0
+        words = rng.choice(["plain", "Words", "12", "of", "a", "text.", "and!", "more", "#"], rng.integers(3, 12), p=[0.2, 0.2 - 0.1 * good, 0.1, 0.1, 0.1, 0.1 + 0.05 * good, 0.05, 0.1 + 0.05 * good, 0.05])
+        rows.append((i, " ".join(words), int(good)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(8)
+    ranker = quality.fit(table.select("doc_id", "text"), table.select("doc_id", "quality"))
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    assert len(train) > 12_000
+    x, good = np.array([quality.features(t.encode()) for _, t, _ in train]), np.array([q == 1 for *_, q in train])
+    assert np.allclose(ranker.mean, x.mean(axis=0), atol=1e-9) and np.allclose(ranker.scale, x.std(axis=0) + 1e-9, atol=1e-5)
+    z = ranker._standard(x)
+    s, grad = z @ ranker.weights, quality.RIDGE * ranker.weights
+    a, b, slope = np.flatnonzero(good), np.flatnonzero(~good), np.zeros((~good).sum())
+    for part in np.array_split(a, 50):
+        p = 1 / (1 + np.exp(s[b] - s[part, None])) - 1
+        grad = grad + z[part].T @ p.sum(axis=1) / len(a) / len(b)
+        slope += p.sum(axis=0)
+    grad = grad - z[b].T @ slope / len(a) / len(b)
+    assert np.abs(grad).max() < 1e-4
+    assert np.sum(s <= ranker.cut + 1e-5) >= len(b) >= np.sum(s < ranker.cut - 1e-5)
