@@ -86,8 +86,19 @@ def page_texts(attachments: DataFrame, pages: Callable[[bytes], list[str]] = pdf
 
     def run(batches):
         for batch in batches:
+            held, size = [], 0
             for row in zip(*(batch.column(i) for i in range(3))):  # a file at a time
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows(*(x.as_py() for x in row))), schema.types)], schema=schema)
+                found = rows(*(x.as_py() for x in row))
+                held += found
+                size += sum(len(r[3] or "") for r in found)
+                if size > 1 << 20 or len(held) > 1 << 12:
+                    yield record(held)
+                    held, size = [], 0
+            if held:
+                yield record(held)
+
+    def record(held):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
 
     pdfs = attachments.where(F.col("content_type") == "application/pdf").select("item_key", F.col("pos").cast("long").alias("pos"), "content")
     return pdfs.mapInArrow(run, "item_key string, pos long, page int, text string, error string")

@@ -104,3 +104,24 @@ def test_files(spark, tmp_path):
         (tmp_path / name).write_bytes(body)
     found = SP.first_text(SP.read_attachment_files(spark, str(tmp_path)), pdf.parser(own=True))
     assert {tuple(r) for r in found.collect()} == {("k", "second"), ("m", "über")}
+
+
+def test_fonts_are_read_once_for_all_pages(monkeypatch):
+    text = "\n".join(f"line {i} \u00e9\u4e16 \U0001f600" for i in range(40))
+    made, font = [], pdf_text.Font
+    monkeypatch.setattr(pdf_text, "Font", lambda *a: made.append(1) or font(*a))
+    pages = pdf_text.page_texts(as_pdf(text, 5))
+    assert len(pages) == 8 and "".join(pages) == text and len(made) == 1
+
+
+def test_tokens_amid_blanks_and_comments():
+    found = [t for t, _ in pdf_text.tokens(b" % a\n\n/A#42 <41 4> <> <4142>%x\r12 0 R -.5 ( (x) ) [7]Tj  % end")]
+    assert found == ["AB", b"A@", b"", b"AB", pdf_text.Ref(12), -0.5, b" (x) ", "[", 7, "]", "Tj"]
+
+
+def test_pages_travel_in_common_batches(spark):
+    from siltstone.sources import papers
+
+    rows = [(str(i), 0, "application/pdf", bytearray(as_pdf(f"text {i}", 5))) for i in range(50)]
+    seen = papers.page_texts(spark.createDataFrame(rows, "item_key string, pos long, content_type string, content binary").coalesce(1))
+    assert sorted((r.item_key, r.text) for r in seen.collect()) == sorted((str(i), f"text {i}") for i in range(50))
