@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,11 +41,15 @@ def gram_counts(split: DataFrame) -> np.ndarray:
     """How often the sentences have grams of each slot."""
 
     def run(batches):
-        counts = np.zeros(SLOTS, np.int64)
+        counts, held, size = np.zeros(SLOTS, np.int64), [], 0
         for batch in batches:
             for body in batch.column(0):
-                at, n = np.unique(slot(grams(body.as_py() or b"", SIZE), SLOTS), return_counts=True)
-                counts[at] += n
+                held.append(slot(grams(body.as_py() or b"", SIZE), SLOTS))
+                size += len(held[-1])
+                if size > 1 << 20:
+                    counts += np.bincount(np.concatenate(held), minlength=SLOTS)
+                    held, size = [], 0
+        counts += np.bincount(np.concatenate([np.zeros(0, np.int64), *held]), minlength=SLOTS)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["slot", "n"])
 
@@ -86,6 +91,36 @@ def _bitmap(filed: DataFrame) -> tuple[np.ndarray, list[int]]:
     return out, sorted(r.size for r in filed.select(size.alias("size")).distinct().collect())
 
 
+def _parts(sents: pa.Array, most: int = 1 << 20):
+    """(some sentences, number of the first, number behind the last), each of ``most`` bytes or one sentence."""
+    ends = np.concatenate(([0], np.cumsum(pc.binary_length(sents).to_numpy(zero_copy_only=False).astype(np.int64))))
+    low = 0
+    while low < len(sents):
+        high = max(low + 1, int(np.searchsorted(ends, ends[low] + most, side="right")) - 1)
+        yield sents.slice(low, high - low), low, high
+        low = high
+
+
+def _anchored(sents: pa.Array, bits: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of grams whose slot is in the bitmap, once for each sentence that has them, and those sentences' numbers."""
+    ends = np.cumsum(pc.binary_length(sents).to_numpy(zero_copy_only=False).astype(np.int64))
+    raw = b"".join(sents.cast(pa.binary()).to_pylist())
+    keys, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for size in sizes:
+        k = grams(raw, size)
+        places = slot(k, BITS)
+        hit = np.flatnonzero(bits[places >> 3] >> (places & 7).astype(np.uint8) & 1)
+        of = np.searchsorted(ends, hit, side="right")
+        inside = hit + size <= ends[of]  # a gram does not reach into the next sentence
+        keys.append(k[hit[inside]])
+        at.append(of[inside])
+    keys, at = np.concatenate(keys), np.concatenate(at)
+    order = np.lexsort((keys, at))
+    keys, at = keys[order], at[order]
+    new = np.concatenate((np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]) | (at[1:] != at[:-1])))
+    return keys[new], at[new]
+
+
 def match_vocabulary(papers: DataFrame, terms: DataFrame, text: str = "text", key: str = "paper") -> DataFrame:
     """key, concept, sentences: as :func:`matrix.match_tall`, for ``terms(concept)`` of any number.
 
@@ -102,16 +137,12 @@ def match_vocabulary(papers: DataFrame, terms: DataFrame, text: str = "text", ke
 
     def look(batches):
         for batch in batches:
-            for number, sents in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found, at = [], []
-                for i, s in enumerate(sents.as_py()):
-                    keys = np.unique(np.concatenate([grams(s.encode(), size) for size in sizes])) if sizes else np.zeros(0, np.uint64)
-                    places = slot(keys, BITS)
-                    keys = keys[shared.value[places >> 3] >> (places & 7).astype(np.uint8) & 1 > 0]
-                    found.append(keys)
-                    at.append(np.full(len(keys), i))
-                keys, at = np.concatenate(found).astype(np.int64), np.concatenate(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), number)), pa.array(at.astype(np.int32)), pa.array(keys)], ["_id", "at", "gram"])
+            lists = batch.column(1)
+            owner = np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
+            place = np.arange(len(owner)) - np.repeat(lists.offsets.to_numpy()[:-1] - lists.offsets.to_numpy()[0], np.diff(lists.offsets.to_numpy()))
+            for sents, low, high in _parts(lists.flatten()):
+                keys, at = _anchored(sents, shared.value, sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(owner[low:high][at]), pa.array(place[low:high][at].astype(np.int32)), pa.array(keys.astype(np.int64))], ["_id", "at", "gram"])
 
     rows = split.select("_id", F.transform("_s", F.lower)).mapInArrow(look, "_id long, at int, gram long")
     candidates = rows.join(filed, "gram").groupBy("_id").agg(F.collect_set(F.struct("concept", "at")).alias("c"))

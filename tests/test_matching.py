@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,3 +50,19 @@ def test_as_the_automaton(spark):
     words = [r.w for r in docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).where("length(w) > 3").groupBy("w").count().orderBy("count", "w").limit(300).collect()]
     got = V.match_vocabulary(docs, spark.createDataFrame([(w,) for w in words], "concept string"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, M.match_tall(docs, words).select("paper", "concept", "sentences").collect()))
+
+
+def test_anchors_of_many_sentences_at_once():
+    """Each sentence's own grams and no others, whatever the parts; a gram does not reach into the next sentence."""
+    import pyarrow as pa
+
+    sents = pa.array(["ab", "", "abcd abcd", "\u00e9x", "cdab", "x" * 50, ""])
+    everything = np.full(V.BITS // 8, 255, np.uint8)
+    for most in (1, 8, 1 << 20):
+        got = []
+        for part, low, high in V._parts(sents, most):
+            keys, at = V._anchored(part, everything, [1, 2, 4])
+            assert high - low == len(part)
+            got += [(low + a, k) for a, k in zip(at.tolist(), keys.tolist())]
+        want = {(i, int(k)) for i, s in enumerate(sents.to_pylist()) for size in (1, 2, 4) for k in V.grams(s.encode(), size)}
+        assert len(got) == len(want) and set(got) == want
