@@ -62,6 +62,7 @@ def features(text: bytes) -> list[float]:
 
 def _features_of(docs: DataFrame) -> DataFrame:
     def run(batches):
+        tokens.forget()
         for batch in batches:
             x = [features(t.as_py() or b"") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(batch.columns) if i != 1], pa.array(x, pa.list_(pa.float64()))], ["doc_id", "quality", "x"])

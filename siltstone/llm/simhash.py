@@ -135,7 +135,7 @@ def sketched(docs: DataFrame, shingle: int, keys: int) -> DataFrame:
                 fp = pa.array(np.array(fp, np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0), fp, pa.array(sig, pa.binary()), pa.array(least, pa.list_(pa.int64()))], ["doc_id", "fp", "sig", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long, sig binary, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(tokens.lean(run), "doc_id long, fp long, sig binary, keys array<long>")
 
 
 def shard_masks(distinct: int, radius: int, per_shard: int = 512) -> list[int]:
@@ -389,7 +389,7 @@ def _linked(keyed: DataFrame, tree: int, stars, more: list[str] = [], weight=Non
     )
     n = shuffle_partitions(keyed.sparkSession)
     edges = dealt.repartition(n, "key", "piece").sortWithinPartitions("key", "piece", F.desc("tree"))
-    return edges.mapInArrow(_link(stars), "a long, b long, sure boolean")
+    return edges.mapInArrow(tokens.lean(_link(stars)), "a long, b long, sure boolean")
 
 
 def linked_components(fps: DataFrame, radius: int = RADIUS, tree: int = TREE) -> DataFrame:
@@ -414,7 +414,7 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
                 sets = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64)), sets], ["doc_id", "fp", "hashes"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long, hashes array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(tokens.lean(run), "doc_id long, fp long, hashes array<long>")
 
 
 def _dealt(rows: DataFrame, keys: int, large: list[DataFrame]) -> DataFrame:

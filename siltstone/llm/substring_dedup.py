@@ -125,7 +125,7 @@ def pack_runs(docs: DataFrame, run_bytes: int) -> DataFrame:
             yield _run_row(held, size)
 
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), *quoted(rest)).toDF(*[f"c{i}" for i in range(len(rest) + 2)]).mapInArrow(run, "n_bytes long, body binary")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), *quoted(rest)).toDF(*[f"c{i}" for i in range(len(rest) + 2)]).mapInArrow(tokens.lean(run), "n_bytes long, body binary")
     return staged(rows.withColumn("run", F.monotonically_increasing_id()))
 
 
@@ -156,15 +156,15 @@ def whole_copies(source: DataFrame) -> DataFrame:
     """run, copies: the places in their run of documents that equal one of a smaller id."""
 
     def run(batches):
+        tokens.forget()
         for batch in batches:
             for run_id, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids, data, offsets = _open(_rows(blob.as_py()))
-                raw = data.tobytes()
-                digests = [hashlib.sha256(raw[a:b]).digest() for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+                digests = [hashlib.sha256(data[a:b]).digest() for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array([run_id] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(ids), pa.array(digests, pa.binary())], ["run", "nth", "doc_id", "digest"])
 
-    texts = staged(source.mapInArrow(run, "run long, nth int, doc_id long, digest binary"))
+    texts = staged(source.mapInArrow(tokens.lean(run), "run long, nth int, doc_id long, digest binary"))
     copies = with_keeper(texts, MAX_FREQUENT, TRACKED).where("doc_id > keep_id")
     return staged(copies.groupBy("run").agg(F.collect_list("nth").alias("copies")))
 
@@ -491,7 +491,13 @@ def _judge(length: int):
         rows = [(pdf["run"][r], pdf["part"][r], _squeeze(*map(np.array, x, kinds))) for r, x in enumerate(found) if x[0]]
         return pd.DataFrame(rows, columns=["run", "part", "reply"])
 
-    return judge
+    def lean(pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return judge(pdf)
+        finally:
+            tokens.trim()
+
+    return lean
 
 
 def covered(ids, data, offsets, keys, replies: dict[int, bytes], length: int) -> np.ndarray:
@@ -508,7 +514,7 @@ def covered(ids, data, offsets, keys, replies: dict[int, bytes], length: int) ->
         place, which = at[place[hit]], which[hit]
         np.add.at(step, place - far[which], 1)
         np.add.at(step, place - near[which] + length, -1)
-    return np.cumsum(step[:-1]) > 0
+    return np.cumsum(step[:-1], dtype=np.int32, out=step[:-1]) > 0
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, run_bytes: int | None = None, hot: int = HOT) -> DataFrame:
@@ -562,7 +568,7 @@ def _judged(docs: DataFrame, length: int, run_bytes: int | None, hot: int, shape
     parts = min(parts, max(12, int(run_bytes / per_anchor) // ROW_ANCHORS))
     spread = min(2 * parts, MOST_PARTITIONS)  # twice as many partitions as parts, so that few get several
     source = runs.select("run", "body")
-    hashes = source.mapInArrow(_hash_blocks(length, parts), "run long, part long, hashes binary, own binary, many binary")
+    hashes = source.mapInArrow(tokens.lean(_hash_blocks(length, parts)), "run long, part long, hashes binary, own binary, many binary")
     marks = staged(hashes.repartition(spread, "part").groupBy("part").applyInPandas(_repeated(hot), "run long, part long, marks binary"))
     copies = whole_copies(source)
     none, no_list, no_part = F.lit(None).cast("binary").alias, F.lit(None).cast("array<int>").alias, F.lit(-1).cast("long").alias
@@ -574,25 +580,31 @@ def _judged(docs: DataFrame, length: int, run_bytes: int | None, hot: int, shape
         rows = []
         for run_id, body in zip(left["run"], left["body"]):
             rows += form(run_id, body, dict(zip(right["part"], right["marks"])), _copies(right))
+        tokens.trim()
         return pd.DataFrame(rows, columns=["run", "part", "body"])
 
     exchanged = source.groupBy("run").cogroup(told.groupBy("run")).applyInPandas(blocks, BLOCK_SCHEMA)
     replies = exchanged.repartition(spread, "part").groupBy("part").applyInPandas(_judge(length), "run long, part long, reply binary")
     replies = told.withColumn("reply", none("reply")).unionByName(replies.select("run", "part", none("marks"), no_list("copies"), "reply"))
 
+    def cut_run(body: bytes, told: dict[int, bytes], marks: dict[int, bytes], copies: np.ndarray) -> pa.Table:
+        batch = _rows(body)
+        ids, data, offsets = _open(batch)
+        gone = covered(ids, data, offsets, keys_of(data, offsets, marks, copies, told) if told else (), told, length)
+        for k in copies:
+            if offsets[k + 1] - offsets[k] >= length:
+                gone[offsets[k] : offsets[k + 1]] = True
+        return shape(batch, data, offsets, gone)
+
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        tokens.forget()
         right = right.to_pandas()
         told = {part: reply for part, reply in zip(right["part"], right["reply"]) if reply is not None}
         marks = {part: mark for part, mark in zip(right["part"], right["marks"]) if mark is not None}
         copies, out = _copies(right), []
-        for body in left.column("body").to_pylist():
-            batch = _rows(body)
-            ids, data, offsets = _open(batch)
-            gone = covered(ids, data, offsets, keys_of(data, offsets, marks, copies, told) if told else (), told, length)
-            for k in copies:
-                if offsets[k + 1] - offsets[k] >= length:
-                    gone[offsets[k] : offsets[k + 1]] = True
-            out.append(shape(batch, data, offsets, gone))
+        for body in left.column("body"):
+            out.append(cut_run(body.as_py(), told, marks, copies))
+            tokens.trim()
         return pa.concat_tables(out)
 
     return source.groupBy("run").cogroup(replies.groupBy("run")).applyInArrow(cut, schema)

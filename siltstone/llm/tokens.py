@@ -78,6 +78,17 @@ def trim() -> None:
         pass
 
 
+def lean(f):
+    """``f(batches)``, a generator; when it ends, what it freed goes back. Idle workers take turns at tasks and live on
+    between stages, so each would otherwise keep the share of the largest task it ever had."""
+
+    def run(batches):
+        yield from f(batches)
+        trim()
+
+    return run
+
+
 def slices(batch: pa.RecordBatch, column: int, rows: int = 256, size: int = 4 << 20):
     """A batch in slices of at most ``rows`` rows and, unless it is one row, ``size`` bytes of text."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
