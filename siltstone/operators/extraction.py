@@ -39,10 +39,27 @@ class Extractor(Protocol):
 
 def candidates(text: str, longest: int = 3) -> list[str]:
     """All 1- to 3-grams of the words that are no stop words."""
-    words = [w for w in WORD.findall((text or "").lower()) if w not in X.STOP_WORDS and len(w) > 1]
+    words = _words(text)
     return list(dict.fromkeys(" ".join(words[i : i + n]) for n in range(1, longest + 1) for i in range(len(words) - n + 1)))
 
 
+def _words(text: str) -> list[str]:
+    return [w for w in WORD.findall((text or "").lower()) if w not in X.STOP_WORDS and len(w) > 1]
+
+
+def _places(words: list[str], longest: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(start, number of words) of :func:`candidates`, in their order."""
+    number: dict[str, int] = {}
+    code = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
+    key, starts = code, []
+    for n in range(1, longest + 1):
+        if n > 1:
+            key = key[:-1] * len(number) + code[n - 1 :]
+        _, first, key = np.unique(key, return_index=True, return_inverse=True)
+        starts.append(np.sort(first))
+    return np.concatenate(starts), np.repeat(np.arange(1, longest + 1), [len(s) for s in starts])
+
+
 def hashed_vectors(texts: list[str], size: int = 256) -> np.ndarray:
     """Unit vectors of character trigrams: a stand-in for sentence embeddings."""
     slot: dict[str, int] = {}
@@ -148,13 +165,16 @@ def mmr_groups(df: DataFrame, group: str, key: str, vector: str, top_n: int, div
 
 def keyphrases(text: str, top_n: int = 20, diversity: float = 0.5, embed=hashed_vectors) -> list[tuple[str, float]]:
     """(phrase, score) by MMR, best score first; scores rounded to four digits. ``embed`` gives the unit
-    vectors of a list of texts."""
-    phrases = candidates(text)
-    if not phrases:
+    vectors of a list of texts; its ``ngrams``, if it has that, those of places in a list of words."""
+    words = _words(text)
+    if not words:
         return []
-    doc, vectors = embed([text])[0], embed(phrases)
+    start, n = _places(words)
+    phrase = lambda i: " ".join(words[start[i] : start[i] + n[i]])
+    vectors = embed.ngrams(words, start, n) if hasattr(embed, "ngrams") else embed([phrase(i) for i in range(len(start))])
+    doc = embed([text])[0]
     chosen = mmr(doc, vectors, top_n, diversity)
-    return sorted(((phrases[i], round(float(vectors[i] @ doc), 4)) for i in chosen), key=lambda x: (-x[1], x[0]))
+    return sorted(((phrase(i), round(float(vectors[i] @ doc), 4)) for i in chosen), key=lambda x: (-x[1], x[0]))
 
 
 @dataclass(frozen=True)

@@ -126,7 +126,26 @@ class WordVectors:
             known = [number[w] for w in WORD.findall(t.lower()) if w in number]
             if known:
                 out[i] = vectors[known].sum(axis=0)
-        return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-12)
+        return _unit(out)
+
+    def ngrams(self, words: list[str], start: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The same of the texts that ``n`` lower-cased words make from place ``start`` on: each word is looked up once,
+        and a sum adds one word to that of a shorter text."""
+        number, vectors = self.shared.value
+        out = np.zeros((len(start), vectors.shape[1]))
+        at = np.array([number.get(w, -1) for w in words], np.int64)
+        each = vectors[at]
+        each[at < 0] = 0
+        sums = each
+        for k in range(1, int(n.max(initial=0)) + 1):
+            if k > 1:
+                sums = sums[:-1] + each[k - 1 :]
+            out[n == k] = sums[start[n == k]]
+        return _unit(out)
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), 1e-12)
 
 
 def learn(texts: DataFrame, text: str = "text", size: int = SIZE, least: int = 2, most: int = MOST, window: int = WINDOW) -> WordVectors:

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import types
 from collections import Counter
 
 import numpy as np
@@ -78,3 +79,28 @@ def test_words_of_one_group_are_near(spark):
 def test_nothing_to_learn_from(spark):
     learned = V.learn(frame(spark).where("false"))
     assert not learned(["word"]).any()
+
+
+def test_phrases_of_a_text_are_embedded_at_once():
+    """Same phrases and vectors, bit by bit, as of the list of candidates, without a call for each of them."""
+    r = random.Random(5)
+    known = [f"w{i}" for i in range(30)]
+    vectors = np.random.default_rng(3).normal(size=(30, 64))
+    embed = V.WordVectors(types.SimpleNamespace(value=({w: i for i, w in enumerate(known)}, vectors)))
+    for body in (" ".join(r.choice([*known, "Other", "the", "x", "word-joined"]) for _ in range(200)), "w1", "w1 w1 w1 w1", "other words", "the of", ""):
+        words = E._words(body)
+        if words:
+            start, n = E._places(words)
+            names = [" ".join(words[a : a + k]) for a, k in zip(start, n)]
+            assert names == E.candidates(body) and (embed.ngrams(words, start, n) == embed(names)).all()
+        seen = []
+
+        class Watched:
+            ngrams = embed.ngrams
+
+            def __call__(self, texts):
+                seen.extend(texts)
+                return embed(texts)
+
+        assert E.keyphrases(body, 20, embed=Watched()) == E.keyphrases(body, 20, embed=lambda texts: embed(texts))
+        assert len(seen) <= 1
