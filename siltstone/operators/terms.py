@@ -13,18 +13,19 @@ of bounded size; where it is too small for the n-grams more pass it, which chang
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
+from siltstone.operators.matching import _parts
 from siltstone.operators.staging import staged
 
-#: Words that a task counts at once, bits of the bitmap at least and at most, and of its pieces.
-HELD, FEWEST, BITS, PIECE = 1 << 19, 1 << 20, 1 << 29, 1 << 15
+#: Bytes of text that a task counts at once, bits of the bitmap at least and at most, and of its pieces.
+HELD, FEWEST, BITS, PIECE = 1 << 23, 1 << 20, 1 << 29, 1 << 15
 BREAK = "|"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -53,7 +54,7 @@ class _Numbers(dict):
 
 def _word_hashes(words) -> np.ndarray:
     """Equal in all tasks."""
-    return np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in words], np.uint64)
+    return pd.util.hash_array(np.array([*words], object), categorize=False)
 
 
 def _grams(ids: np.ndarray, longest: int):
@@ -78,8 +79,8 @@ def _hashes(ids: np.ndarray, words: np.ndarray, at: np.ndarray, n: int) -> np.nd
     return out
 
 
-def _spelled(ids: np.ndarray, words: list[str], at: np.ndarray, n: int) -> pa.Array:
-    return pa.array([" ".join([words[j] for j in row]) for row in ids[at[:, None] + np.arange(n)].tolist()], pa.string())
+def _spelled(ids: np.ndarray, words: pa.Array, at: np.ndarray, n: int) -> pa.Array:
+    return pc.binary_join_element_wise(*[words.take(pa.array(ids[at + i])) for i in range(n)], " ")
 
 
 def _slots(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -104,24 +105,18 @@ def _bitmap(hashes: DataFrame) -> np.ndarray:
 
 
 def _held(batches, column: int):
-    """(words' numbers of many rows, where rows begin, numbers); each row ends with a break, about ``HELD`` words at most."""
-
-    def whole():
-        codes = np.concatenate(rows)
-        fine = codes >= 0
-        return codes[fine], np.concatenate(([0], np.cumsum(fine)))[np.cumsum([0, *map(len, rows[:-1])])], number
-
-    rows, held, number = [], 0, _Numbers()
+    """(words' numbers of some rows of a batch, where rows begin, numbers, the first row's number, the batch); each row ends
+    with a break, rows have about ``HELD`` bytes at most."""
     for batch in batches:
-        for body in batch.column(column):
-            tokens = [*body.as_py().split(), BREAK]
-            rows.append(np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens)))
-            held += len(tokens)
-            if held > HELD:
-                yield whole()
-                rows, held, number = [], 0, _Numbers()
-    if rows:
-        yield whole()
+        for texts, low, _ in _parts(batch.column(column), HELD):
+            lists = pc.utf8_split_whitespace(texts)
+            tokens, number = lists.flatten().dictionary_encode(), _Numbers()
+            own = np.fromiter(map(number.__getitem__, tokens.dictionary.to_pylist()), np.int64, len(tokens.dictionary))
+            ends = lists.offsets.to_numpy()[1:].astype(np.int64) - lists.offsets[0].as_py()
+            codes = np.insert(own[tokens.indices.to_numpy()], ends, 0)
+            fine = codes >= 0
+            starts = np.concatenate(([0], ends[:-1])) + np.arange(len(ends))
+            yield codes[fine], np.concatenate(([0], np.cumsum(fine)))[starts], number, low, batch
 
 
 def term_counts(papers: DataFrame, text: str = "text", longest: int = 4, least: int = 2) -> DataFrame:
@@ -129,7 +124,7 @@ def term_counts(papers: DataFrame, text: str = "text", longest: int = 4, least:
     runs = papers.where(~X.missing(F.col(text))).select(X.spaced_words(F.col(text)).alias("words"))
 
     def hashed(batches):
-        for ids, _, number in _held(batches, 0):
+        for ids, _, number, *_ in _held(batches, 0):
             words = number.hashes()
             for n, _, _, first, count in _grams(ids, longest):
                 yield pa.RecordBatch.from_arrays([pa.array(_hashes(ids, words, first, n).view(np.int64)), pa.array(count)], ["hash", "n"])
@@ -138,11 +133,11 @@ def term_counts(papers: DataFrame, text: str = "text", longest: int = 4, least:
     shared = papers.sparkSession.sparkContext.broadcast(_bitmap(often))
 
     def counted(batches):
-        for ids, _, number in _held(batches, 0):
-            words = number.hashes()
+        for ids, _, number, *_ in _held(batches, 0):
+            words, spelled = number.hashes(), pa.array(number.words)
             for n, _, _, first, count in _grams(ids, longest):
                 kept = _passing(_hashes(ids, words, first, n), shared.value)
-                yield pa.RecordBatch.from_arrays([_spelled(ids, number.words, first[kept], n), pa.array(count[kept])], ["concept", "n"])
+                yield pa.RecordBatch.from_arrays([_spelled(ids, spelled, first[kept], n), pa.array(count[kept])], ["concept", "n"])
 
     rows = runs.mapInArrow(counted, "concept string, n long")
     return rows.groupBy("concept").agg(F.sum("n").alias("occurrences")).where(F.col("occurrences") >= least)
@@ -167,10 +162,9 @@ def terms(papers: DataFrame, text: str = "text", longest: int = 4, least: int =
     return found.where((F.length("concept") > longer_than) & (F.col("score") > 0))
 
 
-def term_table(papers: DataFrame, terms: DataFrame, text: str = "text", longest: int = 4) -> DataFrame:
-    """paper, phrases: the concepts of ``terms(concept)`` that a paper holds, as :func:`extraction.phrase_table` gives phrases.
-    Papers' n-grams that the terms' bitmap passes meet the terms by shuffle, each once a paper; papers without any are
-    left out."""
+def term_pairs(papers: DataFrame, terms: DataFrame, text: str = "text", longest: int = 4) -> DataFrame:
+    """paper, concept: the concepts of ``terms(concept)`` that a paper holds. N-grams that the terms' bitmap passes meet the
+    terms by shuffle, each with the list of the papers that hold it among those that a task reads at once."""
     wanted = staged(terms.select("concept").where("concept IS NOT NULL").distinct())
 
     def hashed(batches):
@@ -186,19 +180,23 @@ def term_table(papers: DataFrame, terms: DataFrame, text: str = "text", longest:
     shared = papers.sparkSession.sparkContext.broadcast(_bitmap(staged(wanted.mapInArrow(hashed, "hash long"))))
 
     def found(batches):
-        for batch in batches:
-            done = 0
-            for ids, starts, number in _held([batch], 1):
-                words = number.hashes()
-                row = np.repeat(np.arange(len(starts)), np.diff([*starts, len(ids)]))
-                for n, at, codes, first, _ in _grams(ids, longest):
-                    kept = _passing(_hashes(ids, words, first, n), shared.value)
-                    place = np.cumsum(kept) - 1
-                    at, codes = at[kept[codes]], codes[kept[codes]]
-                    pairs = np.unique(row[at] << 32 | place[codes])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array((pairs >> 32) + done)), _spelled(ids, number.words, first[kept], n).take(pa.array(pairs & 0xFFFFFFFF))], ["paper", "concept"])
-                done += len(starts)
+        for ids, starts, number, low, batch in _held(batches, 1):
+            words, spelled = number.hashes(), pa.array(number.words)
+            row = np.repeat(np.arange(len(starts)), np.diff([*starts, len(ids)]))
+            for n, at, codes, first, _ in _grams(ids, longest):
+                kept = _passing(_hashes(ids, words, first, n), shared.value)
+                place = np.cumsum(kept) - 1
+                at, codes = at[kept[codes]], codes[kept[codes]]
+                pairs = np.unique(place[codes] << 32 | row[at])
+                ends = np.cumsum(np.bincount(pairs >> 32, minlength=int(kept.sum())))
+                holders = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), batch.column(0).take(pa.array((pairs & 0xFFFFFFFF) + low)))
+                yield pa.RecordBatch.from_arrays([_spelled(ids, spelled, first[kept], n), holders], ["concept", "papers"])
 
     rows = papers.where(~X.missing(F.col(text))).select("paper", X.spaced_words(F.col(text)).alias("words"))
-    held = rows.mapInArrow(found, f"paper {rows.schema['paper'].dataType.simpleString()}, concept string")
-    return held.join(wanted, "concept").groupBy("paper").agg(F.array_sort(F.collect_list("concept")).alias("phrases"))
+    held = rows.mapInArrow(found, f"concept string, papers array<{rows.schema['paper'].dataType.simpleString()}>")
+    return held.join(wanted, "concept").select(F.explode("papers").alias("paper"), "concept")
+
+
+def term_table(papers: DataFrame, terms: DataFrame, text: str = "text", longest: int = 4) -> DataFrame:
+    """paper, phrases: :func:`term_pairs` as :func:`extraction.phrase_table` gives phrases; papers without any are left out."""
+    return term_pairs(papers, terms, text, longest).groupBy("paper").agg(F.array_sort(F.collect_list("concept")).alias("phrases"))

@@ -256,3 +256,42 @@ def test_tags_between_two_sides_and_what_they_leave(spark):
     before = set(glob.glob(f"{folder}/*"))
     tagging.spread_tags(pairs.toDF("concept", "paper"), seeds.withColumnRenamed("node", "concept"), 6).count()
     assert len(set(glob.glob(f"{folder}/*")) - before) == 5 and os.path.isdir(folder)  # edges, two sizes, seeds, shares
+
+
+def test_pairs_of_papers_and_terms_come_without_grouping_papers(spark):
+    """Blanks of every kind, rows of several batches: each pair once, not gathered by paper."""
+    from siltstone.operators import terms as T
+
+    r = random.Random(8)
+    odd = [chr(c) for c in range(1, 0x3001) if chr(c).isspace()]
+    texts = ["".join(r.choice(["thin", "film", "the", "solar", "cells", "|", "--x"]) + r.choice(odd) for _ in range(r.randrange(60))) for _ in range(300)]
+    papers = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "paper long, text string").repartition(3)
+    wanted = spark.createDataFrame([(c,) for c in ("thin", "thin film", "film thin solar", "solar cells thin film", "none", "thin", None)], "concept string")
+
+    def holds(text, concept):
+        return any(f" {concept} " in f" {run} " for run in map(" ".join, runs_of(text)))
+
+    want = {(i, c) for i, t in enumerate(texts) for (c,) in set(map(tuple, wanted.where("concept IS NOT NULL").collect())) if holds(t, c)}
+    found = T.term_pairs(papers, wanted)
+    got = [tuple(x) for x in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_are_split_at_all_blanks_in_portions_of_a_batch(monkeypatch):
+    import pyarrow as pa
+
+    from siltstone.operators import terms as T
+
+    r = random.Random(9)
+    odd = [chr(c) for c in range(1, 0x3001) if chr(c).isspace()]
+    texts = ["".join(r.choice(["thin", "\u00e9x", "the", "_", "|", "--x"]) + r.choice(odd) * r.randrange(1, 3) for _ in range(r.randrange(30))) for _ in range(200)] + ["", " ", "a"]
+    number = T._Numbers()
+    want = [[number.words[i] for i in map(number.__getitem__, t.split()) if i >= 0] for t in texts]
+    monkeypatch.setattr(T, "HELD", 300)
+    got, portions = [], 0
+    for ids, starts, numbers, low, _ in T._held([pa.RecordBatch.from_arrays([pa.array(texts)], ["words"])], 0):
+        assert low == len(got)
+        portions += 1
+        got += [[numbers.words[i] for i in ids[a : b - 1]] for a, b in zip(starts, [*starts[1:], len(ids)])]
+    assert got == want and portions > 9
