@@ -3,7 +3,8 @@
 Every term is filed under one gram of four bytes (shorter terms under themselves), the one of its grams that the
 texts have least. A sentence looks up its own grams; the few that are anchors of some term meet the
 terms by shuffle, and each candidate is then looked for in its sentence. What all tasks share has a fixed size:
-how often grams occur, by hash, and a bitmap of the anchors.
+how often grams occur, by hash, and a bitmap of the anchors. Terms of ``MOST_BYTES`` together or less, ``MOST`` at most, go to all
+tasks instead, which find them where the texts are: no text or candidate is shuffled or staged.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
-from siltstone.operators.staging import staged
+from siltstone.operators.staging import packed, staged
 
 #: Slots of the counts of grams, and bits of the anchors' bitmap, in pieces.
 SLOTS, BITS, PIECE = 1 << 20, 1 << 23, 1 << 15
 SIZE = 4
+#: Terms and their bytes that all tasks may hold, the longest term that is compared byte by byte, and bytes of texts in one output.
+MOST, MOST_BYTES, COMPARED, OUTPUT = 1 << 18, 1 << 24, 64, 1 << 22
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -121,6 +124,96 @@ def _anchored(sents: pa.Array, bits: np.ndarray, sizes: list[int]) -> tuple[np.n
     return keys[new], at[new]
 
 
+class _Index:
+    """Terms by their anchors ``grams``, for all sentences of a task."""
+
+    def __init__(self, terms: list[str], filed: list[int]):
+        order = np.argsort(np.array(filed, np.uint64), kind="stable")
+        self.terms = pa.array([terms[i] for i in order], pa.string())
+        self.raw = [terms[i].encode() for i in order]
+        self.bytes = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.length = np.array([len(t) for t in self.raw], np.int64)
+        self.begin = np.cumsum(self.length) - self.length
+        self.grams, self.first, self.count = np.unique(np.array(filed, np.uint64)[order], return_index=True, return_counts=True)
+        gram = np.repeat(self.grams, self.count).tolist()
+        size = np.array([(g.bit_length() - 1) // 8 for g in gram], np.int64)  # a key's size stands before its bytes
+        self.offset = np.array([t.index((g & (1 << 8 * k) - 1).to_bytes(k)) for t, g, k in zip(self.raw, gram, size.tolist())], np.int64)
+        self.sizes = np.unique(size).tolist()
+        self.bits = np.zeros(BITS // 8, np.uint8)
+        at = slot(self.grams, BITS)
+        np.bitwise_or.at(self.bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+    def held(self, raw: bytes, ends: np.ndarray) -> np.ndarray:
+        """sentence * number of terms + term, sorted, each once, of sentences that end at ``ends`` in ``raw``."""
+        text, n, out = np.frombuffer(raw, np.uint8), len(self.raw), [np.zeros(0, np.int64)]
+        for size in self.sizes:
+            keys = grams(raw, size)
+            places = slot(keys, BITS)
+            hit = np.flatnonzero(self.bits[places >> 3] >> (places & 7).astype(np.uint8) & 1)
+            gram = np.searchsorted(self.grams, keys[hit])
+            fine = self.grams[np.minimum(gram, len(self.grams) - 1)] == keys[hit]
+            hit, gram = hit[fine], gram[fine]
+            count = self.count[gram]
+            term = np.repeat(self.first[gram] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            start = np.repeat(hit, count) - self.offset[term]
+            of = np.repeat(np.searchsorted(ends, hit, side="right"), count)
+            fine = (start >= np.where(of > 0, ends[of - 1], 0)) & (start + self.length[term] <= ends[of])
+            term, start, of = term[fine], start[fine], of[fine]
+            long = self.length[term] > COMPARED
+            pairs = np.unique(of[long] * n + term[long])
+            low = np.concatenate(([0], ends))
+            out.append(pairs[[self.raw[p % n] in raw[low[p // n] : low[p // n + 1]] for p in pairs.tolist()]] if len(pairs) else pairs)
+            term, start, of, at = term[~long], start[~long], of[~long], 0
+            while len(term):
+                done = self.length[term] == at
+                out.append(of[done] * n + term[done])
+                term, start, of = term[~done], start[~done], of[~done]
+                same = text[start + at] == self.bytes[self.begin[term] + at]
+                term, start, of, at = term[same], start[same], of[same], at + 1
+        return np.unique(np.concatenate(out))
+
+
+def _rows_in_place(keys: pa.Array, sents: pa.ListArray, low: pa.ListArray, index: _Index):
+    """key, concept, sentences of some papers."""
+    sizes = np.diff(sents.offsets.to_numpy())
+    values, lowered, n = sents.flatten(), low.flatten(), len(index.raw)
+    ends = np.cumsum(pc.binary_length(lowered).to_numpy(zero_copy_only=False).astype(np.int64))
+    pairs = index.held(b"".join(lowered.cast(pa.binary()).to_pylist()), ends)
+    at, term = pairs // n, pairs % n
+    row = np.repeat(np.arange(len(sizes)), sizes)[at] * n + term
+    order = np.argsort(row, kind="stable")
+    at, row = at[order], row[order]
+    new = np.flatnonzero(np.concatenate((np.ones(min(1, len(row)), bool), row[1:] != row[:-1])))
+    length = pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64)[at]
+    upto = np.append(np.concatenate(([0], np.cumsum(length)))[new], length.sum())
+    bounds, i = np.append(new, len(row)), 0
+    while i < len(new):
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + OUTPUT, side="right")) - 1)
+        lists = pa.ListArray.from_arrays(pa.array((bounds[i : j + 1] - bounds[i]).astype(np.int32)), values.take(pa.array(at[bounds[i] : bounds[j]])))
+        which = row[new[i:j]]
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(which // n)), index.terms.take(pa.array(which % n)), pc.binary_join(lists, X.CELL)], ["_key", "concept", "sentences"])
+        i = j
+
+
+def _match_in_place(split: DataFrame, index: _Index) -> DataFrame:
+    """Rows of :func:`match_vocabulary` where the texts are."""
+    shared = split.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches):
+        for batch in batches:
+            sents, low = batch.column(1), batch.column(2)
+            begin = low.offsets.to_numpy()
+            size = np.concatenate(([0], np.cumsum(pc.binary_length(low.flatten()).to_numpy(zero_copy_only=False).astype(np.int64))))
+            ends, i = size[begin - begin[0]], 0
+            while i < batch.num_rows:
+                j = max(i + 1, int(np.searchsorted(ends, ends[i] + (1 << 20), side="right")) - 1)
+                yield from _rows_in_place(batch.column(0).slice(i, j - i), sents.slice(i, j - i), low.slice(i, j - i), shared.value)
+                i = j
+
+    kind = split.schema["_key"].dataType.simpleString()
+    return split.select("_key", "_s", F.transform("_s", F.lower).alias("_l")).mapInArrow(run, f"_key {kind}, concept string, sentences string")
+
+
 def match_vocabulary(papers: DataFrame, terms: DataFrame, text: str = "text", key: str = "paper") -> DataFrame:
     """key, concept, sentences: as :func:`matrix.match_tall`, for ``terms(concept)`` of any number.
 
@@ -129,8 +222,13 @@ def match_vocabulary(papers: DataFrame, terms: DataFrame, text: str = "text", ke
     """
     spark = papers.sparkSession
     split = papers.where(~X.missing(F.col(text))).select(F.col(key).alias("_key"), X.sentences(F.col(text)).alias("_s"))
-    split = staged(split.withColumn("_id", F.monotonically_increasing_id()))
-    wanted = terms.select("concept").where(~X.missing(F.col("concept"))).distinct()
+    wanted = staged(terms.select("concept").where(~X.missing(F.col("concept"))).distinct())
+    n, size = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("concept")), F.lit(0))).first()
+    if 0 < n <= MOST and size <= MOST_BYTES:
+        filed = anchors(wanted, gram_counts(split)).toArrow()
+        index = _Index(filed.column("concept").to_pylist(), filed.column("gram").to_pylist())
+        return _match_in_place(split, index).withColumnRenamed("_key", key)
+    split, _ = packed(split.withColumn("_id", F.monotonically_increasing_id()))
     filed = staged(anchors(wanted, gram_counts(split)))
     bits, sizes = _bitmap(filed)
     shared = spark.sparkContext.broadcast(bits)
@@ -145,7 +243,9 @@ def match_vocabulary(papers: DataFrame, terms: DataFrame, text: str = "text", ke
                 yield pa.RecordBatch.from_arrays([pa.array(owner[low:high][at]), pa.array(place[low:high][at].astype(np.int32)), pa.array(keys.astype(np.int64))], ["_id", "at", "gram"])
 
     rows = split.select("_id", F.transform("_s", F.lower)).mapInArrow(look, "_id long, at int, gram long")
-    candidates = rows.join(filed, "gram").groupBy("_id").agg(F.collect_set(F.struct("concept", "at")).alias("c"))
-    seen = split.join(candidates, "_id").select("_id", "_key", F.explode(F.filter(F.transform("c", lambda c: F.struct(c["concept"].alias("concept"), c["at"].alias("at"), F.get("_s", c["at"]).alias("s"))), lambda c: F.contains(F.lower(c["s"]), c["concept"]))).alias("m"))
-    hits = seen.groupBy("_id", "_key", "m.concept").agg(F.array_sort(F.collect_list(F.struct("m.at", "m.s"))).alias("hits"))
-    return hits.select(F.col("_key").alias(key), "concept", F.array_join(F.col("hits.s"), X.CELL).alias("sentences"))
+    # one shuffle by paper does for both groupings; a paper's hits are put together in its own row
+    pairs = rows.join(filed, "gram").select("_id", "concept", "at").repartition("_id").groupBy("_id", "concept").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    candidates = pairs.groupBy("_id").agg(F.collect_list(F.struct("concept", "at")).alias("c"))
+    held = lambda c: F.filter(F.transform(c["at"], lambda i: F.get("_s", i)), lambda s: F.contains(F.lower(s), c["concept"]))
+    seen = F.filter(F.transform("c", lambda c: F.struct(c["concept"].alias("concept"), held(c).alias("s"))), lambda m: F.size(m["s"]) > 0)
+    return split.join(candidates, "_id").select("_key", F.explode(seen).alias("m")).select(F.col("_key").alias(key), "m.concept", F.array_join("m.s", X.CELL).alias("sentences"))

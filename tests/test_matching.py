@@ -66,3 +66,38 @@ def test_anchors_of_many_sentences_at_once():
             got += [(low + a, k) for a, k in zip(at.tolist(), keys.tolist())]
         want = {(i, int(k)) for i, s in enumerate(sents.to_pylist()) for size in (1, 2, 4) for k in V.grams(s.encode(), size)}
         assert len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("bound", ["MOST", "MOST_BYTES"])
+def test_vocabularies_beyond_the_bound_give_the_same(spark, monkeypatch, bound):
+    r = random.Random(3)
+    piece = lambda n: "".join(r.choice("abcAB \u00e9\u6f22. !-") for _ in range(n))
+    papers = [(f"p{i % 30}", piece(r.randrange(60))) for i in range(40)] + [(None, "a. a. b"), ("n", None)]
+    terms = [piece(r.choice([1, 2, 3, 4, 6])).lower() for _ in range(60)] + ["a", None, ""]
+    monkeypatch.setattr(V, bound, 1)
+    assert found(spark, papers, terms) == brute(papers, terms)
+
+
+def test_small_vocabularies_shuffle_and_stage_no_text(spark):
+    """What all tasks may hold is found where the texts are."""
+    papers = spark.createDataFrame([("a", "Thin films. No. Thin!"), ("b", "none")], "paper string, text string")
+    got = V.match_vocabulary(papers, spark.createDataFrame([("thin",), ("films.",)], "concept string"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert sorted(map(tuple, got.collect())) == [("a", "films.", "Thin films."), ("a", "thin", "Thin films. | Thin!")]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_index_of_any_anchors(seed, monkeypatch):
+    """Whichever gram a term is filed under, long terms and outputs of few bytes."""
+    import pyarrow as pa
+
+    r = random.Random(seed)
+    piece = lambda n: "".join(r.choice("abc \u00e9\u6f22. !-") for _ in range(n))
+    terms = sorted({piece(r.choice([1, 1, 2, 3, 4, 5, 9])) for _ in range(80)} | {"abc" * 30, "a" * 70})
+    index = V._Index(terms, [int(r.choice(V.grams(t.encode(), min(V.SIZE, len(t.encode()))).tolist())) for t in terms])
+    texts = [[piece(r.randrange(40)) for _ in range(r.randrange(4))] for _ in range(20)] + [["abc" * 40, "a" * 90, ""]]
+    monkeypatch.setattr(V, "OUTPUT", [10, 1 << 22][seed % 2])
+    whole = pa.array([["x"], *texts], pa.list_(pa.string())).slice(1)
+    got = sorted(x for b in V._rows_in_place(pa.array(range(len(texts))), whole, whole, index) for x in zip(*[c.to_pylist() for c in b.columns]))
+    assert got == sorted((i, t, " | ".join(f)) for i, sents in enumerate(texts) for t in terms if (f := [s for s in sents if t in s]))
