@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.operators.ordinals import numbered
 from siltstone.operators.staging import drop, packed, staged
 
+#: Labels whose shares stand beside each other in a row.
+WIDE = 8
+
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component for every node of ``edges(a, b)`` (longs): the smallest node it reaches.
@@ -63,29 +67,42 @@ def propagate_between(pairs: DataFrame, seeds: DataFrame, rounds: int = 20, keep
     b and back, where only nodes a have ``seeds(node, label)``.
 
     What the one side has after a round depends on what the other had before it, so each round computes one side
-    only. Edges are kept once, a round's shares until the next but one is there.
+    only. Edges are kept once, a round's shares until the next but one is there. Labels are numbered, and a row holds the shares
+    of ``WIDE`` of them, so an edge and its node's key are not repeated for each label.
     """
     edges, _ = packed(pairs.select("a", "b").distinct())
     sizes = {side: packed(edges.groupBy(F.col(side).alias("node")).agg(F.count(F.lit(1)).alias("total")))[0] for side in "ab"}
-    own, _ = packed(seeds.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.collect_set("label").alias("labels")).select("node", F.explode("labels").alias("label"), F.floor(F.lit(unit) / F.size("labels")).alias("seed")))
-    held = own.select("node", "label", F.floor(F.col("seed") * keep).alias("share"))
+    labels = seeds.where("label IS NOT NULL").select("label").distinct()
+    slots = [f"s{i}" for i in range(max(1, min(WIDE, labels.count())))]
+    number = numbered(labels, ["label"], place="number").select(F.col("label").alias("_label"), (F.col("number") - 1).alias("number"))
+    seed = seeds.groupBy("node").agg(F.collect_set("label").alias("labels")).select("node", F.explode("labels").alias("label"), F.floor(F.lit(unit) / F.size("labels")).alias("seed"))
+    own, _ = packed(seed.join(number, F.col("label") == F.col("_label")).drop("_label"))
+
+    def beside(value) -> DataFrame:
+        of = [F.sum(F.when(F.col("number") % len(slots) == i, value).otherwise(F.lit(0).cast("long"))).alias(s) for i, s in enumerate(slots)]
+        return own.groupBy("node", F.floor(F.col("number") / len(slots)).alias("part")).agg(*of)
+
+    held, some = beside(F.floor(F.col("seed") * keep)), " OR ".join(f"{s} > 0" for s in slots)
     most = max(sizes[s].agg(F.max("total")).first()[0] or 0 for s in "ab")
-    share = F.col("share") if most * unit < 1 << 62 else F.col("share").cast("decimal(38,0)")
-    start = own.select("node", "label", F.col("seed").alias("share"))
+    kind = "long" if most * unit < 1 << 62 else "decimal(38,0)"
+    start = beside(F.col("seed"))
     (now, path), before = packed(start if rounds % 2 == 0 else start.limit(0)), None
     for left in range(rounds, 0, -1):
         to, of = ("a", "b") if left % 2 else ("b", "a")
-        sent = edges.join(now.withColumnRenamed("node", of), of).groupBy(F.col(to).alias("node"), "label").agg(F.sum(share).alias("sum"))
-        new = sent.join(sizes[to], "node").select("node", "label", F.expr("sum div total").cast("long").alias("share"))
+        sent = edges.join(now.withColumnRenamed("node", of), of).groupBy(F.col(to).alias("node"), "part").agg(*[F.sum(F.col(s).cast(kind)).alias(s) for s in slots])
+        new = sent.join(sizes[to], "node").select("node", "part", *[F.expr(f"{s} div total").cast("long").alias(s) for s in slots])
         if to == "a":
-            mixed = new.join(own.select("node").distinct().withColumn("fixed", F.lit(True)), "node", "left").select("node", "label", F.when(F.col("fixed"), F.floor(F.col("share") * (1 - keep))).otherwise(F.col("share")).alias("share"))
-            new = mixed.unionByName(held).groupBy("node", "label").agg(F.sum("share").alias("share"))
-        last, (now, path) = (now, path), packed(new.where("share > 0"))
+            fixed = own.select("node").distinct().withColumn("fixed", F.lit(True))
+            mixed = new.join(fixed, "node", "left").select("node", "part", *[F.when(F.col("fixed"), F.floor(F.col(s) * (1 - keep))).otherwise(F.col(s)).alias(s) for s in slots])
+            new = mixed.unionByName(held).groupBy("node", "part").agg(*[F.sum(s).alias(s) for s in slots])
+        last, (now, path) = (now, path), packed(new.where(some))
         drop(now, last[1])
         if to == "a":
             # the same shares again would give the same again
-            marks = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("node", "label", "share")), F.sum(F.xxhash64("label", "share", "node").cast("decimal(38,0)"))).first()
+            marks = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("node", "part", *slots)), F.sum(F.xxhash64(*slots, "part", "node").cast("decimal(38,0)"))).first()
             if marks == before:
                 break
             before = marks
-    return now.select("node", "label", (F.col("share") / unit).alias("share"))
+    tall = now.select("node", "part", F.posexplode(F.array(*slots)).alias("slot", "share")).where("share > 0")
+    named = own.select("label", "number").distinct()
+    return tall.join(named, F.col("part") * len(slots) + F.col("slot") == F.col("number")).select("node", "label", (F.col("share") / unit).alias("share"))

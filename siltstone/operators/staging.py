@@ -9,6 +9,9 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+#: Spark's setting for shuffle files that go at the end of the action that wrote them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def _folder(df: DataFrame) -> str:
     """The session's folder of checkpoints. Only a local master, where all threads share one disk, may go without that
@@ -33,9 +36,16 @@ def staged(df: DataFrame) -> DataFrame:
 
 
 def packed(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` computed once and kept as compressed columns in the same folder, and its path for :func:`drop`."""
+    """``df`` computed once and kept as compressed columns in the same folder, and its path for :func:`drop`. Its shuffles are
+    removed as soon as it is written, not when the driver happens to collect garbage."""
     path = f"{_folder(df)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    was = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, was)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

@@ -295,3 +295,25 @@ def test_rows_are_split_at_all_blanks_in_portions_of_a_batch(monkeypatch):
         portions += 1
         got += [[numbers.words[i] for i in ids[a : b - 1]] for a, b in zip(starts, [*starts[1:], len(ids)])]
     assert got == want and portions > 9
+
+
+def test_many_labels_beside_each_other_and_no_shuffle_files_left(spark):
+    """More labels than a row holds, and what a round has shuffled is gone when it is written."""
+    import glob
+
+    from siltstone.operators import staging
+
+    r = random.Random(7)
+    pairs = spark.createDataFrame([(f"a{r.randrange(40)}", f"b{r.randrange(60)}") for _ in range(300)], "a string, b string")
+    seeds = spark.createDataFrame([(f"a{r.randrange(44)}", f"l{i % 21}") for i in range(60)] + [("a1", None), ("a43", None), (None, "l0")], "node string, label string")
+    e = pairs.distinct().withColumn("weight", F.lit(1).cast("long"))
+    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    rows = lambda df: sorted(tuple(x) for x in df.where("node LIKE 'a%'").collect())
+    for n in (2, 3):
+        got = rows(graph.propagate_between(pairs, seeds, n))
+        assert got == rows(graph.propagate(both, seeds, n)) and len({x[1] for x in got}) > 2 * graph.WIDE
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    held = lambda: set(glob.glob(f"{folder}/*/shuffle_*.data"))
+    before = held()
+    staging.packed(pairs.groupBy("a").count())
+    assert held() <= before
